@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 GRAY_WEIGHTS = (0.2989, 0.5870, 0.1140)
 
 
+def let(value: Column, fn) -> Column:
+    """fn(value) with `value` computed once per row, however often fn uses it."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def argmax(arr: Column) -> Column:
     """0-based index of the first largest element."""
-    return (F.array_position(arr, F.array_max(arr)) - 1).cast("int")
+    return let(arr, lambda a: (F.array_position(a, F.array_max(a)) - 1).cast("int"))
 
 
 def hamming_distance(a: Column, b: Column) -> Column:

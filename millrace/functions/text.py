@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let
+
 # Fixed value: the characters removed before words are counted.
 PUNCTUATION_AND_DIGITS = r"[,.!%()+'\d:-]"
 
@@ -18,15 +20,17 @@ def split_trim(col: Column, sep: str) -> Column:
 
 def remove_names(col: Column, names) -> Column:
     """Delete literal names in the given order; null and '' both give null."""
-    out = col
-    for name in names:
-        out = F.replace(out, F.lit(name), F.lit(""))
-    return F.when(F.length(col) > 0, out)
+    def cleared(text):
+        for name in names:
+            text = F.replace(text, F.lit(name), F.lit(""))
+        return text
+
+    return let(col, lambda c: F.when(F.length(c) > 0, cleared(c)))
 
 
 def null_if_contains(col: Column, needle: str) -> Column:
     """Null when the text holds the needle; '' also gives null."""
-    return F.when((F.length(col) > 0) & ~F.contains(col, F.lit(needle)), col)
+    return let(col, lambda c: F.when((F.length(c) > 0) & ~F.contains(c, F.lit(needle)), c))
 
 
 def normalized(col: Column) -> Column:

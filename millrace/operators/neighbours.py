@@ -310,8 +310,8 @@ def row_correlation_top(df: DataFrame, key: str, vec: str, k: int, **kw) -> Data
 
     Centred unit rows have squared distance 2 (1 - r), so this is the k-NN join.
     """
-    from .stats import _unit_rows
+    from .stats import unit_rows
 
-    rows = _unit_rows(df, vec).filter(F.col("__u").isNotNull()).select(key, "__u")
+    rows = unit_rows(df, vec).filter(F.col("__u").isNotNull()).select(key, "__u")
     near = knn_join(rows, rows, k, "__u", key, exclude_same=key, **kw)
     return near.select(key, "neighbour", "rank", (1 - F.col("dist") * F.col("dist") / 2).alias("r"))

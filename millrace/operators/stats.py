@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..session import TASK_ROWS, as_list, fits
 from .joins import lookup_join
 
@@ -44,14 +45,15 @@ def corr_matrix(df: DataFrame, cols) -> DataFrame:
     return one.select(F.inline(F.array(*cells)))
 
 
-def _unit_rows(df: DataFrame, vec: str) -> DataFrame:
+def unit_rows(df: DataFrame, vec: str, out: str = "__u") -> DataFrame:
     """Every row array centred on its own mean and scaled to length one (null if constant)."""
-    total = F.aggregate(F.col(vec), F.lit(0.0), lambda a, x: a + x)
-    centred = df.withColumn("__m", total / F.size(vec)).withColumn(
-        "__u", F.transform(F.col(vec), lambda x: x - F.col("__m")))
-    norm = centred.withColumn("__s", F.sqrt(F.aggregate(F.col("__u"), F.lit(0.0), lambda a, x: a + x * x)))
-    scaled = F.when(F.col("__s") > 0, F.transform("__u", lambda x: x / F.col("__s")))
-    return norm.withColumn("__u", scaled).drop("__m", "__s")
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    length = lambda a: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
+    centred = let(F.struct(F.col(vec).alias("v"), (total(F.col(vec)) / F.size(vec)).alias("m")),
+                  lambda r: F.transform(r["v"], lambda x: x - r["m"]))
+    scaled = let(centred, lambda c: let(F.struct(c.alias("c"), length(c).alias("s")), lambda r: F.when(
+        r["s"] > 0, F.transform(r["c"], lambda x: x / r["s"]))))
+    return df.withColumn(out, scaled)
 
 
 def row_correlation(df: DataFrame, key: str, vec: str, ids: list) -> DataFrame:
@@ -59,7 +61,7 @@ def row_correlation(df: DataFrame, key: str, vec: str, ids: list) -> DataFrame:
 
     The list bounds the output: n x len(ids) cells, with the named rows broadcast.
     """
-    rows = _unit_rows(df, vec).select(key, "__u")
+    rows = unit_rows(df, vec).select(key, "__u")
     chosen = rows.filter(F.col(key).isin(list(ids)))
     if not fits(chosen, len(ids)):
         raise ValueError("ids must name distinct rows")
@@ -78,7 +80,7 @@ def row_correlation_mean(df: DataFrame, key: str, vec: str) -> DataFrame:
     mean_j(u_i . u_j) = u_i . mean(u), so the n x n matrix is never formed: one aggregate of
     the unit rows, then one projection.
     """
-    rows = _unit_rows(df, vec).filter(F.col("__u").isNotNull()).select(key, "__u")
+    rows = unit_rows(df, vec).filter(F.col("__u").isNotNull()).select(key, "__u")
     parts = rows.select(F.posexplode("__u")).groupBy("pos").agg(F.avg("col").alias("m")).orderBy("pos").collect()
     centre = F.array(*[F.lit(p["m"]) for p in parts])
     dot = F.aggregate(F.zip_with("__u", centre, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)

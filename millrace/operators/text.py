@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as ft
+from ..functions.arrays import let
 from ..session import BROADCAST_ROWS, TASK_ROWS, as_list
 from .joins import lookup_join
 from .order import with_position
@@ -40,7 +41,8 @@ def clean_posts(df: DataFrame, col: str, stop_words, names, other_mark: str = "$
     """Stop words out, own names out, texts naming others dropped, lower case, no empty texts."""
     text = ft.without_words(F.col(col), stop_words)
     text = ft.null_if_contains(ft.remove_names(text, names), other_mark)
-    return df.withColumn(out, ft.normalized(text)).filter(F.col(out) != "")
+    # explode of the filtered value: a filter on the column would be pushed down and computed twice
+    return df.withColumn(out, F.explode(F.filter(F.array(ft.normalized(text)), lambda c: c != "")))
 
 
 def words_of(df: DataFrame, key, col: str) -> DataFrame:
@@ -149,17 +151,22 @@ def select_top(df: DataFrame, key, col: str, vocab: DataFrame, scores: DataFrame
                score: str = "chisq") -> DataFrame:
     """(key.., vec): the tf-idf values of the k best words per text, best word last.
 
-    Only the k chosen words are counted; the rest of the text never leaves the map side.
+    Only occurrences of the k chosen words are counted and shuffled, at most k rows per text.
     """
     keys = as_list(key)
     best = scores.join(vocab.select("word", "idf"), "word").orderBy(F.desc(score), "word").limit(k).collect()[::-1]
-    split = ft.tokens(ft.strip_chars(F.col(col)))
-    counts = df.select(*keys, split.alias("__w")).withColumn("__t", F.size("__w").cast("double"))
-    kept = F.filter("__w", lambda w: w.isin([b["word"] for b in best]))
-    values = [(F.size(F.filter("__k", lambda w, b=b: w == b["word"])) + 1) / (2 * F.col("__t")) * F.lit(b["idf"])
-              for b in best]
-    rows = counts.filter(F.col("__t") > 0).withColumn("__k", kept)
-    return rows.select(*keys, F.array(*values).alias("vec"))
+    rank = F.try_element_at(F.create_map(*[F.lit(x) for i, b in enumerate(best) for x in (b["word"], i)]), F.col("word"))
+    chosen = [b["word"] for b in best]
+    split = df.select(*keys, ft.tokens(ft.strip_chars(F.col(col))).alias("__w"))
+    hits = split.select(*keys, F.size("__w").alias("__t"),
+                        F.explode_outer(F.filter("__w", lambda w: w.isin(chosen))).alias("word"))
+    counts = hits.groupBy(*keys, "__t", "word").agg(F.count("word").alias("__n")).filter(F.col("__t") > 0)
+    entry = F.when(F.col("word").isNotNull(), F.struct(rank.alias("at"), F.col("__n")))
+    per_text = counts.groupBy(*keys, "__t").agg(F.map_from_entries(F.collect_list(entry)).alias("__m"))
+    idf = F.array(*[F.lit(b["idf"]) for b in best])
+    value = let(F.struct("__m", "__t"), lambda r: F.transform(idf, lambda w, i: (
+        (F.coalesce(F.try_element_at(r["__m"], i), F.lit(0)) + 1) / (2.0 * r["__t"]) * w)))
+    return per_text.select(*keys, value.alias("vec"))
 
 
 def selected_words(scores: DataFrame, k: int = 100, score: str = "chisq") -> DataFrame:

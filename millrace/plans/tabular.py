@@ -274,10 +274,10 @@ def _(t):
     return _round(st.corr_matrix(imputed(t), FEATURES), "r")
 
 
-@query("row_correlation_mean", """WITH m AS (SELECT vec_id, embedding, list_avg(embedding) AS a FROM embeddings),
-   c AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) - a) AS u FROM m),
-   z AS (SELECT vec_id, sqrt(list_inner_product(u, u)) AS s, u FROM c),
-   n AS (SELECT vec_id, list_transform(u, lambda x: x / s) AS u FROM z)
+@query("row_correlation_mean", """WITH m AS MATERIALIZED (SELECT vec_id, embedding, list_avg(embedding) AS a FROM embeddings),
+   c AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) - a) AS u FROM m),
+   z AS MATERIALIZED (SELECT vec_id, sqrt(list_inner_product(u, u)) AS s, u FROM c),
+   n AS MATERIALIZED (SELECT vec_id, list_transform(u, lambda x: x / s) AS u FROM z)
    SELECT a.vec_id AS id, round(avg(list_inner_product(a.u, b.u)), 6) AS mean_r FROM n a CROSS JOIN n b GROUP BY 1""")
 def _(t):
     return _round(st.row_correlation_mean(vectors(t), "vec_id", "embedding"), "mean_r")

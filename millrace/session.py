@@ -78,6 +78,15 @@ def partitions_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame, *keys) -> DataFrame:
+    """Repartition by key when the input has fewer splits than there are cores to use.
+
+    Meant for few, small files ahead of heavy per-row work; a large table is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def as_list(cols) -> list:
     if cols is None:
         return []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 from collections import Counter
 from pathlib import Path
 
@@ -34,8 +35,10 @@ def duck(folder):
 
 
 def compare(spark, con, name, fn, sql, folder):
+    start = time.time()
     df = fn(spark, str(folder))
     got = rows_of(df.collect(), df.columns)
+    spent = time.time() - start
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
     want = rows_of(cur.fetchall(), names)
@@ -45,4 +48,4 @@ def compare(spark, con, name, fn, sql, folder):
         f"{name}: {sum(missing.values())} rows missing, {sum(extra.values())} extra of {sum(want.values())}; "
         f"e.g. want {list(missing)[:2]} got {list(extra)[:2]}")
     types = {d[0]: str(d[1]) for d in con.execute(f"SELECT * FROM ({sql}) LIMIT 0").description}
-    return sum(got.values()), {c: (t, types.get(c)) for c, t in df.dtypes}
+    return sum(got.values()), spent, {c: (t, types.get(c)) for c, t in df.dtypes}
