@@ -80,12 +80,12 @@ def doc_freq(df: DataFrame, vocab: DataFrame, col: str, key=None, mode: str = "t
     longest = words.agg(F.max(F.length("word"))).first()[0] or 0
     pieces = df.select(*keys, F.explode(F.array_distinct(ft.tokens(F.col(col)))).alias("piece"))
     size = F.length("piece")
-    starts = F.sequence(F.lit(1), size)
-    cuts = F.flatten(F.transform(starts, lambda i: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(longest), size - i + 1)), lambda n: F.substr(F.col("piece"), i, n))))
-    inside = pieces.select("piece").distinct().select("piece", F.explode(F.array_distinct(cuts)).alias("word"))
+    starts = pieces.select("piece").distinct().select("piece", F.explode(F.sequence(F.lit(1), size)).alias("i"))
+    lengths = F.sequence(F.lit(1), F.least(F.lit(longest), size - F.col("i") + 1))
+    cuts = starts.select("piece", "i", F.explode(lengths).alias("len"))
+    inside = cuts.select("piece", F.substr("piece", "i", "len").alias("word"))
     match = lookup_join(inside, words, "word", "left_semi", max_rows=max_rows)
-    held = match.groupBy("piece").agg(F.collect_list("word").alias("__held"))  # at most len(piece)^2 words
+    held = match.groupBy("piece").agg(F.collect_set("word").alias("__held"))  # at most len(piece)^2 words
     found = lookup_join(pieces, held, "piece", max_rows=max_rows)
     per_text = found.select(*keys, F.explode("__held").alias("word")).distinct()
     return per_text.groupBy("word").agg(F.count(F.lit(1)).alias("n_docs"))
