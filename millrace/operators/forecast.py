@@ -429,7 +429,7 @@ def kalman_smooth(df: DataFrame, value: str, order_by, partition_by=None, out: s
             z = part[value].to_numpy(dtype=float)
             return part.assign(**{out: _filter(z, float(z[0]) if first and len(z) else 0.0, 1.0, q, r, jump)[0]})
 
-        return df.groupBy(*(groups or [F.lit(0)])).applyInPandas(whole, schema)
+        return df.groupBy(*groups).applyInPandas(whole, schema)
 
     placed = cut_lineage(with_position(df, order_by, groups, "__pos", max_rows).withColumn(
         "__chunk", F.floor(F.col("__pos") / max_rows).cast("int")))

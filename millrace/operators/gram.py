@@ -34,7 +34,7 @@ def tree_merge(partials: DataFrame, by: list, merge: Callable[[pd.DataFrame], pd
         partials = partials.withColumn("__g", F.pmod(F.spark_partition_id(), F.lit(groups)))
         schema = T.StructType([f for f in partials.schema.fields if f.name != "__g"])
         partials = partials.groupBy(*keys, "__g").applyInPandas(lambda p: merge(p.drop(columns="__g")), schema)
-    return partials.groupBy(*(keys or [F.lit(0)])).applyInPandas(merge, partials.schema)
+    return partials.groupBy(*keys).applyInPandas(merge, partials.schema)
 
 
 def combine(a: tuple | None, b: tuple) -> tuple:

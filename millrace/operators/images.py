@@ -59,3 +59,50 @@ def inject_noise(df: DataFrame, key, arr: str, size: int, n: int = NOISE_POSITIO
         F.try_element_at(F.col("__spots"), F.pmod(i, F.lit(size))).cast("double"), x.cast("double")))
     done = df.withColumn("__draws", draws).withColumn("__spots", spots)
     return done.withColumn(out or arr, noisy).drop("__draws", "__spots")
+
+
+def patch_features(df: DataFrame, key, gray_arr: str, width: int, radius: int = 1) -> DataFrame:
+    """(key.., pos, patch): the gray values around every pixel, row by row, zero beyond the border."""
+    size = width * width
+    offsets = [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1)]
+
+    def patch(arr, pos):
+        y, x = F.floor(pos / width).cast("int"), pos % width
+        cells = []
+        for dy, dx in offsets:
+            inside = (y + dy >= 0) & (y + dy < width) & (x + dx >= 0) & (x + dx < width)
+            cells.append(F.when(inside, F.try_element_at(arr, pos + dy * width + dx + 1)).otherwise(F.lit(0.0)))
+        return F.array(*cells)
+
+    spots = df.select(*as_list(key), F.col(gray_arr).alias("__g"),
+                      F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("pos"))
+    return spots.select(*as_list(key), "pos", patch(F.col("__g"), F.col("pos")).alias("patch"))
+
+
+def colorize(df: DataFrame, key: str, arr: str, width: int, k: int = 4, radius: int = 1, seed: int = 1,
+             test: str | None = None):
+    """(key, pos, code, prediction): palette code of every pixel, predicted from its gray patch.
+
+    Palette and classifier are fitted on the rows where `test` is 0 (all rows without it). The
+    classifier is a multinomial logistic regression over the patch and its position.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    from ..session import cut_lineage
+    from .cluster import palette
+
+    size = width * width
+    keys = [key] + ([test] if test else [])
+    px = pixels(df, keys, arr, size)
+    train_px = px.filter(F.col(test) == 0) if test else px
+    codes = palette(train_px, k, seed).codes(px).select(key, "pos", "code")
+    grays = grayscale(df, arr, size, "__gray").withColumn("__gray", F.transform("__gray", lambda g: g / 255.0))
+    patches = patch_features(grays, keys, "__gray", width, radius)
+    place = F.array((F.col("pos") % width) / float(width), F.floor(F.col("pos") / width) / float(width))
+    rows = cut_lineage(patches.join(codes, [key, "pos"]).withColumn(
+        "__features", array_to_vector(F.concat("patch", place))))
+    fit = LogisticRegression(featuresCol="__features", labelCol="code", predictionCol="prediction",
+                             family="multinomial", maxIter=50).fit(rows.filter(F.col(test) == 0) if test else rows)
+    out = fit.transform(rows)
+    return out.select(*keys, "pos", "code", F.col("prediction").cast("int").alias("prediction"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import posts, tabular  # noqa: F401
+from . import models, posts, series, tabular  # noqa: F401
 from .registry import ORACLES, QUERIES, Tables
 
 SMOKE_DIR = "/root/testdata/sf0.001"
