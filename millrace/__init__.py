@@ -1,0 +1 @@
+"""Analytics on Spark DataFrames: tables, text, pixel arrays and many time series at once."""

@@ -6,7 +6,6 @@ folds costs one pass over the data.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,10 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import as_list
+from ..session import as_list, partitions_of
 
 _FLUSH_CELLS = 16_000_000  # doubles kept per task before partial sums are passed on
-_FAN_IN = 64  # partial rows merged by one task
+_FAN_IN = 64  # shuffle partitions above which partial rows are merged in two steps
 
 
 def matrix(col: pd.Series) -> np.ndarray:
@@ -26,14 +25,13 @@ def matrix(col: pd.Series) -> np.ndarray:
 
 
 def tree_merge(partials: DataFrame, by: list, merge: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """Merge partial rows per key; many partials of one key are merged in groups first."""
-    pieces = partials.rdd.getNumPartitions()
+    """Merge partial rows per key. On a session set up for many partitions, the partial rows of
+    one key are first merged in that many groups, so no task receives all of them."""
+    groups = partitions_of(partials.sparkSession)
     keys = [F.col(c) for c in by]
-    if pieces > _FAN_IN:
-        groups = math.ceil(math.sqrt(pieces))
-        partials = partials.withColumn("__g", F.pmod(F.spark_partition_id(), F.lit(groups)))
-        schema = T.StructType([f for f in partials.schema.fields if f.name != "__g"])
-        partials = partials.groupBy(*keys, "__g").applyInPandas(lambda p: merge(p.drop(columns="__g")), schema)
+    if groups > _FAN_IN:
+        tagged = partials.withColumn("__g", F.pmod(F.spark_partition_id(), F.lit(groups)))
+        partials = tagged.groupBy(*keys, "__g").applyInPandas(lambda p: merge(p.drop(columns="__g")), partials.schema)
     return partials.groupBy(*keys).applyInPandas(merge, partials.schema)
 
 
@@ -107,11 +105,15 @@ def merged(parts) -> tuple | None:
     return total
 
 
-def sum_arrays(partials: DataFrame, by: list, col: str = "sums") -> DataFrame:
-    """Element-wise sums of an array column per key, tree-merged."""
+def total_array(partials: DataFrame, col: str = "sums") -> np.ndarray:
+    """Element-wise sum of an array column over all rows, one row per task.
+
+    The driver adds a few partial rows itself; with many tasks they are tree-merged first.
+    """
 
     def merge(part: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum(np.stack([np.asarray(v) for v in part[col]]), axis=0)
-        return pd.DataFrame({**{k: [part[k].iloc[0]] for k in by}, col: [total]})
+        return pd.DataFrame({col: [np.sum(np.stack([np.asarray(v) for v in part[col]]), axis=0)]})
 
-    return tree_merge(partials, by, merge)
+    if partitions_of(partials.sparkSession) > _FAN_IN:
+        partials = tree_merge(partials, [], merge)
+    return np.asarray(merge(partials.toPandas())[col].iloc[0])

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrays import argmax, dot, let
-from .gram import _FLUSH_CELLS, matrix, sum_arrays
+from ..session import stored
+from .gram import _FLUSH_CELLS, matrix, total_array
 from .stats import classes_of
 
 # Penalty grids and kernel widths of the classifiers.
@@ -124,8 +125,7 @@ def fit_grid(df: DataFrame, vec: str, y: str, problems: Sequence[Problem], loss:
                     total[i, 1 + d:] += ((xa * curve[act, None]).T @ xa).ravel()
             yield pd.DataFrame({"sums": [total.ravel()]})
 
-        got = sum_arrays(rows.mapInPandas(gradients, schema), []).first()
-        sums = np.array(got["sums"]).reshape(len(open_), size)
+        sums = total_array(rows.mapInPandas(gradients, schema)).reshape(len(open_), size)
         state.unpersist()
         for p, s in zip(open_, sums):
             w = trial[p]
@@ -212,7 +212,7 @@ def _held_scores(df, vec, y, fold, fits, cs, folds, classes, spark) -> dict:
         yield pd.DataFrame({"sums": [total.ravel()]})
 
     rows = df.select(F.col(vec).cast("array<double>").alias("x"), F.col(y).alias("y"), F.col(fold).cast("int").alias("fold"))
-    got = np.array(sum_arrays(rows.mapInPandas(count, schema), []).first()["sums"]).reshape(len(order), len(cs), 4)
+    got = total_array(rows.mapInPandas(count, schema)).reshape(len(order), len(cs), 4)
     if classes is None:
         spread = got[..., 3] - got[..., 2] ** 2 / np.maximum(got[..., 1], 1)
         per_fold = 1 - got[..., 0] / np.where(spread > 0, spread, np.nan)
@@ -281,11 +281,9 @@ class KernelResult(NamedTuple):
 
 
 def _kernel(df, vec, y, cs, gammas, fold, n_features, seed, loss, regression, **kw) -> KernelResult:
-    from ..session import cut_lineage
-
     scores, best = {}, None
     for gamma in gammas:
-        lifted = cut_lineage(random_features(df, vec, gamma, n_features, seed, "__rff").select(
+        lifted = stored(random_features(df, vec, gamma, n_features, seed, "__rff").select(
             "__rff", y, *([fold] if fold else [])))
         found = search(lifted, "__rff", y, cs, loss, "l2", fold, regression, **kw)
         for c, v in found.scores.items():

@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage
-from .gram import _FLUSH_CELLS, matrix, sum_arrays
+from ..session import cut_lineage, stored
+from .gram import _FLUSH_CELLS, matrix, total_array
 from .stats import classes_of
 
 # The L1 leaf penalties that are searched.
@@ -140,7 +140,7 @@ class _Grower:
 
         rows = df.select(F.col(vec).cast("array<double>").alias("x"), F.col(y).cast("double").alias("y"),
                          (F.col(fold) if fold else F.lit(-2)).cast("int").alias("fold"))
-        self.rows = cut_lineage(rows.mapInPandas(to_bytes, "b binary, y double, fold int, m array<double>"))
+        self.rows = stored(rows.mapInPandas(to_bytes, "b binary, y double, fold int, m array<double>"), "b", "y", "fold")
 
     def _margins(self):
         """Function (batch, bins, ensemble) -> margin before the tree now growing."""
@@ -155,60 +155,73 @@ class _Grower:
 
         return margin
 
-    def _histograms(self, which: list[int], trees: list[Tree], picks: list[np.ndarray], level: int) -> np.ndarray:
-        """Sums (ensemble, node, feature, bin, output + 1) of one level in one pass."""
-        nodes, first = 2 ** level, 2 ** level - 1
-        shape = (len(which), nodes, self.m, self.n_bins, self.n_out + 1)
+    def _histograms(self, which: list[int], trees: list[Tree], slots: list[np.ndarray], picks: list[np.ndarray],
+                    level: int) -> list[np.ndarray]:
+        """Per ensemble the sums (open node, feature, bin, output + 1) of one level: one pass for all."""
         margin, loss, n_out, m, n_bins, d = self._margins(), self.loss, self.n_out, self.m, self.n_bins, self.d
         folds = [self.specs[i].fold for i in which]
         boosted = loss != "classes"
-        shared = self.rows.sparkSession.sparkContext.broadcast((trees, picks))
+        shared = self.rows.sparkSession.sparkContext.broadcast((trees, slots, picks))
 
         def sums(batches):
-            grown, chosen = shared.value
-            total = np.zeros((len(which), n_out + 1, nodes * m * n_bins))
+            grown, open_, chosen = shared.value
+            total = [np.zeros((n_out + 1, len(o) * m * n_bins)) for o in open_]
             for b in batches:
                 if not len(b):
                     continue
                 bins = np.frombuffer(b"".join(b["b"]), dtype=np.uint8).reshape(len(b), d)
                 y, fold = b["y"].to_numpy(), b["fold"].to_numpy()
                 for k, i in enumerate(which):
-                    node = _leaf_of(grown[k], bins, level) - first
-                    use = np.nonzero((node >= 0) & (fold != folds[k]))[0]
+                    slot_of = np.full(2 ** (level + 1) - 1, -1)
+                    slot_of[open_[k]] = np.arange(len(open_[k]))
+                    slot = slot_of[_leaf_of(grown[k], bins, level)]
+                    use = np.nonzero((slot >= 0) & (fold != folds[k]))[0]
+                    if not len(use):
+                        continue
                     g, h = _gradient(loss, y, margin(b, bins, i) if boosted else y, n_out)
-                    at = node[use]
+                    at = slot[use]
                     cell = np.take_along_axis(bins[use], chosen[k][at], axis=1).astype(np.int64)
                     flat = ((at[:, None] * m + np.arange(m)[None]) * n_bins + cell).ravel()
                     for c in range(n_out + 1):
                         w = np.repeat(g[use, c] if c < n_out else h[use], m)
-                        total[k, c] += np.bincount(flat, weights=w, minlength=total.shape[2])
-            yield pd.DataFrame({"sums": [total.ravel()]})
+                        total[k][c] += np.bincount(flat, weights=w, minlength=total[k].shape[1])
+            yield pd.DataFrame({"sums": [np.concatenate([t.ravel() for t in total])]})
 
         schema = T.StructType([T.StructField("sums", T.ArrayType(T.DoubleType()))])
-        got = sum_arrays(self.rows.mapInPandas(sums, schema), []).first()["sums"]
+        got = total_array(self.rows.mapInPandas(sums, schema))
         shared.unpersist()
-        arr = np.array(got).reshape(len(which), n_out + 1, nodes, self.m, self.n_bins)
-        return np.moveaxis(arr, 1, -1).reshape(shape)
+        out, start = [], 0
+        for o in slots:
+            size = (n_out + 1) * len(o) * m * n_bins
+            out.append(np.moveaxis(got[start:start + size].reshape(n_out + 1, len(o), m, n_bins), 0, -1))
+            start += size
+        return out
 
     def grow(self) -> None:
         """One more tree for every ensemble."""
         size = 2 ** (self.depth + 1) - 1
         new = [Tree(np.full(size, -1), np.zeros(size, dtype=int), np.zeros((size, self.n_out))) for _ in self.specs]
+        open_ = [np.array([0]) for _ in self.specs]
         for level in range(self.depth):
-            cells = 2 ** level * self.m * self.n_bins * (self.n_out + 1)
-            per_pass = max(1, _FLUSH_CELLS // cells)
-            for lo in range(0, len(self.specs), per_pass):
-                which = list(range(lo, min(lo + per_pass, len(self.specs))))
+            cell = self.m * self.n_bins * (self.n_out + 1)
+            todo = [i for i in range(len(self.specs)) if len(open_[i])]
+            while todo:
+                which, held = [], 0
+                while todo and (not which or held + len(open_[todo[0]]) * cell <= _FLUSH_CELLS):
+                    held += len(open_[todo[0]]) * cell
+                    which.append(todo.pop(0))
                 draws = [np.random.default_rng([self.specs[i].seed, len(self.done[i]), level]) for i in which]
                 picks = [np.stack([r.permutation(self.d)[:self.m] if self.m < self.d else np.arange(self.d)
-                                   for _ in range(2 ** level)]) for r in draws]
-                hist = self._histograms(which, [new[i] for i in which], picks, level)
+                                   for _ in open_[i]]) for i, r in zip(which, draws)]
+                slots = [open_[i] for i in which]
+                hists = self._histograms(which, [new[i] for i in which], slots, picks, level)
                 for k, i in enumerate(which):
-                    self._split(new[i], hist[k], picks[k], level, self.specs[i], draws[k])
+                    open_[i] = self._split(new[i], hists[k], slots[k], picks[k], self.specs[i], draws[k])
         for i, tree in enumerate(new):
             self.done[i].append(tree)
 
-    def _split(self, tree: Tree, hist: np.ndarray, picks: np.ndarray, level: int, spec: Spec, rng) -> None:
+    def _split(self, tree: Tree, hist: np.ndarray, nodes: np.ndarray, picks: np.ndarray, spec: Spec, rng) -> np.ndarray:
+        """Split the open nodes of one level in place; returns the nodes to try on the next."""
         left = hist.cumsum(axis=2)  # node, feature, bin, channel
         whole = left[:, :, -1:, :]
         right = whole - left
@@ -217,35 +230,37 @@ class _Grower:
             return (_soft(s[..., :-1], spec.l1) ** 2).sum(-1) / np.maximum(s[..., -1] + spec.l2, 1e-12)
 
         def value(s):
-            return -_soft(s[:-1], spec.l1) / max(s[-1] + spec.l2, 1e-12)
+            return -_soft(s[..., :-1], spec.l1) / np.maximum(s[..., -1:] + spec.l2, 1e-12)
 
         gain = score(left) + score(right) - score(whole)
-        fine = (left[..., -1] >= self.min_child) & (right[..., -1] >= self.min_child)
-        for at in range(hist.shape[0]):
-            node = 2 ** level - 1 + at
-            if level and tree.feature[(node - 1) // 2] < 0:
-                continue
-            if level == 0:
-                tree.value[0] = value(whole[0, 0, 0])
-            best = (1e-12, -1, -1)
-            for j in range(self.m):
-                ok = fine[at, j].copy()
-                if self.random_cut:
-                    filled = np.nonzero(hist[at, j, :, -1] > 0)[0]
-                    if len(filled) < 2:
-                        continue
-                    edges = self.edges[picks[at, j]]
-                    lo, hi = edges[filled[0]], edges[min(filled[-1], len(edges)) - 1]
-                    cut = np.clip(np.searchsorted(edges, lo + rng.random() * (hi - lo)), filled[0], filled[-1] - 1)
-                    ok &= np.arange(len(ok)) == cut
-                if ok.any():
-                    cut = int(np.where(ok, gain[at, j], -np.inf).argmax())
-                    if gain[at, j, cut] > best[0]:
-                        best = (gain[at, j, cut], j, cut)
-            if best[1] >= 0:
-                tree.feature[node], tree.cut[node] = picks[at, best[1]], best[2]
-                tree.value[2 * node + 1] = value(left[at, best[1], best[2]])
-                tree.value[2 * node + 2] = value(right[at, best[1], best[2]])
+        gain[(left[..., -1] < self.min_child) | (right[..., -1] < self.min_child)] = -np.inf
+        if self.random_cut:
+            edges = np.stack([np.pad(e, (0, self.n_bins - 1 - len(e)), constant_values=np.inf) for e in self.edges])[picks]
+            count = np.array([len(e) for e in self.edges])[picks]
+            filled = hist[..., -1] > 0
+            first = filled.argmax(2)
+            last = self.n_bins - 1 - filled[..., ::-1].argmax(2)
+            at = lambda i: np.take_along_axis(edges, i[..., None], axis=2)[..., 0]
+            lo, hi = at(np.minimum(first, count - 1)), at(np.maximum(np.minimum(last, count) - 1, 0))
+            wanted = lo + rng.random(lo.shape) * (hi - lo)
+            cut = np.clip((edges < wanted[..., None]).sum(2), first, np.maximum(last - 1, first))
+            drawn = np.arange(self.n_bins)[None, None] == cut[..., None]
+            gain = np.where(drawn & (last > first)[..., None], gain, -np.inf)
+        if nodes[0] == 0:
+            tree.value[0] = value(whole[0, 0, 0])
+        flat = gain.reshape(len(nodes), -1)
+        best = flat.argmax(1)
+        following = []
+        for k in np.nonzero(flat[np.arange(len(nodes)), best] > 1e-12)[0]:
+            j, cut = divmod(int(best[k]), self.n_bins)
+            node = nodes[k]
+            tree.feature[node], tree.cut[node] = picks[k, j], cut
+            for child, s in ((2 * node + 1, left[k, j, cut]), (2 * node + 2, right[k, j, cut])):
+                tree.value[child] = value(s)
+                pure = self.loss == "classes" and np.abs(s[:-1]).max() >= s[-1]
+                if s[-1] >= 2 * self.min_child and not pure:
+                    following.append(child)
+        return np.array(following, dtype=int)
 
     def refresh(self) -> None:
         """Store the margins so that later passes evaluate recent trees only; cuts lineage too."""
@@ -280,7 +295,7 @@ class _Grower:
             yield pd.DataFrame({"sums": [total.ravel()]})
 
         schema = T.StructType([T.StructField("sums", T.ArrayType(T.DoubleType()))])
-        got = np.array(sum_arrays(self.rows.mapInPandas(sums, schema), []).first()["sums"]).reshape(-1, 2)
+        got = total_array(self.rows.mapInPandas(sums, schema)).reshape(-1, 2)
         return [float(a / n) if n else float("nan") for a, n in got]
 
 

@@ -16,7 +16,7 @@ from ..operators import relational as rl
 from ..operators import resample as rs
 from ..operators import stats as st
 from ..operators import trees as tr
-from ..session import cut_lineage, new_path
+from ..session import cut_lineage, new_path, stored
 from ..sources import readers as rd
 from .registry import Tables, query
 from .tabular import FEATURES, ORDER, _round, imputed, vectors
@@ -48,13 +48,14 @@ def halves(t: Tables) -> DataFrame:
     rows = vectors(t).withColumns({"mod5": F.col("label") % 5, "odd": F.col("label") % 2,
                                    "zero": (F.col("label") == 0).cast("int")})
     marked = od.hash_split(rows, "vec_id", 0.3, 1)
-    return cut_lineage(od.contiguous_folds(marked, "vec_id", 5))
+    return stored(od.contiguous_folds(marked, "vec_id", 5), "vec_id")
 
 
 def table_vectors(t: Tables) -> DataFrame:
     """The imputed feature table as arrays, with three contiguous folds, written once."""
     rows = imputed(t).withColumn("price", F.col("price") / 1000)
-    return cut_lineage(od.contiguous_folds(rows.withColumn("x", F.array(*FEATURES)), ORDER, 3))
+    folded = od.contiguous_folds(rows.withColumn("x", F.array(*FEATURES)), ORDER, 3)
+    return stored(folded.select("x", "price", "fold", *ORDER), *ORDER)
 
 
 def _scores(out: DataFrame, y: str, p: str = "prediction") -> DataFrame:

@@ -60,6 +60,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, *keys, rows_per_task: int = 10_000) -> DataFrame:
+    """A checkpoint for many passes of heavy per-row work, split so that every core has a part."""
+    rows = cut_lineage(df)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() >= cores:
+        return rows
+    parts = min(cores, -(-rows.count() // rows_per_task))
+    return cut_lineage(rows.repartition(parts, *keys)) if parts > rows.rdd.getNumPartitions() else rows
+
+
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """True when `df` has at most `max_rows` rows; stops counting just above the limit."""
     return df.limit(max_rows + 1).count() <= max_rows
