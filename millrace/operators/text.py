@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as ft
 from ..functions.arrays import let
-from ..session import BROADCAST_ROWS, TASK_ROWS, as_list
+from ..session import BROADCAST_ROWS, TASK_ROWS, as_list, cut_lineage
 from .joins import lookup_join
 from .order import with_position
 
@@ -100,12 +100,13 @@ def vocabulary(df: DataFrame, col: str, min_count: int, key=None, mode: str = "t
                max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(word, n, n_docs, idf) of the words that occur at least `min_count` times.
 
-    Words with more documents than occurrences (possible in substring mode) are left out.
+    Words with more documents than occurrences (possible in substring mode) are left out. The
+    result feeds several joins, so it is checkpointed.
     """
-    freq = word_freq(df, col, min_count)
+    freq = cut_lineage(word_freq(df, col, min_count))
     counts = doc_freq(df, freq, col, key, mode, max_rows)
     joined = freq.join(counts, "word").filter((F.col("n_docs") > 0) & (F.col("n_docs") <= F.col("n")))
-    return idf(joined, df.count())
+    return cut_lineage(idf(joined, df.count()))
 
 
 def tf(df: DataFrame, key, col: str, vocab: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -50,12 +50,11 @@ def _digitize(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
 
 def _leaf_of(tree: Tree, bins: np.ndarray, depth: int) -> np.ndarray:
     node = np.zeros(len(bins), dtype=np.int64)
-    row = np.arange(len(bins))
+    cells, start = bins.ravel(), np.arange(len(bins)) * bins.shape[1]
     for _ in range(depth):
-        f = tree.feature[node]
-        go = f >= 0
-        right = bins[row, np.maximum(f, 0)] > tree.cut[node]
-        node = np.where(go, 2 * node + 1 + right, node)
+        f = tree.feature.take(node)
+        right = cells.take(start + np.maximum(f, 0)) > tree.cut.take(node)
+        node = np.where(f >= 0, 2 * node + 1 + right, node)
     return node
 
 
@@ -182,9 +181,11 @@ class _Grower:
                     at = slot[use]
                     cell = np.take_along_axis(bins[use], chosen[k][at], axis=1).astype(np.int64)
                     flat = ((at[:, None] * m + np.arange(m)[None]) * n_bins + cell).ravel()
-                    for c in range(n_out + 1):
-                        w = np.repeat(g[use, c] if c < n_out else h[use], m)
-                        total[k][c] += np.bincount(flat, weights=w, minlength=total[k].shape[1])
+                    width = total[k].shape[1]
+                    for c in range(n_out):
+                        total[k][c] += np.bincount(flat, weights=np.repeat(g[use, c], m), minlength=width)
+                    weights = np.repeat(h[use], m) if loss == "logistic" else None  # else every row counts 1
+                    total[k][n_out] += np.bincount(flat, weights=weights, minlength=width)
             yield pd.DataFrame({"sums": [np.concatenate([t.ravel() for t in total])]})
 
         schema = T.StructType([T.StructField("sums", T.ArrayType(T.DoubleType()))])
@@ -305,7 +306,7 @@ class BoostResult(NamedTuple):
     scores: dict
 
 
-def _boost(df, vec, y, l1s, fold, loss, n_trees, depth, eta, l2, n_bins, base, classes=None, refresh=10) -> BoostResult:
+def _boost(df, vec, y, l1s, fold, loss, n_trees, depth, eta, l2, n_bins, base, classes=None, refresh=3) -> BoostResult:
     l1s = [float(a) for a in ([l1s] if isinstance(l1s, (int, float)) else l1s)]
     folds = classes_of(df, fold) if fold else []
     if len(l1s) > 1 and not folds:
