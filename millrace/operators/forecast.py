@@ -325,8 +325,8 @@ def arma_order(df: DataFrame, value: str, max_p: int, max_q: int, order_by, part
 
 def best_order(scores: DataFrame, partition_by=None, by: str = "bic") -> DataFrame:
     """The order with the smallest criterion per series."""
-    pick = F.min(F.struct(F.col(by), F.col("p"), F.col("q"))).alias("s")
-    return scores.groupBy(*as_list(partition_by)).agg(pick).select(*as_list(partition_by), "s.p", "s.q", f"s.{by}")
+    pick = F.min(F.struct(F.col(by), F.col("p"), F.col("q"))).alias("__s")
+    return scores.groupBy(*as_list(partition_by)).agg(pick).select(*as_list(partition_by), "__s.p", "__s.q", f"__s.{by}")
 
 
 def arma_forecast(df: DataFrame, value: str, h: int, order_by, partition_by=None, order: tuple[int, int] | None = None,

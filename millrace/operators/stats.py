@@ -37,7 +37,12 @@ def corr_matrix(df: DataFrame, cols) -> DataFrame:
     """(f1, f2, r) for every ordered pair of columns, from one aggregate over the table."""
     cols = as_list(cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    one = df.agg(*[F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
+
+    def corr(a, b):  # null for a constant column, where the built-in one fails under ANSI rules
+        x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+    one = df.agg(*[corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
     cells = []
     for i, (a, b) in enumerate(pairs):
         for x, y in {(a, b), (b, a)}:

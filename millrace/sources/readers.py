@@ -22,7 +22,8 @@ def read_delimited(spark: SparkSession, path, schema, na: str | None = None, hea
     """Delimited text with a declared schema; the token `na` reads as null.
 
     `preamble` lines at the top of every file are skipped before the optional header. Only the
-    split at the start of a file holds them, so long files still read in parallel.
+    split at the start of a file (its first `spark.sql.files.maxPartitionBytes` bytes) holds them,
+    so long files still read in parallel.
     """
     if not preamble:
         reader = spark.read.schema(schema).option("sep", sep).option("header", header)
@@ -36,10 +37,10 @@ def read_delimited(spark: SparkSession, path, schema, na: str | None = None, hea
     def below_header(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict = {}
         for batch in batches:
-            top = batch["start"] == 0
-            at = batch.groupby("file").cumcount() + batch["file"].map(seen).fillna(0)
-            yield batch.loc[~top | (at >= skip), ["value"]]
-            for file, n in batch.loc[top].groupby("file").size().items():
+            top = batch[batch["start"] == 0]
+            at = top.groupby("file").cumcount() + top["file"].map(seen).fillna(0)
+            yield batch.drop(index=at.index[at < skip])[["value"]]
+            for file, n in top.groupby("file").size().items():
                 seen[file] = seen.get(file, 0) + int(n)
 
     rows = lines.mapInPandas(below_header, "value string").filter(F.length(F.trim("value")) > 0)
