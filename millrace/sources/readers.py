@@ -22,8 +22,8 @@ def read_delimited(spark: SparkSession, path, schema, na: str | None = None, hea
     """Delimited text with a declared schema; the token `na` reads as null.
 
     `preamble` lines at the top of every file are skipped before the optional header. Only the
-    split at the start of a file (its first `spark.sql.files.maxPartitionBytes` bytes) holds them,
-    so long files still read in parallel.
+    split at the start of a file holds them (a split is megabytes, see `spark.sql.files.openCostInBytes`
+    and `maxPartitionBytes`), so long files still read in parallel.
     """
     if not preamble:
         reader = spark.read.schema(schema).option("sep", sep).option("header", header)
