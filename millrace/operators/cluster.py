@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import let, squared_distance
-from ..session import cut_lineage
+from ..session import Shared, cut_lineage
 from .evaluate import calinski_harabasz, inertia, silhouette
 from .gram import matrix
 
@@ -85,7 +85,7 @@ class NaiveBayesFit(NamedTuple):
     var: np.ndarray
 
     def transform(self, df: DataFrame, vec: str, out: str = "prediction") -> DataFrame:
-        shared = df.sparkSession.sparkContext.broadcast(self)
+        shared = Shared(df.sparkSession, self)
 
         @F.pandas_udf("int")
         def best(col: pd.Series) -> pd.Series:

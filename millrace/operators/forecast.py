@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrays import dot
-from ..session import TASK_ROWS, as_list, cut_lineage, largest_group
+from ..session import TASK_ROWS, Shared, as_list, cut_lineage, largest_group
 from .gram import combine, moments, of_rows
 from .joins import lookup_join, top_per_key
 from .order import windowed, with_position
@@ -445,7 +445,7 @@ def kalman_smooth(df: DataFrame, value: str, order_by, partition_by=None, out: s
                 break
             p = nxt
         starts.append(p)
-    shared = df.sparkSession.sparkContext.broadcast(starts)
+    shared = Shared(df.sparkSession, starts)
 
     def run(part: pd.DataFrame) -> tuple[pd.DataFrame, float, float]:
         part = part.sort_values("__pos")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrays import argmax, dot, let
-from ..session import stored
+from ..session import Shared, stored
 from .gram import _FLUSH_CELLS, matrix, total_array
 from .stats import classes_of
 
@@ -102,7 +102,7 @@ def fit_grid(df: DataFrame, vec: str, y: str, problems: Sequence[Problem], loss:
             break
         for p in open_:
             tries[p] += 1
-        state = spark.sparkContext.broadcast((open_, np.stack([trial[p] for p in open_])))
+        state = Shared(spark, (open_, np.stack([trial[p] for p in open_])))
 
         def gradients(batches):
             todo, w = state.value
@@ -183,7 +183,7 @@ def _targets(classes: list | None) -> list:
 def _held_scores(df, vec, y, fold, fits, cs, folds, classes, spark) -> dict:
     """Mean held-out accuracy (or R2) per C over the folds, from one pass."""
     names = _targets(classes)
-    shared = spark.sparkContext.broadcast(
+    shared = Shared(spark, 
         {f: np.stack([fits[Problem(c, f, k)] for c in cs for k in names]) for f in folds})
     schema = T.StructType([T.StructField("sums", T.ArrayType(T.DoubleType()))])
     order = list(folds)
@@ -257,7 +257,7 @@ def random_features(df: DataFrame, vec: str, gamma: float, n_features: int, seed
     draw = np.random.default_rng(seed)
     w = draw.normal(0.0, np.sqrt(2.0 * gamma), (d, n_features))
     b = draw.uniform(0.0, 2 * np.pi, n_features)
-    shared = df.sparkSession.sparkContext.broadcast((w, b))
+    shared = Shared(df.sparkSession, (w, b))
 
     @F.pandas_udf("array<double>")
     def lift(col: pd.Series) -> pd.Series:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import BROADCAST_ROWS, as_list, cut_lineage, fits
+from ..session import BROADCAST_ROWS, Shared, as_list, cut_lineage, fits
 from .joins import top_per_key
 
 _TILE = 4_000_000  # cells of one distance tile
@@ -130,7 +130,7 @@ def _broadcast_knn(left, right, k, vec, key, by, exclude_same, carry, schema) ->
         groups[value] = (x[rows][chosen], part["__rid"].to_numpy(),
                          part[extra].to_numpy() if extra else part["__rid"].to_numpy(),
                          part[[f"__c_{c}" for c in carry]])
-    shared = spark.sparkContext.broadcast(groups)
+    shared = Shared(spark, groups)
     names = schema.fieldNames()
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,7 +159,7 @@ def _cell_knn(left, right, k, vec, key, skip_self, carry, schema, approx, probes
     chosen = slim.orderBy(F.xxhash64("__rid")).limit(n_pivots).select("__rvec").toPandas()
     if chosen.empty:
         return spark.createDataFrame([], schema)
-    centres = spark.sparkContext.broadcast(_matrix(chosen["__rvec"]))
+    centres = Shared(spark, _matrix(chosen["__rvec"]))
     cell_schema = T.StructType([*slim.schema.fields, T.StructField("cell", T.IntegerType()),
                                 T.StructField("off", T.DoubleType())])
 
@@ -180,7 +180,7 @@ def _cell_knn(left, right, k, vec, key, skip_self, carry, schema, approx, probes
     radius[stats.index] = stats["r"]
     subs = np.zeros(len(radius), dtype=int)
     subs[stats.index] = np.ceil(stats["n"] / block_rows).astype(int)
-    bounds = spark.sparkContext.broadcast((radius, subs, near["cell"].to_numpy(), near["off"].to_numpy()))
+    bounds = Shared(spark, (radius, subs, near["cell"].to_numpy(), near["off"].to_numpy()))
     visit_schema = T.StructType([left.schema[key], left.schema[vec], T.StructField("cell", T.IntegerType()),
                                  T.StructField("sub", T.IntegerType())])
 
@@ -272,7 +272,7 @@ def cluster_distance_sums(df: DataFrame, key: str, vec: str, cluster: str, max_r
 
     if fits(rows, min(max_rows, BROADCAST_ROWS)):
         table = rows.toPandas()
-        shared = spark.sparkContext.broadcast((_matrix(table["v"]), table["own"].to_numpy()))
+        shared = Shared(spark, (_matrix(table["v"]), table["own"].to_numpy()))
 
         def stream(batches):
             for b in batches:

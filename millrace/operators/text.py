@@ -85,7 +85,8 @@ def doc_freq(df: DataFrame, vocab: DataFrame, col: str, key=None, mode: str = "t
     cuts = starts.select("piece", "i", F.explode(lengths).alias("len"))
     inside = cuts.select("piece", F.substr("piece", "i", "len").alias("word"))
     match = lookup_join(inside, words, "word", "left_semi", max_rows=max_rows)
-    held = match.groupBy("piece").agg(F.collect_set("word").alias("__held"))  # at most len(piece)^2 words
+    # at most len(piece)^2 words a piece; stored, because the size check below reads it once more
+    held = cut_lineage(match.groupBy("piece").agg(F.collect_set("word").alias("__held")))
     found = lookup_join(pieces, held, "piece", max_rows=max_rows)
     per_text = found.select(*keys, F.explode("__held").alias("word")).distinct()
     return per_text.groupBy("word").agg(F.count(F.lit(1)).alias("n_docs"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage, stored
+from ..session import Shared, cut_lineage, stored
 from .gram import _FLUSH_CELLS, matrix, total_array
 from .stats import classes_of
 
@@ -98,7 +98,7 @@ class Ensemble(NamedTuple):
 
     def transform(self, df: DataFrame, vec: str, out: str = "prediction", score: str | None = None) -> DataFrame:
         """Adds the prediction (a value or a class) and optionally the raw score of the last output."""
-        shared = df.sparkSession.sparkContext.broadcast(self)
+        shared = Shared(df.sparkSession, self)
 
         @F.pandas_udf("array<double>")
         def run(col: pd.Series) -> pd.Series:
@@ -160,7 +160,7 @@ class _Grower:
         margin, loss, n_out, m, n_bins, d = self._margins(), self.loss, self.n_out, self.m, self.n_bins, self.d
         folds = [self.specs[i].fold for i in which]
         boosted = loss != "classes"
-        shared = self.rows.sparkSession.sparkContext.broadcast((trees, slots, picks))
+        shared = Shared(self.rows.sparkSession, (trees, slots, picks))
 
         def sums(batches):
             grown, open_, chosen = shared.value

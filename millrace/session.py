@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +72,26 @@ def stored(df: DataFrame, *keys, rows_per_task: int = 10_000) -> DataFrame:
     return cut_lineage(rows.repartition(parts, *keys)) if parts > rows.rdd.getNumPartitions() else rows
 
 
+class Shared:
+    """A broadcast value that may hold classes of this package; loaded once per task."""
+
+    def __init__(self, spark: SparkSession, value):
+        self._sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self._value = None
+
+    def __getstate__(self):
+        return {"_sent": self._sent, "_value": None}
+
+    @property
+    def value(self):
+        if self._value is None:
+            self._value = cloudpickle.loads(self._sent.value)
+        return self._value
+
+    def unpersist(self) -> None:
+        self._sent.unpersist()
+
+
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """True when `df` has at most `max_rows` rows; stops counting just above the limit."""
     return df.limit(max_rows + 1).count() <= max_rows
