@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import let, squared_distance
 from ..session import Shared, cut_lineage
 from .evaluate import calinski_harabasz, inertia, silhouette
-from .gram import matrix
+from .batches import matrix
 
 
 class KMeansFit(NamedTuple):
@@ -87,16 +87,16 @@ class NaiveBayesFit(NamedTuple):
     def transform(self, df: DataFrame, vec: str, out: str = "prediction") -> DataFrame:
         shared = Shared(df.sparkSession, self)
 
-        @F.pandas_udf("int")
-        def best(col: pd.Series) -> pd.Series:
+        @F.arrow_udf("int")
+        def best(col: pa.Array) -> pa.Array:
             m = shared.value
             x = matrix(col)
             score = np.stack([np.log(m.prior[i]) - 0.5 * (np.log(2 * np.pi * m.var[i]) + (x - m.mean[i]) ** 2 / m.var[i]).sum(1)
                               for i in range(len(m.classes))], axis=1)
-            return pd.Series(score.argmax(1).astype("int32"))
+            return pa.array(score.argmax(1).astype("int32"))
 
         names = F.array(*[F.lit(c) for c in self.classes])
-        return df.withColumn(out, F.element_at(names, best(F.col(vec)) + 1))
+        return df.withColumn(out, F.element_at(names, best(F.col(vec).cast("array<double>")) + 1))
 
 
 def class_moments(df: DataFrame, vec: str, y: str) -> DataFrame:

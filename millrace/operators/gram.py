@@ -6,7 +6,7 @@ folds costs one pass over the data.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,15 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import as_list, partitions_of
+from .batches import Batch, map_batches
 
 _FLUSH_CELLS = 16_000_000  # doubles kept per task before partial sums are passed on
 _FAN_IN = 64  # shuffle partitions above which partial rows are merged in two steps
 
 
-def matrix(col: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=float) for v in col]) if len(col) else np.zeros((0, 0))
-
-
 def tree_merge(partials: DataFrame, by: list, merge: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
     """Merge partial rows per key. On a session set up for many partitions, the partial rows of
     one key are first merged in that many groups, so no task receives all of them."""
@@ -63,15 +60,13 @@ def moments(df: DataFrame, vec: str, by=None) -> DataFrame:
         rows = [(*k, int(n), m, s.ravel()) for k, (n, m, s) in sums.items()]
         return pd.DataFrame(rows, columns=[*keys, "n", "mean", "m2"])
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterable[Batch]) -> Iterator[pd.DataFrame]:
         sums: dict = {}
         for batch in batches:
-            parts = batch.groupby(keys, sort=False, dropna=False) if keys else [((), batch)]
-            for key, rows in parts:
-                if len(rows):
-                    key = key if isinstance(key, tuple) else (key,)
-                    sums[key] = combine(sums.get(key), of_rows(matrix(rows[vec])))
-            if sums and len(sums) * len(next(iter(sums.values()))[1]) ** 2 > _FLUSH_CELLS:
+            x = batch[vec]
+            for key, rows in batch.groups(keys):
+                sums[key] = combine(sums.get(key), of_rows(x[rows]))
+            if len(sums) * x.shape[1] ** 2 > _FLUSH_CELLS:
                 yield frame(sums)
                 sums = {}
         if sums:
@@ -85,8 +80,8 @@ def moments(df: DataFrame, vec: str, by=None) -> DataFrame:
         head = {k: [part[k].iloc[0]] for k in keys}
         return pd.DataFrame({**head, "n": [int(total[0])], "mean": [total[1]], "m2": [total[2].ravel()]})
 
-    rows = df.select(*keys, vec).filter(F.col(vec).isNotNull())
-    return tree_merge(rows.mapInPandas(partial, schema), keys, merge)
+    rows = df.select(*keys, F.col(vec).cast("array<double>").alias(vec)).filter(F.col(vec).isNotNull())
+    return tree_merge(map_batches(rows, partial, schema), keys, merge)
 
 
 def collect_moments(df: DataFrame, vec: str, by: str | None = None) -> dict:

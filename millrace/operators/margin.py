@@ -12,13 +12,15 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrays import argmax, dot, let
 from ..session import Shared, stored
-from .gram import _FLUSH_CELLS, matrix, total_array
+from .batches import list_column, map_batches, matrix
+from .gram import _FLUSH_CELLS, total_array
 from .stats import classes_of
 
 # Penalty grids and kernel widths of the classifiers.
@@ -108,9 +110,7 @@ def fit_grid(df: DataFrame, vec: str, y: str, problems: Sequence[Problem], loss:
             todo, w = state.value
             total = np.zeros((len(todo), size))
             for b in batches:
-                if not len(b):
-                    continue
-                x = np.hstack([matrix(b["x"]), np.ones((len(b), 1))])
+                x = np.hstack([b["x"], np.ones((len(b), 1))])
                 f = x @ w.T
                 labels, folds = b["y"].to_numpy(), b["fold"].to_numpy()
                 for i, p in enumerate(todo):
@@ -125,7 +125,7 @@ def fit_grid(df: DataFrame, vec: str, y: str, problems: Sequence[Problem], loss:
                     total[i, 1 + d:] += ((xa * curve[act, None]).T @ xa).ravel()
             yield pd.DataFrame({"sums": [total.ravel()]})
 
-        sums = total_array(rows.mapInPandas(gradients, schema)).reshape(len(open_), size)
+        sums = total_array(map_batches(rows, gradients, schema)).reshape(len(open_), size)
         state.unpersist()
         for p, s in zip(open_, sums):
             w = trial[p]
@@ -191,13 +191,13 @@ def _held_scores(df, vec, y, fold, fits, cs, folds, classes, spark) -> dict:
     def count(batches):
         total = np.zeros((len(order), len(cs), 4))
         for b in batches:
+            x, y_all, fold_of = np.hstack([b["x"], np.ones((len(b), 1))]), b["y"].to_numpy(), b["fold"].to_numpy()
             for i, f in enumerate(order):
-                part = b[b["fold"] == f]
-                if not len(part):
+                held = np.nonzero(fold_of == f)[0]
+                if not len(held):
                     continue
-                x = np.hstack([matrix(part["x"]), np.ones((len(part), 1))])
-                s = (x @ shared.value[f].T).reshape(len(part), len(cs), len(names))
-                t = part["y"].to_numpy()
+                s = (x[held] @ shared.value[f].T).reshape(len(held), len(cs), len(names))
+                t = y_all[held]
                 if classes is None:
                     t = t.astype(float)
                     err = (s[:, :, 0] - t[:, None]) ** 2
@@ -212,7 +212,7 @@ def _held_scores(df, vec, y, fold, fits, cs, folds, classes, spark) -> dict:
         yield pd.DataFrame({"sums": [total.ravel()]})
 
     rows = df.select(F.col(vec).cast("array<double>").alias("x"), F.col(y).alias("y"), F.col(fold).cast("int").alias("fold"))
-    got = total_array(rows.mapInPandas(count, schema)).reshape(len(order), len(cs), 4)
+    got = total_array(map_batches(rows, count, schema)).reshape(len(order), len(cs), 4)
     if classes is None:
         spread = got[..., 3] - got[..., 2] ** 2 / np.maximum(got[..., 1], 1)
         per_fold = 1 - got[..., 0] / np.where(spread > 0, spread, np.nan)
@@ -259,12 +259,12 @@ def random_features(df: DataFrame, vec: str, gamma: float, n_features: int, seed
     b = draw.uniform(0.0, 2 * np.pi, n_features)
     shared = Shared(df.sparkSession, (w, b))
 
-    @F.pandas_udf("array<double>")
-    def lift(col: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<double>")
+    def lift(col: pa.Array) -> pa.Array:
         weights, shift = shared.value
-        return pd.Series(list(np.sqrt(2.0 / len(shift)) * np.cos(matrix(col) @ weights + shift)))
+        return list_column(np.sqrt(2.0 / len(shift)) * np.cos(matrix(col) @ weights + shift))
 
-    return df.withColumn(out, lift(F.col(vec)))
+    return df.withColumn(out, lift(F.col(vec).cast("array<double>")))
 
 
 class KernelResult(NamedTuple):

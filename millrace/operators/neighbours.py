@@ -9,8 +9,6 @@ one left block and one right block returns the best k per left row.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -18,15 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import BROADCAST_ROWS, Shared, as_list, cut_lineage, fits
+from .batches import map_batches, matrix
 from .joins import top_per_key
 
 _TILE = 4_000_000  # cells of one distance tile
 
 
-def _matrix(col: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=float) for v in col]) if len(col) else np.zeros((0, 0))
-
-
 def _keep_copies(right: pd.DataFrame, x: np.ndarray, keep: int, extra: str | None) -> np.ndarray:
     """Row numbers of the `keep` smallest ids of every distinct vector: the only copies that can rank."""
     tag = pd.DataFrame({"v": [r.tobytes() for r in x], "id": right["__rid"].to_numpy()})
@@ -119,7 +114,7 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, vec: str, key: str, by:
 def _broadcast_knn(left, right, k, vec, key, by, exclude_same, carry, schema) -> DataFrame:
     spark = left.sparkSession
     table = right.toPandas()
-    x = _matrix(table["__rvec"])
+    x = matrix(table["__rvec"])
     extra = f"__r_{exclude_same}" if exclude_same not in (None, key) else None
     groups = {}
     for value, rows in ([(None, np.arange(len(table)))] if by is None
@@ -133,21 +128,22 @@ def _broadcast_knn(left, right, k, vec, key, by, exclude_same, carry, schema) ->
     shared = Shared(spark, groups)
     names = schema.fieldNames()
 
-    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def match(batches):
         for batch in batches:
-            parts = [(None, batch)] if by is None else batch.groupby(by, sort=False)
-            for value, rows in parts:
-                if value not in shared.value or not len(rows):
+            q, ids_left = batch[vec], batch[key].to_numpy()
+            for value, rows in batch.groups([by] if by else []):
+                if (value[0] if by else None) not in shared.value:
                     continue
-                xs, ids, bans, extras = shared.value[value]
-                banned = None if exclude_same is None else (rows[exclude_same].to_numpy(), bans)
-                at, to, dist, rank = _best_k(_matrix(rows[vec]), xs, ids, k, banned)
-                out = pd.DataFrame({key: rows[key].to_numpy()[at], "neighbour": ids[to], "dist": dist, "rank": rank})
+                xs, ids, bans, extras = shared.value[value[0] if by else None]
+                banned = None if exclude_same is None else (batch[exclude_same].to_numpy()[rows], bans)
+                at, to, dist, rank = _best_k(q[rows], xs, ids, k, banned)
+                out = pd.DataFrame({key: ids_left[rows][at], "neighbour": ids[to], "dist": dist, "rank": rank})
                 for name, c in zip(names[4:], carry):
                     out[name] = extras[f"__c_{c}"].to_numpy()[to]
                 yield out
 
-    return left.mapInPandas(match, schema)
+    left = left.withColumn(vec, F.col(vec).cast("array<double>"))
+    return map_batches(left, match, schema)
 
 
 def _cell_knn(left, right, k, vec, key, skip_self, carry, schema, approx, probes, block_rows, pivots) -> DataFrame:
@@ -159,7 +155,7 @@ def _cell_knn(left, right, k, vec, key, skip_self, carry, schema, approx, probes
     chosen = slim.orderBy(F.xxhash64("__rid")).limit(n_pivots).select("__rvec").toPandas()
     if chosen.empty:
         return spark.createDataFrame([], schema)
-    centres = Shared(spark, _matrix(chosen["__rvec"]))
+    centres = Shared(spark, matrix(chosen["__rvec"]))
     cell_schema = T.StructType([*slim.schema.fields, T.StructField("cell", T.IntegerType()),
                                 T.StructField("off", T.DoubleType())])
 
@@ -167,7 +163,7 @@ def _cell_knn(left, right, k, vec, key, skip_self, carry, schema, approx, probes
         p = centres.value
         for b in batches:
             if len(b):
-                x = _matrix(b["__rvec"])
+                x = matrix(b["__rvec"])
                 d = np.sqrt(np.maximum(((x[:, None, :] - p[None]) ** 2).sum(2), 0)) if x.size * len(p) < _TILE else \
                     np.sqrt(np.maximum((x * x).sum(1)[:, None] + (p * p).sum(1)[None] - 2 * x @ p.T, 0))
                 cell = d.argmin(1)
@@ -191,7 +187,7 @@ def _cell_knn(left, right, k, vec, key, skip_self, carry, schema, approx, probes
         for b in batches:
             for lo in range(0, len(b), 1024):
                 rows = b.iloc[lo:lo + 1024]
-                q = _matrix(rows[vec])
+                q = matrix(rows[vec])
                 d = np.sqrt(np.maximum((q * q).sum(1)[:, None] + (p * p).sum(1)[None] - 2 * q @ p.T, 0))
                 if approx:
                     rank = np.where(nsub[None] > 0, d, np.inf).argsort(1).argsort(1)
@@ -229,7 +225,7 @@ def _cell_knn(left, right, k, vec, key, skip_self, carry, schema, approx, probes
             return pd.DataFrame(columns=names)
         ids = rpart["__rid"].to_numpy()
         banned = (lpart[key].to_numpy(), ids) if skip_self else None
-        at, to, dist, rank = _best_k(_matrix(lpart[vec]), _matrix(rpart["__rvec"]), ids, k, banned)
+        at, to, dist, rank = _best_k(matrix(lpart[vec]), matrix(rpart["__rvec"]), ids, k, banned)
         out = pd.DataFrame({key: lpart[key].to_numpy()[at], "neighbour": ids[to], "dist": dist, "rank": rank})
         for name, c in zip(names[4:], carry):
             out[name] = rpart[f"__c_{c}"].to_numpy()[to]
@@ -247,17 +243,17 @@ def cluster_distance_sums(df: DataFrame, key: str, vec: str, cluster: str, max_r
     size check is broadcast; a larger one meets itself block by block.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(key).alias("id"), F.col(vec).alias("v"), F.col(cluster).alias("own"))
+    rows = df.select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("v"), F.col(cluster).alias("own"))
     kind = df.schema[cluster].dataType
     out_type = T.StructType([T.StructField("id", df.schema[key].dataType), T.StructField("own", kind),
                              T.StructField("cluster", kind), T.StructField("n", T.LongType()),
                              T.StructField("dist", T.DoubleType())])
 
-    def sums(part: pd.DataFrame, x: np.ndarray, tags: np.ndarray) -> pd.DataFrame:
+    def sums(part, x: np.ndarray, tags: np.ndarray) -> pd.DataFrame:
         labels, code = np.unique(tags, return_inverse=True)
         hot = np.zeros((len(tags), len(labels)))
         hot[np.arange(len(tags)), code] = 1.0
-        q = _matrix(part["v"])
+        q = matrix(part["v"])
         pieces = []
         step = max(1, _TILE // max(len(x), 1))
         for lo in range(0, len(q), step):
@@ -272,14 +268,13 @@ def cluster_distance_sums(df: DataFrame, key: str, vec: str, cluster: str, max_r
 
     if fits(rows, min(max_rows, BROADCAST_ROWS)):
         table = rows.toPandas()
-        shared = Shared(spark, (_matrix(table["v"]), table["own"].to_numpy()))
+        shared = Shared(spark, (matrix(table["v"]), table["own"].to_numpy()))
 
         def stream(batches):
             for b in batches:
-                if len(b):
-                    yield sums(b, *shared.value)
+                yield sums(b, *shared.value)
 
-        return rows.mapInPandas(stream, out_type)
+        return map_batches(rows, stream, out_type)
     blocks = int(np.ceil(rows.count() / block_rows))
     placed = rows.withColumn("mine", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
@@ -289,7 +284,7 @@ def cluster_distance_sums(df: DataFrame, key: str, vec: str, cluster: str, max_r
     def grid(lpart, rpart):
         if not len(lpart) or not len(rpart):
             return pd.DataFrame(columns=out_type.fieldNames())
-        return sums(lpart, _matrix(rpart["v"]), rpart["own"].to_numpy())
+        return sums(lpart, matrix(rpart["v"]), rpart["own"].to_numpy())
 
     keys = ["mine", "other"]
     partial = lhs.groupBy(*keys).cogroup(rhs.groupBy(*keys)).applyInPandas(grid, out_type)

@@ -13,6 +13,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import Shared, cut_lineage, stored
-from .gram import _FLUSH_CELLS, matrix, total_array
+from .batches import list_column, map_batches, matrix
+from .gram import _FLUSH_CELLS, total_array
 from .stats import classes_of
 
 # The L1 leaf penalties that are searched.
@@ -45,7 +47,7 @@ def _bins(df: DataFrame, vec: str, n_bins: int) -> list[np.ndarray]:
 
 
 def _digitize(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
-    return np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], axis=1).astype(np.uint8)
+    return np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], axis=1).astype(np.int8)
 
 
 def _leaf_of(tree: Tree, bins: np.ndarray, depth: int) -> np.ndarray:
@@ -100,12 +102,12 @@ class Ensemble(NamedTuple):
         """Adds the prediction (a value or a class) and optionally the raw score of the last output."""
         shared = Shared(df.sparkSession, self)
 
-        @F.pandas_udf("array<double>")
-        def run(col: pd.Series) -> pd.Series:
+        @F.arrow_udf("array<double>")
+        def run(col: pa.Array) -> pa.Array:
             model = shared.value
-            return pd.Series(list(model.scores(_digitize(matrix(col), model.edges))))
+            return list_column(model.scores(_digitize(matrix(col), model.edges)))
 
-        scored = df.withColumn("__s", run(F.col(vec)))
+        scored = df.withColumn("__s", run(F.col(vec).cast("array<double>")))
         last = F.element_at("__s", -1)
         if self.kind == "logistic":
             value = F.when(last >= 0, F.lit(self.classes[1])).otherwise(F.lit(self.classes[0]))
@@ -124,6 +126,8 @@ class _Grower:
                  features: int | None, random_cut: bool):
         self.loss, self.specs, self.depth, self.n_out = loss, list(specs), depth, n_out
         self.eta, self.base, self.min_child, self.random_cut = eta, base, min_child, random_cut
+        if not 2 <= n_bins <= 127:
+            raise ValueError("n_bins must fit a signed byte: 2 to 127")
         self.edges = _bins(df, vec, n_bins)
         self.d, self.n_bins = len(self.edges), max(len(e) for e in self.edges) + 1
         self.m = min(features or self.d, self.d)
@@ -131,15 +135,15 @@ class _Grower:
         self.folded = 0  # trees already inside the stored margins
         edges = self.edges
 
-        def to_bytes(batches):
+        def binned(batches):
             for b in batches:
-                if len(b):
-                    yield pd.DataFrame({"b": [r.tobytes() for r in _digitize(matrix(b["x"]), edges)],
-                                        "y": b["y"], "fold": b["fold"], "m": [None] * len(b)})
+                yield pa.RecordBatch.from_arrays(
+                    [list_column(_digitize(b["x"], edges)), pa.array(b["y"]), pa.array(b["fold"])], ["b", "y", "fold"])
 
         rows = df.select(F.col(vec).cast("array<double>").alias("x"), F.col(y).cast("double").alias("y"),
                          (F.col(fold) if fold else F.lit(-2)).cast("int").alias("fold"))
-        self.rows = stored(rows.mapInPandas(to_bytes, "b binary, y double, fold int, m array<double>"), "b", "y", "fold")
+        self.rows = stored(map_batches(rows, binned, T._parse_datatype_string("b array<tinyint>, y double, fold int")),
+                           "b", "y", "fold")
 
     def _margins(self):
         """Function (batch, bins, ensemble) -> margin before the tree now growing."""
@@ -147,7 +151,7 @@ class _Grower:
         later = [trees[start:] for trees in self.done]
 
         def margin(batch, bins, i):
-            m = np.stack(batch["m"].to_numpy())[:, i] if start else np.full(len(bins), base)
+            m = batch["m"][:, i] if start else np.full(len(bins), base)
             for tree in later[i]:
                 m = m + eta * tree.value[_leaf_of(tree, bins, depth), 0]
             return m
@@ -157,7 +161,7 @@ class _Grower:
     def _histograms(self, which: list[int], trees: list[Tree], slots: list[np.ndarray], picks: list[np.ndarray],
                     level: int) -> list[np.ndarray]:
         """Per ensemble the sums (open node, feature, bin, output + 1) of one level: one pass for all."""
-        margin, loss, n_out, m, n_bins, d = self._margins(), self.loss, self.n_out, self.m, self.n_bins, self.d
+        margin, loss, n_out, m, n_bins = self._margins(), self.loss, self.n_out, self.m, self.n_bins
         folds = [self.specs[i].fold for i in which]
         boosted = loss != "classes"
         shared = Shared(self.rows.sparkSession, (trees, slots, picks))
@@ -166,9 +170,7 @@ class _Grower:
             grown, open_, chosen = shared.value
             total = [np.zeros((n_out + 1, len(o) * m * n_bins)) for o in open_]
             for b in batches:
-                if not len(b):
-                    continue
-                bins = np.frombuffer(b"".join(b["b"]), dtype=np.uint8).reshape(len(b), d)
+                bins = b["b"]
                 y, fold = b["y"].to_numpy(), b["fold"].to_numpy()
                 for k, i in enumerate(which):
                     slot_of = np.full(2 ** (level + 1) - 1, -1)
@@ -189,7 +191,7 @@ class _Grower:
             yield pd.DataFrame({"sums": [np.concatenate([t.ravel() for t in total])]})
 
         schema = T.StructType([T.StructField("sums", T.ArrayType(T.DoubleType()))])
-        got = total_array(self.rows.mapInPandas(sums, schema))
+        got = total_array(map_batches(self.rows, sums, schema))
         shared.unpersist()
         out, start = [], 0
         for o in slots:
@@ -265,27 +267,27 @@ class _Grower:
 
     def refresh(self) -> None:
         """Store the margins so that later passes evaluate recent trees only; cuts lineage too."""
-        margin, d, n = self._margins(), self.d, len(self.specs)
+        margin, n = self._margins(), len(self.specs)
 
-        def stored(batches):
+        def refreshed(batches):
             for b in batches:
-                if len(b):
-                    bins = np.frombuffer(b"".join(b["b"]), dtype=np.uint8).reshape(len(b), d)
-                    yield b.assign(m=list(np.stack([margin(b, bins, i) for i in range(n)], axis=1)))
+                bins = b["b"]
+                m = np.stack([margin(b, bins, i) for i in range(n)], axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [list_column(bins), pa.array(b["y"]), pa.array(b["fold"]), list_column(m)], ["b", "y", "fold", "m"])
 
-        self.rows = cut_lineage(self.rows.mapInPandas(stored, self.rows.schema))
+        fields = T._parse_datatype_string("b array<tinyint>, y double, fold int, m array<double>")
+        self.rows = cut_lineage(map_batches(self.rows, refreshed, fields))
         self.folded = len(self.done[0])
 
     def held_loss(self) -> list[float]:
         """Mean loss of every ensemble on its held-out fold: one pass."""
-        margin, d, specs, loss = self._margins(), self.d, self.specs, self.loss
+        margin, specs, loss = self._margins(), self.specs, self.loss
 
         def sums(batches):
             total = np.zeros((len(specs), 2))
             for b in batches:
-                if not len(b):
-                    continue
-                bins = np.frombuffer(b"".join(b["b"]), dtype=np.uint8).reshape(len(b), d)
+                bins = b["b"]
                 y, fold = b["y"].to_numpy(), b["fold"].to_numpy()
                 for i, spec in enumerate(specs):
                     mine = fold == spec.fold
@@ -296,7 +298,7 @@ class _Grower:
             yield pd.DataFrame({"sums": [total.ravel()]})
 
         schema = T.StructType([T.StructField("sums", T.ArrayType(T.DoubleType()))])
-        got = total_array(self.rows.mapInPandas(sums, schema)).reshape(-1, 2)
+        got = total_array(map_batches(self.rows, sums, schema)).reshape(-1, 2)
         return [float(a / n) if n else float("nan") for a, n in got]
 
 
