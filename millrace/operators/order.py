@@ -48,10 +48,13 @@ def _slot_offsets(rows: DataFrame, cols: dict[str, Column]) -> DataFrame:
 
 
 def with_position(df: DataFrame, order_by, partition_by=None, name: str = "pos",
-                  max_rows: int = TASK_ROWS) -> DataFrame:
-    """0-based position of every row under a unique `order_by`, inside `partition_by`."""
+                  max_rows: int = TASK_ROWS, longest: int | None = None) -> DataFrame:
+    """0-based position of every row under a unique `order_by`, inside `partition_by`.
+
+    `longest` is the size of the largest group, for a caller that has counted already.
+    """
     order_by, groups = as_list(order_by), as_list(partition_by)
-    if largest_group(df, groups) <= max_rows:
+    if (largest_group(df, groups) if longest is None else longest) <= max_rows:
         window = Window.partitionBy(*(groups or [F.lit(0)])).orderBy(*order_by)
         return df.withColumn(name, F.row_number().over(window).cast("long") - 1)
     rows = _ranged(df, groups + order_by)
@@ -97,9 +100,10 @@ def windowed(df: DataFrame, order_by, partition_by=None, before: int = 0, after:
     the finisher keeps the rows a chunk owns.
     """
     order_by, groups = as_list(order_by), as_list(partition_by)
-    if largest_group(df, groups) <= max_rows:
+    longest = largest_group(df, groups)
+    if longest <= max_rows:
         return df, Window.partitionBy(*(groups or [F.lit(0)])).orderBy(*order_by), lambda out: out
-    placed = with_position(df, order_by, groups, "__pos", max_rows)
+    placed = with_position(df, order_by, groups, "__pos", max_rows, longest)
     size = F.lit(max_rows).cast("long")
     chunk_of = lambda c: F.floor(c / size).cast("long")
     reach = F.sequence(chunk_of(F.greatest(F.col("__pos") - after, F.lit(0))), chunk_of(F.col("__pos") + before))
@@ -117,16 +121,17 @@ def positional_split(df: DataFrame, order_by, n: int | None = None, frac: float
     """Head (first `n` rows, or first `frac` of them) and the rest: disjoint and complete."""
     if (n is None) == (frac is None):
         raise ValueError("give exactly one of n and frac")
+    size = df.count()
     if n is None:
-        n = int(df.count() * frac)
-    placed = with_position(df, order_by, max_rows=max_rows)
+        n = int(size * frac)
+    placed = with_position(df, order_by, max_rows=max_rows, longest=size)
     return placed.filter(F.col("pos") < n).drop("pos"), placed.filter(F.col("pos") >= n).drop("pos")
 
 
 def contiguous_folds(df: DataFrame, order_by, k: int, name: str = "fold", max_rows: int = TASK_ROWS) -> DataFrame:
     """Fold number 0..k-1 over contiguous blocks whose bounds are int(n / k * i)."""
     n = df.count()
-    placed = with_position(df, order_by, name="__at", max_rows=max_rows)
+    placed = with_position(df, order_by, name="__at", max_rows=max_rows, longest=n)
     fold = F.floor(((F.col("__at") + 1) * k - 1) / F.lit(max(n, 1))).cast("int")
     return placed.withColumn(name, fold).drop("__at")
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..session import TASK_ROWS
 from .neighbours import knn_join
 from .order import with_position
+from .stats import classes_of
 
 
 def smote(df: DataFrame, key: str, vec: str, label: str, k: int = 5, seed: int = 0,
@@ -50,6 +51,17 @@ def smote(df: DataFrame, key: str, vec: str, label: str, k: int = 5, seed: int =
     return real.unionByName(made)
 
 
+def smote_folds(df: DataFrame, key: str, vec: str, label: str, fold: str, k: int = 5, seed: int = 0,
+                out: str = "trains", **kw) -> DataFrame:
+    """(key, vec, label, synthetic, trains): per fold, the resampled rows outside it.
+
+    Resampling happens inside each training part, so no synthetic row is made from a held-out one.
+    """
+    parts = [smote(df.filter(F.col(fold) != f), key, vec, label, k, seed, **kw).withColumn(out, F.lit(f).cast("int"))
+             for f in classes_of(df, fold)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def repeat(fn: Callable[[int], DataFrame], seeds: Iterable[int], name: str = "run") -> DataFrame:
     """The rows of fn(seed) for every seed, tagged with the run number."""
     runs = [fn(seed).withColumn(name, F.lit(i)) for i, seed in enumerate(seeds)]

@@ -71,6 +71,10 @@ class Spec(NamedTuple):
     l2: float = 1.0
     fold: int = -1  # rows of this fold are left out
     seed: int = 0
+    own: bool = False  # instead, only the rows of this fold are used
+
+    def rows(self, fold: np.ndarray) -> np.ndarray:
+        return fold == self.fold if self.own else fold != self.fold
 
 
 def _gradient(loss: str, y: np.ndarray, margin: np.ndarray, n_out: int):
@@ -162,7 +166,7 @@ class _Grower:
                     level: int) -> list[np.ndarray]:
         """Per ensemble the sums (open node, feature, bin, output + 1) of one level: one pass for all."""
         margin, loss, n_out, m, n_bins = self._margins(), self.loss, self.n_out, self.m, self.n_bins
-        folds = [self.specs[i].fold for i in which]
+        specs = [self.specs[i] for i in which]
         boosted = loss != "classes"
         shared = Shared(self.rows.sparkSession, (trees, slots, picks))
 
@@ -176,7 +180,7 @@ class _Grower:
                     slot_of = np.full(2 ** (level + 1) - 1, -1)
                     slot_of[open_[k]] = np.arange(len(open_[k]))
                     slot = slot_of[_leaf_of(grown[k], bins, level)]
-                    use = np.nonzero((slot >= 0) & (fold != folds[k]))[0]
+                    use = np.nonzero((slot >= 0) & specs[k].rows(fold))[0]
                     if not len(use):
                         continue
                     g, h = _gradient(loss, y, margin(b, bins, i) if boosted else y, n_out)
@@ -346,11 +350,15 @@ def boost_clf(df: DataFrame, vec: str, y: str, fold: str | None = None, n_trees:
 
 
 def boost_folds(df: DataFrame, vec: str, y: str, fold: str, n_trees: int = 10, depth: int = 6, eta: float = 0.3,
-                l2: float = 1.0, n_bins: int = 32) -> dict[int, Ensemble]:
-    """One logistic ensemble per held-out fold, all folds growing in the same passes."""
+                l2: float = 1.0, n_bins: int = 32, own_rows: bool = False) -> dict[int, Ensemble]:
+    """One logistic ensemble per fold, all folds growing in the same passes.
+
+    The rows of a fold are left out of its ensemble; with `own_rows` the column instead says
+    which ensemble a row trains (see resample.smote_folds).
+    """
     folds = classes_of(df, fold)
-    grower = _Grower(df, vec, y, fold, "logistic", [Spec(0.0, l2, f) for f in folds], depth, n_bins, 1, eta, 0.0,
-                     1.0, None, False)
+    specs = [Spec(0.0, l2, f, 0, own_rows) for f in folds]
+    grower = _Grower(df, vec, y, fold, "logistic", specs, depth, n_bins, 1, eta, 0.0, 1.0, None, False)
     for _ in range(n_trees):
         grower.grow()
     return {f: Ensemble(grower.edges, t, depth, 0.0, eta, "logistic", [0, 1]) for f, t in zip(folds, grower.done)}

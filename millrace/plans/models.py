@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import cluster as cl
 from ..operators import evaluate as ev
 from ..operators import images as im
+from ..operators import joins as jn
 from ..operators import linear as ln
 from ..operators import margin as mg
 from ..operators import neighbours as nb
@@ -15,9 +16,11 @@ from ..operators import order as od
 from ..operators import relational as rl
 from ..operators import resample as rs
 from ..operators import stats as st
+from ..operators import text as tx
 from ..operators import trees as tr
 from ..session import cut_lineage, new_path, stored
 from ..sources import readers as rd
+from . import posts
 from .registry import Tables, query
 from .tabular import FEATURES, ORDER, _round, imputed, vectors
 
@@ -396,10 +399,73 @@ def _(t):
 @query("boost_clf_folds")
 def _(t):
     """Accuracy and AUC of hard predictions per held-out fold; a one-class fold has a null AUC."""
-    rows = cut_lineage(halves(t))
-    fits = tr.boost_folds(rows, "embedding", "zero", "fold", n_trees=4, depth=4)
+    rows = halves(t)
+    return _held_out(rows, tr.boost_folds(rows, "embedding", "zero", "fold", n_trees=4, depth=4))
+
+
+def _held_out(rows: DataFrame, fits: dict) -> DataFrame:
     out = None
     for fold, fit in fits.items():
         part = fit.transform(rows.filter(F.col("fold") == fold), "embedding")
         out = part if out is None else out.unionByName(part)
     return ev.accuracy(out, "zero", "prediction", "fold").join(ev.auc_hard(out, "zero", "prediction", "fold"), "fold")
+
+
+@query("boost_smote_folds")
+def _(t):
+    """The same scores with the minority class resampled inside every training part."""
+    rows = halves(t)
+    made = rs.smote_folds(rows, "vec_id", "embedding", "zero", "fold", 5, seed=3)
+    fits = tr.boost_folds(made, "embedding", "zero", "trains", n_trees=4, depth=4, own_rows=True)
+    return _held_out(rows, fits)
+
+
+@query("boost_smote_before_folds")
+def _(t):
+    """The same scores with resampling before the folds are cut: synthetic rows leak, as the scores show."""
+    made = cut_lineage(rs.smote(halves(t), "vec_id", "embedding", "zero", 5, seed=3))
+    rows = stored(od.contiguous_folds(made, ["synthetic", "vec_id", "embedding"], 5), "vec_id")
+    return _held_out(rows, tr.boost_folds(rows, "embedding", "zero", "fold", n_trees=4, depth=4))
+
+
+@query("linear_svm_l1_smote")
+def _(t):
+    """The L1 linear classifier fitted on resampled training rows."""
+    def fit(rows):
+        made = stored(rs.smote(rows, "vec_id", "embedding", "mod5", 5, seed=3), "vec_id")
+        return mg.linear_svm_l1(made, "embedding", "mod5", [1.0])
+
+    return _classified(t, "mod5", fit)
+
+
+# --- from posts to a forecast of the direction ---------------------------------------------------
+
+
+def post_vectors(t: Tables) -> DataFrame:
+    """(doc_id, day, vec, up_3, up_5, part): the selected tf-idf values of the posts and the labels
+    of their day, the first 70 % of the posts marked as training rows."""
+    rows = posts.clean(t, passes=2)
+    words = posts.vocab(t, rows)
+    scores = tx.chisq_words(rows, "doc_id", "clean", words, tx.tf(rows, "doc_id", "clean", words))
+    vecs = tx.select_top(rows, "doc_id", "clean", words, scores, 100).join(rows.select("doc_id", "day"), "doc_id")
+    table = posts.labelled(t).filter(F.col("rt_5").isNotNull()).select("day", "up_3", "up_5")
+    joined = cut_lineage(jn.attach_labels(vecs, table))
+    head, tail = od.positional_split(joined, ["day", "doc_id"], frac=0.7)
+    return stored(head.withColumn("is_test", F.lit(0)).unionByName(tail.withColumn("is_test", F.lit(1))), "doc_id")
+
+
+@query("post_direction")
+def _(t):
+    """Scores on the held-out posts of three classifiers for the five-day direction."""
+    rows = post_vectors(t)
+    train, test = rows.filter("is_test = 0"), rows.filter("is_test = 1")
+    fits = {"gaussian_nb": cl.gaussian_nb(train, "vec", "up_5"), "logistic": mg.logistic(train, "vec", "up_5", [1.0]).fit,
+            "rf_clf": tr.rf_clf(train, "vec", "up_5")}
+    out = None
+    for name, fit in fits.items():
+        done = fit.transform(test, "vec")
+        done = done.withColumn("model", F.lit(name))
+        row = ev.accuracy(done, "up_5", "prediction", "model").join(
+            ev.binary_scores(done, "up_5", "prediction", "model"), "model")
+        out = row if out is None else out.unionByName(row)
+    return out
