@@ -44,7 +44,7 @@ def confusion(df: DataFrame, y: str, p: str, classes: list | None = None) -> Dat
     """(y, p, n) over the full class grid, zeros included."""
     counts = _cells(df, y, p)
     if classes is None:
-        classes = sorted(set(classes_of(df, y)) | set(classes_of(df, p)))
+        classes = sorted(set(classes_of(df, y, 1_000)) | set(classes_of(df, p, 1_000)))
     grid = df.sparkSession.createDataFrame([(a, b) for a in classes for b in classes], counts.select("y", "p").schema)
     return grid.join(counts, ["y", "p"], "left").fillna(0, ["n"])
 

@@ -45,6 +45,12 @@ def day_key(df: DataFrame, col: str, fmt: str | None = None, out: str = "day") -
     return df.withColumn(out, (F.year(moment) * 10000 + F.month(moment) * 100 + F.day(moment)).cast("int"))
 
 
+def post_day(df: DataFrame, col: str = "created_at", out: str = "day") -> DataFrame:
+    """yyyymmdd integer of a post's time text, such as 'Fri, 03 Jan 2014 09:00:00'."""
+    date = F.substring_index(F.trim(F.split_part(F.col(col), F.lit(","), F.lit(2))), " ", 3)
+    return day_key(df.withColumn("__date", date), "__date", "d MMM yyyy", out).drop("__date")
+
+
 def round_cols(df: DataFrame, cols, digits: int = 2) -> DataFrame:
     """Round half to even."""
     return df.withColumns({c: F.bround(F.col(c), digits) for c in as_list(cols)})

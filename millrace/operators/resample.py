@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..session import TASK_ROWS
 from .neighbours import knn_join
 from .order import with_position
-from .stats import classes_of
+from .stats import classes_of, label_counts
 
 
 def smote(df: DataFrame, key: str, vec: str, label: str, k: int = 5, seed: int = 0,
@@ -22,7 +22,7 @@ def smote(df: DataFrame, key: str, vec: str, label: str, k: int = 5, seed: int =
     rows one more. A new row lies between its base and one of the base's k neighbours of the same
     class; neighbour and gap come from the hash of (key, copy, seed). A class of one row is copied.
     """
-    counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
+    counts = label_counts(df, label)
     most = max(counts.values(), default=0)
     real = df.select(key, vec, label).withColumn("synthetic", F.lit(0))
     short = {c: (n, most - n) for c, n in counts.items() if n < most}

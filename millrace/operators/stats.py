@@ -11,6 +11,8 @@ from ..functions.arrays import let
 from ..session import TASK_ROWS, as_list, fits
 from .joins import lookup_join
 
+WIDE = 24  # columns above which pairs are taken from one matrix instead of one expression each
+
 
 def impute_mean(df: DataFrame, cols, fit_where: Column | None = None, fit_on: DataFrame | None = None) -> DataFrame:
     """Fill nulls with column means taken over the fit rows (nulls ignored).
@@ -34,8 +36,21 @@ def coef_variation(df: DataFrame, cols) -> DataFrame:
 
 
 def corr_matrix(df: DataFrame, cols) -> DataFrame:
-    """(f1, f2, r) for every ordered pair of columns, from one aggregate over the table."""
+    """(f1, f2, r) for every ordered pair of columns, from one scan of the table.
+
+    Up to `WIDE` columns each pair uses the rows where both values are present. A wider table is
+    read as arrays into one matrix of cross products, over the rows without nulls: impute first.
+    """
     cols = as_list(cols)
+    if len(cols) > WIDE:
+        from .gram import collect_moments
+
+        full = df.dropna(subset=cols).select(F.array(*[F.col(c).cast("double") for c in cols]).alias("__v"))
+        sums = collect_moments(full, "__v")[None][2]
+        size = sums.diagonal() ** 0.5
+        cells = [(a, b, float(sums[i, j] / (size[i] * size[j])) if size[i] > 0 and size[j] > 0 else None)
+                 for i, a in enumerate(cols) for j, b in enumerate(cols)]
+        return df.sparkSession.createDataFrame(cells, "f1 string, f2 string, r double")
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
 
     def corr(a, b):  # null for a constant column, where the built-in one fails under ANSI rules
@@ -315,9 +330,17 @@ def classes_of(df: DataFrame, col: str, limit: int = 10_000) -> list:
     return sorted(r[0] for r in rows)
 
 
+def label_counts(df: DataFrame, label: str, limit: int = 10_000) -> dict:
+    """Rows per class of a label column, refused above `limit` classes."""
+    rows = df.groupBy(label).count().limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"{label} has more than {limit} distinct values; it is not a label")
+    return {r[label]: r["count"] for r in rows}
+
+
 def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Row weight n / (classes * rows of the class)."""
-    counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
+    counts = label_counts(df, label)
     n = sum(counts.values())
     weights = [F.lit(x) for c, k in counts.items() for x in (c, n / (len(counts) * k))]
     return df.withColumn(out, F.try_element_at(F.create_map(*weights), F.col(label)))

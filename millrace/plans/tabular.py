@@ -188,6 +188,12 @@ def _(t):
     return rl.day_key(text, "created_at", "dd MMM yyyy").select("event_id", "day")
 
 
+@query("post_day", "SELECT event_id, CAST(strftime(ts, '%Y%m%d') AS INT) AS day FROM events")
+def _(t):
+    text = t.events.select("event_id", F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss").alias("created_at"))
+    return rl.post_day(text).select("event_id", "day")
+
+
 @query("round_cols", """SELECT l_orderkey, l_linenumber, round_even(l_quantity / 8, 2) AS x FROM lineitem""")
 def _(t):
     eighths = t.lineitem.select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 8).alias("x"))

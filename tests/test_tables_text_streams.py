@@ -66,8 +66,7 @@ def test_posts_file(spark, tmp_path):
     df = rd.read_posts(spark, str(tmp_path / "posts.json"))
     coded = rl.sentiment_code(df, "sentiment")
     assert [r["code"] for r in coded.orderBy("id").collect()] == [0, 1, 2, 1, 0]
-    dated = df.withColumn("d", F.substring_index(F.substring("created_at", 6, 100), " ", 3))
-    assert [r["day"] for r in rl.day_key(dated, "d", "dd MMM yyyy").orderBy("id").collect()] == [20140103, 20140104, 20140104, 20140105, 20140105]
+    assert [r["day"] for r in rl.post_day(df).orderBy("id").collect()] == [20140103, 20140104, 20140104, 20140105, 20140105]
     text = df.withColumn("t", ft.first_field(F.col("links"), "description"))
     steps = text.select("id", ft.null_if_contains(ft.remove_names(ft.without_words(F.col("t"), ["and"]), ["$ME", "ME"]), "$").alias("t"))
     assert rows(steps) == [(1, None), (2, "buy  now"), (3, None), (4, None), (5, None)]
@@ -144,6 +143,27 @@ def test_group_mode_ties(spark):
     assert rows(st.group_mode(df, "g", ["p", "q"])) == [(1, "a", "y"), (2, None, "z")]
 
 
+def test_wide_correlation(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(50, 30)) + 5
+    x[:, 3] = 1.0
+    names = [f"c{i}" for i in range(30)]
+    df = spark.createDataFrame([tuple(float(v) for v in r) for r in x], names)
+    got = {(r["f1"], r["f2"]): r["r"] for r in st.corr_matrix(df, names).collect()}
+    small = {(r["f1"], r["f2"]): r["r"] for r in st.corr_matrix(df, names[:8]).collect()}
+    assert len(got) == 900 and got["c3", "c1"] is None
+    assert all(got[k] is v is None or abs(got[k] - v) < 1e-10 for k, v in small.items())
+
+
+def test_label_codes(spark):
+    from millrace.functions.labels import FAMILY_CODES, GENUS_CODES, SPECIES_CODES
+
+    for codes in (FAMILY_CODES, GENUS_CODES, SPECIES_CODES):
+        df = spark.createDataFrame([(k,) for k in codes] + [("other",)], "name string")
+        out = dict(rows(rl.recode(df, "name", codes, "code").select("name", "code")))
+        assert out == {**codes, "other": None} and sorted(codes.values()) == list(range(len(codes)))
+
+
 def test_row_correlation(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(6, 8))
