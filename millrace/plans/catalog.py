@@ -7,12 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from . import models, posts, series, tabular  # noqa: F401
 from .registry import ORACLES, QUERIES, Tables
 
-SMOKE_DIR = "/root/testdata/sf0.001"
 
-
-def entry(spark: SparkSession) -> DataFrame:
+def entry(spark: SparkSession, folder: str) -> DataFrame:
     """Which columns vary most after imputation."""
-    return tabular.top_features(Tables(spark, SMOKE_DIR))
+    return tabular.top_features(Tables(spark, folder))
 
 
 def queries() -> dict:

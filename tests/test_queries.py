@@ -26,4 +26,4 @@ def test_oracles_name_queries():
 
 
 def test_entry(spark):
-    assert entry(spark).count() == 2
+    assert entry(spark, "/root/testdata/sf0.001").count() == 2
