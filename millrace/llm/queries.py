@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import langid, mixing
+from . import quality as rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +31,18 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark, folder):
     mixed = mixing.mix(documents(spark, folder), keep=["doc_id"])
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op5_language_id")
+def op5(spark, folder):
+    docs = documents(spark, folder).select("doc_id", "text", "lang")
+    model = langid.learn(docs.filter(~langid.held_out()))
+    found = langid.identify(docs, model, keep=["doc_id"])
+    return found.select("row.doc_id", langid.held_out("row.doc_id").alias("held_out"), "lang_pred", "score")
+
+
+@query("op6_quality_rules")
+def op6(spark, folder):
+    judged = rules.quality(documents(spark, folder), keep=["doc_id"])
+    return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         "base_failed", "kept")
