@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import langid, mixing
+from . import bpe, langid, mixing
 from . import quality as rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +47,15 @@ def op6(spark, folder):
     judged = rules.quality(documents(spark, folder), keep=["doc_id"])
     return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                          "base_failed", "kept")
+
+
+@query("op4_byte_bpe")
+def op4(spark, folder):
+    import public_tokenizers
+
+    vocabulary = bpe.Vocabulary.read(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    encoded = bpe.encode(documents(spark, folder), vocabulary, keep=["doc_id"]).select("row.doc_id", "ids")
+    both = bpe.decode(encoded, vocabulary)
+    digits = F.concat_ws(",", F.col("row.ids").cast("array<string>"))
+    return both.select("row.doc_id", F.size("row.ids").cast("long").alias("n_tokens"),
+                       F.sha2(digits, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
