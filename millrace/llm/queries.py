@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing
+from . import bpe, langid, mixing, secrets
 from . import quality as rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,17 @@ def op4(spark, folder):
     digits = F.concat_ws(",", F.col("row.ids").cast("array<string>"))
     return both.select("row.doc_id", F.size("row.ids").cast("long").alias("n_tokens"),
                        F.sha2(digits, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def spans_text(spans):
+    """kind:start:end of all spans, comma-joined in their order."""
+    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+
+
+@query("op1_secret_scan")
+def op1(spark, folder):
+    docs = documents(spark, folder)
+    found = secrets.scan(docs, secrets.learn(docs), keep=["doc_id"])
+    base = spans_text(F.filter("spans", lambda s: s["kind"] != secrets.FOUND))
+    return found.select("row.doc_id", "n_assign", "n_access", "n_hex", F.sha2(base, 256).alias("base_sha256"),
+                        spans_text(F.col("spans")).alias("spans"))
