@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, secrets
+from . import bpe, langid, mixing, neardup, secrets
 from . import quality as rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,9 @@ def op1(spark, folder):
     base = spans_text(F.filter("spans", lambda s: s["kind"] != secrets.FOUND))
     return found.select("row.doc_id", "n_assign", "n_access", "n_hex", F.sha2(base, 256).alias("base_sha256"),
                         spans_text(F.col("spans")).alias("spans"))
+
+
+@query("op2_minhash_neardup")
+def op2(spark, folder):
+    found = neardup.near_duplicates(documents(spark, folder), keep=["doc_id"])
+    return found.select("row.doc_id", "n_shingles", "component_id", "kept")
