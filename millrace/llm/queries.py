@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, neardup, secrets
+from . import bpe, fingerprints, langid, mixing, neardup, secrets
 from . import quality as rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,10 @@ def op1(spark, folder):
 def op2(spark, folder):
     found = neardup.near_duplicates(documents(spark, folder), keep=["doc_id"])
     return found.select("row.doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op7_fingerprints")
+def op7(spark, folder):
+    found = fingerprints.beside_next(documents(spark, folder), keep=["doc_id"])
+    return found.select("row.doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited",
+                        "near_next")
