@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, langid, mixing, neardup, secrets
+from . import bpe, fingerprints, langid, lm, mixing, neardup, secrets
 from . import quality as rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,11 @@ def op7(spark, folder):
     found = fingerprints.beside_next(documents(spark, folder), keep=["doc_id"])
     return found.select("row.doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited",
                         "near_next")
+
+
+@query("op9_lm_scores")
+def op9(spark, folder):
+    docs = documents(spark, folder)
+    found = lm.learn_and_score(docs, lm.held_out(), keep=["doc_id"])
+    return found.select("row.doc_id", lm.held_out("row.doc_id").alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                        "base_score", "score")
