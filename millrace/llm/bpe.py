@@ -19,7 +19,7 @@ from ..session import Shared
 from .arrow import bounded_batches, extend, kept_row
 
 # Characters of text whose pre-tokens share one dictionary: a block. A longer text is a block of its own.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 24_000_000
 # Largest vocabulary file that may be broadcast, in bytes.
 VOCABULARY_BYTES = 64_000_000
 
@@ -75,21 +75,35 @@ def gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
 
 
 def pack(values: np.ndarray) -> bytes:
-    """An int32 array, byte planes apart so that the rarely used high ones cost next to nothing."""
-    planes = np.ascontiguousarray(values, np.int32).view(np.uint8).reshape(-1, 4).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    """Non-negative numbers, small ones cheapest: one byte below 160, else the high bits and 13 low ones, or all 32."""
+    values = np.asarray(values, np.int64)
+    rest = values - 160
+    head = np.where(rest < 0, values, 160 + np.minimum(np.maximum(rest, 0) >> 13, 95)).astype(np.uint8)
+    low = (rest[(head >= 160) & (head < 255)] & 0x1FFF).astype(np.uint16)
+    whole = rest[head == 255].astype(np.uint32)
+    parts = [head.tobytes(), (low >> 8).astype(np.uint8).tobytes(), (low & 255).astype(np.uint8).tobytes(),
+             whole.tobytes()]
+    return len(head).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
 def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view(np.int32).ravel()
+    n = int.from_bytes(data[:8], "little")
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[8:]), np.uint8)
+    head = flat[:n].astype(np.int64)
+    mid, whole = (head >= 160) & (head < 255), head == 255
+    k = np.count_nonzero(mid)
+    low = (flat[n:n + k].astype(np.int64) << 8) | flat[n + k:n + 2 * k]
+    out = head
+    out[mid] = 160 + ((head[mid] - 160) << 13) + low
+    out[whole] = 160 + flat[n + 2 * k:].copy().view(np.uint32).astype(np.int64)
+    return out.astype(np.int32)
 
 
 def _pre_tokens(rows: DataFrame, pattern: str, shards: int) -> DataFrame:
     """PARTS and `rows`: per batch of texts the word numbers of all positions, per block and shard its distinct words.
 
-    Word numbers count up in order of first use within a block. A batch record carries the positions; `places` are
-    the word numbers one after the other, `sizes` the number per text.
+    Word numbers are ranks by frequency within a block, so that positions take few bits. A batch record carries the
+    positions; `places` are the word numbers one after the other, `sizes` the number per text.
     """
     row_type = rows.schema["row"].dataType
     names = [*PARTS.names, "rows"]
@@ -107,22 +121,29 @@ def _pre_tokens(rows: DataFrame, pattern: str, shards: int) -> DataFrame:
                  pa.ListArray.from_arrays(pa.array([0, len(row)], pa.int32()), row)], names=names)
 
         number: dict[str, int] = {}
-        block, seq, chars, kind = part << 32, 0, 0, None
-
-        def words():
+        held: list[tuple] = []
+        block, chars = part << 32, 0
+
+        def whole_block():
+            uses = sum(np.bincount(places, minlength=len(number)) for places, _, _ in held)
+            order = np.argsort(-uses, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            for seq, (places, sizes, row) in enumerate(held):
+                yield record(block % shards, block, seq, pack(rank[places]), pack(sizes), b"", row)
+            found = list(number)
             by_shard: dict[int, list] = {}
-            for place, word in enumerate(number):
-                raw = word.encode()
+            for place, k in enumerate(order.tolist()):
+                raw = found[k].encode()
                 by_shard.setdefault(zlib.crc32(raw) % shards, []).append((place, raw))
-            for shard, found in by_shard.items():
-                places = np.array([p for p, _ in found])
-                sizes = np.array([len(w) for _, w in found])
-                data = zstandard.ZstdCompressor(level=1).compress(b"".join(w for _, w in found))
-                yield record(shard, block, -1, pack(np.diff(places, prepend=0)), pack(sizes), data, kind)
+            for shard, words in by_shard.items():
+                places = np.array([p for p, _ in words])
+                data = zstandard.ZstdCompressor(level=3).compress(b"".join(w for _, w in words))
+                yield record(shard, block, -1, pack(np.diff(places, prepend=0)), pack([len(w) for _, w in words]), data,
+                             held[0][2].slice(0, 0))
 
         for batch in batches:
             row, texts = batch.column(0), batch.column(1)
-            kind = row.slice(0, 0)
             lo = 0
             while lo < batch.num_rows:
                 sizes, places = [], []
@@ -135,14 +156,13 @@ def _pre_tokens(rows: DataFrame, pattern: str, shards: int) -> DataFrame:
                     sizes.append(len(found))
                     chars += len(text)
                     hi += 1
-                yield record(block % shards, block, seq, pack(np.array(places, np.int32)),
-                             pack(np.array(sizes, np.int32)), b"", row.slice(lo, hi - lo))
-                lo, seq = hi, seq + 1
+                held.append((np.array(places, np.int32), np.array(sizes, np.int32), row.slice(lo, hi - lo)))
+                lo = hi
                 if chars >= BLOCK_CHARS:
-                    yield from words()
-                    number, block, seq, chars = {}, block + 1, 0, 0
-        if number:
-            yield from words()
+                    yield from whole_block()
+                    number, held, block, chars = {}, [], block + 1, 0
+        if held:
+            yield from whole_block()
 
     return rows.mapInArrow(run, T.StructType([*PARTS, T.StructField("rows", T.ArrayType(row_type))]))
 

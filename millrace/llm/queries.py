@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, langid, lm, mixing, neardup, secrets
+from . import bpe, fingerprints, langid, licenses, lm, mixing, neardup, privacy, secrets
 from . import quality as rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,17 @@ def op9(spark, folder):
     found = lm.learn_and_score(docs, lm.held_out(), keep=["doc_id"])
     return found.select("row.doc_id", lm.held_out("row.doc_id").alias("held_out"), "n_tokens", "n_known", "train_tokens",
                         "base_score", "score")
+
+
+@query("op3_private_data")
+def op3(spark, folder):
+    found = privacy.find_private(documents(spark, folder), keep=["doc_id"])
+    base = spans_text(F.filter("spans", lambda s: s["kind"] != privacy.TERM))
+    return found.select("row.doc_id", *(f"n_{k}" for k in privacy.KINDS), F.sha2(base, 256).alias("base_sha256"),
+                        spans_text(F.col("spans")).alias("spans"))
+
+
+@query("op8_license_scan", licenses.SCAN_SQL)
+def op8(spark, folder):
+    found = licenses.scan(documents(spark, folder), licenses.known_digests(spark), keep=["doc_id"])
+    return found.select("row.doc_id", F.concat_ws(",", "whole").alias("whole"), F.concat_ws(",", "lines").alias("lines"))
