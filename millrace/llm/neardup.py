@@ -233,7 +233,7 @@ def _remaining_links(members: DataFrame, classes: DataFrame, sets: DataFrame) ->
 
 def near_duplicates(docs: DataFrame, keep: Sequence[str] | None = None, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """`row` (struct of the `keep` columns and the id), n_shingles, component_id, kept.
+    """`row` (struct of the `keep` columns and the id), n_shingles, component, component_id, kept.
 
     Words are lower-cased (A-Z); a document is its set of distinct five-word shingles, or its whole sequence below five
     words. Equal sets form a class. Two collections of HALVES half keys (pairs of minhashes) give a class HALVES ** 2
@@ -243,9 +243,10 @@ def near_duplicates(docs: DataFrame, keep: Sequence[str] | None = None, id_col:
     key, is then compared in blocks, so no link between candidates rests on the choice of leaders. A link of similarity
     0.75 is missed with a chance below 2 in 10^5, more similar ones with less. Two sets are taken for equal on a 64-bit hash.
 
-    component_id is the smallest id reachable over links, `kept` marks the rows that carry it. Null, empty and wordless
-    texts have no shingles, are linked with nothing and are kept. A null id never names a component with other ids. Among
-    repeated rows of the kept id all are marked. An empty table gives an empty result.
+    `component` names a row's group by a node; null without shingles. component_id is the smallest id reachable over links,
+    `kept` marks the rows that carry it. Null, empty and wordless texts have no shingles, are linked with nothing and are kept.
+    Null ids are above all others: such a row is kept only in a group without another id. Repeated rows of the kept id are
+    all marked. An empty table gives an empty result.
     """
     columns = list(docs.columns if keep is None else keep)
     every = cut_lineage(sketch(docs.withColumn("__id", F.col(id_col)), [*columns, "__id"], text_col))
@@ -275,12 +276,13 @@ def near_duplicates(docs: DataFrame, keep: Sequence[str] | None = None, id_col:
     members = cut_lineage(of.join(size, "component", "left").withColumn("size", F.coalesce("size", F.lit(1))).select(
         "half", "place", "node", "n_shingles", "component", "size"))
     links = first.unionByName(_remaining_links(members, classes, sets))
-    groups = cut_lineage(components(links))
-    lowest = (classes.join(groups, "node").groupBy("component").agg(F.min("least_id").alias("component_id")))
-    reached = groups.join(lowest, "component").select("node", F.col("component_id").alias("__linked"))
+    groups = cut_lineage(components(links).withColumnRenamed("component", "group"))
+    lowest = classes.join(groups, "node").groupBy("group").agg(F.min("least_id").alias("component_id"))
+    reached = groups.join(lowest, "group").select("node", "group", F.col("component_id").alias("__linked"))
     own = classes.select("node", "least_id").join(reached, "node", "left").select(
-        "node", F.coalesce("__linked", "least_id").alias("component_id"))
+        "node", F.coalesce("group", "node").alias("component"),
+        F.coalesce("__linked", "least_id").alias("component_id"))
     out = every.select("row", "n_shingles", "node").join(own, "node", "left")
-    component = F.coalesce("component_id", F.col("row.__id"))
-    return out.select("row", "n_shingles", component.alias("component_id"),
-                      F.coalesce(F.col("row.__id") == component, F.lit(True)).alias("kept"))
+    least = F.coalesce("component_id", F.col("row.__id"))
+    return out.select("row", "n_shingles", "component", least.alias("component_id"),
+                      F.coalesce(F.col("row.__id") == least, least.isNull()).alias("kept"))
