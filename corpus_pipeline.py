@@ -1,25 +1,72 @@
-"""The corpus pipeline: language, near copies, secrets, mix, tokens."""
+"""The corpus pipeline: language, near copies, secrets, mix, tokens.
+
+Each stage works on what the one before kept. Stages take (spark, docs, sf_dir); all but the last return the columns of
+`documents`.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.llm import bpe, langid, mixing, neardup, secrets
+from millrace.session import new_path
+
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in no language: those without a text or without a letter."""
+    found = langid.identify(docs, langid.learn(docs))
+    return found.filter(F.col("lang_pred") != langid.UNKNOWN).select("row.*")
+
 
-from millrace.llm import mixing
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one of the smallest id; repeated rows count as copies."""
+    keyed = docs.withColumn("__key", F.xxhash64("text"))
+    found = neardup.near_duplicates(keyed, keep=["doc_id", "__key"])
+    kept = found.filter("kept").groupBy("row.doc_id", "row.__key").agg(F.max("component").alias("component"))
+    # Several texts may share the smallest id; a document without words is a group of its own.
+    own = F.coalesce(F.col("component"), F.xxhash64("doc_id", "__key"))
+    one = kept.groupBy(own.alias("group")).agg(F.min(F.struct("doc_id", "__key")).alias("k")).select(
+        F.col("k.doc_id").alias("__id"), F.col("k.__key").alias("__kept"))
+    staying = keyed.join(one, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__kept")))
+    return staying.dropDuplicates(["__id", "__kept"]).select(*docs.columns)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret in a text is masked; all documents stay."""
+    found = secrets.scan(docs, secrets.learn(docs), redact=True)
+    fresh = {"text": F.col("redacted"), "n_chars": F.length("redacted").cast("long")}
+    return found.select(*(fresh.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its words."""
-    return mixing.repeated(mixing.mix(docs))
+    return mixing.repeated(mixing.mix(docs)).select(*docs.columns)
+
 
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text."""
+    vocabulary = bpe.Vocabulary.read(public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    encoded = bpe.encode(docs, vocabulary, keep=["doc_id", "lang", "source"])
+    return encoded.select("row.*", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
-STAGES = [("mix sources", mix_sources)]
+
+STAGES = [
+    ("language ID", identify_language),
+    ("MinHash near-dedup", drop_near_copies),
+    ("secret scans", mask_secrets),
+    ("mixing sources to target weights", mix_sources),
+    ("byte-level BPE", encode_texts),
+]
+# Language ID, the tagger and BPE merges are beyond SQL; tests/llm compares run() with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; each result is written to the shared folder and read again."""
-    from millrace.session import new_path
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = new_path(spark, name.replace(" ", "-"))
