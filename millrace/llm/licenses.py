@@ -59,7 +59,7 @@ use this software in a product, an acknowledgment in the product documentation w
 # Lines that name an owner, then spellings that mean the same, then all marks: pattern and replacement, in this order.
 # They work on lower-cased text and read alike in Java and RE2.
 STEPS = (
-    (r"(?:^|\n)[ \t/*#;-]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*", "\n"),
+    (r"(?:^|\n)[ \t/*#;-]*(?:copyright (?:\(c\)|©|[0-9])|\(c\) |© |all rights reserved)[^\n]*", "\n"),
     (r"licenc", "licens"),
     (r"sub-licens", "sublicens"),
     (r"non-infringement", "noninfringement"),
