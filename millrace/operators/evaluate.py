@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.arrays import hamming_distance, squared_distance
-from ..session import TASK_ROWS, as_list
+from ..session import TASK_ROWS, as_list, cut_lineage
 from .joins import lookup_join
 from .order import prefix_sums
-from .stats import classes_of, group_mode
+from .stats import group_mode
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -41,11 +42,17 @@ def _cells(df: DataFrame, y: str, p: str) -> DataFrame:
 
 
 def confusion(df: DataFrame, y: str, p: str, classes: list | None = None) -> DataFrame:
-    """(y, p, n) over the full class grid, zeros included."""
-    counts = _cells(df, y, p)
+    """(y, p, n) over the full class grid, zeros included, for any number of classes.
+
+    The driver holds the class names; the grid, their square, is laid out by Spark.
+    """
+    counts = cut_lineage(_cells(df, y, p))
     if classes is None:
-        classes = sorted(set(classes_of(df, y, 1_000)) | set(classes_of(df, p, 1_000)))
-    grid = df.sparkSession.createDataFrame([(a, b) for a in classes for b in classes], counts.select("y", "p").schema)
+        seen = counts.select(F.col("y").alias("c")).union(counts.select("p")).distinct().filter("c is not null")
+        classes = sorted(r[0] for r in seen.collect())
+    names = df.sparkSession.createDataFrame([(a,) for a in classes], T.StructType([counts.schema["y"]]))
+    grid = names.repartition(max(1, len(classes) // 1000), "y").withColumn(
+        "p", F.explode(F.array(*[F.lit(c) for c in classes]).cast(T.ArrayType(counts.schema["p"].dataType))))
     return grid.join(counts, ["y", "p"], "left").fillna(0, ["n"])
 
 
@@ -68,11 +75,13 @@ def class_report(df: DataFrame, y: str, p: str) -> DataFrame:
         _ratio(F.col("tp"), F.col("support")).alias("recall"),
         _ratio(2.0 * F.col("tp"), F.col("support") + F.col("predicted")).alias("f1"), "support")
     measures = ["precision", "recall", "f1"]
-    macro = scored.agg(*[F.avg(m).alias(m) for m in measures], F.sum("support").alias("support"))
-    weighted = scored.agg(*[_ratio(F.sum(F.col(m) * F.col("support")), F.sum("support")).alias(m) for m in measures],
-                          F.sum("support").alias("support"))
-    return (scored.unionByName(macro.withColumn("class", F.lit("macro avg")))
-            .unionByName(weighted.withColumn("class", F.lit("weighted avg"))))
+    # Every class row counts three times, as itself and in both averages: one pass over the table makes all rows.
+    line = lambda name, kind: F.struct(name.alias("class"), F.lit(kind).alias("kind"))
+    lines = F.array(line(F.col("class"), "class"), line(F.lit("macro avg"), "macro"), line(F.lit("weighted avg"), "weighted"))
+    each = scored.select(*measures, "support", F.inline(lines))
+    means = [F.when(F.col("kind") == "weighted", _ratio(F.sum(F.col(m) * F.col("support")), F.sum("support"))).otherwise(F.avg(m)).alias(m)
+             for m in measures]
+    return each.groupBy("class", "kind").agg(*means, F.sum("support").alias("support")).drop("kind")
 
 
 def macro_scores(df: DataFrame, y: str, p: str) -> DataFrame:
@@ -107,7 +116,7 @@ def auc(df: DataFrame, y: str, score: str, max_rows: int = TASK_ROWS) -> DataFra
     """
     by_score = df.groupBy(F.col(score).alias("__s")).agg(
         F.count_if(F.col(y) == 1).alias("__pos"), F.count_if(F.col(y) == 0).alias("__neg"))
-    below = prefix_sums(by_score, "__s", {"__upto": "__neg"}, max_rows)
+    below = prefix_sums(cut_lineage(by_score), "__s", {"__upto": "__neg"}, max_rows)
     won = F.sum(F.col("__pos") * (F.col("__upto") - F.col("__neg") / 2.0))
     return below.agg(F.try_divide(won, F.sum("__pos").cast("double") * F.sum("__neg")).alias("auc"))
 

@@ -400,6 +400,10 @@ def lag_forecast(df: DataFrame, value: str, lookback: int, order_by, test: str,
 def _filter(z: np.ndarray, x: float, p: float, q: float, r: float, jump: float) -> tuple[np.ndarray, float, float]:
     out = np.empty(len(z))
     for i, value in enumerate(z):
+        if np.isnan(value):  # the estimate is carried over a gap, its variance moves on
+            p = (1 - (p + q) / (p + q + r)) * (p + q)
+            out[i] = x
+            continue
         start = KALMAN_NEW * value + KALMAN_OLD * x if abs(x - value) >= jump else x
         ahead = p + q
         gain = ahead / (ahead + r)
@@ -409,6 +413,12 @@ def _filter(z: np.ndarray, x: float, p: float, q: float, r: float, jump: float)
     return out, x, p
 
 
+def _start(z: np.ndarray) -> float:
+    """The first value that is there, or 0."""
+    known = z[~np.isnan(z)]
+    return float(known[0]) if len(known) else 0.0
+
+
 def kalman_smooth(df: DataFrame, value: str, order_by, partition_by=None, out: str = "smooth", q: float = KALMAN_Q,
                   r: float = KALMAN_R, jump: float = KALMAN_JUMP, init: str = "zero",
                   max_rows: int = TASK_ROWS) -> DataFrame:
@@ -417,7 +427,7 @@ def kalman_smooth(df: DataFrame, value: str, order_by, partition_by=None, out: s
     A step depends on the step before, so a series runs in order. A series above `max_rows` is
     cut into chunks that run in parallel from a guessed start; the filter forgets its start, so
     handing each chunk the end of the one before and repeating until no end changes gives the
-    sequential result exactly, usually after two rounds.
+    sequential result exactly, usually after two rounds. A null value leaves the estimate as it is.
     """
     groups, order_by = as_list(partition_by), as_list(order_by)
     schema = T.StructType([*[f for f in df.schema.fields if f.name != out], T.StructField(out, T.DoubleType())])
@@ -427,7 +437,7 @@ def kalman_smooth(df: DataFrame, value: str, order_by, partition_by=None, out: s
         def whole(part: pd.DataFrame) -> pd.DataFrame:
             part = part.sort_values(order_by, kind="stable")
             z = part[value].to_numpy(dtype=float)
-            return part.assign(**{out: _filter(z, float(z[0]) if first and len(z) else 0.0, 1.0, q, r, jump)[0]})
+            return part.assign(**{out: _filter(z, _start(z) if first else 0.0, 1.0, q, r, jump)[0]})
 
         return df.groupBy(*groups).applyInPandas(whole, schema)
 
@@ -453,9 +463,9 @@ def kalman_smooth(df: DataFrame, value: str, order_by, partition_by=None, out: s
         chunk = int(part["__chunk"].iloc[0])
         x = part["__in"].iloc[0]
         if chunk == 0:
-            x = float(z[0]) if first else 0.0
+            x = _start(z) if first else 0.0
         elif pd.isna(x):
-            x = float(z[0])
+            x = _start(z)
         done, end, _ = _filter(z, float(x), shared.value[chunk], q, r, jump)
         return part.assign(**{out: done}), float(x), end
 

@@ -46,10 +46,9 @@ def first_per_day(prices: DataFrame, day: str, order_by) -> DataFrame:
     return prices.groupBy(day).agg(pick).select(day, "__row.*")
 
 
-def attach_labels(posts: DataFrame, prices: DataFrame, day: str = "day", order_by=None, **kw) -> DataFrame:
-    """Inner join of posts to the labels of their day; the first price row of a day wins."""
-    table = first_per_day(prices, day, order_by) if order_by else prices.dropDuplicates([day])
-    return lookup_join(posts, table, day, **kw)
+def attach_labels(posts: DataFrame, prices: DataFrame, order_by, day: str = "day", **kw) -> DataFrame:
+    """Inner join of posts to the labels of their day; the first price row of a day under `order_by` wins."""
+    return lookup_join(posts, first_per_day(prices, day, order_by), day, **kw)
 
 
 def name_features(stats: DataFrame, names: DataFrame, index: str = "idx") -> DataFrame:

@@ -218,7 +218,10 @@ def _held_scores(df, vec, y, fold, fits, cs, folds, classes, spark) -> dict:
         per_fold = 1 - got[..., 0] / np.where(spread > 0, spread, np.nan)
     else:
         per_fold = got[..., 0] / np.maximum(got[..., 1], 1)
-    return {c: float(v) for c, v in zip(cs, per_fold.mean(0))}
+    # A fold whose target is constant has no score; the others decide.
+    known = ~np.isnan(per_fold)
+    mean = np.where(known, per_fold, 0.0).sum(0) / np.maximum(known.sum(0), 1)
+    return {c: float(v) if n else float("-inf") for c, v, n in zip(cs, mean, known.sum(0))}
 
 
 def search(df: DataFrame, vec: str, y: str, cs: Sequence[float], loss: str, penalty: str, fold: str | None = None,
@@ -281,6 +284,9 @@ class KernelResult(NamedTuple):
 
 
 def _kernel(df, vec, y, cs, gammas, fold, n_features, seed, loss, regression, **kw) -> KernelResult:
+    gammas = [gammas] if isinstance(gammas, (int, float)) else list(gammas)
+    if fold is None and len(gammas) > 1:
+        raise ValueError("a grid of gamma needs a fold column")
     scores, best = {}, None
     for gamma in gammas:
         lifted = stored(random_features(df, vec, gamma, n_features, seed, "__rff").select(

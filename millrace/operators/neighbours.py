@@ -30,7 +30,7 @@ def _keep_copies(right: pd.DataFrame, x: np.ndarray, keep: int, extra: str | Non
         tag["e"] = right[extra].to_numpy()
         by.append("e")
     tag = tag.sort_values("id", kind="stable")
-    return np.sort(tag.index[tag.groupby(by, sort=False).cumcount() < keep].to_numpy())
+    return np.sort(tag.index[tag.groupby(by, sort=False, dropna=False).cumcount() < keep].to_numpy())
 
 
 def _best_k(q: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int,
@@ -45,7 +45,8 @@ def _best_k(q: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int,
         qq = (part * part).sum(1)
         d2 = qq[:, None] + xx[None, :] - 2.0 * part @ x.T
         if banned is not None:
-            d2[banned[0][lo:lo + step][:, None] == banned[1][None, :]] = np.inf
+            mine = banned[0][lo:lo + step]
+            d2[(mine[:, None] == banned[1][None, :]) & ~pd.isna(mine)[:, None]] = np.inf
         kk = min(k, d2.shape[1])
         kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
         slack = 1e-10 * (qq + xx.max(initial=0.0)) + 1e-300
@@ -95,18 +96,23 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, vec: str, key: str, by:
         else:
             from .stats import classes_of
 
-            pieces = []
-            for value in classes_of(left, split):
-                mine = lcols.filter(F.col(split) == F.lit(value))
-                same = F.col(f"__r_{split}") == F.lit(value)
-                other = rcols.filter(same if by else (~same | F.col(f"__r_{split}").isNull()))
-                if by and exclude_same not in (None, key):
-                    raise ValueError("by and a non-key exclude_same together need a right side under max_rows")
-                pieces.append(_cell_knn(mine, other, k, vec, key, exclude_same == key, carry, schema, approx,
-                                        probes, block_rows, pivots))
-            out = pieces[0]
-            for piece in pieces[1:]:
-                out = out.unionByName(piece)
+            # A null `by` has no neighbours; a null `exclude_same` bars nobody.
+            barred = exclude_same if exclude_same not in (None, key) else None
+            out = None
+            for value in classes_of(left, by) if by else [None]:
+                mine = lcols.filter(F.col(by) == F.lit(value)) if by else lcols
+                other = rcols.filter(F.col(f"__r_{by}") == F.lit(value)) if by else rcols
+                for bar in [*classes_of(left, barred), None] if barred else [None]:
+                    part, rest = mine, other
+                    if barred:
+                        part = mine.filter(F.col(barred).eqNullSafe(F.lit(bar)))
+                        if bar is not None:
+                            rest = other.filter(~F.col(f"__r_{barred}").eqNullSafe(F.lit(bar)))
+                    piece = _cell_knn(part, rest, k, vec, key, exclude_same == key, carry, schema, approx, probes,
+                                      block_rows, pivots)
+                    out = piece if out is None else out.unionByName(piece)
+            if out is None:
+                return left.sparkSession.createDataFrame([], schema)
         return top_per_key(out.drop("rank"), key, ["dist", "neighbour"], k)
     return out  # every left row met the whole right side in one task: its rank is final
 

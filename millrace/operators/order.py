@@ -77,17 +77,17 @@ def with_position(df: DataFrame, order_by, partition_by=None, name: str = "pos",
 def prefix_sums(df: DataFrame, order_by, sums: dict[str, str], max_rows: int = TASK_ROWS) -> DataFrame:
     """Running totals (inclusive) of numeric columns over a unique global order.
 
-    `sums` maps output name to input column.
+    `sums` maps output name to input column. Nulls add nothing; the total before the first value is 0.
     """
     order_by = as_list(order_by)
     if largest_group(df, []) <= max_rows:
         window = Window.partitionBy(F.lit(0)).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[F.sum(c).over(window).alias(o) for o, c in sums.items()])
+        return df.select("*", *[F.coalesce(F.sum(c).over(window), F.lit(0)).alias(o) for o, c in sums.items()])
     rows = _ranged(df, order_by)
-    offsets = _slot_offsets(rows, {f"__{o}": F.sum(c) for o, c in sums.items()})
+    offsets = _slot_offsets(rows, {f"__{o}": F.coalesce(F.sum(c), F.lit(0)) for o, c in sums.items()})
     window = Window.partitionBy("__slot").orderBy("__local").rowsBetween(Window.unboundedPreceding, 0)
     return rows.join(offsets, "__slot").select(
-        *df.columns, *[(F.sum(c).over(window) + F.col(f"__{o}")).alias(o) for o, c in sums.items()]
+        *df.columns, *[(F.coalesce(F.sum(c).over(window), F.lit(0)) + F.col(f"__{o}")).alias(o) for o, c in sums.items()]
     )
 
 
@@ -136,11 +136,16 @@ def contiguous_folds(df: DataFrame, order_by, k: int, name: str = "fold", max_ro
     return placed.withColumn(name, fold).drop("__at")
 
 
+def complement(df: DataFrame, fold: str, held: int) -> DataFrame:
+    """The rows outside one fold: what is trained on while that fold is held out. Rows without a fold stay."""
+    return df.filter(~F.col(fold).eqNullSafe(F.lit(held)))
+
+
 def hash_split(df: DataFrame, key: str, test_share: float, seed: int, name: str = "is_test") -> DataFrame:
     """Seeded split by the hash of a key: the same rows whatever the partitioning."""
-    edge = f"{int(test_share * 16 ** 8):08x}"
     digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
-    return df.withColumn(name, (F.substring(digest, 1, 8) < edge).cast("int"))
+    draw = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+    return df.withColumn(name, (draw < int(test_share * 16 ** 8)).cast("int"))
 
 
 def extend_history(train: DataFrame, test: DataFrame, lookback: int, order_by, partition_by=None) -> DataFrame:

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.arrays import let
 from ..session import TASK_ROWS, as_list, fits
+from .batches import map_batches
 from .joins import lookup_join
 
 WIDE = 24  # columns above which pairs are taken from one matrix instead of one expression each
@@ -35,22 +39,45 @@ def coef_variation(df: DataFrame, cols) -> DataFrame:
     return wide.unpivot([], cols, "feature", "cv")
 
 
+def _pairwise(df: DataFrame, cols: list) -> DataFrame:
+    """Pairwise complete correlations of many columns: six sums per pair, taken as matrix products of each batch."""
+    # Deviations from the rough means keep the sums well conditioned.
+    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"{i}") for i, c in enumerate(cols)]).first()
+    shift = np.array([0.0 if m is None else m for m in means])
+    values = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    size = len(cols)
+
+    def sums(batches):
+        total = np.zeros((6, size, size))
+        for batch in batches:
+            x = np.stack([batch[f"c{i}"].to_numpy(dtype=float, na_value=np.nan) for i in range(size)], 1) - shift
+            there = ~np.isnan(x)
+            x, there = np.where(there, x, 0.0), there.astype(float)
+            for k, (a, b) in enumerate(((there, there), (x, there), (there, x), (x * x, there), (there, x * x), (x, x))):
+                total[k] += a.T @ b
+        i, j = np.divmod(np.arange(size * size), size)
+        yield pd.DataFrame({"i": i, "j": j, **{f"s{k}": total[k].ravel() for k in range(6)}})
+
+    schema = T.StructType([T.StructField("i", T.LongType()), T.StructField("j", T.LongType()),
+                           *[T.StructField(f"s{k}", T.DoubleType()) for k in range(6)]])
+    got = map_batches(values, sums, schema).groupBy("i", "j").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(6)])
+    n, x, y, xx, yy, xy = (F.col(f"s{k}") for k in range(6))
+    left, right = xx - F.try_divide(x * x, n), yy - F.try_divide(y * y, n)
+    r = F.when((left > 1e-12 * xx) & (right > 1e-12 * yy), F.try_divide(xy - F.try_divide(x * y, n), F.sqrt(left * right)))
+    names = F.array(*[F.lit(c) for c in cols])
+    return got.select(F.get(names, F.col("i").cast("int")).alias("f1"), F.get(names, F.col("j").cast("int")).alias("f2"),
+                      r.alias("r"))
+
+
 def corr_matrix(df: DataFrame, cols) -> DataFrame:
     """(f1, f2, r) for every ordered pair of columns, from one scan of the table.
 
-    Up to `WIDE` columns each pair uses the rows where both values are present. A wider table is
-    read as arrays into one matrix of cross products, over the rows without nulls: impute first.
+    Each pair uses the rows where both values are present; a constant column gives null. Up to `WIDE`
+    columns that is one aggregate of expressions, beyond it sums of cross products per batch.
     """
     cols = as_list(cols)
     if len(cols) > WIDE:
-        from .gram import collect_moments
-
-        full = df.dropna(subset=cols).select(F.array(*[F.col(c).cast("double") for c in cols]).alias("__v"))
-        sums = collect_moments(full, "__v")[None][2]
-        size = sums.diagonal() ** 0.5
-        cells = [(a, b, float(sums[i, j] / (size[i] * size[j])) if size[i] > 0 and size[j] > 0 else None)
-                 for i, a in enumerate(cols) for j, b in enumerate(cols)]
-        return df.sparkSession.createDataFrame(cells, "f1 string, f2 string, r double")
+        return _pairwise(df, cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
 
     def corr(a, b):  # null for a constant column, where the built-in one fails under ANSI rules
@@ -339,8 +366,8 @@ def label_counts(df: DataFrame, label: str, limit: int = 10_000) -> dict:
 
 
 def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """Row weight n / (classes * rows of the class)."""
-    counts = label_counts(df, label)
-    n = sum(counts.values())
-    weights = [F.lit(x) for c, k in counts.items() for x in (c, n / (len(counts) * k))]
-    return df.withColumn(out, F.try_element_at(F.create_map(*weights), F.col(label)))
+    """Row weight n / (classes * rows of the class), for any number of classes; null without a label."""
+    counts = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("__k"))
+    total = counts.agg(F.sum("__k").alias("n"), F.count(F.lit(1)).alias("c")).first()
+    weights = counts.select(label, (F.lit(float(total["n"] or 0)) / (F.col("__k") * total["c"])).alias(out))
+    return lookup_join(df.drop(out), weights, label, "left").select(*[c for c in df.columns if c != out], out)

@@ -12,20 +12,17 @@ from .joins import lookup_join
 from .order import with_position
 
 
-def remove_stopwords(df: DataFrame, col: str, words, key=None, out: str | None = None,
-                     list_limit: int = 2_000) -> DataFrame:
+def remove_stopwords(df: DataFrame, col: str, words, key=None, out: str | None = None) -> DataFrame:
     """Drop listed words, keeping order and repeats. `words` is a list, or a frame with `word`.
 
-    A short list becomes a projection. A frame becomes an anti join on the exploded words,
-    which needs `key`, the unique key of a text.
+    A list of any length becomes a projection that looks words up in a hash set. A frame becomes an anti join on
+    the exploded words, which needs `key`, the unique key of a text.
     """
     out = out or col
-    if not isinstance(words, DataFrame) and len(list(words)) <= list_limit:
+    if not isinstance(words, DataFrame):
         return df.withColumn(out, ft.without_words(F.col(col), words))
     if key is None:
-        raise ValueError("a long stop list needs the key of the text")
-    if not isinstance(words, DataFrame):
-        words = df.sparkSession.createDataFrame([(w,) for w in words], "word string")
+        raise ValueError("a frame of stop words needs the key of the text")
     keys = as_list(key)
     split = F.split(F.trim(F.regexp_replace(F.col(col), r"\s+", " ")), " ")
     exploded = df.select(*keys, F.posexplode(split).alias("at", "word"))

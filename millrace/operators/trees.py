@@ -334,13 +334,18 @@ def _boost(df, vec, y, l1s, fold, loss, n_trees, depth, eta, l2, n_bins, base, c
 
 
 def boost_reg(df: DataFrame, vec: str, y: str, l1s: Sequence[float] = L1_GRID, fold: str | None = None,
-              n_trees: int = 100, depth: int = 3, eta: float = 0.1, l2: float = 1.0, n_bins: int = 32) -> BoostResult:
+              n_trees: int = 100, depth: int = 3, eta: float = 0.1, l2: float = 1.0, n_bins: int = 32,
+              base: float | None = None) -> BoostResult:
     """Boosted regression trees with an L1 leaf penalty, leaf = -soft(G, l1) / (H + l2).
 
+    Ensembles start from `base`, by default the mean of the target.
+
     The scores are held-out mean squared errors per penalty; all (penalty, fold) ensembles grow
     in the same passes.
     """
-    return _boost(df, vec, y, l1s, fold, "squared", n_trees, depth, eta, l2, n_bins, 0.5)
+    if base is None:
+        base = df.agg(F.avg(F.col(y).cast("double"))).first()[0] or 0.0
+    return _boost(df, vec, y, l1s, fold, "squared", n_trees, depth, eta, l2, n_bins, float(base))
 
 
 def boost_clf(df: DataFrame, vec: str, y: str, fold: str | None = None, n_trees: int = 10, depth: int = 6,

@@ -448,8 +448,8 @@ def post_vectors(t: Tables) -> DataFrame:
     words = posts.vocab(t, rows)
     scores = tx.chisq_words(rows, "doc_id", "clean", words, tx.tf(rows, "doc_id", "clean", words))
     vecs = tx.select_top(rows, "doc_id", "clean", words, scores, 100).join(rows.select("doc_id", "day"), "doc_id")
-    table = posts.labelled(t).filter(F.col("rt_5").isNotNull()).select("day", "up_3", "up_5")
-    joined = cut_lineage(jn.attach_labels(vecs, table))
+    table = posts.labelled(t).filter(F.col("rt_5").isNotNull()).select("day", "close", "up_3", "up_5")
+    joined = cut_lineage(jn.attach_labels(vecs, table, "close").drop("close"))
     head, tail = od.positional_split(joined, ["day", "doc_id"], frac=0.7)
     return stored(head.withColumn("is_test", F.lit(0)).unionByName(tail.withColumn("is_test", F.lit(1))), "doc_id")
 

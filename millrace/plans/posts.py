@@ -253,5 +253,5 @@ def _(t):
 
 @query("attach_labels", f"""WITH {CLEAN}, {LABELS} SELECT doc_id, day, up_3, up_5 FROM clean JOIN labelled USING (day) WHERE rt_5 IS NOT NULL""")
 def _(t):
-    table = labelled(t).filter(F.col("rt_5").isNotNull()).select("day", "up_3", "up_5")
-    return jn.attach_labels(clean(t), table).select("doc_id", "day", "up_3", "up_5")
+    table = labelled(t).filter(F.col("rt_5").isNotNull()).select("day", "close", "up_3", "up_5")
+    return jn.attach_labels(clean(t), table, "close").select("doc_id", "day", "up_3", "up_5")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,7 +30,7 @@ def read_delimited(spark: SparkSession, path, schema, na: str | None = None, hea
         reader = spark.read.schema(schema).option("sep", sep).option("header", header)
         return (reader.option("nullValue", na) if na is not None else reader).csv(path)
     if isinstance(schema, T.StructType):
-        schema = schema.simpleString()[len("struct<"):-1].replace(":", " ")
+        schema = schema.toDDL()
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
     skip = preamble + int(header)
@@ -43,7 +44,9 @@ def read_delimited(spark: SparkSession, path, schema, na: str | None = None, hea
             for file, n in top.groupby("file").size().items():
                 seen[file] = seen.get(file, 0) + int(n)
 
-    rows = lines.mapInPandas(below_header, "value string").filter(F.length(F.trim("value")) > 0)
+    # Only the first split of a file passes through Python; all others stay in the JVM.
+    rows = (lines.filter("start = 0").mapInPandas(below_header, "value string")
+            .unionByName(lines.filter("start > 0").select("value")).filter(F.length(F.trim("value")) > 0))
     options = {"sep": sep, **({"nullValue": na} if na is not None else {})}
     return rows.select(F.from_csv("value", schema, options).alias("r")).select("r.*")
 
@@ -58,7 +61,7 @@ def read_list(spark: SparkSession, path, sep: str | None = None, names=("word",)
     rows = spark.read.text(path).select(F.trim("value").alias("value")).filter(F.col("value") != "")
     if sep is None:
         return rows.select(F.col("value").alias(names[0]))
-    fields = F.split("value", sep)
+    fields = F.split("value", re.escape(sep))
     return rows.select(*[F.try_element_at(fields, F.lit(i + 1)).alias(n) for i, n in enumerate(names)])
 
 

@@ -106,7 +106,7 @@ def test_prices_and_labels(spark, tmp_path):
         assert (r["up_1"], r["up_2"]) == ((int(close[i + 3] > close[i]), int(close[i + 5] > close[i])) if known else (0, 0))
     posts = spark.createDataFrame([(1, 20140103), (2, 20140104), (3, 20140107)], "id int, day int")
     assert rows(jn.on_trading_days(posts, prices).select("id")) == [(1,), (3,)]
-    assert rows(jn.attach_labels(posts, prices).select("id", "CLOSE")) == [(1, 11.0), (3, 12.0)]
+    assert rows(jn.attach_labels(posts, prices, "CLOSE").select("id", "CLOSE")) == [(1, 11.0), (3, 12.0)]
 
 
 def test_empty_and_single(spark):
@@ -194,7 +194,8 @@ def test_hamming_lengths(spark):
 def test_stopword_orders(spark):
     df = spark.createDataFrame([(1, "a  b the\tb"), (2, "the"), (3, None), (4, "")], "id int, t string")
     short = rows(tx.remove_stopwords(df, "t", ["the"]).filter("t is not null"))
-    long = rows(tx.remove_stopwords(df, "t", ["the"], key="id", list_limit=0).select("id", "t").filter("t is not null"))
+    frame = spark.createDataFrame([("the",)], "word string")
+    long = rows(tx.remove_stopwords(df, "t", frame, key="id").select("id", "t").filter("t is not null"))
     assert short == long == [(1, "a b b"), (2, ""), (4, "")]
 
 
