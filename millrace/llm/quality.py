@@ -161,3 +161,54 @@ def quality(docs: DataFrame, keep: Sequence[str] | None = None, text_col: str =
             **limits) -> DataFrame:
     """`judge` against references learnt from the same documents."""
     return judge(docs, cut_lineage(references(docs, text_col, lang_col)), keep, text_col, lang_col, **limits)
+
+
+# The same in SQL, for DuckDB, with the default limits.
+_CLASSES_SQL = ", ".join(
+    f"""len(regexp_replace(t, '{p.replace("'", "''")}', '', 'g')) AS c_{n}""" for n, p in CLASSES.items())
+_HISTOGRAM_SQL = "[" + ", ".join(f"c_{n} / chars::DOUBLE" for n in CLASSES) + ", (chars - " + " - ".join(
+    f"c_{n}" for n in CLASSES) + ") / chars::DOUBLE]"
+
+
+def _divergence_sql(p: str, q: str) -> str:
+    half = (f"list_sum(list_transform(range(1, len({p}) + 1), lambda i: CASE WHEN {{0}}[i] > 0 THEN {{0}}[i] * "
+            f"log2({{0}}[i] / (({p}[i] + {q}[i]) / 2)) ELSE 0 END))")
+    return f"({half.format(p)} + {half.format(q)}) / 2"
+
+
+QUALITY_SQL = rf"""
+WITH d AS MATERIALIZED (
+  SELECT *, len(t) AS chars, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, {_CLASSES_SQL}
+  FROM (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents)),
+h AS (SELECT *, CASE WHEN chars > 0 THEN {_HISTOGRAM_SQL} END AS hist FROM d),
+cls AS (SELECT lang, [{', '.join(f'avg(hist[{k + 1}])' for k in range(len(CLASSES) + 1))}] AS classes FROM h
+        WHERE chars >= 200 GROUP BY lang),
+cnt AS (SELECT lang, lower(x) AS x, count(*) AS n FROM (SELECT lang, unnest(w) AS x FROM d) GROUP BY ALL),
+ranked AS (SELECT *, n / sum(n) OVER (PARTITION BY lang) AS share,
+                  row_number() OVER (PARTITION BY lang ORDER BY n DESC, x) AS k FROM cnt),
+ref AS (SELECT lang, list(x ORDER BY k) AS common, list(share ORDER BY k) AS head FROM ranked WHERE k <= 24 GROUP BY lang),
+rep AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (
+    SELECT doc_id, unnest(range(i, i + 8)) AS p FROM (
+      SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS k FROM (
+        SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS win FROM (
+          SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) > 8))) WHERE k > 1) GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)
+  WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+own AS (
+  SELECT h.*, classes, head, CASE WHEN len(w) >= 100 THEN list_transform(common, lambda c: len(list_filter(w, lambda x: lower(x) = c))
+           / len(w)::DOUBLE) END AS hits
+  FROM h LEFT JOIN cls ON h.lang IS NOT DISTINCT FROM cls.lang LEFT JOIN ref ON h.lang IS NOT DISTINCT FROM ref.lang),
+m AS (
+  SELECT own.doc_id, len(w) AS n_words, chars - c_space AS word_chars, c_symbol AS n_symbols,
+         coalesce(lines.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+         CASE WHEN chars >= 400 THEN {_divergence_sql('hist', 'classes')} END AS dc, hits,
+         list_append(hits, greatest(0, 1 - list_sum(hits))) AS p, list_append(head, greatest(0, 1 - list_sum(head))) AS q
+  FROM own LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
+v AS (SELECT *, CASE WHEN hits IS NOT NULL THEN {_divergence_sql('p', 'q')} END AS dw,
+             n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce(dc > 0.10, false) AND NOT coalesce(dw > 0.25, false) AS kept
+FROM v
+"""

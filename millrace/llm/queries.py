@@ -42,7 +42,7 @@ def op5(spark, folder):
     return found.select("row.doc_id", langid.held_out("row.doc_id").alias("held_out"), "lang_pred", "score")
 
 
-@query("op6_quality_rules")
+@query("op6_quality_rules", rules.QUALITY_SQL)
 def op6(spark, folder):
     judged = rules.quality(documents(spark, folder), keep=["doc_id"])
     return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -75,7 +75,7 @@ def op1(spark, folder):
                         spans_text(F.col("spans")).alias("spans"))
 
 
-@query("op2_minhash_neardup")
+@query("op2_minhash_neardup", neardup.NEARDUP_SQL)
 def op2(spark, folder):
     found = neardup.near_duplicates(documents(spark, folder), keep=["doc_id"])
     return found.select("row.doc_id", "n_shingles", "component_id", "kept")
