@@ -191,3 +191,59 @@ def sanitised(text: Column, spans: Column, remove_at: float = 0.95) -> Column:
     by_place = F.array_sort(F.transform(spans, lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["disclosure"].alias("disclosure"))))
     return let(by_place, rebuilt)
+
+
+# The same in SQL, for DuckDB, with the default limits.
+PRIVATE_SQL = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+pat(kind, ord, p) AS (VALUES
+  ('email', 1, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), ('ip', 2, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'),
+  ('card', 3, '[0-9](?:[ -]?[0-9])+'), ('phone', 4, '\+[0-9][ ().0-9-]+[0-9]')),
+f AS (SELECT doc_id, t, kind, ord, regexp_extract_all(t, p) AS f, string_split_regex(t, p) AS g FROM d, pat),
+e AS (
+  SELECT doc_id, t, kind, ord, f[i] AS v, regexp_replace(f[i], '[^0-9]', '', 'g') AS digits,
+         (list_sum(list_transform(g[1:i], lambda x: len(x)))
+          + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: len(x))), 0))::BIGINT AS s
+  FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM f)),
+base AS MATERIALIZED (
+  SELECT doc_id, t, kind, ord, v, s, s + len(v) AS z FROM e
+  WHERE kind = 'email'
+     OR kind = 'ip' AND len(list_filter(string_split(v, '.'), lambda x: x::HUGEINT > 255)) = 0
+     OR kind = 'phone' AND len(digits) BETWEEN 9 AND 15
+     OR kind = 'card' AND len(digits) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, len(digits) + 1), lambda i:
+          CASE WHEN i % 2 = 1 THEN digits[len(digits) - i + 1]::INT
+               ELSE digits[len(digits) - i + 1]::INT * 2 // 10 + digits[len(digits) - i + 1]::INT * 2 % 10 END)) % 10 = 0),
+side AS (
+  SELECT doc_id, kind || ':' || lower(v) AS entity, greatest(0, s - 60) AS org, substr(t, greatest(0, s - 60) + 1, s - greatest(0, s - 60)) AS x,
+         s > 60 AS cut_left, true AS cut_right FROM base
+  UNION ALL
+  SELECT doc_id, kind || ':' || lower(v), z, substr(t, z + 1, 60), true, z + 60 < len(t) FROM base),
+near AS (
+  SELECT *, regexp_extract_all(x, '\p{L}{3,}') AS f, string_split_regex(x, '\p{L}{3,}') AS g FROM side),
+word AS (
+  SELECT *, f[i] AS v, (list_sum(list_transform(g[1:i], lambda x: len(x)))
+         + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: len(x))), 0))::BIGINT AS s
+  FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM near)),
+occ AS MATERIALIZED (
+  SELECT doc_id, entity, lower(v) AS term, org + s AS a, org + s + len(v) AS z FROM word
+  WHERE NOT (s = 0 AND cut_left) AND NOT (s + len(v) = len(x) AND cut_right) AND NOT EXISTS (
+    SELECT 1 FROM base b WHERE b.doc_id = word.doc_id AND word.org + word.s < b.z AND word.org + word.s + len(word.v) > b.s)),
+n AS (SELECT count(*) AS n FROM d),
+ne AS (SELECT kind || ':' || lower(v) AS entity, count(DISTINCT doc_id) AS n_e FROM base GROUP BY 1),
+nte AS (SELECT entity, term, count(DISTINCT doc_id) AS n_te FROM occ GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3),
+nt AS (SELECT term, count(*) AS n_t FROM (
+         SELECT unnest(list_distinct(regexp_extract_all(lower(t), '\p{L}{3,}'))) AS term FROM d) GROUP BY term),
+tell AS (SELECT entity, term FROM nte JOIN ne USING (entity) JOIN nt USING (term), n
+         WHERE n_e < n AND ln(n * n_te / (n_t * n_e)::DOUBLE) / ln(n / n_e::DOUBLE) >= 0.8),
+spans AS (
+  SELECT doc_id, kind, ord, s, z FROM base
+  UNION ALL SELECT DISTINCT doc_id, 'term', 5, a, z FROM occ JOIN tell USING (entity, term)),
+joined AS (
+  SELECT doc_id, string_agg(kind || ':' || s || ':' || z, ',' ORDER BY ord, s, z) AS spans,
+         coalesce(string_agg(kind || ':' || s || ':' || z, ',' ORDER BY ord, s) FILTER (ord < 5), '') AS fixed,
+         count(*) FILTER (ord = 1) AS n_email, count(*) FILTER (ord = 2) AS n_ip, count(*) FILTER (ord = 3) AS n_card,
+         count(*) FILTER (ord = 4) AS n_phone FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card,
+       coalesce(n_phone, 0) AS n_phone, sha256(coalesce(fixed, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN joined j ON d.doc_id = j.doc_id
+"""

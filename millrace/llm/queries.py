@@ -96,7 +96,7 @@ def op9(spark, folder):
                         "base_score", "score")
 
 
-@query("op3_private_data")
+@query("op3_private_data", privacy.PRIVATE_SQL)
 def op3(spark, folder):
     found = privacy.find_private(documents(spark, folder), keep=["doc_id"])
     base = spans_text(F.filter("spans", lambda s: s["kind"] != privacy.TERM))

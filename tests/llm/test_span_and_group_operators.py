@@ -6,6 +6,7 @@ import itertools
 import math
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from nasty import PRIVATE, PROSE, SECRET, lower, rows, shingles, words
@@ -361,3 +362,15 @@ def test_likeness_is_generalised_jaccard(spark):
     assert abs(np.mean(error)) < 0.01 and np.sqrt(np.mean(np.square(error))) < 0.05
     alone = fingerprints.beside_next(docs.limit(1)).first()
     assert alone.near_next == 1.0
+
+
+def test_disclosing_terms_match_sql(spark, tmp_path):
+    texts = [f"Ask the beekeeper Anna under anna@farm.example.com about honey number {k} today, says the paper" for k in range(4)]
+    texts += ["the paper says nothing about honey today"] * 20 + [*TRICKY[:12], texts[0], None]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    want = con.execute(privacy.PRIVATE_SQL).fetchall()
+    got = QUERIES["op3_private_data"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and any("term" in r.spans for r in got)
