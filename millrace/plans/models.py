@@ -15,6 +15,7 @@ from ..operators import neighbours as nb
 from ..operators import order as od
 from ..operators import relational as rl
 from ..operators import resample as rs
+from ..operators import search as sh
 from ..operators import stats as st
 from ..operators import text as tx
 from ..operators import trees as tr
@@ -469,3 +470,32 @@ def _(t):
             ev.binary_scores(done, "up_5", "prediction", "model"), "model")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+class SmoothedMean:
+    """Predicts the mean of a group, drawn towards the mean of all by `weight` rows."""
+
+    def __init__(self, rows: DataFrame, group: str, y: str, weight: float):
+        mean = rows.agg(F.avg(y)).first()[0]
+        self.group, self.default = group, mean
+        self.table = rows.groupBy(group).agg(((F.sum(y) + weight * mean) / (F.count(y) + weight)).alias("prediction"))
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        return jn.lookup_join(rows, self.table, self.group, "left").fillna(self.default, ["prediction"])
+
+
+@query("grid_search", """WITH b AS (SELECT l_suppkey AS g, l_extendedprice / 1000 AS y, CAST(l_orderkey % 3 AS INT) AS fold FROM lineitem),
+   h AS (SELECT unnest(range(3)) AS held), w AS (SELECT unnest([1.0, 10.0, 1000.0])::DOUBLE AS weight),
+   o AS (SELECT held, avg(y) AS m FROM b JOIN h ON fold <> held GROUP BY held),
+   s AS (SELECT held, g, sum(y) AS s, count(*) AS n FROM b JOIN h ON fold <> held GROUP BY ALL),
+   e AS (SELECT weight, held, avg((y - CASE WHEN n IS NULL THEN m ELSE (s + weight * m) / (n + weight) END) ** 2) AS mse
+         FROM b JOIN o ON b.fold = o.held LEFT JOIN s USING (held, g) CROSS JOIN w GROUP BY ALL),
+   a AS (SELECT weight, avg(mse) AS score FROM e GROUP BY weight)
+   SELECT weight, round(score, 6) AS score, score = min(score) OVER () AS best FROM a""")
+def _(t):
+    rows = t.lineitem.select("l_suppkey", (F.col("l_extendedprice") / 1000).alias("y"),
+                             F.pmod("l_orderkey", F.lit(3)).cast("int").alias("fold"))
+    found = sh.grid_search(rows, lambda part, weight: SmoothedMean(part, "l_suppkey", "y", weight),
+                           [{"weight": w} for w in (1.0, 10.0, 1000.0)], lambda part: ev.mse(part, "y", "prediction"), "fold")
+    table = [(p["weight"], round(score, 6), p == found.best) for p, score, _ in found.scores]
+    return t.spark.createDataFrame(table, "weight double, score double, best boolean")

@@ -59,20 +59,38 @@ def vocab(t: Tables, rows: DataFrame) -> DataFrame:
     return tx.vocabulary(rows, "clean", 25)
 
 
-@query("scan_posts_json", """SELECT event_id AS id, strftime(ts, '%d %b %Y') AS created_at, CASE event_type WHEN 'click' THEN 'bullish'
-   WHEN 'error' THEN 'bearish' END AS class, CASE WHEN event_type <> 'view' THEN props END AS description FROM events""")
-def _(t):
-    path = new_path(t.spark, "posts")
+POST_FIELDS = """SELECT event_id AS id, strftime(ts, '%d %b %Y') AS created_at, CASE event_type WHEN 'click' THEN 'bullish'
+   WHEN 'error' THEN 'bearish' END AS class, CASE WHEN event_type <> 'view' THEN props END AS description FROM events"""
+
+
+def _raw_posts(t: Tables) -> DataFrame:
     links = F.when(F.col("event_type") != "view", F.array(F.struct(F.col("props").alias("description")))).otherwise(
         F.array().cast("array<struct<description: string>>"))
     raw = sentiment(t).join(t.events.select("event_id", links.alias("links")), "event_id")
-    out = raw.select(F.col("event_id").alias("id"), F.date_format("ts", "dd MMM yyyy").alias("created_at"), "sentiment", "links")
-    rd.write_table(out, path, "json")
-    back = rd.read_posts(t.spark, path, lines=True)
+    return raw.select(F.col("event_id").alias("id"), F.date_format("ts", "dd MMM yyyy").alias("created_at"), "sentiment", "links")
+
+
+@query("scan_posts_json", POST_FIELDS)
+def _(t):
+    path = new_path(t.spark, "posts")
+    rd.write_table(_raw_posts(t), path, "json")
+    return _fields(rd.read_posts(t.spark, path, lines=True))
+
+
+def _fields(back: DataFrame) -> DataFrame:
     return back.select("id", "created_at", F.col("sentiment.class").alias("class"),
                        ft.first_field(F.col("links"), "description").alias("description"))
 
 
+@query("scan_posts_array", POST_FIELDS)
+def _(t):
+    """The same posts from files that hold one array of objects each."""
+    path, out = new_path(t.spark, "post-arrays"), _raw_posts(t)
+    arrays = out.groupBy(F.pmod("id", F.lit(16)).alias("part")).agg(F.to_json(F.collect_list(F.struct(*out.columns))).alias("value"))
+    arrays.write.partitionBy("part").text(path)
+    return _fields(rd.read_posts(t.spark, path))
+
+
 @query("first_field", """SELECT event_id, CASE WHEN event_type <> 'view' THEN props END AS description FROM events""")
 def _(t):
     links = F.when(F.col("event_type") != "view", F.array(F.struct(F.col("props").alias("description")))).otherwise(

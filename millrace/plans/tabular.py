@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from ..operators import order as od
 from ..operators import relational as rl
 from ..operators import resample as rs
 from ..operators import stats as st
-from ..session import new_path
+from ..session import cut_lineage, new_path
 from ..sources import readers as rd
 from .registry import Tables, query
 
@@ -445,12 +447,10 @@ def _(t):
    SELECT i.held, count(*) AS n, round(avg(l_quantity), 6) AS mean_quantity
    FROM f JOIN (SELECT CAST(unnest(range(10)) AS INT) AS held) i ON f.fold <> i.held GROUP BY 1""")
 def _(t):
-    rows = od.contiguous_folds(t.lineitem, ORDER, 10)
-    # The complement of a fold is the total minus the fold: one aggregate serves all ten.
-    per = rows.groupBy("fold").agg(F.count(F.lit(1)).alias("k"), F.sum("l_quantity").alias("s")).collect()
-    n, s = sum(r["k"] for r in per), sum(r["s"] for r in per)
-    table = t.spark.createDataFrame([(r["fold"], n - r["k"], (s - r["s"]) / (n - r["k"])) for r in per],
-                                    "held int, n bigint, mean_quantity double")
+    rows = cut_lineage(od.contiguous_folds(t.lineitem, ORDER, 10).select("fold", "l_quantity"))
+    parts = [od.complement(rows, "fold", held).agg(F.count(F.lit(1)).alias("n"), F.avg("l_quantity").alias("mean_quantity"))
+             .select(F.lit(held).alias("held"), "n", "mean_quantity") for held in range(10)]
+    table = reduce(DataFrame.unionByName, parts)
     return _round(table, "mean_quantity")
 
 
