@@ -13,6 +13,8 @@ from .neighbours import knn_join
 from .order import with_position
 from .stats import classes_of, label_counts
 
+COPIES = 10_000  # copies of one row made in one place; more are dealt to several tasks
+
 
 def smote(df: DataFrame, key: str, vec: str, label: str, k: int = 5, seed: int = 0,
           max_rows: int = TASK_ROWS, **knn) -> DataFrame:
@@ -38,10 +40,12 @@ def smote(df: DataFrame, key: str, vec: str, label: str, k: int = 5, seed: int =
     # A class of n rows offers min(k, n - 1) neighbours.
     reach = F.greatest(F.least(F.lit(k), size - 1), F.lit(1))
     drawn = (placed.withColumn("__copies", copies.cast("int")).filter(F.col("__copies") > 0)
-             .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+             .withColumn("__from", F.explode(F.sequence(F.lit(1), F.col("__copies"), F.lit(COPIES))))
+             .repartition(key, "__from")
+             .withColumn("__copy", F.explode(F.sequence(F.col("__from"), F.least(F.col("__from") + COPIES - 1, "__copies"))))
              .withColumn("rank", (F.pmod(hashed("which"), reach) + 1).cast("int"))
              .withColumn("__gap", hashed("gap") / F.lit(float(2 ** 31)))
-             .drop("__at", "__copies"))
+             .drop("__at", "__copies", "__from"))
     near = knn_join(minority, minority, k, vec, key, by=label, exclude_same=key,
                     carry=[vec], **knn).select(key, "rank", F.col(vec).alias("__to"))
     between = F.when(F.col("__to").isNull(), F.col(vec)).otherwise(

@@ -61,8 +61,8 @@ def doc_freq(df: DataFrame, vocab: DataFrame, col: str, key=None, mode: str = "t
 
     mode='token' counts texts that hold the word as a token. mode='substring' counts texts that
     hold it anywhere: a word has no space, so it lies inside one space-separated piece of the
-    text. The distinct pieces are cut into all substrings no longer than the longest word and
-    matched with the vocabulary by an equi join; the matches then join back to the texts.
+    text. The distinct pieces are cut into substrings of the lengths the vocabulary has and
+    matched with it by an equi join; the matches then join back to the texts.
     """
     words = vocab.select("word").distinct()
     if mode == "token":
@@ -74,15 +74,16 @@ def doc_freq(df: DataFrame, vocab: DataFrame, col: str, key=None, mode: str = "t
     if key is None:
         raise ValueError("substring mode needs the key of a text")
     keys = as_list(key)
-    longest = words.agg(F.max(F.length("word"))).first()[0] or 0
+    # Only lengths that the vocabulary has are cut: a piece of n letters gives at most n substrings per length.
+    lengths = sorted(r[0] for r in words.select(F.length("word")).distinct().collect() if r[0])
     pieces = df.select(*keys, F.explode(F.array_distinct(ft.tokens(F.col(col)))).alias("piece"))
     size = F.length("piece")
     starts = pieces.select("piece").distinct().select("piece", F.explode(F.sequence(F.lit(1), size)).alias("i"))
-    lengths = F.sequence(F.lit(1), F.least(F.lit(longest), size - F.col("i") + 1))
-    cuts = starts.select("piece", "i", F.explode(lengths).alias("len"))
+    fitting = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= size - F.col("i") + 1)
+    cuts = starts.select("piece", "i", F.explode(fitting).alias("len"))
     inside = cuts.select("piece", F.substr("piece", "i", "len").alias("word"))
     match = lookup_join(inside, words, "word", "left_semi", max_rows=max_rows)
-    # at most len(piece)^2 words a piece; stored, because the size check below reads it once more
+    # at most len(piece) words a piece and length; stored, because the size check below reads it once more
     held = cut_lineage(match.groupBy("piece").agg(F.collect_set("word").alias("__held")))
     found = lookup_join(pieces, held, "piece", max_rows=max_rows)
     per_text = found.select(*keys, F.explode("__held").alias("word")).distinct()
