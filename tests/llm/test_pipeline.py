@@ -8,7 +8,7 @@ import duckdb
 import public_tokenizers
 import pytest
 import tiktoken
-from nasty import frame, rows, shingles
+from nasty import frame, rows
 from test_span_and_group_operators import brute_components, plain_secrets
 
 from millrace.llm import mixing, secrets

@@ -9,7 +9,7 @@ import re
 import duckdb
 import numpy as np
 import pytest
-from nasty import PRIVATE, PROSE, SECRET, lower, rows, shingles, words
+from nasty import PRIVATE, SECRET, rows, shingles, words
 from pyspark.sql import functions as F
 
 from millrace.llm import fingerprints, graph, neardup, privacy, secrets
