@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .arrow import bounded_batches, extend
+from .arrow import bounded_batches, extend, release
 from .graph import components
 
 SHINGLE = 5
@@ -23,6 +23,7 @@ HASHES = 2 * HALVES * WIDTH
 # 48 and the deviation 3.5, so a link falls below with a chance of 1 in 10^5.
 AGREE = HASHES // 2
 BLOCK = 256  # documents a side of a comparison block
+BUCKETS = 1 << 20  # classes of keys in a broadcast filter
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 MULTIPLIERS = np.random.default_rng(20).integers(1, 2**63, (2, HASHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ODD = [np.uint64(2 * int(x) + 1) for x in np.random.default_rng(21).integers(1, 2**62, SHINGLE + 3)]
@@ -119,9 +120,22 @@ def _similar(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return 100 * common >= PERCENT * (len(x) + size - common)
 
 
+def may_hold(keyed: DataFrame, keys: DataFrame, key: str, inside: bool = True) -> DataFrame:
+    """The rows whose long `key` may be among `keys`, or with `inside` false, those whose key surely is not.
+
+    Keys are compared by their class among BUCKETS, so the broadcast table has at most that many rows. It spares a shuffle of
+    whole texts where few keys are asked for; an exact join has to follow.
+    """
+    classes = keys.select(F.pmod(key, F.lit(BUCKETS)).alias("__class")).distinct()
+    return keyed.join(F.broadcast(classes), F.pmod(key, F.lit(BUCKETS)) == F.col("__class"),
+                      "left_semi" if inside else "left_anti")
+
+
 def _full_sets(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
     """(node, shingles as binary) of the texts whose `text_key` is wanted."""
     keyed = docs.select(F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    wanted = cut_lineage(wanted)
+    keyed = may_hold(keyed, wanted, "text_key")
     texts = bounded_batches(keyed.join(wanted, "text_key").dropDuplicates(["text_key"]).select("node", "text"))
 
     def run(batches):
@@ -130,6 +144,8 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([shingles(t.as_py(), hashes).tobytes() for t in batch.column(1)], pa.binary())],
                 names=["node", "shingles"])
+        hashes.clear()
+        release()
 
     return texts.mapInArrow(run, "node long, shingles binary")
 
