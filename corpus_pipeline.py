@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, langid, mixing, neardup, secrets
-from millrace.session import new_path
+from millrace.session import cut_lineage, new_path
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -23,16 +23,24 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one of the smallest id; repeated rows count as copies."""
+    """One document of each group of near copies stays, the one of the smallest id; repeated rows count as copies.
+
+    Documents that are alone in their group pass without a shuffle; only the others are joined to the ones that stay.
+    """
     keyed = docs.withColumn("__key", F.xxhash64("text"))
     found = neardup.near_duplicates(keyed, keep=["doc_id", "__key"])
-    kept = found.filter("kept").groupBy("row.doc_id", "row.__key").agg(F.max("component").alias("component"))
-    # Several texts may share the smallest id; a document without words is a group of its own.
-    own = F.coalesce(F.col("component"), F.xxhash64("doc_id", "__key"))
-    one = kept.groupBy(own.alias("group")).agg(F.min(F.struct("doc_id", "__key")).alias("k")).select(
-        F.col("k.doc_id").alias("__id"), F.col("k.__key").alias("__kept"))
-    staying = keyed.join(one, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__kept")))
-    return staying.dropDuplicates(["__id", "__kept"]).select(*docs.columns)
+    # A document without words is a group of its own.
+    group = F.coalesce("component", F.xxhash64("row.doc_id", "row.__key"))
+    named = cut_lineage(found.select("row.doc_id", "row.__key", group.alias("__group")))
+    groups = named.groupBy("__group").agg(F.count(F.lit(1)).alias("n"), F.min(
+        F.struct(F.col("doc_id").isNull(), "doc_id", "__key")).alias("k"))
+    staying = groups.select(F.col("k.doc_id").alias("__id"), F.col("k.__key").alias("__kept"))
+    several = cut_lineage(named.join(groups.filter("n > 1").select("__group"), "__group").select("__key").distinct())
+    alone = neardup.may_hold(keyed, several, "__key", inside=False)
+    rest = neardup.may_hold(keyed, several, "__key").join(
+        staying, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__kept")))
+    first = rest.dropDuplicates(["__id", "__kept"])
+    return alone.select(*docs.columns).unionByName(first.select(*docs.columns))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
