@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .words import n_words, seeded
 
+# Sources up to which their table, one short row each, is broadcast; beyond it they are joined by shuffling.
+BROADCAST_SOURCES = 100_000
+
 
 def targets(sources: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3) -> DataFrame:
     """Target size per source from (`source`, `source_size`).
@@ -87,7 +90,7 @@ def mix(docs: DataFrame, keep: Sequence[str] | None = None, id_col: str = "doc_i
     a document's `taken` is what those blocks cover of it, so never above `cap` times its size.
 
     Shards bound what one task sorts: a source has one per `shard_words` words, up to `max_shards`, and holds
-    narrow rows (what `keep` names). Null text, or one without words, has size 0 and takes nothing. A null source is a
+    narrow rows (what `keep` names). The documents are shuffled once, to their shards. Null text, or one without words, has size 0 and takes nothing. A null source is a
     source of its own, last in order. Repeated rows count each for itself. An empty table gives an empty result.
     Columns of `docs` cannot clash with the results, which sit beside `row`.
     """
@@ -101,8 +104,11 @@ def mix(docs: DataFrame, keep: Sequence[str] | None = None, id_col: str = "doc_i
     quotas = apportion(blocks, "target", "__blocks", "__most", "rank").withColumn(
         "__shards", F.greatest(F.lit(1), F.least(F.lit(max_shards), F.ceil(F.col("source_size") / shard_words))))
 
+    few = docs.select(source_col).distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+
     def dealt(frame: DataFrame) -> DataFrame:
         known = quotas.select(F.col("source").alias("__source"), "rank", "source_size", "target", "quota", "__shards")
+        known = F.broadcast(known) if few else known
         return (frame.join(known, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
                 .withColumn("shard", F.pmod(seeded(seed, F.col("__id")), F.col("__shards"))))
 
