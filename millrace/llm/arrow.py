@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -22,6 +24,15 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def release() -> None:
+    """Hands memory that Python and Arrow no longer use back to the system; reused workers would sit on it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def kept_row(docs: DataFrame, keep: Sequence[str] | None) -> Column:
     """The kept columns as one struct, so that new columns cannot clash with them."""
     return F.struct(*(F.col(f"`{c}`") for c in (docs.columns if keep is None else keep))).alias("row")
@@ -39,10 +50,12 @@ def extend(docs: DataFrame, keep: Sequence[str] | None, inputs: Sequence[Column]
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fn = make()
+        fn, batch = make(), None
         for batch in batches:
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *fn(batch)], names=names)
+        fn = batch = None
+        release()
 
     return rows.mapInArrow(run, schema)
 

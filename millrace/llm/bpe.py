@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import Shared
-from .arrow import bounded_batches, extend, kept_row
+from .arrow import bounded_batches, extend, kept_row, release
 
 # Characters of text whose pre-tokens share one dictionary: a block. A longer text is a block of its own.
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 12_000_000
 # Largest vocabulary file that may be broadcast, in bytes.
 VOCABULARY_BYTES = 64_000_000
 
@@ -132,16 +132,17 @@ def _pre_tokens(rows: DataFrame, pattern: str, shards: int) -> DataFrame:
             for seq, (places, sizes, row) in enumerate(held):
                 yield record(block % shards, block, seq, pack(rank[places]), pack(sizes), b"", row)
             found = list(number)
-            by_shard: dict[int, list] = {}
-            for place, k in enumerate(order.tolist()):
-                raw = found[k].encode()
-                by_shard.setdefault(zlib.crc32(raw) % shards, []).append((place, raw))
-            for shard, words in by_shard.items():
-                places = np.array([p for p, _ in words])
-                data = zstandard.ZstdCompressor(level=3).compress(b"".join(w for _, w in words))
-                yield record(shard, block, -1, pack(np.diff(places, prepend=0)), pack([len(w) for _, w in words]), data,
-                             held[0][2].slice(0, 0))
-
+            raw = [found[k].encode() for k in order.tolist()]
+            shard_of = np.array([zlib.crc32(w) % shards for w in raw], np.int64)
+            for places in np.split(np.argsort(shard_of, kind="stable"), np.cumsum(np.bincount(shard_of))[:-1]):
+                if not len(places):
+                    continue
+                words = [raw[p] for p in places.tolist()]
+                data = zstandard.ZstdCompressor(level=3).compress(b"".join(words))
+                yield record(int(shard_of[places[0]]), block, -1, pack(np.diff(places, prepend=0)),
+                             pack([len(w) for w in words]), data, held[0][2].slice(0, 0))
+
+        batch = row = texts = None
         for batch in batches:
             row, texts = batch.column(0), batch.column(1)
             lo = 0
@@ -161,8 +162,11 @@ def _pre_tokens(rows: DataFrame, pattern: str, shards: int) -> DataFrame:
                 if chars >= BLOCK_CHARS:
                     yield from whole_block()
                     number, held, block, chars = {}, [], block + 1, 0
+                    release()
         if held:
             yield from whole_block()
+        number = held = batch = row = texts = None
+        release()
 
     return rows.mapInArrow(run, T.StructType([*PARTS, T.StructField("rows", T.ArrayType(row_type))]))
 
@@ -172,6 +176,7 @@ def _encode_words(parts: DataFrame, vocabulary: Shared) -> DataFrame:
     own: dict = {}
 
     def run(group: pa.Table) -> pa.Table:
+        release()
         if "encode" not in own:
             own["encode"] = vocabulary.value.encoding().encode_ordinary
         ids: dict[bytes, list[int]] = {}
@@ -199,6 +204,7 @@ def _reassemble(parts: DataFrame) -> DataFrame:
     row_type = parts.schema["rows"].dataType.elementType
 
     def run(group: pa.Table) -> pa.Table:
+        release()
         seqs = group.column("seq").to_pylist()
         places, sizes, data = (group.column(c) for c in ("places", "sizes", "data"))
         flat, word, length = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import Shared
-from .arrow import bounded_batches, extend, flat_bytes
+from .arrow import bounded_batches, extend, flat_bytes, release
 
 UNKNOWN = "und"
 BREAK = 10  # the byte that stands before a text
@@ -77,6 +77,8 @@ def gram_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * len(code), pa.string()), pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))],
                 names=["lang", "gram", "n"])
+        sums.clear()
+        release()
 
     return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 

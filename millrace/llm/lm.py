@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import Shared, cut_lineage
-from .arrow import bounded_batches, kept_row
+from .arrow import bounded_batches, kept_row, release
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 END, START = b"\n", b"\n\n"  # tokens that no text can hold
 PRIOR = 16.0  # weight of the unigram model in a context, in tokens
-SHARD_TOKENS = 3_000_000
+SHARD_TOKENS = 2_000_000
 HOT_SHARE = 2000  # a word with 1 / HOT_SHARE of all tokens is spread over the shards; there are at most so many
 FLUSH = 500_000
 LEVELS = 65535  # steps of a quantised value
@@ -165,6 +165,8 @@ def unigrams(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 counts.clear()
         if counts:
             yield flush()
+        counts.clear()
+        release()
 
     return texts.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -261,6 +263,7 @@ def _shard_scores(parts: DataFrame, known: Shared, tokens: int, distinct: int, p
     floor = np.log10(tokens + distinct + 1)
 
     def run(group: pa.Table) -> pa.Table:
+        release()
         cells = {c: group.column(c).to_pylist() for c in PARTS.names}
         found = [k for k, w in enumerate(cells["words"]) if w is not None]
         if not found:
