@@ -195,7 +195,7 @@ def test_boosting(blobs):
 def test_boosting_single_split(spark):
     rows = [(float(i), 1.0 if i < 10 else 5.0) for i in range(30)]
     df = spark.createDataFrame([([a], b) for a, b in rows], "x array<double>, y double")
-    fit = tr.boost_reg(df, "x", "y", [2.0], n_trees=1, depth=1, eta=1.0, n_bins=64).fit
+    fit = tr.boost_reg(df, "x", "y", [2.0], n_trees=1, depth=1, eta=1.0, n_bins=64, base=0.5).fit
     got = {r["x"][0]: r["prediction"] for r in fit.transform(df, "x").collect()}
     # leaf = -soft(G, 2) / (H + 1) around the base 0.5
     assert abs(got[0.0] - (0.5 + (10 * 0.5 - 2) / 11)) < 1e-9
