@@ -17,7 +17,7 @@ from .arrow import bounded_batches, extend, flat_bytes, release
 
 UNKNOWN = "und"
 BREAK = 10  # the byte that stands before a text
-CHUNK = 1 << 21  # bytes scored at a time
+CHUNK = 1 << 18  # bytes scored at a time
 FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
           T.StructField("bits_per_byte", T.DoubleType())]
 
