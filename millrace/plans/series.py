@@ -123,7 +123,7 @@ def _(t):
 
 @query("lag_forecast_boosted")
 def _(t):
-    out = fc.lag_forecast(split_daily(t), "close", 20, "day", "is_test", BY, est="boosted", n_trees=10, depth=3)
+    out = fc.lag_forecast(split_daily(t), "close", 120, "day", "is_test", BY, est="boosted", n_trees=100, depth=3)
     return ev.rmse(out, "close", "prediction", BY)
 
 
