@@ -18,24 +18,83 @@ from .arrow import bounded_batches, extend, flat_bytes, release
 UNKNOWN = "und"
 BREAK = 10  # the byte that stands before a text
 CHUNK = 1 << 18  # bytes scored at a time
+GROUP = 4  # languages that share a tree: with more, a follower of one has an empty cell for most others
 FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
           T.StructField("bits_per_byte", T.DoubleType())]
 
 
 @dataclass
-class Tables:
-    """A union of the languages' context trees as dense tables.
-
-    A state is a context of up to three bytes. `one[b]` is the state after byte b, `two[a << 8 | b]` after two,
-    `three[pair * 256 + x]` after three, where `pair` numbers the known pairs and x is the byte before them; unknown
-    contexts map to their longest known suffix. `bits[state * 256 + byte]` has one code length per language.
+class Trees:
+    """The context trees of a few languages: every context of up to three bytes and every follower it was seen with.
+
+    A state is a context. `two[a << 8 | b]` is the state after two bytes, `three[pair * 256 + x]` after three, where
+    `pair` numbers the known pairs and x is the byte before them; unknown contexts map to their longest known suffix.
+    The followers of a state are the bits set in its four words of `follows`; `before` counts those of earlier words.
+    All arrays of floats have one column per language. `logs` and `bits` have a row per follower: log2 of its count
+    (-inf where unseen) and its code length. The others have a row per state: `total` is log2 of what counts are
+    divided by, `escape` the code length of an escape, `left` and `further` the same in the suffix without the
+    followers the state had.
     """
 
-    languages: list[str]
     two: np.ndarray
     pair: np.ndarray
     three: np.ndarray
-    bits: np.ndarray
+    suffix: np.ndarray
+    follows: np.ndarray
+    before: np.ndarray
+    logs: np.ndarray
+    total: np.ndarray
+    escape: np.ndarray
+    left: np.ndarray
+    further: np.ndarray
+    lowest: np.ndarray  # code length of a byte that no context had, one per language
+    bits: np.ndarray | None = None
+
+    def find(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The follower's row, -1 where the state lacks it."""
+        key = state.astype(np.int64) * 256 + symbol
+        word, bit = self.follows[key >> 6], (key & 63).astype(np.uint64)
+        low = np.bitwise_count(word & ((np.uint64(1) << bit) - np.uint64(1)))
+        return np.where((word >> bit) & np.uint64(1), self.before[key >> 6] + low, -1)
+
+    def walk(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Code lengths by PPM: down the suffixes until a language has the byte."""
+        def seen(at):
+            row = self.find(at, symbol)
+            return np.where((row >= 0)[:, None], self.logs[row], -np.inf)
+
+        log = seen(state)
+        open_ = np.isneginf(log)
+        out = np.where(open_, self.escape[state], self.total[state] - np.where(open_, 0, log))
+        while True:
+            out += np.where(open_ & (state == 0)[:, None], self.lowest, 0)
+            open_ &= (state > 0)[:, None]
+            if not open_.any():
+                return out
+            below = self.suffix[state]
+            log = seen(below)
+            hit = open_ & ~np.isneginf(log)
+            out += np.where(hit, self.left[state] - np.where(hit, log, 0), np.where(open_, self.further[state], 0))
+            open_ &= ~hit
+            state = below
+
+    def cost(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """As `walk`, from the stored code lengths where there are any."""
+        row = self.find(state, symbol)
+        out = self.bits[row]
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            key, back = np.unique(state[new].astype(np.int64) * 256 + symbol[new], return_inverse=True)
+            out[new] = self.walk(key >> 8, key & 255)[back]
+        return out
+
+
+@dataclass
+class Tables:
+    """The languages and the trees of every GROUP of them."""
+
+    languages: list[str]
+    trees: list[Trees]
 
 
 def _previous(flat: np.ndarray, starts: np.ndarray, back: int) -> np.ndarray:
@@ -83,75 +142,70 @@ def gram_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
     return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def build(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, cells: int = 1 << 23) -> Tables:
-    """Code lengths of every byte after every kept context, by PPM with escape method C and exclusions.
+def build(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> Tables:
+    """Context trees of all languages, for PPM with escape method C and exclusions.
 
     A context seen n times with q different followers gives c / (n + q) to a follower seen c times and
     q / (n + q) to an escape into its suffix, where followers it had are left out. Below the empty context every byte left
-    is equally likely. `cells` bounds the table: contexts times 256 times languages; the most frequent contexts stay,
-    a suffix always before what extends it.
+    is equally likely. No context is dropped: the size follows the number of different grams.
     """
-    room = max(257, cells // (256 * len(languages)))
-    symbol, last = (gram & 255), gram >> 8
-    total1, total2, total3 = (np.unique(last & mask, return_inverse=True) for mask in (0xFF, 0xFFFF, 0xFFFFFF))
-    size = [np.bincount(t[1], n) for t in (total1, total2, total3)]
-    longer = np.concatenate([np.stack([t[0], np.full(len(t[0]), k), s], 1) for k, t, s in
-                             ((2, total2, size[1]), (3, total3, size[2]))])
-    order = np.lexsort((longer[:, 0], longer[:, 1], -longer[:, 2]))
-    longer = longer[order[:max(0, room - 1 - len(total1[0]))]]
-    one_keys = total1[0].astype(np.int64)
-    two_keys = np.sort(longer[longer[:, 1] == 2, 0]).astype(np.int64)
-    three_keys = np.sort(longer[longer[:, 1] == 3, 0]).astype(np.int64)
+    trees = []
+    for lo in range(0, len(languages), GROUP):
+        names = languages[lo:lo + GROUP]
+        code = np.full(len(lang), -1)
+        for k, name in enumerate(names):
+            code[lang == name] = k
+        mine = code >= 0
+        trees.append(_trees(len(names), code[mine], gram[mine], n[mine]))
+    return Tables(list(languages), trees)
+
+
+def _trees(width: int, code: np.ndarray, gram: np.ndarray, n: np.ndarray) -> Trees:
+    symbol, last = (gram & 255).astype(np.int64), (gram >> 8).astype(np.int64)
+    (one_keys, in_one), (two_keys, in_two), (three_keys, in_three) = (
+        np.unique(last & mask, return_inverse=True) for mask in (0xFF, 0xFFFF, 0xFFFFFF))
+    first_two, first_three = 1 + len(one_keys), 1 + len(one_keys) + len(two_keys)
+    states = first_three + len(three_keys)
 
     one = np.zeros(256, np.int32)
     one[one_keys] = 1 + np.arange(len(one_keys))
     two = np.tile(one, 256)  # index a << 8 | b: the state of b where a b is unknown
-    two[two_keys] = 1 + len(one_keys) + np.arange(len(two_keys))
+    two[two_keys] = first_two + np.arange(len(two_keys))
     pair = np.zeros(1 << 16, np.int32)
     pairs = np.unique(three_keys & 0xFFFF)
     pair[pairs] = 1 + np.arange(len(pairs))
     three = np.zeros((len(pairs) + 1) * 256, np.int32)
     three[256:] = np.repeat(two[pairs], 256)
-    three[pair[three_keys & 0xFFFF] * 256 + (three_keys >> 16)] = 1 + len(one_keys) + len(two_keys) + np.arange(
-        len(three_keys))
-    states = 1 + len(one_keys) + len(two_keys) + len(three_keys)
+    three[pair[three_keys & 0xFFFF] * 256 + (three_keys >> 16)] = first_three + np.arange(len(three_keys))
     suffix = np.zeros(states, np.int32)
-    suffix[1 + len(one_keys):1 + len(one_keys) + len(two_keys)] = one[two_keys & 0xFF]
-    suffix[states - len(three_keys):] = two[three_keys & 0xFFFF]
-    levels = np.split(np.arange(states), np.cumsum([1, len(one_keys), len(two_keys)]))
-
-    def find(keys: np.ndarray, context: np.ndarray, first: int) -> np.ndarray:
-        at = np.minimum(np.searchsorted(keys, context), max(0, len(keys) - 1))
-        known = keys[at] == context if len(keys) else np.zeros(len(context), bool)
-        return np.where(known, first + at, -1)
-
-    homes = [np.zeros(len(gram), np.int64), one[last & 0xFF].astype(np.int64),
-             find(two_keys, last & 0xFFFF, 1 + len(one_keys)),
-             find(three_keys, last & 0xFFFFFF, states - len(three_keys))]
-    bits = np.empty((states, 256, len(languages)), np.float32)
-    for k, name in enumerate(languages):
-        mine = lang == name
-        seen = np.zeros(states * 256)
-        for home in homes:
-            ok = mine & (home >= 0)
-            seen += np.bincount(home[ok] * 256 + symbol[ok], n[ok], minlength=states * 256)
-        seen = seen.reshape(states, 256)
-        tail = np.empty((states, 256))  # bits of a byte that the context lacks, after its escape
-        tail[0] = np.log2(max(1, 256 - np.count_nonzero(seen[0])))
-        for level in levels[1:]:
-            if not len(level):
-                continue
-            below, missing = suffix[level], seen[level] == 0
-            left = np.where(missing, seen[below], 0.0)
-            q, m = np.count_nonzero(left, axis=1)[:, None], left.sum(1)[:, None]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                escape = np.where(q > 0, -np.log2(q / (m + q)), 0.0)
-                tail[level] = np.where(left > 0, -np.log2(left / (m + q)), escape + tail[below])
-        q, m = np.count_nonzero(seen, axis=1)[:, None], seen.sum(1)[:, None]
+    suffix[first_two:first_three] = one[two_keys & 0xFF]
+    suffix[first_three:] = two[three_keys & 0xFFFF]
+
+    homes = (np.zeros(len(gram), np.int64), 1 + in_one, first_two + in_two, first_three + in_three)
+    keys, row = np.unique(np.concatenate([home * 256 + symbol for home in homes]), return_inverse=True)
+    counts = np.bincount(row * width + np.tile(code, 4), np.tile(n, 4), minlength=len(keys) * width).reshape(-1, width)
+    owner = keys >> 8
+    # What a state has, its suffix has too.
+    below = np.searchsorted(keys, suffix[owner].astype(np.int64) * 256 + (keys & 255))
+    sums = lambda x: np.stack([np.bincount(owner, x[:, k], minlength=states) for k in range(width)], 1)
+    size, kinds = sums(counts), sums(counts > 0)
+    rest, others = size[suffix] - sums(np.where(counts > 0, counts[below], 0)), kinds[suffix] - kinds
+
+    def logs(m, q):
         with np.errstate(divide="ignore", invalid="ignore"):
-            escape = np.where(q > 0, -np.log2(q / (m + q)), 0.0)
-            bits[:, :, k] = np.where(seen > 0, -np.log2(seen / (m + q)), escape + tail)
-    return Tables(list(languages), two, pair, three, bits.reshape(states * 256, len(languages)))
+            return (np.where(q > 0, np.log2(m + q), 0.0).astype(np.float32),
+                    np.where(q > 0, -np.log2(q / (m + q)), 0.0).astype(np.float32))
+
+    follows = np.zeros(states * 4, np.uint64)
+    np.bitwise_or.at(follows, keys >> 6, np.uint64(1) << (keys & 63).astype(np.uint64))
+    before = np.searchsorted(keys, np.arange(states * 4) * 64)
+    with np.errstate(divide="ignore"):
+        found = np.log2(counts).astype(np.float32)
+    lowest = np.log2(np.maximum(1, 256 - kinds[0])).astype(np.float32)
+    tree = Trees(two, pair, three, suffix, follows, before, found, *logs(size, kinds), *logs(rest, others), lowest)
+    tree.bits = np.concatenate([tree.walk(owner[at:at + CHUNK], keys[at:at + CHUNK] & 255)
+                                for at in range(0, len(keys), CHUNK)]).astype(np.float32)
+    return tree
 
 
 def code_lengths(model: Tables, strings: pa.Array) -> np.ndarray:
@@ -171,16 +225,17 @@ def code_lengths(model: Tables, strings: pa.Array) -> np.ndarray:
         local = inside[inside >= margin] - margin
         prev = [_previous(piece, local, back)[lo - margin:].astype(np.int32) for back in (1, 2, 3)]
         suffix = (prev[1] << 8) | prev[0]
-        known = model.pair[suffix]
-        state = np.where(known > 0, model.three[known * 256 + prev[2]], model.two[suffix])
-        cost = model.bits[state.astype(np.int64) * 256 + flat[lo:hi]]
         cuts = np.maximum(inside, lo) - lo
-        out[filled[first:first + len(inside)]] += np.add.reduceat(cost, cuts, axis=0, dtype=np.float64)
+        for k, tree in enumerate(model.trees):
+            known = tree.pair[suffix]
+            state = np.where(known > 0, tree.three[known * 256 + prev[2]], tree.two[suffix])
+            cost = tree.cost(state, flat[lo:hi])
+            out[filled[first:first + len(inside)], k * GROUP:(k + 1) * GROUP] += np.add.reduceat(
+                cost, cuts, axis=0, dtype=np.float64)
     return out
 
 
-def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", sample_docs: int = 2000,
-          cells: int = 1 << 23) -> Tables | None:
+def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", sample_docs: int = 2000) -> Tables | None:
     """Fit on about `sample_docs` whole texts per language, drawn by hash; None without a labelled text.
 
     The bound makes the statistics a constant amount whatever the size of `docs`: at most 256^4 grams, and in
@@ -196,7 +251,7 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", sampl
     if not len(counted):
         return None
     return build(sorted(counted["lang"].unique()), counted["lang"].to_numpy(), counted["gram"].to_numpy(np.int64),
-                 counted["n"].to_numpy(np.float64), cells)
+                 counted["n"].to_numpy(np.float64))
 
 
 def identify(docs: DataFrame, model: Tables | None, keep: Sequence[str] | None = None,

@@ -122,6 +122,33 @@ def test_code_lengths_are_ppm():
             assert got[k, j] == pytest.approx(want, rel=1e-5)
 
 
+def test_code_lengths_keep_every_context():
+    """Forty languages of many contexts: code lengths are still those of the whole tree."""
+    rng = np.random.default_rng(3)
+    names = [f"l{k:02d}" for k in range(40)]
+    train = {name: bytes(rng.integers(97, 123, 3000).tolist()) for name in names}
+    lang, gram, n, counts = [], [], [], {}
+    for name, text in train.items():
+        own, trees, raw = collections.Counter(), collections.defaultdict(collections.Counter), b"\n\n\n" + text
+        for i in range(3, len(raw)):
+            own[int.from_bytes(raw[i - 3:i + 1], "big")] += 1
+            for k in range(4):
+                trees[raw[i - k:i]][raw[i]] += 1
+        lang += [name] * len(own)
+        gram += list(own)
+        n += list(own.values())
+        counts[name] = trees
+    model = langid.build(names, np.array(lang, object), np.array(gram), np.array(n, float))
+    texts = [train["l07"][500:540].decode(), train["l33"][:30].decode() + "é"]
+    got = langid.code_lengths(model, pa.array(texts))
+    for k, text in enumerate(texts):
+        raw = b"\n\n\n" + text.encode()
+        for j, name in enumerate(names):
+            want = sum(ppm_bits(counts[name], 256, raw[i - 3:i], raw[i]) for i in range(3, len(raw)))
+            assert got[k, j] == pytest.approx(want, rel=1e-5)
+    assert got.argmin(1).tolist() == [7, 33]
+
+
 def test_pieces_of_a_long_text_score_as_one(monkeypatch):
     rng = np.random.default_rng(1)
     gram = rng.integers(0, 1 << 32, 500)
