@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..session import Shared
 from .arrow import bounded_batches, extend, flat_bytes, release
+from .sampling import distinct_texts
 
 UNKNOWN = "und"
 BREAK = 10  # the byte that stands before a text
@@ -236,18 +237,13 @@ def code_lengths(model: Tables, strings: pa.Array) -> np.ndarray:
 
 
 def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", sample_docs: int = 2000) -> Tables | None:
-    """Fit on about `sample_docs` whole texts per language, drawn by hash; None without a labelled text.
+    """Fit on `sample_docs` distinct whole texts per language, or all where there are fewer; None without a labelled text.
 
     The bound makes the statistics a constant amount whatever the size of `docs`: at most 256^4 grams, and in
-    practice some hundred thousand per language.
+    practice some hundred thousand per language. A text counts once, so copies do not outweigh other texts.
     """
     labelled = docs.filter(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    sizes = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}
-    if not sizes:
-        return None
-    share = F.create_map(*(F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, sample_docs / v))))
-    draw = F.pmod(F.xxhash64(text_col), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    counted = gram_counts(labelled.filter(draw < share[F.col(lang_col)]), lang_col, text_col).toPandas()
+    counted = gram_counts(distinct_texts(labelled, sample_docs, text_col, lang_col), "by", "text").toPandas()
     if not len(counted):
         return None
     return build(sorted(counted["lang"].unique()), counted["lang"].to_numpy(), counted["gram"].to_numpy(np.int64),

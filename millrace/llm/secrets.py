@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..session import Shared
 from .arrow import bounded_batches, extend
+from .sampling import distinct_texts
 
 KINDS = ("assign", "access", "hex")
 FOUND = "crf"  # the kind of spans the field adds
@@ -236,14 +237,13 @@ def fit(examples: list[tuple[list[str], list[int], list[int]]], rounds: int = 60
 
 def learn(docs: DataFrame, text_col: str = "text", sample_docs: int = 20_000,
           plain_windows: int = 3000) -> Field | None:
-    """Fit on about `sample_docs` documents drawn by hash, tagged by the fixed patterns.
+    """Fit on all documents, or on `sample_docs` distinct texts where there are more, tagged by the fixed patterns.
 
     All their tagged windows are examples, and up to `plain_windows` of the others.
     """
-    total = docs.count()
-    draw = F.pmod(F.xxhash64(text_col), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    taken = docs if total <= sample_docs else docs.filter(draw < sample_docs / total)
-    rows = training_windows(taken, text_col).toPandas()
+    few = docs.count() <= sample_docs
+    taken = docs.select(F.col(text_col).alias("text")) if few else distinct_texts(docs, sample_docs, text_col)
+    rows = training_windows(taken, "text").toPandas()
     examples = sorted((list(w), list(t), list(f)) for w, t, f in zip(rows["words"], rows["tags"], rows["facts"],
                                                                     strict=True))
     plain = [x for x in examples if not any(x[1])]
