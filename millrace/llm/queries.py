@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, langid, licenses, lm, mixing, neardup, privacy, secrets
+from . import align, bpe, fingerprints, langid, licenses, lm, mixing, neardup, privacy, secrets, token_counts
 from . import quality as rules
+from .words import text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -108,3 +109,30 @@ def op3(spark, folder):
 def op8(spark, folder):
     found = licenses.scan(documents(spark, folder), licenses.known_digests(spark), keep=["doc_id"])
     return found.select("row.doc_id", F.concat_ws(",", "whole").alias("whole"), F.concat_ws(",", "lines").alias("lines"))
+
+
+@query("op12_token_counts")
+def op12(spark, folder):
+    import public_tokenizers
+
+    content = token_counts.read_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    docs = documents(spark, folder).select("doc_id", "text", F.octet_length(text_or_empty("text")).alias("n_bytes"))
+    found = token_counts.count_tokens(docs, content, keep=["doc_id", "n_bytes"])
+    return found.select("row.doc_id", F.col("row.n_bytes").cast("long").alias("n_bytes"), "n_tokens",
+                        (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+@query("op13_token_alignment")
+def op13(spark, folder):
+    import public_tokenizers
+
+    side_a = align.ByteLevel(public_tokenizers.path("byte_bpe_50k.json"))
+    side_b = align.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    aligned = align.align(documents(spark, folder), side_a, side_b, keep=["doc_id"])
+    figures = {"n_a": F.size("a_ids"), "n_b": F.size("b_ids"), "n_groups": F.size("a_cut"), "n_links": F.size("link_count"),
+               "n_best": F.size(F.filter("link_best", lambda x: x)),
+               "count_sum": F.aggregate("link_count", F.lit(0).cast("long"), lambda x, y: x + y)}
+    counted = aligned.select("row.doc_id", "a_ids", "b_ids", "a_cut", "b_cut",
+                             *(v.cast("long").alias(k) for k, v in figures.items()))
+    digested = align.group_digests(counted, keep=["doc_id", *figures])
+    return digested.select("row.*", "groups_sha256")
