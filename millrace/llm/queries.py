@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, bpe, fingerprints, langid, licenses, lm, mixing, neardup, privacy, secrets, token_counts
+from . import align, bpe, fingerprints, langid, licenses, lm, mixing, neardup, phrases, privacy, secrets, token_counts
 from . import quality as rules
 from .words import text_or_empty
 
@@ -136,3 +136,8 @@ def op13(spark, folder):
                              *(v.cast("long").alias(k) for k, v in figures.items()))
     digested = align.group_digests(counted, keep=["doc_id", *figures])
     return digested.select("row.*", "groups_sha256")
+
+
+@query("op11_collocations", phrases.COLLOCATION_SQL)
+def op11(spark, folder):
+    return phrases.collocations(documents(spark, folder).select("text", "lang"))
