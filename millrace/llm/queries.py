@@ -117,7 +117,7 @@ def op12(spark, folder):
 
     content = token_counts.read_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
     docs = documents(spark, folder).select("doc_id", "text", F.octet_length(text_or_empty("text")).alias("n_bytes"))
-    found = token_counts.count_tokens(docs, content, keep=["doc_id", "n_bytes"])
+    found = token_counts.count_tokens(docs, content, keep=["doc_id", "n_bytes"], words=True)
     return found.select("row.doc_id", F.col("row.n_bytes").cast("long").alias("n_bytes"), "n_tokens",
                         (F.col("n_tokens") > 2048).alias("over_limit"))
 

@@ -17,12 +17,14 @@ from pyspark.sql import types as T
 from ..session import Shared
 from .arrow import bounded_batches, kept_row, release
 from .blocks import ASK, answer, parts_schema, record, shard_ranges, together
-from .bpe import pack, unpack
+from .bpe import gather, pack, unpack
 
 # Characters of text whose pre-tokens share one dictionary. A longer text is a block of its own.
 BLOCK_CHARS = 8_000_000
 # Largest tokenizer file that may be broadcast, in bytes.
 TOKENIZER_BYTES = 64_000_000
+# Texts on which a pre-tokenizer that is said to drop spaces is tried.
+PROBES = [" ", "a b", " a  b ", "it's 's 1 23 ! ?", "a' s", "- -", "x\ny z", "é 東 京"]
 
 
 def read_tokenizer(path: str) -> str:
@@ -35,34 +37,57 @@ def read_tokenizer(path: str) -> str:
 
 
 class PreTokens:
-    """The library's steps before its model: strings of added tokens, normalisation, pre-tokens."""
+    """The library's steps before its model: strings of added tokens, normalisation, pre-tokens.
 
-    def __init__(self, content: str):
+    `words`: the pre-tokenizer drops spaces and never matches across one, so that a text's pre-tokens are those of its
+    space-separated words; `cut` then gives words, and `pre_tokens` cuts each distinct word.
+    """
+
+    def __init__(self, content: str, words: bool = False):
         import regex
         from tokenizers import Tokenizer
 
-        self.own = Tokenizer.from_str(content)
+        self.own, self.words = Tokenizer.from_str(content), words
         added = json.loads(content).get("added_tokens") or []
         odd = [t["content"] for t in added if t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"]]
         if odd:
             raise ValueError(f"added tokens that are not matched literally in the raw text: {odd}")
         whole = sorted((t["content"] for t in added), key=len, reverse=True)
         self.added = regex.compile("|".join(map(regex.escape, whole))) if whole else None
+        for probe in PROBES if words else ():
+            if self.pre_tokens(probe) != [p for w in probe.split(" ") for p in self.pre_tokens(w)]:
+                raise ValueError(f"the pre-tokenizer does not cut {probe!r} at its spaces")
+
+    def pre_tokens(self, text: str) -> list[str]:
+        if not text:
+            return []
+        split = self.own.pre_tokenizer
+        return [piece for piece, _ in split.pre_tokenize_str(text)] if split is not None else [text]
 
     def cut(self, text: str) -> tuple[list[str], int]:
-        """The pre-tokens of a text in order, and how often strings of added tokens stand in it."""
+        """The pre-tokens (or words) of a text in order, and how often strings of added tokens stand in it."""
         parts = self.added.split(text) if self.added else [text]
-        normalise, split = self.own.normalizer, self.own.pre_tokenizer
+        normalise = self.own.normalizer
         out: list[str] = []
         for part in parts:
             if part and normalise is not None:
                 part = normalise.normalize_str(part)
             if part:
-                out += [piece for piece, _ in split.pre_tokenize_str(part)] if split is not None else [part]
+                out += part.split(" ") if self.words else self.pre_tokens(part)
         return out, len(parts) - 1
 
 
-def _frequencies(rows: DataFrame, content: Shared, shards: int) -> DataFrame:
+def _by_text(place: np.ndarray, times: np.ndarray, per_text: np.ndarray, firsts: np.ndarray, flat: np.ndarray):
+    """Numbers of words per text become numbers of their pre-tokens, ascending per text, with summed frequencies."""
+    n = np.diff(firsts)[place]
+    text = np.repeat(np.repeat(np.arange(len(per_text)), per_text), n)
+    key = text << 32 | gather(flat, firsts[place], n)
+    key, own = np.unique(key, return_inverse=True)
+    total = np.bincount(own, np.repeat(times, n), len(key)).astype(np.int64)
+    return key & 0xFFFFFFFF, total, np.bincount(key >> 32, minlength=len(per_text))
+
+
+def _frequencies(rows: DataFrame, content: Shared, words: bool, shards: int) -> DataFrame:
     """Records of blocks: per text the numbers and frequencies of its distinct pre-tokens; per shard its pre-tokens.
 
     Numbers are ranks by frequency within the block. Carried data: numbers as differences within a text, frequencies,
@@ -71,33 +96,34 @@ def _frequencies(rows: DataFrame, content: Shared, shards: int) -> DataFrame:
     schema = parts_schema(rows.schema["row"].dataType)
 
     def run(batches):
-        steps = PreTokens(content.value)
+        steps = PreTokens(content.value, words)
         part = TaskContext.get().partitionId()
         number: dict[str, int] = {}
         held: list[tuple] = []
         block, chars = part << 32, 0
 
         def whole_block():
-            uses = np.zeros(len(number), np.int64)
-            for places, times, *_ in held:
-                uses += np.bincount(places, times, len(number)).astype(np.int64)
+            found: dict[str, int] = {}
+            cut = [steps.pre_tokens(w) if words else [w] for w in number]
+            firsts = np.concatenate([[0], np.cumsum([len(x) for x in cut])]).astype(np.int64)
+            flat = np.fromiter((found.setdefault(p, len(found)) for x in cut for p in x), np.int64, firsts[-1])
+            uses = np.bincount(flat, np.repeat(sum(np.bincount(place, times, len(number)) for place, times, *_ in held),
+                                               np.diff(firsts)), len(found))
             order = np.argsort(-uses, kind="stable")
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
-            for seq, (places, times, per_text, added, row) in enumerate(held):
-                text = np.repeat(np.arange(len(per_text)), per_text)
-                by_rank = np.lexsort((rank[places], text))
-                own = rank[places][by_rank]
-                first = np.concatenate([[True], text[1:] != text[:-1]])[:len(own)]
-                steps_up = np.where(first, own, np.diff(own, prepend=0))
-                yield record(block % shards, block, seq, [pack(steps_up), pack(times[by_rank]), pack(per_text),
-                                                          pack(added)], row)
-            found = list(number)
-            raw = [found[k].encode() for k in order.tolist()]
+            for seq, (place, times, per_text, added, row) in enumerate(held):
+                own, total, distinct = _by_text(place, times, per_text, firsts, rank[flat])
+                first = np.zeros(len(own), bool)
+                first[(np.cumsum(distinct) - distinct)[distinct > 0]] = True
+                yield record(block % shards, block, seq, [pack(np.where(first, own, np.diff(own, prepend=0))), pack(total),
+                                                          pack(distinct), pack(added)], row)
+            raw = list(found)
+            raw = [raw[k].encode() for k in order.tolist()]
             for shard, places in shard_ranges(np.array([zlib.crc32(w) % shards for w in raw], np.int64)):
-                words = [raw[p] for p in places.tolist()]
-                data = zstandard.ZstdCompressor(level=3).compress(b"".join(words))
-                yield record(shard, block, ASK, [pack(np.diff(places, prepend=0)), pack([len(w) for w in words]), data],
+                own = [raw[p] for p in places.tolist()]
+                data = zstandard.ZstdCompressor(level=3).compress(b"".join(own))
+                yield record(shard, block, ASK, [pack(np.diff(places, prepend=0)), pack([len(w) for w in own]), data],
                              held[0][-1].slice(0, 0))
 
         for batch in batches:
@@ -115,8 +141,8 @@ def _frequencies(rows: DataFrame, content: Shared, shards: int) -> DataFrame:
                     added.append(n_added)
                     chars += len(text)
                     hi += 1
-                held.append((np.concatenate(places).astype(np.int32), np.concatenate(times), np.array(per_text),
-                             np.array(added), row.slice(lo, hi - lo)))
+                held.append((np.concatenate(places).astype(np.int32), np.concatenate(times).astype(np.int32),
+                             np.array(per_text), np.array(added), row.slice(lo, hi - lo)))
                 lo = hi
                 if chars >= BLOCK_CHARS:
                     yield from whole_block()
@@ -177,14 +203,15 @@ def _sums(answers: list[list[bytes]], carried: list[tuple]) -> list[pa.RecordBat
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, keep: Sequence[str] | None = None, text_col: str = "text",
-                 shards: int | None = None) -> DataFrame:
+                 words: bool = False, shards: int | None = None) -> DataFrame:
     """`row` (struct of the `keep` columns) and `n_tokens` (long) of every whole text under a tokenizers .json.
 
     `tokenizer` is the file's content (`read_tokenizer`). Strings of added tokens inside a text count one each, as the
     library has it by default; nothing is added, cut off or padded. Each text becomes a sparse list of distinct
     pre-tokens and their frequencies. A block's distinct pre-tokens go to the shard of their hash, where the model cuts
     each into pieces once and only their number goes back; frequencies times numbers are summed per text, and no id is
-    ever kept. `shards` defaults to the session's shuffle partitions.
+    ever kept. `words` says that the tokenizer's pre-tokens never hold or cross a space (tried on PROBES; ValueError): each
+    distinct word of a block is then cut into pre-tokens once. `shards` defaults to the session's shuffle partitions.
 
     Null and empty texts have no tokens. Repeated rows are counted alike. An empty table gives an empty result. Kept
     columns cannot clash with the results. A text of any length is one block at most.
@@ -193,6 +220,6 @@ def count_tokens(docs: DataFrame, tokenizer: str, keep: Sequence[str] | None = N
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = bounded_batches(docs).select(kept_row(docs, keep), F.col(text_col).alias("text"))
     content = Shared(spark, tokenizer)
-    parts = answer(_frequencies(rows, content, shards), _count_pieces(content))
+    parts = answer(_frequencies(rows, content, words, shards), _count_pieces(content))
     schema = T.StructType([rows.schema["row"], T.StructField("n_tokens", T.LongType())])
     return together(parts, schema, _sums)

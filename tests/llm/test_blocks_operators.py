@@ -34,8 +34,8 @@ def odd(spark, tmp_path_factory):
 def test_token_counts_are_the_librarys(odd, empty):
     content = token_counts.read_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
     own = Tokenizer.from_str(content)
-    for shards in (None, 1):
-        got = token_counts.count_tokens(odd, content, shards=shards)
+    for words, shards in ((False, None), (True, 1)):
+        got = token_counts.count_tokens(odd, content, words=words, shards=shards)
         assert set(got.select("row.*").columns) >= set(CLASHES) and got.columns == ["row", "n_tokens"]
         want = collections.Counter((r.doc_id, len(own.encode(r.text or "", add_special_tokens=False).ids))
                                    for r in odd.collect())
@@ -64,6 +64,12 @@ def test_small_blocks_count_alike(spark, sf_dir, monkeypatch):
         assert got[r.doc_id].over_limit == (n > 2048)
 
 
+def test_words_need_a_pre_tokenizer_that_drops_spaces():
+    content = token_counts.read_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    with pytest.raises(ValueError, match="spaces"):
+        token_counts.PreTokens(content, words=True)
+
+
 def test_added_tokens_that_normalise_are_refused():
     content = token_counts.read_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
     with pytest.raises(ValueError, match="startoftext"):
