@@ -27,6 +27,8 @@ BLOCK_CHARS = 8_000_000
 SLICE_CHARS = 500_000
 # A document's bytes are cut into lanes of this length, so that a long document takes no more steps than a short one.
 LANE_BYTES = 1024
+# A single space between characters that surely are no white space.
+CUT = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
 # Largest tokenizer file that may be broadcast, in bytes.
 TOKENIZER_BYTES = 64_000_000
 
@@ -58,10 +60,17 @@ def byte_of_char() -> dict[str, int]:
 
 
 class ByteLevel:
-    """A byte-level tokenizers .json, applied to space + text; strings of special tokens are plain text."""
+    """A byte-level tokenizers .json, applied to space + text; strings of special tokens are plain text.
+
+    Its pattern starts a new pre-token at a space between other characters, so tokens never cross one.
+    """
 
     def __init__(self, path: str):
         self.content = _content(path).decode()
+        spec = json.loads(self.content)
+        if spec["normalizer"] or spec["pre_tokenizer"] != {**spec["pre_tokenizer"], "type": "ByteLevel", "use_regex": True,
+                                                           "add_prefix_space": False}:
+            raise ValueError(f"{path} is not a plain byte-level tokenizer")
 
     def load(self):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -83,10 +92,15 @@ class ByteLevel:
 
 
 class Pieces:
-    """A sentencepiece model, which puts a space before the text itself."""
+    """A sentencepiece model, which puts a space before the text itself; no piece has a space after another character."""
 
     def __init__(self, path: str):
         self.content = _content(path)
+        from sentencepiece import SentencePieceProcessor
+
+        own = SentencePieceProcessor(model_proto=self.content)
+        if any("▁" in own.id_to_piece(k).lstrip("▁") for k in range(own.get_piece_size())):
+            raise ValueError(f"{path} has pieces that cross a space")
 
     def load(self):
         from sentencepiece import SentencePieceProcessor
@@ -142,9 +156,39 @@ def _lanes(n_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo, np.minimum(lo + LANE_BYTES, np.repeat(starts + n_bytes, count))
 
 
-def _flat(lists: list) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array([len(x) for x in lists], np.int64)
-    return np.fromiter((i for x in lists for i in x), np.int64, int(sizes.sum())), sizes
+class Words:
+    """The tokens of both sides of each distinct word of a block, one word after the other.
+
+    Texts are cut at single spaces between other characters. Neither side has a token across such a space (`ByteLevel`,
+    `Pieces`), so a text's tokens are those of its words, each taken with a space before it.
+    """
+
+    def __init__(self, encode_a, encode_b):
+        self.encode = encode_a, encode_b
+        self.number: dict[str, int] = {}
+        self.flat = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        self.size = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+
+    def add(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The word numbers of the texts and how many each has; new words are encoded."""
+        known, number = len(self.number), self.number
+        cut = [CUT.split(t) if t else [] for t in texts]
+        n = np.array([len(x) for x in cut], np.int64)
+        place = np.fromiter((number.setdefault(w, len(number)) for x in cut for w in x), np.int64, int(n.sum()))
+        fresh = list(number)[known:]
+        for k, encode in enumerate(self.encode):
+            ids = encode(fresh) if fresh else []
+            size = np.array([len(x) for x in ids], np.int64)
+            own = np.fromiter((i for x in ids for i in x), np.int64, int(size.sum()))
+            self.flat[k], self.size[k] = np.concatenate([self.flat[k], own]), np.concatenate([self.size[k], size])
+        return place, n
+
+
+def spelled(place: np.ndarray, n_words: np.ndarray, flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of texts given by word numbers, one after the other, and how many each text has."""
+    ends = np.concatenate([[0], np.cumsum(size[place])])
+    bounds = np.concatenate([[0], np.cumsum(n_words)])
+    return gather(flat, (np.cumsum(size) - size)[place], size[place]), np.diff(ends[bounds])
 
 
 def _same(ids, sizes, table, text_bytes, text_sizes) -> np.ndarray:
@@ -159,34 +203,52 @@ def _same(ids, sizes, table, text_bytes, text_sizes) -> np.ndarray:
     return ok
 
 
-def aligned_slice(texts: list[str], encode_a, encode_b, table_a, table_b) -> dict[str, np.ndarray]:
-    """Ids of both sides, sizes per text, and the links' places in the flat ids; texts that do not match have none."""
+def aligned_slice(texts: list[str], words: Words, table_a, table_b) -> dict[str, np.ndarray]:
+    """Word numbers, ids of both sides, sizes per text, and the links' places in the flat ids.
+
+    Texts whose tokens' bytes are not the text's have no words.
+    """
     spaced, at = flat_bytes(pa.array([" " + t if t else "" for t in texts], pa.large_string()))
     n_bytes = np.diff(at)
-    (a, n_a), (b, n_b) = _flat(encode_a(texts)), _flat(encode_b(texts))
-    ok = (n_bytes > 0) & _same(a, n_a, table_a, spaced, n_bytes) & _same(b, n_b, table_b, spaced, n_bytes)
-    a, b = a[np.repeat(ok, n_a)], b[np.repeat(ok, n_b)]
-    n_a, n_b, n_bytes = n_a * ok, n_b * ok, n_bytes * ok
+    place, n_words = words.add(texts)
+    ok = n_bytes > 0
+    for k, table in enumerate((table_a, table_b)):
+        ok &= _same(*spelled(place, n_words, words.flat[k], words.size[k]), table, spaced, n_bytes)
+    place, n_words, n_bytes = place[np.repeat(ok, n_words)], n_words * ok, n_bytes * ok
+    a, n_a = spelled(place, n_words, words.flat[0], words.size[0])
+    b, n_b = spelled(place, n_words, words.flat[1], words.size[1])
     if (table_a[2][a] == 0).any() or (table_b[2][b] == 0).any():
         raise ValueError("a token without bytes has no place in a text")
-    end_a, end_b = np.cumsum(table_a[2][a]), np.cumsum(table_b[2][b])
-    in_a, in_b = lockstep(end_a, end_b, *_lanes(n_bytes))
-    text_ends = np.cumsum(n_a)
-    n_links = np.diff(np.searchsorted(in_a, np.concatenate([[0], text_ends])))
-    return {"a": a, "b": b, "n_a": n_a, "n_b": n_b, "n_links": n_links, "in_a": in_a, "in_b": in_b}
+    in_a, in_b = lockstep(np.cumsum(table_a[2][a]), np.cumsum(table_b[2][b]), *_lanes(n_bytes))
+    n_links = np.diff(np.searchsorted(in_a, np.concatenate([[0], np.cumsum(n_a)])))
+    return {"place": place, "n_words": n_words, "a": a, "b": b, "n_a": n_a, "n_b": n_b, "n_links": n_links, "in_a": in_a,
+            "in_b": in_b}
 
 
 def _encode_and_link(rows: DataFrame, sent: Shared, shards: int) -> DataFrame:
-    """Records of blocks: per slice both sides' ids and group sizes; per shard the id pairs linked and how often."""
+    """Records of blocks: the words' ids; per slice word numbers and group sizes; per shard the id pairs linked.
+
+    Word numbers are ranks by frequency within the block, so that they take few bits.
+    """
     schema = parts_schema(rows.schema["row"].dataType)
 
     def run(batches):
         side_a, side_b, table_a, table_b = sent.value
-        encode_a, encode_b = side_a.load(), side_b.load()
+        encoders = side_a.load(), side_b.load()
         part = TaskContext.get().partitionId()
-        block, chars, seq, pairs, empty = part << 32, 0, 0, [], None
-
-        def questions():
+        block, chars, held, pairs, words = part << 32, 0, [], [], Words(*encoders)
+
+        def whole_block():
+            empty = held[0][-1].slice(0, 0)
+            order = np.argsort(-sum(np.bincount(x["place"], minlength=len(words.number)) for x, _ in held), kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            lists = [x for k in (0, 1) for x in (words.size[k][order], gather(
+                words.flat[k], (np.cumsum(words.size[k]) - words.size[k])[order], words.size[k][order]))]
+            yield record(block % shards, block, 0, [pack(x) for x in lists], empty)
+            for seq, (x, row) in enumerate(held, 1):
+                yield record(block % shards, block, seq, [pack(v) for v in (
+                    rank[x["place"]], x["n_words"], x["n_links"], x["group_a"], x["group_b"])], row)
             pair, n = _summed(pairs)
             for shard, places in shard_ranges((pair & 0xFFFFFFFF) % shards):
                 own = pair[places]
@@ -194,31 +256,28 @@ def _encode_and_link(rows: DataFrame, sent: Shared, shards: int) -> DataFrame:
 
         for batch in batches:
             row, texts, lo = batch.column(0), batch.column(1), 0
-            empty = row.slice(0, 0)
             while lo < batch.num_rows:
                 own, size, hi = [], 0, lo
                 while hi < batch.num_rows and (hi == lo or size < SLICE_CHARS):
                     own.append(texts[hi].as_py() or "")
                     size += len(own[-1])
                     hi += 1
-                x = aligned_slice(own, encode_a, encode_b, table_a, table_b)
-                pair, n = np.unique((x["a"][x["in_a"]] << 32) | x["b"][x["in_b"]], return_counts=True)
-                pairs.append((pair, n))
+                x = aligned_slice(own, words, table_a, table_b)
+                pairs.append(np.unique((x["a"][x["in_a"]] << 32) | x["b"][x["in_b"]], return_counts=True))
                 # Each text's last tokens end together, so groups fill all places one after the other.
-                groups = [np.diff(x[k], prepend=-1) for k in ("in_a", "in_b")]
-                yield record(block % shards, block, seq,
-                             [pack(v) for v in (x["a"], x["b"], x["n_a"], x["n_b"], x["n_links"], *groups)],
-                             row.slice(lo, hi - lo))
-                lo, seq, chars = hi, seq + 1, chars + size
+                held.append(({"place": x["place"].astype(np.int32), "n_words": x["n_words"], "n_links": x["n_links"],
+                              "group_a": np.diff(x["in_a"], prepend=-1).astype(np.int32),
+                              "group_b": np.diff(x["in_b"], prepend=-1).astype(np.int32)}, row.slice(lo, hi - lo)))
+                lo, chars = hi, chars + size
                 if chars >= BLOCK_CHARS:
-                    yield from questions()
-                    block, chars, seq, pairs = block + 1, 0, 0, []
+                    yield from whole_block()
+                    block, chars, held, pairs, words = block + 1, 0, [], [], Words(*encoders)
                     release()
                 elif len(pairs) >= 16:
                     pairs = [_summed(pairs)]
-        if seq:
-            yield from questions()
-        pairs, batch, row, texts, empty = [], None, None, None, None
+        if held:
+            yield from whole_block()
+        pairs, held, batch, row, texts, words = [], [], None, None, None, None
         release()
 
     return rows.mapInArrow(run, schema)
@@ -275,9 +334,11 @@ def _with_counts(answers: list[list[bytes]], carried: list[tuple]) -> list[pa.Re
     best = np.concatenate([np.zeros(0, bool), *(np.frombuffer(expand(x[3]), bool) for x in answers)])
     order = np.argsort(pair)
     pair, total, best = pair[order], total[order], best[order]
-    out = []
-    for data, row in carried:
-        a, b, n_a, n_b, n_links, group_a, group_b = (unpack(x).astype(np.int64) for x in data)
+    out, (size_a, flat_a, size_b, flat_b) = [], (unpack(x).astype(np.int64) for x in carried[0][0])
+    for data, row in carried[1:]:
+        place, n_words, n_links, group_a, group_b = (unpack(x).astype(np.int64) for x in data)
+        a, n_a = spelled(place, n_words, flat_a, size_a)
+        b, n_b = spelled(place, n_words, flat_b, size_b)
         cut_a, cut_b = np.cumsum(group_a), np.cumsum(group_b)
         at = np.searchsorted(pair, (a[cut_a - 1] << 32) | b[cut_b - 1])
         out.append(pa.RecordBatch.from_arrays(
