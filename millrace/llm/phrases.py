@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,7 @@ BREAK = 0  # word number of the end of a piece
 ODD = [np.uint64(2 * int(x) + 1) for x in np.random.default_rng(11).integers(1, 2**62, 3)]
 COUNTED = T.StructType([T.StructField("lang", T.StringType()), T.StructField("size", T.IntegerType()),
                         T.StructField("phrase", T.StringType()), T.StructField("f", T.LongType())])
+PACKED = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("data", T.ArrayType(T.BinaryType()))])
 
 
 # --- summaries ----------------------------------------------------------------------------------------------------
@@ -171,18 +173,23 @@ def _summaries(rows: DataFrame, longest: int, shards: int) -> DataFrame:
 
 
 def _counts_of_block(longest: int, shards: int):
-    """Exact counts of the block's phrases whose hash survived, word for word, and its number of words (size 0)."""
+    """Exact counts of the block's phrases whose hash survived, word for word, and its number of words (empty phrase).
+
+    Packed by the partition of the phrase: language and phrase with a line feed between them, and the counts.
+    """
     def counts(answers: list[list[bytes]], carried: list[tuple]) -> list[pa.RecordBatch]:
         able = np.sort(np.concatenate([np.zeros(0, np.int64), *(
             int.from_bytes(shard, "little") << 32 | unpack_sorted(keys) for shard, keys in answers)]))
-        out = []
+        found, times = [], []
         for (lang, stream, lengths, data), _ in carried:
-            lang, stream = lang.decode(), unpack(stream)
+            stream = unpack(stream)
             raw, ends = zstandard.ZstdDecompressor().decompress(data), np.cumsum(unpack(lengths), dtype=np.int64)
             words = [raw[lo:hi] for lo, hi in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
-            rows = [(0, b"", int(np.count_nonzero(stream != BREAK)))]
+            hashes = word_hashes(lang.decode(), words)
+            found.append(lang + b"\n")
+            times.append(int(np.count_nonzero(stream != BREAK)))
             before, names = np.zeros(len(stream), np.int64), [b""]  # number of the phrase of one word less at each place
-            for size, (at, code) in enumerate(ngram_codes(stream, word_hashes(lang, words), longest, shards), 1):
+            for size, (at, code) in enumerate(ngram_codes(stream, hashes, longest, shards), 1):
                 place = np.minimum(np.searchsorted(able, code), max(len(able) - 1, 0))
                 # A frequent phrase begins with a frequent one.
                 at = at[(able[place] == code if len(able) else np.zeros(len(at), bool)) & (before[at] >= 0)]
@@ -192,16 +199,39 @@ def _counts_of_block(longest: int, shards: int):
                          for p, w in zip(*(x.tolist() for x in np.divmod(pair, len(words) + 1)), strict=True)]
                 before = np.full(len(stream), -1, np.int64)
                 before[at] = own
-                rows += zip([size] * len(names), names, n.tolist(), strict=True)
-            sizes, phrases, n = zip(*rows, strict=True)
-            out.append(pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(rows), pa.string()), pa.array(sizes, pa.int32()),
-                 pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names=COUNTED.names))
-        return out
+                found += [lang + b"\n" + name for name in names]
+                times += n.tolist()
+        n, squeeze = np.array(times), zstandard.ZstdCompressor(level=1).compress
+        records = [(shard, [pack([len(found[k]) for k in places]), squeeze(b"".join([found[k] for k in places])),
+                            pack(n[places])])
+                   for shard, places in shard_ranges(np.array([zlib.crc32(x) % shards for x in found], np.int64))]
+        return [pa.RecordBatch.from_arrays([pa.array([shard for shard, _ in records], pa.int32()),
+                                            pa.array([data for _, data in records], pa.list_(pa.binary()))], names=PACKED.names)]
 
     return counts
 
 
+def _total_counts(at_least: int):
+    """Sums the blocks' counts of a partition's phrases and keeps those of `at_least`, and the numbers of words."""
+    def run(group: pa.Table) -> pa.Table:
+        release()
+        total: dict[bytes, int] = {}
+        for data in group.column("data"):
+            lengths, raw, n = data.as_py()
+            raw, lo = zstandard.ZstdDecompressor().decompress(raw), 0
+            for size, k in zip(unpack(lengths).tolist(), unpack(n).tolist(), strict=True):
+                phrase = raw[lo:lo + size]
+                total[phrase] = total.get(phrase, 0) + k
+                lo += size
+        kept = [(*phrase.rsplit(b"\n", 1), n) for phrase, n in total.items() if n >= at_least or phrase.endswith(b"\n")]
+        langs, phrases, n = zip(*kept, strict=True) if kept else ((), (), ())
+        sizes = [phrase.count(b" ") + 1 if phrase else 0 for phrase in phrases]
+        return pa.table([pa.array(langs, pa.binary()).cast(pa.string()), pa.array(sizes, pa.int32()),
+                         pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names=COUNTED.names)
+
+    return run
+
+
 def frequent_phrases(docs: DataFrame, at_least: int = AT_LEAST, longest: int = LONGEST, text_col: str = "text",
                      lang_col: str = "lang") -> DataFrame:
     """(lang, size, phrase, f): every phrase of 1 to `longest` words that occurs `at_least` times in its language.
@@ -212,8 +242,8 @@ def frequent_phrases(docs: DataFrame, at_least: int = AT_LEAST, longest: int = L
     Pass one: a block sums its n-grams' hashes and sends them to their hash partition. That merges the blocks'
     sums into a Misra-Gries summary of more than mass / at_least entries, so that every frequent n-gram survives, and counts
     the survivors. Pass two: the block gets back which of its n-grams survived and counts these word for word; counts of all
-    blocks are summed by phrase. Hashes only choose candidates: a collision can add one, which the second pass drops, and
-    never lose one. Partitions grow in number with the text. A frequent phrase is one entry per block.
+    blocks, packed by partition of the phrase, are summed there. Hashes only choose candidates: a collision can add one, which the second pass drops, and
+    never lose one. Partitions grow in number with the text. A frequent phrase is one entry per block, packed with others.
 
     Null texts are empty, a null language is `und`. Repeated rows all count. An empty table gives an empty result. Other
     columns are not read.
@@ -223,9 +253,8 @@ def frequent_phrases(docs: DataFrame, at_least: int = AT_LEAST, longest: int = L
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     parts = answer(_summaries(bounded_batches(rows), longest, shards), lambda: _survivors(at_least))
-    found = together(parts, COUNTED, _counts_of_block(longest, shards))
-    return found.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).filter(
-        f"size = 0 or f >= {int(at_least)}")
+    found = together(parts, PACKED, _counts_of_block(longest, shards))
+    return found.groupBy("shard").applyInArrow(_total_counts(at_least), COUNTED)
 
 
 # --- collocations -------------------------------------------------------------------------------------------------
