@@ -23,8 +23,8 @@ from .bpe import gather, pack, unpack
 BLOCK_CHARS = 8_000_000
 # Largest tokenizer file that may be broadcast, in bytes.
 TOKENIZER_BYTES = 64_000_000
-# Texts on which a pre-tokenizer that is said to drop spaces is tried.
-PROBES = [" ", "a b", " a  b ", "it's 's 1 23 ! ?", "a' s", "- -", "x\ny z", "é 東 京"]
+# Texts on which steps that are said to look at one word at a time are tried.
+PROBES = [" ", "a b", " a  b ", "it's 's 1 23 ! ?", "a' s", "- -", "x\ny z", "é 東 京", "e \u0301e\u0301 \u0323\u0301", "ΣΑΣ ΑΣ Σ", "Å \u212b"]
 
 
 def read_tokenizer(path: str) -> str:
@@ -39,8 +39,8 @@ def read_tokenizer(path: str) -> str:
 class PreTokens:
     """The library's steps before its model: strings of added tokens, normalisation, pre-tokens.
 
-    `words`: the pre-tokenizer drops spaces and never matches across one, so that a text's pre-tokens are those of its
-    space-separated words; `cut` then gives words, and `pre_tokens` cuts each distinct word.
+    `words`: no step looks across a space, and the pre-tokenizer drops spaces, so that a text's pre-tokens are those of
+    its space-separated words; `cut` then gives words, and `pre_tokens` normalises and cuts each distinct word.
     """
 
     def __init__(self, content: str, words: bool = False):
@@ -59,21 +59,19 @@ class PreTokens:
                 raise ValueError(f"the pre-tokenizer does not cut {probe!r} at its spaces")
 
     def pre_tokens(self, text: str) -> list[str]:
+        normalise, split = self.own.normalizer, self.own.pre_tokenizer
+        if text and normalise is not None:
+            text = normalise.normalize_str(text)
         if not text:
             return []
-        split = self.own.pre_tokenizer
         return [piece for piece, _ in split.pre_tokenize_str(text)] if split is not None else [text]
 
     def cut(self, text: str) -> tuple[list[str], int]:
         """The pre-tokens (or words) of a text in order, and how often strings of added tokens stand in it."""
         parts = self.added.split(text) if self.added else [text]
-        normalise = self.own.normalizer
         out: list[str] = []
         for part in parts:
-            if part and normalise is not None:
-                part = normalise.normalize_str(part)
-            if part:
-                out += part.split(" ") if self.words else self.pre_tokens(part)
+            out += part.split(" ") if self.words else self.pre_tokens(part)
         return out, len(parts) - 1
 
 
@@ -210,8 +208,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, keep: Sequence[str] | None = N
     library has it by default; nothing is added, cut off or padded. Each text becomes a sparse list of distinct
     pre-tokens and their frequencies. A block's distinct pre-tokens go to the shard of their hash, where the model cuts
     each into pieces once and only their number goes back; frequencies times numbers are summed per text, and no id is
-    ever kept. `words` says that the tokenizer's pre-tokens never hold or cross a space (tried on PROBES; ValueError): each
-    distinct word of a block is then cut into pre-tokens once. `shards` defaults to the session's shuffle partitions.
+    ever kept. `words` says that the tokenizer's steps before its model act on each space-separated word alone
+    (tried on PROBES; ValueError): each distinct word of a block is then normalised and cut once. `shards` defaults to
+    the session's shuffle partitions.
 
     Null and empty texts have no tokens. Repeated rows are counted alike. An empty table gives an empty result. Kept
     columns cannot clash with the results. A text of any length is one block at most.

@@ -156,11 +156,15 @@ def brute_collocations(docs, at_least, longest, top):
             n[lang] += len(w)
             f.update((lang, *w[i:i + k]) for k in range(1, longest + 1) for i in range(len(w) - k + 1))
     able = {p: c for p, c in f.items() if len(p) > 2 and c >= at_least}
+    longer = collections.Counter()
+    for (lang, *w), c in able.items():
+        for k in range(2, len(w)):
+            for i in range(len(w) - k + 1):
+                longer[lang, *w[i:i + k]] = max(longer[lang, *w[i:i + k]], c)
     out = collections.defaultdict(list)
     for p, a in able.items():
         lang, *w = p
-        if any(q[0] == lang and len(q) > len(p) and c >= a and any(list(q[i:i + len(w)]) == w for i in range(1, len(q)))
-               for q, c in able.items()):
+        if longer[p] >= a:
             continue
         score, _, left, right = min((1000 * a * n[lang] // (f[lang, *w[:k]] * f[lang, *w[k:]]), k, f[lang, *w[:k]],
                                      f[lang, *w[k:]]) for k in range(1, len(w)))
