@@ -1,26 +1,25 @@
 """Penalised margin models on a grid: logistic, linear SVM, RBF SVM and SVR.
 
-All (penalty, fold, class) problems of a grid advance together: one pass over the rows returns
-loss, gradient and curvature of every unfinished problem, and the small d x d steps are solved on
-the driver. Jobs therefore grow with Newton steps (about ten), not with the size of the grid.
+All (feature map, penalty, fold, class) problems of a grid advance together by Newton's method with conjugate gradients.
+Every problem asks for one vector a pass: its gradient at a trial point, or the product of its Hessian with a
+direction. Tasks return these vectors, d numbers a problem, and never a d x d matrix.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.arrays import argmax, dot, let
 from ..session import Shared, stored
-from .batches import list_column, map_batches, matrix
-from .gram import _FLUSH_CELLS, total_array
+from .batches import list_column, matrix
+from .gram import total_array
 from .stats import classes_of
 
 # Penalty grids and kernel widths of the classifiers.
@@ -49,108 +48,243 @@ class Problem(NamedTuple):
     c: float
     fold: int  # rows of this fold are left out; -1 for none
     target: object  # class of a one-vs-rest problem, None for a real target
+    map: int = 0  # number of the feature map
 
 
-def _penalty(w: np.ndarray, kind: str, free: np.ndarray) -> float:
-    return float(np.abs(w[~free]).sum()) if kind == "l1" else float(0.5 * (w[~free] ** 2).sum())
-
-
-def _model_step(w, g, h, kind, free, sweeps=200):
-    """Minimum of the quadratic model plus the penalty, as a new weight vector."""
-    h = h + 1e-10 * (1 + np.trace(h) / len(h)) * np.eye(len(h))
-    if kind == "l2":
-        reg = np.where(free, 0.0, 1.0)
-        return w - np.linalg.solve(h + np.diag(reg), g + reg * w)
-    new = w.copy()
-    grad = g.copy()
-    for _ in range(sweeps):
-        biggest = 0.0
-        for j in range(len(w)):
-            old = new[j]
-            u = old - grad[j] / h[j, j]
-            lim = 0.0 if free[j] else 1.0 / h[j, j]
-            new[j] = np.sign(u) * max(abs(u) - lim, 0.0)
-            if new[j] != old:
-                grad += h[:, j] * (new[j] - old)
-                biggest = max(biggest, abs(new[j] - old))
-        if biggest < 1e-9:
-            break
-    return new
+class Features(NamedTuple):
+    """Random Fourier features: sqrt(2 / n) cos(x @ w + b)."""
+
+    w: np.ndarray
+    b: np.ndarray
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        return np.sqrt(2.0 / len(self.b)) * np.cos(x @ self.w + self.b)
+
+
+def _design(x: np.ndarray, features: Features | None) -> np.ndarray:
+    return np.hstack([x if features is None else features.of(x), np.ones((len(x), 1))])
+
+
+# The sample that shapes the search directions: rows as a multiple of the number of features, and doubles at most.
+SHAPE_ROWS, SHAPE_CELLS = 4, 2_000_000
+# Doubles of the state of problems that advance together.
+STATE_CELLS = 4_000_000
+# Conjugate-gradient steps of one Newton step, and step halvings.
+CG_STEPS, HALVINGS = 60, 40
+
+
+class _Shape:
+    """Approximate inverse Hessians (1 + c k S)^-1 of one feature map and fold, S from a bounded sample of rows.
+
+    They precondition the conjugate gradients: a rough S costs steps and never changes a solution.
+    """
+
+    def __init__(self, x: np.ndarray, share: float):
+        value, self.basis = np.linalg.eigh(x.T @ x * share)
+        self.value = np.maximum(value, 0.0)
+
+    def solve(self, r: np.ndarray, k: np.ndarray) -> np.ndarray:
+        return (r @ self.basis) / (1.0 + k[:, None] * self.value[None]) @ self.basis.T
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", a, b)
+
+
+class _Newton:
+    """State of problems that advance together: one row each.
+
+    A problem is in mode "point" (it asks for loss and gradient at `trial`) or "product" (for the Hessian at `w` times
+    `p`). With the L1 penalty the steps stay in the orthant of the pseudo-gradient (Byrd et al. 2012): coordinates that
+    are zero and stay zero are left out, and those that would change sign are set to zero.
+    """
+
+    def __init__(self, problems: list, d: int, penalty: str, free: np.ndarray, curve: float, shapes: dict, tol: float):
+        n = len(problems)
+        self.problems, self.l1, self.tol = problems, penalty == "l1", tol
+        self.c = np.array([p.c for p in problems])
+        self.weigh = np.where(free, 0.0, 1.0)
+        self.groups: dict = {}
+        for i, p in enumerate(problems):
+            self.groups.setdefault((p.map, p.fold), []).append(i)
+        self.shapes, self.k = shapes, self.c * curve
+        self.w, self.g, self.trial = np.zeros((n, d)), np.zeros((n, d)), np.zeros((n, d))
+        self.value = np.full(n, np.inf)
+        self.step, self.r, self.p, self.z = (np.zeros((n, d)) for _ in range(4))
+        self.rz, self.goal, self.first = np.zeros(n), np.zeros(n), np.full(n, np.nan)
+        self.alpha, self.inner, self.halved = np.ones(n), np.zeros(n, int), np.zeros(n, int)
+        self.active = np.ones((n, d), bool)
+        self.point = np.ones(n, bool)
+        self.open, self.converged = np.ones(n, bool), np.zeros(n, bool)
+
+    def asked(self) -> tuple[np.ndarray, np.ndarray]:
+        """Points and directions of all problems; a direction of nan asks for loss and gradient."""
+        return (np.where(self.point[:, None], self.trial, self.w)[self.open],
+                np.where(self.point[:, None], np.nan, self.p)[self.open])
+
+    def told(self, loss: np.ndarray, vector: np.ndarray) -> None:
+        """Takes the sums of the open problems, in order."""
+        at = np.flatnonzero(self.open)
+        point = self.point[at]
+        self._points(at[point], loss[point], vector[point])
+        self._products(at[~point], vector[~point])
+
+    def _condition(self, i: np.ndarray, r: np.ndarray) -> np.ndarray:
+        out, place = np.empty_like(r), np.full(len(self.problems), -1)
+        place[i] = np.arange(len(i))
+        for key, members in self.groups.items():
+            own = place[members]
+            own = own[own >= 0]
+            if len(own):
+                out[own] = self.shapes[key].solve(r[own], self.k[i[own]])
+        return np.where(self.active[i], out, 0.0)
+
+    def _points(self, i: np.ndarray, loss: np.ndarray, vector: np.ndarray) -> None:
+        if not len(i):
+            return
+        w = self.trial[i]
+        size = np.abs(w) if self.l1 else 0.5 * w * w
+        value = self.c[i] * loss + (size * self.weigh).sum(1)
+        moved = w - self.w[i]
+        known = np.isfinite(self.value[i])
+        slack = 1e-12 * np.abs(np.where(known, self.value[i], 0.0))
+        # The pseudo-gradient was kept in g: enough descent is a share of what it promises.
+        good = ~known | (value <= self.value[i] + 1e-4 * _dots(self.g[i], moved) + slack)
+        self._halve(i[~good])
+        i, w, value, vector = i[good], w[good], value[good], vector[good]
+        if not len(i):
+            return
+        stuck = np.isfinite(self.value[i]) & (self.value[i] - value <= 1e-14 * np.abs(value))
+        g = self.c[i][:, None] * vector
+        if self.l1:
+            side = np.where(w != 0, np.sign(w), np.where(g < -1, 1.0, np.where(g > 1, -1.0, 0.0))) * self.weigh
+            g = np.where((w == 0) & (side == 0) & (self.weigh > 0), 0.0, g + side)
+            self.active[i] = (w != 0) | (g != 0)
+        else:
+            g = g + self.weigh * w
+        self.w[i], self.g[i], self.value[i] = w, g, value
+        norm = np.sqrt(_dots(g, g))
+        self.first[i] = np.where(np.isnan(self.first[i]), norm, self.first[i])
+        ended = (norm <= self.tol * np.maximum(self.first[i], 1e-300)) | (norm == 0) | stuck
+        self.converged[i[ended]], self.open[i[ended]] = True, False
+        i, g, norm = i[~ended], g[~ended], norm[~ended]
+        self.step[i], self.r[i] = 0.0, -np.where(self.active[i], g, 0.0)
+        self.z[i] = self._condition(i, self.r[i])
+        self.p[i], self.rz[i] = self.z[i], _dots(self.r[i], self.z[i])
+        self.goal[i] = norm * np.minimum(0.1, norm / self.first[i])
+        self.inner[i], self.halved[i], self.point[i] = 0, 0, False
+
+    def _products(self, i: np.ndarray, vector: np.ndarray) -> None:
+        if not len(i):
+            return
+        p = self.p[i]
+        product = self.c[i][:, None] * vector + (0.0 if self.l1 else self.weigh * p)
+        product = np.where(self.active[i], product, 0.0) + 1e-10 * p
+        alpha = self.rz[i] / np.maximum(_dots(p, product), 1e-300)
+        self.step[i] += alpha[:, None] * p
+        self.r[i] -= alpha[:, None] * product
+        self.inner[i] += 1
+        ready = (np.sqrt(_dots(self.r[i], self.r[i])) <= self.goal[i]) | (self.inner[i] >= CG_STEPS)
+        more = i[~ready]
+        self.z[more] = self._condition(more, self.r[more])
+        rz = _dots(self.r[more], self.z[more])
+        self.p[more] = self.z[more] + (rz / self.rz[more])[:, None] * self.p[more]
+        self.rz[more] = rz
+        self.alpha[i[ready]] = 1.0
+        self._aim(i[ready])
+
+    def _aim(self, i: np.ndarray) -> None:
+        trial = self.w[i] + self.alpha[i][:, None] * self.step[i]
+        if self.l1:
+            side = np.where(self.w[i] != 0, np.sign(self.w[i]), -np.sign(self.g[i]))
+            trial = np.where((np.sign(trial) != side) & (self.weigh > 0), 0.0, trial)
+        self.trial[i], self.point[i] = trial, True
+
+    def _halve(self, i: np.ndarray) -> None:
+        self.alpha[i] *= 0.5
+        self.halved[i] += 1
+        ended = i[self.halved[i] > HALVINGS]  # no point beside this one is lower in the numbers' precision
+        self.converged[ended], self.open[ended] = True, False
+        self._aim(i[self.halved[i] <= HALVINGS])
 
 
 def fit_grid(df: DataFrame, vec: str, y: str, problems: Sequence[Problem], loss: str, penalty: str,
-             fold: str | None = None, eps: float = 0.1, penalise_bias: bool = False, tol: float = 1e-7,
-             max_passes: int = 60) -> dict[Problem, np.ndarray]:
+             fold: str | None = None, eps: float = 0.1, penalise_bias: bool = False, tol: float = 1e-9,
+             max_passes: int = 1000, maps: Sequence[Features | None] = (None,)) -> dict[Problem, np.ndarray]:
     """Weights (bias last) minimising penalty(w) + C * sum(loss) for every problem.
 
-    `df` is read once per pass: hand in a cached or written table.
+    `df` is read once per pass: hand in a checkpointed or written table. Problems that `max_passes` passes did not bring
+    to a gradient of `tol` times the first one's are named in a warning.
     """
     spark = df.sparkSession
     rows = df.select(F.col(vec).cast("array<double>").alias("x"), F.col(y).alias("y"),
                      (F.col(fold) if fold else F.lit(-2)).cast("int").alias("fold"))
-    d = rows.select(F.size("x")).first()[0] + 1
+    width = rows.select(F.size("x")).first()[0]
+    d = (width if maps[0] is None else len(maps[0].b)) + 1
     free = np.zeros(d, dtype=bool)
     free[-1] = not penalise_bias
-    trial = {p: np.zeros(d) for p in problems}
-    held: dict = {p: None for p in problems}  # last accepted (objective, weights, step target)
+    n, tasks = rows.count(), rows.rdd.getNumPartitions()
+    some = max(1, min(SHAPE_ROWS * d, SHAPE_CELLS // max(width, 1)))
+    sample = rows.select("x", "fold", F.xxhash64("x").alias("__r")).orderBy("__r").limit(some).toPandas()
+    x = matrix(sample["x"])
+    curve = {"logistic": 0.25, "squared_hinge": 1.0, "squared_eps": 1.0}[loss]
+    shapes = {}
+    for k, f in {(p.map, p.fold) for p in problems}:
+        own = _design(x[(sample["fold"] != f).to_numpy()], maps[k])
+        shapes[k, f] = _Shape(own, n / max(len(x), 1))
     done: dict[Problem, np.ndarray] = {}
-    schema = T.StructType([T.StructField("sums", T.ArrayType(T.DoubleType()))])
-    size = 1 + d + d * d
-    at_once = max(1, _FLUSH_CELLS // size)  # problems whose sums one task can hold
-    tries = dict.fromkeys(problems, 0)
-    while True:
-        open_ = [p for p in problems if p not in done and tries[p] < max_passes][:at_once]
-        if not open_:
-            break
-        for p in open_:
-            tries[p] += 1
-        state = Shared(spark, (open_, np.stack([trial[p] for p in open_])))
-
-        def gradients(batches):
-            todo, w = state.value
-            total = np.zeros((len(todo), size))
-            for b in batches:
-                x = np.hstack([b["x"], np.ones((len(b), 1))])
-                f = x @ w.T
-                labels, folds = b["y"].to_numpy(), b["fold"].to_numpy()
-                for i, p in enumerate(todo):
-                    t = labels.astype(float) if p.target is None else np.where(labels == p.target, 1.0, -1.0)
-                    value, slope, curve = _pointwise(loss, f[:, i], t, eps)
-                    use = folds != p.fold
-                    slope, curve = slope * use, curve * use
-                    total[i, 0] += (value * use).sum()
-                    total[i, 1:1 + d] += slope @ x
-                    act = curve > 0
-                    xa = x[act]
-                    total[i, 1 + d:] += ((xa * curve[act, None]).T @ xa).ravel()
-            yield pd.DataFrame({"sums": [total.ravel()]})
-
-        sums = total_array(map_batches(rows, gradients, schema)).reshape(len(open_), size)
-        state.unpersist()
-        for p, s in zip(open_, sums):
-            w = trial[p]
-            objective = _penalty(w, penalty, free) + p.c * s[0]
-            last = held[p]
-            if last is not None and objective > last[0] * (1 + 1e-12) + 1e-12:
-                target = last[1] + 0.5 * (w - last[1])  # too far: halve the step
-                if np.abs(target - last[1]).max() < tol:
-                    done[p] = last[1]
-                else:
-                    trial[p] = target
-                continue
-            g, h = p.c * s[1:1 + d], p.c * s[1 + d:].reshape(d, d)
-            step = _model_step(w, g, h, penalty, free)
-            if np.abs(step - w).max() <= tol * (1 + np.abs(w).max()) or (
-                    last is not None and last[0] - objective <= 1e-10 * (1 + abs(objective))):
-                done[p] = w
-            held[p] = (objective, w)
-            trial[p] = step
-    for p in problems:
-        if p not in done:
-            done[p] = held[p][1] if held[p] is not None else trial[p]
+    late, at_once = 0, max(1, STATE_CELLS // d)
+    for lo in range(0, len(problems), at_once):
+        state = _Newton(list(problems[lo:lo + at_once]), d, penalty, free, curve, shapes, tol)
+        for _ in range(max_passes):
+            if not state.open.any():
+                break
+            state.told(*_sums(spark, rows, [state.problems[i] for i in np.flatnonzero(state.open)], *state.asked(), loss,
+                              eps, maps, tasks))
+        late += int((~state.converged).sum())
+        done.update(zip(state.problems, state.w, strict=True))
+    if late:
+        warnings.warn(f"{late} of {len(problems)} fits did not converge in {max_passes} passes", stacklevel=2)
     return done
 
 
+def _sums(spark, rows: DataFrame, todo: list, w: np.ndarray, p: np.ndarray, loss: str, eps: float, maps,
+          tasks: int):
+    """Loss and gradient, or Hessian product, of every problem in one pass."""
+    by_map: dict[int, list[int]] = {}
+    for i, q in enumerate(todo):
+        by_map.setdefault(q.map, []).append(i)
+    shared = Shared(spark, (todo, by_map, w, p, [maps[k] if k in by_map else None for k in range(len(maps))]))
+
+    def vectors(batches):
+        todo, by_map, w, p, maps = shared.value
+        total = np.zeros((len(todo), 1 + w.shape[1]))
+        folds = np.array([q.fold for q in todo])
+        point = np.isnan(p[:, 0])
+        for b in batches:
+            raw, labels, fold_of = b["x"], b["y"].to_numpy(), b["fold"].to_numpy()
+            for k, own in by_map.items():
+                x = _design(raw, maps[k])
+                if todo[own[0]].target is None:
+                    t = labels.astype(float)[:, None]
+                else:
+                    t = np.where(labels[:, None] == np.array([todo[i].target for i in own])[None], 1.0, -1.0)
+                use = fold_of[:, None] != folds[own][None]
+                value, slope, bend = _pointwise(loss, x @ w[own].T, t, eps)
+                at = point[own]
+                turn = np.zeros_like(slope)
+                if not at.all():
+                    turn[:, ~at] = x @ p[np.array(own)[~at]].T
+                coefficient = np.where(at[None], slope, bend * turn) * use
+                total[own, 0] += (value * use).sum(0)
+                total[own, 1:] += coefficient.T @ x
+        yield total.ravel()
+
+    sums = total_array(rows, vectors, tasks).reshape(len(todo), -1)
+    shared.unpersist()
+    return sums[:, 0], sums[:, 1:]
+
+
 class MarginFit(NamedTuple):
     classes: list | None  # None for a regression
     weights: np.ndarray  # classes x (d + 1), bias last
@@ -180,39 +314,34 @@ def _targets(classes: list | None) -> list:
     return [classes[1]] if len(classes) == 2 else list(classes)
 
 
-def _held_scores(df, vec, y, fold, fits, cs, folds, classes, spark) -> dict:
-    """Mean held-out accuracy (or R2) per C over the folds, from one pass."""
-    names = _targets(classes)
-    shared = Shared(spark, 
-        {f: np.stack([fits[Problem(c, f, k)] for c in cs for k in names]) for f in folds})
-    schema = T.StructType([T.StructField("sums", T.ArrayType(T.DoubleType()))])
-    order = list(folds)
+def _held_scores(df, vec, y, fold, fits, cs, folds, classes, spark, maps) -> dict:
+    """Mean held-out accuracy (or R2) per feature map and C over the folds, from one pass."""
+    names, order = _targets(classes), list(folds)
+    shared = Shared(spark, {(m, f): np.stack([fits[Problem(c, f, k, m)] for c in cs for k in names])
+                            for m in range(len(maps)) for f in folds})
 
     def count(batches):
-        total = np.zeros((len(order), len(cs), 4))
+        total = np.zeros((len(maps), len(order), len(cs), 4))
         for b in batches:
-            x, y_all, fold_of = np.hstack([b["x"], np.ones((len(b), 1))]), b["y"].to_numpy(), b["fold"].to_numpy()
-            for i, f in enumerate(order):
-                held = np.nonzero(fold_of == f)[0]
+            raw, y_all, fold_of = b["x"], b["y"].to_numpy(), b["fold"].to_numpy()
+            for m, i in ((m, i) for m in range(len(maps)) for i in range(len(order))):
+                held = np.nonzero(fold_of == order[i])[0]
                 if not len(held):
                     continue
-                s = (x[held] @ shared.value[f].T).reshape(len(held), len(cs), len(names))
+                s = (_design(raw[held], maps[m]) @ shared.value[m, order[i]].T).reshape(len(held), len(cs), len(names))
                 t = y_all[held]
                 if classes is None:
                     t = t.astype(float)
-                    err = (s[:, :, 0] - t[:, None]) ** 2
-                    total[i, :, 0] += err.sum(0)
-                    total[i, :, 1] += len(t)
-                    total[i, :, 2] += t.sum()
-                    total[i, :, 3] += (t * t).sum()
+                    sums = [((s[:, :, 0] - t[:, None]) ** 2).sum(0), len(t), t.sum(), (t * t).sum()]
                 else:
                     pick = (s[:, :, 0] > 0).astype(int) if len(classes) == 2 else s.argmax(2)
-                    total[i, :, 0] += (np.asarray(classes)[pick] == t[:, None]).sum(0)
-                    total[i, :, 1] += len(t)
-        yield pd.DataFrame({"sums": [total.ravel()]})
+                    sums = [(np.asarray(classes)[pick] == t[:, None]).sum(0), len(t), 0.0, 0.0]
+                for j, part in enumerate(sums):
+                    total[m, i, :, j] += part
+        yield total.ravel()
 
     rows = df.select(F.col(vec).cast("array<double>").alias("x"), F.col(y).alias("y"), F.col(fold).cast("int").alias("fold"))
-    got = total_array(map_batches(rows, count, schema)).reshape(len(order), len(cs), 4)
+    got = total_array(rows, count).reshape(len(maps), len(order), len(cs), 4)
     if classes is None:
         spread = got[..., 3] - got[..., 2] ** 2 / np.maximum(got[..., 1], 1)
         per_fold = 1 - got[..., 0] / np.where(spread > 0, spread, np.nan)
@@ -220,28 +349,35 @@ def _held_scores(df, vec, y, fold, fits, cs, folds, classes, spark) -> dict:
         per_fold = got[..., 0] / np.maximum(got[..., 1], 1)
     # A fold whose target is constant has no score; the others decide.
     known = ~np.isnan(per_fold)
-    mean = np.where(known, per_fold, 0.0).sum(0) / np.maximum(known.sum(0), 1)
-    return {c: float(v) if n else float("-inf") for c, v, n in zip(cs, mean, known.sum(0))}
+    mean = np.where(known, per_fold, 0.0).sum(1) / np.maximum(known.sum(1), 1)
+    return {(m, c): float(mean[m, j]) if known[m, :, j].any() else float("-inf")
+            for m in range(len(maps)) for j, c in enumerate(cs)}
 
 
-def search(df: DataFrame, vec: str, y: str, cs: Sequence[float], loss: str, penalty: str, fold: str | None = None,
-           regression: bool = False, **kw) -> SearchResult:
-    """Cross-validated C, then a fit on all rows; the final fits for every C ride along."""
-    spark = df.sparkSession
+def _searched(df: DataFrame, vec: str, y: str, cs: Sequence[float], loss: str, penalty: str, fold: str | None,
+              regression: bool, maps: Sequence[Features | None], **kw) -> tuple[MarginFit, int, float, dict]:
+    """(fit on all rows, feature map, C, scores by both): the best by cross-validation, the first of equal ones.
+
+    The final fits of every feature map and C ride along.
+    """
     cs = [float(c) for c in ([cs] if isinstance(cs, (int, float)) else cs)]
+    if fold is None and len(cs) > 1:
+        raise ValueError("a grid of C needs a fold column")
     classes = None if regression else classes_of(df, y)
     names = _targets(classes)
-    if fold is None:
-        if len(cs) > 1:
-            raise ValueError("a grid of C needs a fold column")
-        fits = fit_grid(df, vec, y, [Problem(cs[0], -1, k) for k in names], loss, penalty, **kw)
-        return SearchResult(MarginFit(classes, np.stack([fits[Problem(cs[0], -1, k)] for k in names])), cs[0], {})
-    folds = classes_of(df, fold)
-    problems = [Problem(c, f, k) for c in cs for f in [-1, *folds] for k in names]
-    fits = fit_grid(df, vec, y, problems, loss, penalty, fold, **kw)
-    scores = _held_scores(df, vec, y, fold, fits, cs, folds, classes, spark)
-    best = max(scores, key=scores.get)
-    return SearchResult(MarginFit(classes, np.stack([fits[Problem(best, -1, k)] for k in names])), best, scores)
+    folds = classes_of(df, fold) if fold else []
+    problems = [Problem(c, f, k, m) for m in range(len(maps)) for c in cs for f in [-1, *folds] for k in names]
+    fits = fit_grid(df, vec, y, problems, loss, penalty, fold, maps=maps, **kw)
+    scores = _held_scores(df, vec, y, fold, fits, cs, folds, classes, df.sparkSession, maps) if fold else {}
+    m, c = max(scores, key=scores.get) if scores else (0, cs[0])
+    return MarginFit(classes, np.stack([fits[Problem(c, -1, k, m)] for k in names])), m, c, scores
+
+
+def search(df: DataFrame, vec: str, y: str, cs: Sequence[float], loss: str, penalty: str, fold: str | None = None,
+           regression: bool = False, **kw) -> SearchResult:
+    """Cross-validated C, then a fit on all rows."""
+    fit, _, c, scores = _searched(df, vec, y, cs, loss, penalty, fold, regression, (None,), **kw)
+    return SearchResult(fit, c, {c: v for (_, c), v in scores.items()})
 
 
 def logistic(df: DataFrame, vec: str, y: str, cs: Sequence[float] = C_GRID, fold: str | None = None) -> SearchResult:
@@ -254,18 +390,19 @@ def linear_svm_l1(df: DataFrame, vec: str, y: str, cs: Sequence[float] = C_GRID,
     return search(df, vec, y, cs, "squared_hinge", "l1", fold, penalise_bias=True)
 
 
-def random_features(df: DataFrame, vec: str, gamma: float, n_features: int, seed: int, out: str = "rff") -> DataFrame:
-    """Random Fourier features of the kernel exp(-gamma |x - y|^2) (Rahimi & Recht, 2007)."""
-    d = df.select(F.size(vec)).first()[0]
+def fourier(d: int, gamma: float, n_features: int, seed: int) -> Features:
+    """A draw of random Fourier features of the kernel exp(-gamma |x - y|^2) (Rahimi & Recht, 2007)."""
     draw = np.random.default_rng(seed)
-    w = draw.normal(0.0, np.sqrt(2.0 * gamma), (d, n_features))
-    b = draw.uniform(0.0, 2 * np.pi, n_features)
-    shared = Shared(df.sparkSession, (w, b))
+    return Features(draw.normal(0.0, np.sqrt(2.0 * gamma), (d, n_features)), draw.uniform(0.0, 2 * np.pi, n_features))
+
+
+def random_features(df: DataFrame, vec: str, gamma: float, n_features: int, seed: int, out: str = "rff") -> DataFrame:
+    """The column of `fourier` features."""
+    shared = Shared(df.sparkSession, fourier(df.select(F.size(vec)).first()[0], gamma, n_features, seed))
 
     @F.arrow_udf("array<double>")
     def lift(col: pa.Array) -> pa.Array:
-        weights, shift = shared.value
-        return list_column(np.sqrt(2.0 / len(shift)) * np.cos(matrix(col) @ weights + shift))
+        return list_column(shared.value.of(matrix(col)))
 
     return df.withColumn(out, lift(F.col(vec).cast("array<double>")))
 
@@ -284,20 +421,15 @@ class KernelResult(NamedTuple):
 
 
 def _kernel(df, vec, y, cs, gammas, fold, n_features, seed, loss, regression, **kw) -> KernelResult:
+    """All widths advance in the same passes; their features are computed from the vectors in the tasks."""
     gammas = [gammas] if isinstance(gammas, (int, float)) else list(gammas)
     if fold is None and len(gammas) > 1:
         raise ValueError("a grid of gamma needs a fold column")
-    scores, best = {}, None
-    for gamma in gammas:
-        lifted = stored(random_features(df, vec, gamma, n_features, seed, "__rff").select(
-            "__rff", y, *([fold] if fold else [])))
-        found = search(lifted, "__rff", y, cs, loss, "l2", fold, regression, **kw)
-        for c, v in found.scores.items():
-            scores[float(gamma), c] = v
-        top = max(found.scores.values(), default=0.0)
-        if best is None or top > best[0]:
-            best = (top, float(gamma), found)
-    return KernelResult(best[2].fit, best[1], best[2].best, scores, n_features, seed)
+    rows = stored(df.select(vec, y, *([fold] if fold else [])))
+    d = rows.select(F.size(vec)).first()[0]
+    maps = [fourier(d, g, n_features, seed) for g in gammas]
+    fit, m, c, scores = _searched(rows, vec, y, cs, loss, "l2", fold, regression, maps, **kw)
+    return KernelResult(fit, float(gammas[m]), c, {(float(gammas[m]), c): v for (m, c), v in scores.items()}, n_features, seed)
 
 
 def rbf_svm(df: DataFrame, vec: str, y: str, cs: Sequence[float] = C_GRID, gammas: Sequence[float] = GAMMA_GRID,
