@@ -2,8 +2,9 @@
 
 The grower covers what the built-in trees lack: an L1 leaf penalty, random thresholds, and many
 ensembles (penalty x fold, or all trees of a forest) growing in the same pass. One pass per level
-sums gradient histograms per (tree, node, feature, bin) in the tasks; the driver sees only those
-sums and picks the splits. Rows are binned once to a byte per feature.
+sums gradient histograms per (tree, node, feature, bin) in the tasks; Spark adds them up in blocks, and the driver sees
+only the sums and picks the splits. Of two siblings only the smaller is summed; the other is its parent less the
+smaller. Rows are binned once to a byte per feature and kept in chunks beside the margins of all ensembles.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from collections.abc import Sequence
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import Shared, cut_lineage, stored
+from ..session import Shared, cut_lineage, drop_path, new_path, stored
 from .batches import list_column, map_batches, matrix
 from .gram import _FLUSH_CELLS, total_array
 from .stats import classes_of
@@ -124,6 +124,34 @@ class Ensemble(NamedTuple):
         return (scored.withColumn(score, last) if score else scored).drop("__s")
 
 
+# Trees grown between two writings of the margins, and rows of a chunk.
+REFRESH, CHUNK_ROWS = 2, 8192
+# Whether siblings come from their parents' sums where all features are tried at every node.
+SUBTRACT = True
+CHUNK = T.StructType([T.StructField(name, T.BinaryType()) for name in ("b", "y", "fold", "m")])
+
+
+class _Chunk:
+    """Rows side by side: bins (rows x features), targets, folds, margins (ensembles x rows)."""
+
+    def __init__(self, b: bytes, y: bytes, fold: bytes, m: bytes):
+        self.y, self.fold = np.frombuffer(y), np.frombuffer(fold, np.int32)
+        self.bins = np.frombuffer(b, np.int8).reshape(len(self.y), -1)
+        self.m = np.frombuffer(m).reshape(-1, len(self.y))
+
+    @staticmethod
+    def record(bins, y, fold, m) -> pa.RecordBatch:
+        parts = [np.ascontiguousarray(x).tobytes() for x in (bins, y, fold, m)]
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], names=CHUNK.names)
+
+
+def _chunks(batches):
+    for batch in batches:
+        columns = [batch[name] for name in CHUNK.names]
+        for k in range(len(batch)):
+            yield _Chunk(*(c.iloc[k] for c in columns))
+
+
 class _Grower:
     def __init__(self, df: DataFrame, vec: str, y: str, fold: str | None, loss: str, specs: Sequence[Spec],
                  depth: int, n_bins: int, n_out: int, eta: float, base: float, min_child: float,
@@ -135,67 +163,71 @@ class _Grower:
         self.edges = _bins(df, vec, n_bins)
         self.d, self.n_bins = len(self.edges), max(len(e) for e in self.edges) + 1
         self.m = min(features or self.d, self.d)
+        self.subtract = SUBTRACT and self.m == self.d
         self.done: list[list[Tree]] = [[] for _ in specs]  # finished trees per ensemble
         self.folded = 0  # trees already inside the stored margins
+        self.path = ""
         edges = self.edges
 
         def binned(batches):
             for b in batches:
-                yield pa.RecordBatch.from_arrays(
-                    [list_column(_digitize(b["x"], edges)), pa.array(b["y"]), pa.array(b["fold"])], ["b", "y", "fold"])
+                bins, y, fold = _digitize(b["x"], edges), b["y"].to_numpy(float), b["fold"].to_numpy(np.int32)
+                for lo in range(0, len(b), CHUNK_ROWS):
+                    own = slice(lo, lo + CHUNK_ROWS)
+                    yield _Chunk.record(bins[own], y[own], fold[own], np.zeros(0))
 
         rows = df.select(F.col(vec).cast("array<double>").alias("x"), F.col(y).cast("double").alias("y"),
                          (F.col(fold) if fold else F.lit(-2)).cast("int").alias("fold"))
-        self.rows = stored(map_batches(rows, binned, T._parse_datatype_string("b array<tinyint>, y double, fold int")),
-                           "b", "y", "fold")
+        self.rows = cut_lineage(map_batches(stored(rows, "x", "y", "fold"), binned, CHUNK))
 
     def _margins(self):
-        """Function (batch, bins, ensemble) -> margin before the tree now growing."""
+        """Function (chunk, ensemble) -> margin before the tree now growing."""
         base, eta, depth, start = self.base, self.eta, self.depth, self.folded
         later = [trees[start:] for trees in self.done]
 
-        def margin(batch, bins, i):
-            m = batch["m"][:, i] if start else np.full(len(bins), base)
+        def margin(chunk, i):
+            m = chunk.m[i] if start else np.full(len(chunk.y), base)
             for tree in later[i]:
-                m = m + eta * tree.value[_leaf_of(tree, bins, depth), 0]
+                m = m + eta * tree.value[_leaf_of(tree, chunk.bins, depth), 0]
             return m
 
         return margin
 
     def _histograms(self, which: list[int], trees: list[Tree], slots: list[np.ndarray], picks: list[np.ndarray],
                     level: int) -> list[np.ndarray]:
-        """Per ensemble the sums (open node, feature, bin, output + 1) of one level: one pass for all."""
+        """Per ensemble the sums (asked node, feature, bin, output + 1) of one level: one pass for all."""
         margin, loss, n_out, m, n_bins = self._margins(), self.loss, self.n_out, self.m, self.n_bins
-        specs = [self.specs[i] for i in which]
+        specs, whole = [self.specs[i] for i in which], self.m == self.d
         boosted = loss != "classes"
         shared = Shared(self.rows.sparkSession, (trees, slots, picks))
 
         def sums(batches):
             grown, open_, chosen = shared.value
             total = [np.zeros((n_out + 1, len(o) * m * n_bins)) for o in open_]
-            for b in batches:
-                bins = b["b"]
-                y, fold = b["y"].to_numpy(), b["fold"].to_numpy()
+            for chunk in _chunks(batches):
+                places = chunk.bins + np.arange(m) * n_bins if whole else None  # of a row's cells, in a node's sums
                 for k, i in enumerate(which):
                     slot_of = np.full(2 ** (level + 1) - 1, -1)
                     slot_of[open_[k]] = np.arange(len(open_[k]))
-                    slot = slot_of[_leaf_of(grown[k], bins, level)]
-                    use = np.nonzero((slot >= 0) & specs[k].rows(fold))[0]
+                    slot = slot_of[_leaf_of(grown[k], chunk.bins, level)]
+                    use = np.flatnonzero((slot >= 0) & specs[k].rows(chunk.fold))
                     if not len(use):
                         continue
-                    g, h = _gradient(loss, y, margin(b, bins, i) if boosted else y, n_out)
+                    g, h = _gradient(loss, chunk.y, margin(chunk, i) if boosted else chunk.y, n_out)
                     at = slot[use]
-                    cell = np.take_along_axis(bins[use], chosen[k][at], axis=1).astype(np.int64)
-                    flat = ((at[:, None] * m + np.arange(m)[None]) * n_bins + cell).ravel()
+                    if whole:
+                        flat = (places[use] + (at * (m * n_bins))[:, None]).ravel()
+                    else:
+                        cell = np.take_along_axis(chunk.bins[use], chosen[k][at], axis=1).astype(np.int64)
+                        flat = ((at[:, None] * m + np.arange(m)[None]) * n_bins + cell).ravel()
                     width = total[k].shape[1]
                     for c in range(n_out):
                         total[k][c] += np.bincount(flat, weights=np.repeat(g[use, c], m), minlength=width)
                     weights = np.repeat(h[use], m) if loss == "logistic" else None  # else every row counts 1
                     total[k][n_out] += np.bincount(flat, weights=weights, minlength=width)
-            yield pd.DataFrame({"sums": [np.concatenate([t.ravel() for t in total])]})
+            yield np.concatenate([t.ravel() for t in total])
 
-        schema = T.StructType([T.StructField("sums", T.ArrayType(T.DoubleType()))])
-        got = total_array(map_batches(self.rows, sums, schema))
+        got = total_array(self.rows, sums)
         shared.unpersist()
         out, start = [], 0
         for o in slots:
@@ -206,9 +238,12 @@ class _Grower:
 
     def grow(self) -> None:
         """One more tree for every ensemble."""
+        if len(self.done[0]) - self.folded >= REFRESH:
+            self.refresh()
         size = 2 ** (self.depth + 1) - 1
         new = [Tree(np.full(size, -1), np.zeros(size, dtype=int), np.zeros((size, self.n_out))) for _ in self.specs]
         open_ = [np.array([0]) for _ in self.specs]
+        sums: list[dict] = [{} for _ in self.specs]  # of the nodes of the level above, where siblings are derived
         for level in range(self.depth):
             cell = self.m * self.n_bins * (self.n_out + 1)
             todo = [i for i in range(len(self.specs)) if len(open_[i])]
@@ -220,13 +255,38 @@ class _Grower:
                 draws = [np.random.default_rng([self.specs[i].seed, len(self.done[i]), level]) for i in which]
                 picks = [np.stack([r.permutation(self.d)[:self.m] if self.m < self.d else np.arange(self.d)
                                    for _ in open_[i]]) for i, r in zip(which, draws)]
-                slots = [open_[i] for i in which]
-                hists = self._histograms(which, [new[i] for i in which], slots, picks, level)
+                asked = [self._asked(new[i], open_[i], sums[i]) for i in which]
+                hists = self._histograms(which, [new[i] for i in which], asked, picks, level)
                 for k, i in enumerate(which):
-                    open_[i] = self._split(new[i], hists[k], slots[k], picks[k], self.specs[i], draws[k])
+                    hist = self._all_sums(open_[i], asked[k], hists[k], sums[i])
+                    nodes = open_[i]
+                    open_[i] = self._split(new[i], hist, nodes, picks[k], self.specs[i], draws[k])
+                    sums[i] = dict(zip(nodes.tolist(), hist, strict=True)) if self.subtract else {}
         for i, tree in enumerate(new):
             self.done[i].append(tree)
 
+    @staticmethod
+    def _asked(tree: Tree, nodes: np.ndarray, above: dict) -> np.ndarray:
+        """The nodes whose sums are read from the rows: of two open siblings the smaller one, an only one itself."""
+        if not above:
+            return nodes
+        there, out = set(nodes.tolist()), []
+        for left in sorted({k if k % 2 else k - 1 for k in there}):
+            if left in there and left + 1 in there:
+                count = above[(left - 1) // 2][tree.feature[(left - 1) // 2], :, -1]
+                out.append(left if 2 * count[:tree.cut[(left - 1) // 2] + 1].sum() <= count.sum() else left + 1)
+            else:
+                out.append(left if left in there else left + 1)
+        return np.array(out)
+
+    def _all_sums(self, nodes: np.ndarray, asked: np.ndarray, hists: np.ndarray, above: dict) -> np.ndarray:
+        """Sums of all open nodes, in their order."""
+        if not above:
+            return hists
+        known = dict(zip(asked.tolist(), hists, strict=True))
+        return np.stack([known[k] if k in known else above[(k - 1) // 2] - known[k + 1 if k % 2 else k - 1]
+                         for k in nodes.tolist()])
+
     def _split(self, tree: Tree, hist: np.ndarray, nodes: np.ndarray, picks: np.ndarray, spec: Spec, rng) -> np.ndarray:
         """Split the open nodes of one level in place; returns the nodes to try on the next."""
         left = hist.cumsum(axis=2)  # node, feature, bin, channel
@@ -270,19 +330,24 @@ class _Grower:
         return np.array(following, dtype=int)
 
     def refresh(self) -> None:
-        """Store the margins so that later passes evaluate recent trees only; cuts lineage too."""
-        margin, n = self._margins(), len(self.specs)
+        """Write the margins, so that later passes evaluate recent trees only; the former table goes."""
+        margin, n, spark = self._margins(), len(self.specs), self.rows.sparkSession
 
         def refreshed(batches):
-            for b in batches:
-                bins = b["b"]
-                m = np.stack([margin(b, bins, i) for i in range(n)], axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [list_column(bins), pa.array(b["y"]), pa.array(b["fold"]), list_column(m)], ["b", "y", "fold", "m"])
+            for chunk in _chunks(batches):
+                yield _Chunk.record(chunk.bins, chunk.y, chunk.fold, np.stack([margin(chunk, i) for i in range(n)]))
+
+        path, former = new_path(spark, "margins"), self.path
+        plain = {"compression": "none", "parquet.enable.dictionary": "false"}
+        map_batches(self.rows, refreshed, CHUNK).write.options(**plain).parquet(path)
+        self.rows, self.path, self.folded = spark.read.schema(CHUNK).parquet(path), path, len(self.done[0])
+        if former:
+            drop_path(spark, former)
 
-        fields = T._parse_datatype_string("b array<tinyint>, y double, fold int, m array<double>")
-        self.rows = cut_lineage(map_batches(self.rows, refreshed, fields))
-        self.folded = len(self.done[0])
+    def close(self) -> None:
+        """Drops the written margins."""
+        if self.path:
+            drop_path(self.rows.sparkSession, self.path)
 
     def held_loss(self) -> list[float]:
         """Mean loss of every ensemble on its held-out fold: one pass."""
@@ -290,19 +355,16 @@ class _Grower:
 
         def sums(batches):
             total = np.zeros((len(specs), 2))
-            for b in batches:
-                bins = b["b"]
-                y, fold = b["y"].to_numpy(), b["fold"].to_numpy()
+            for chunk in _chunks(batches):
                 for i, spec in enumerate(specs):
-                    mine = fold == spec.fold
+                    mine = chunk.fold == spec.fold
                     if spec.fold >= 0 and mine.any():
-                        f = margin(b, bins, i)[mine]
-                        t = y[mine]
+                        f = margin(chunk, i)[mine]
+                        t = chunk.y[mine]
                         total[i] += ((((f - t) ** 2) if loss == "squared" else np.logaddexp(0, -(2 * t - 1) * f)).sum(), mine.sum())
-            yield pd.DataFrame({"sums": [total.ravel()]})
+            yield total.ravel()
 
-        schema = T.StructType([T.StructField("sums", T.ArrayType(T.DoubleType()))])
-        got = total_array(map_batches(self.rows, sums, schema)).reshape(-1, 2)
+        got = total_array(self.rows, sums).reshape(-1, 2)
         return [float(a / n) if n else float("nan") for a, n in got]
 
 
@@ -312,21 +374,20 @@ class BoostResult(NamedTuple):
     scores: dict
 
 
-def _boost(df, vec, y, l1s, fold, loss, n_trees, depth, eta, l2, n_bins, base, classes=None, refresh=3) -> BoostResult:
+def _boost(df, vec, y, l1s, fold, loss, n_trees, depth, eta, l2, n_bins, base, classes=None) -> BoostResult:
     l1s = [float(a) for a in ([l1s] if isinstance(l1s, (int, float)) else l1s)]
     folds = classes_of(df, fold) if fold else []
     if len(l1s) > 1 and not folds:
         raise ValueError("a penalty grid needs a fold column")
     specs = [Spec(a, l2, f) for a in l1s for f in [-1, *(folds if len(l1s) > 1 else [])]]
     grower = _Grower(df, vec, y, fold, loss, specs, depth, n_bins, 1, eta, base, 1.0, None, False)
-    for i in range(n_trees):
+    for _ in range(n_trees):
         grower.grow()
-        if (i + 1) % refresh == 0 and i + 1 < n_trees:
-            grower.refresh()
     scores = {}
     if len(l1s) > 1:
         held = grower.held_loss()
         scores = {a: float(np.mean([v for s, v in zip(specs, held) if s.l1 == a and s.fold >= 0])) for a in l1s}
+    grower.close()
     best = min(scores, key=scores.get) if scores else l1s[0]
     trees = grower.done[specs.index(Spec(best, l2, -1))]
     kind = "logistic" if loss == "logistic" else "sum"
@@ -366,12 +427,16 @@ def boost_folds(df: DataFrame, vec: str, y: str, fold: str, n_trees: int = 10, d
     grower = _Grower(df, vec, y, fold, "logistic", specs, depth, n_bins, 1, eta, 0.0, 1.0, None, False)
     for _ in range(n_trees):
         grower.grow()
+    grower.close()
     return {f: Ensemble(grower.edges, t, depth, 0.0, eta, "logistic", [0, 1]) for f, t in zip(folds, grower.done)}
 
 
 def extra_trees_clf(df: DataFrame, vec: str, y: str, n_trees: int = 10, depth: int = 8, n_bins: int = 64,
                     features: int | None = None, seed: int = 0) -> Ensemble:
-    """Extremely randomised trees (Geurts et al., 2006): one random cut per (node, candidate feature)."""
+    """Extremely randomised trees (Geurts et al., 2006): one random cut per (node, candidate feature).
+
+    Ten trees are the default of scikit-learn before release 0.22.
+    """
     classes = classes_of(df, y)
     coded = df.withColumn("__y", F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(y)) - 1)
     d = df.select(F.size(vec)).first()[0]

@@ -57,6 +57,12 @@ def new_path(spark: SparkSession, stem: str) -> str:
     return f"{work_dir(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Removes a table that `new_path` named, once nothing reads it any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives lost executors and fixes one evaluation of `df`."""
     sc = df.sparkSession.sparkContext
