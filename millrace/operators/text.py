@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as ft
 from ..functions.arrays import let
-from ..session import BROADCAST_ROWS, TASK_ROWS, as_list, cut_lineage
+from ..session import BROADCAST_ROWS, TASK_ROWS, Shared, as_list, cut_lineage
 from .joins import lookup_join
 from .order import with_position
 
+# Bytes of a vocabulary that tasks may hold as an automaton, and distinct pieces whose matches a task remembers.
+AUTOMATON_BYTES, PIECES_KNOWN = 8_000_000, 200_000
+
 
 def remove_stopwords(df: DataFrame, col: str, words, key=None, out: str | None = None) -> DataFrame:
     """Drop listed words, keeping order and repeats. `words` is a list, or a frame with `word`.
@@ -61,8 +66,10 @@ def doc_freq(df: DataFrame, vocab: DataFrame, col: str, key=None, mode: str = "t
 
     mode='token' counts texts that hold the word as a token. mode='substring' counts texts that
     hold it anywhere: a word has no space, so it lies inside one space-separated piece of the
-    text. The distinct pieces are cut into substrings of the lengths the vocabulary has and
-    matched with it by an equi join; the matches then join back to the texts.
+    text. A vocabulary of at most `max_rows` words and AUTOMATON_BYTES is sent to the tasks as an
+    automaton; they sum texts per word, so that a row per task and word is shuffled. For a larger
+    one the distinct pieces are cut into substrings of the lengths the vocabulary has and
+    matched with it by an equi join; the matches then join back to the texts. `key` is unique.
     """
     words = vocab.select("word").distinct()
     if mode == "token":
@@ -73,6 +80,9 @@ def doc_freq(df: DataFrame, vocab: DataFrame, col: str, key=None, mode: str = "t
         raise ValueError("mode is 'token' or 'substring'")
     if key is None:
         raise ValueError("substring mode needs the key of a text")
+    size = words.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(F.octet_length("word"))).first()
+    if size[0] <= max_rows and (size[1] or 0) <= AUTOMATON_BYTES:
+        return _automaton_counts(df, col, words)
     keys = as_list(key)
     # Only lengths that the vocabulary has are cut: a piece of n letters gives at most n substrings per length.
     lengths = sorted(r[0] for r in words.select(F.length("word")).distinct().collect() if r[0])
@@ -90,6 +100,41 @@ def doc_freq(df: DataFrame, vocab: DataFrame, col: str, key=None, mode: str = "t
     return per_text.groupBy("word").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
+def _automaton_counts(df: DataFrame, col: str, words: DataFrame) -> DataFrame:
+    """Substring document frequencies by one Aho-Corasick automaton, run once per distinct piece that a task remembers.
+
+    Linear in the length of a piece and its matches.
+    """
+    listed = sorted(r["word"] for r in words.collect() if r["word"])
+    sent = Shared(df.sparkSession, listed)
+
+    def count(batches):
+        import ahocorasick
+
+        own = sent.value
+        find = ahocorasick.Automaton()
+        for k, word in enumerate(own):
+            find.add_word(word, k)
+        find.make_automaton()
+        n, known = np.zeros(len(own), np.int64), {}
+        for batch in batches:
+            for pieces in batch.column(0) if own else ():
+                found = [np.zeros(0, np.int64)]
+                for piece in pieces.as_py() or ():
+                    if piece not in known:
+                        if len(known) >= PIECES_KNOWN:
+                            known.clear()
+                        known[piece] = np.array(sorted({k for _, k in find.iter(piece)}), np.int64)
+                    found.append(known[piece])
+                n[np.unique(np.concatenate(found))] += 1
+        there = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array([own[k] for k in there], pa.string()), pa.array(n[there])],
+                                         names=["word", "n_docs"])
+
+    pieces = df.select(F.array_compact(F.array_distinct(ft.tokens(F.col(col)))).alias("pieces"))
+    return pieces.mapInArrow(count, "word string, n_docs long").groupBy("word").agg(F.sum("n_docs").alias("n_docs"))
+
+
 def idf(doc_counts: DataFrame, n_docs: int) -> DataFrame:
     """(.., idf) from (word, n_docs)."""
     return doc_counts.withColumn("idf", ft.idf(F.col("n_docs"), float(n_docs)))
