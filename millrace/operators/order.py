@@ -9,6 +9,7 @@ index inside the partition, whatever the size of the group.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -116,24 +117,59 @@ def windowed(df: DataFrame, order_by, partition_by=None, before: int = 0, after:
     return cut, window, finish
 
 
-def positional_split(df: DataFrame, order_by, n: int | None = None, frac: float | None = None,
-                     max_rows: int = TASK_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Head (first `n` rows, or first `frac` of them) and the rest: disjoint and complete."""
+def rows_at(df: DataFrame, order_by, positions: list[int]) -> DataFrame:
+    """One row, one column `edges`: the order keys (structs) at the given 0-based positions of the whole frame, ascending.
+
+    Only the keys are sorted, over range partitions; counts per partition lead to the positions. A position given twice
+    has its key twice. The result is stored, so that it is found once.
+    """
+    order_by = as_list(order_by)
+    rows = _ranged(df.select(*order_by), order_by)
+    sizes = sorted((r["__slot"], r["count"]) for r in rows.groupBy("__slot").count().collect())
+    times, before = F.lit(0), 0
+    for slot, n in sizes:
+        for at in sorted({p for p in positions if before <= p < before + n}):
+            here = (F.col("__slot") == slot) & (F.col("__local") == at - before)
+            times = F.when(here, F.lit(positions.count(at))).otherwise(times)
+        before += n
+    key = F.explode(F.array_repeat(F.struct(*order_by), "__times")).alias("edge")
+    return cut_lineage(rows.withColumn("__times", times).filter("__times > 0").select(key).agg(
+        F.array_sort(F.collect_list("edge")).alias("edges")))
+
+
+def _edges_below(df: DataFrame, order_by, positions: list[int]) -> Column:
+    """How many of the keys at `positions` are at or before a row's own key, as a projection."""
+    key, edges = F.struct(*as_list(order_by)), rows_at(df, order_by, positions).scalar()
+    below = [F.when(F.get(edges, F.lit(i)) <= key, 1).otherwise(0) for i in range(len(positions))]
+    return reduce(Column.__add__, below)
+
+
+def positional_split(df: DataFrame, order_by, n: int | None = None, frac: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """Head (first `n` rows, or first `frac` of them) and the rest: disjoint and complete.
+
+    `order_by` are columns whose values together are unique, ascending. Both parts are filters of `df` by the key of the
+    first row of the rest.
+    """
     if (n is None) == (frac is None):
         raise ValueError("give exactly one of n and frac")
     size = df.count()
-    if n is None:
-        n = int(size * frac)
-    placed = with_position(df, order_by, max_rows=max_rows, longest=size)
-    return placed.filter(F.col("pos") < n).drop("pos"), placed.filter(F.col("pos") >= n).drop("pos")
+    n = int(size * frac) if n is None else n
+    if not 0 < n < size:
+        return df.filter(F.lit(n > 0)), df.filter(F.lit(n <= 0))
+    after = _edges_below(df, order_by, [n])
+    return df.filter(after == 0), df.filter(after == 1)
+
 
+def contiguous_folds(df: DataFrame, order_by, k: int, name: str = "fold") -> DataFrame:
+    """Fold number 0..k-1 over contiguous blocks whose bounds are int(n / k * i).
 
-def contiguous_folds(df: DataFrame, order_by, k: int, name: str = "fold", max_rows: int = TASK_ROWS) -> DataFrame:
-    """Fold number 0..k-1 over contiguous blocks whose bounds are int(n / k * i)."""
+    `order_by` are columns whose values together are unique, ascending. Only they are sorted, to find the k - 1 bounds; the
+    rows get their fold by comparison with these.
+    """
     n = df.count()
-    placed = with_position(df, order_by, name="__at", max_rows=max_rows, longest=n)
-    fold = F.floor(((F.col("__at") + 1) * k - 1) / F.lit(max(n, 1))).cast("int")
-    return placed.withColumn(name, fold).drop("__at")
+    if n == 0 or k == 1:
+        return df.withColumn(name, F.lit(0))
+    return df.withColumn(name, _edges_below(df, order_by, [i * n // k for i in range(1, k)]))
 
 
 def complement(df: DataFrame, fold: str, held: int) -> DataFrame:
@@ -141,9 +177,9 @@ def complement(df: DataFrame, fold: str, held: int) -> DataFrame:
     return df.filter(~F.col(fold).eqNullSafe(F.lit(held)))
 
 
-def hash_split(df: DataFrame, key: str, test_share: float, seed: int, name: str = "is_test") -> DataFrame:
+def hash_split(df: DataFrame, key: str, test_share: float, seed: int | Column, name: str = "is_test") -> DataFrame:
     """Seeded split by the hash of a key: the same rows whatever the partitioning."""
-    digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+    digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), (F.lit(seed) if isinstance(seed, int) else seed).cast("string")))
     draw = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
     return df.withColumn(name, (draw < int(test_share * 16 ** 8)).cast("int"))
 
