@@ -41,6 +41,10 @@ class Batch:
         col = self._rows.column(self._rows.schema.get_field_index(name))
         return matrix(col) if pa.types.is_list(col.type) else col.to_pandas()
 
+    def lists(self, name: str) -> list:
+        """An array column as Python lists, for values that make no matrix of numbers."""
+        return self._rows.column(self._rows.schema.get_field_index(name)).to_pylist()
+
     def groups(self, keys: list) -> list[tuple]:
         """(key tuple, row numbers) per distinct key; one group without keys."""
         if not keys:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import let, squared_distance
 from ..session import Shared, cut_lineage
-from .evaluate import calinski_harabasz, inertia, silhouette
-from .batches import matrix
+from .batches import list_column, matrix
+from .evaluate import silhouettes
+from .gram import total_array
 
 
 class KMeansFit(NamedTuple):
@@ -46,17 +48,133 @@ def lloyd_step(df: DataFrame, vec: str, centres) -> DataFrame:
     return cells.groupBy("cluster", "pos").agg(F.count("x").alias("n"), F.avg("x").alias("mean"))
 
 
+# Rows that starts are drawn from, and doubles of them that reach the driver at most.
+START_ROWS, START_CELLS = 20_000, 4_000_000
+
+
+def _start(x: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means++ (Arthur & Vassilvitskii, 2007) over sampled rows; fewer centres where these have fewer distinct values."""
+    draw = np.random.default_rng([seed, k])
+    chosen = [int(draw.integers(len(x)))]
+    far = ((x - x[chosen[0]]) ** 2).sum(1)
+    while len(chosen) < k and far.sum() > 0:
+        chosen.append(int(draw.choice(len(x), p=far / far.sum())))
+        far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(1))
+    return x[chosen].copy()
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Index of the nearest centre of every row; ties to the lowest index."""
+    out, step = np.empty(len(x), np.int64), max(1, 2_000_000 // max(centres.size, 1))
+    for lo in range(0, len(x), step):
+        out[lo:lo + step] = ((x[lo:lo + step, None, :] - centres[None]) ** 2).sum(2).argmin(1)
+    return out
+
+
+def lloyd_grid(df: DataFrame, vec: str, starts: Sequence[np.ndarray], max_iter: int = 500, tol: float = 1e-4) -> list[np.ndarray]:
+    """Centres after Lloyd steps from every start; all starts advance in the same passes.
+
+    A start has ended when no centre moves by more than `tol`. A centre without rows stays. Starts that `max_iter` passes
+    did not end are named in a warning. `df` is read once per pass: hand in a checkpointed or written table.
+    """
+    centres, todo = [c.copy() for c in starts], list(range(len(starts)))
+    rows = df.select(F.col(vec).cast("array<double>").alias("x"))
+    for _ in range(max_iter):
+        if not todo:
+            break
+        shared = Shared(df.sparkSession, [centres[i] for i in todo])
+
+        def sums(batches):
+            own = shared.value
+            total = [np.zeros((len(c), c.shape[1] + 1)) for c in own]
+            for b in batches:
+                x = b["x"]
+                for c, t in zip(own, total):
+                    near = _nearest(x, c)
+                    t[:, 0] += np.bincount(near, minlength=len(c))
+                    np.add.at(t[:, 1:], near, x)
+            yield np.concatenate([t.ravel() for t in total])
+
+        got, lo, still = total_array(rows, sums), 0, []
+        shared.unpersist()
+        for i in todo:
+            size = centres[i].shape[0] * (centres[i].shape[1] + 1)
+            t = got[lo:lo + size].reshape(len(centres[i]), -1)
+            lo += size
+            new = np.where(t[:, :1] > 0, t[:, 1:] / np.maximum(t[:, :1], 1), centres[i])
+            if ((new - centres[i]) ** 2).sum(1).max() > tol * tol:
+                still.append(i)
+            centres[i] = new
+        todo = still
+    if todo:
+        warnings.warn(f"{len(todo)} of {len(starts)} clusterings still moved after {max_iter} passes", stacklevel=2)
+    return centres
+
+
+def kmeans_grid(df: DataFrame, vec: str, ks: Sequence[int], seeds: Sequence[int], max_iter: int = 500) -> list[np.ndarray]:
+    """Centres of one clustering per (k, seed) pair, k-means++ starts on START_ROWS sampled rows, Lloyd steps on all."""
+    n = max(1, min(START_ROWS, START_CELLS // max(1, df.select(F.size(vec)).first()[0])))
+    cells = F.col(vec).cast("array<double>")
+    sample = df.select(cells.alias("x")).orderBy(F.xxhash64("x"), "x").limit(n).toPandas()
+    x = matrix(sample["x"])
+    return lloyd_grid(df, vec, [_start(x, k, seed) for k, seed in zip(ks, seeds, strict=True)], max_iter)
+
+
+def assign_grid(df: DataFrame, vec: str, centres: Sequence[np.ndarray], out: str = "clusters") -> DataFrame:
+    """An array of the nearest centre's index in each set of centres."""
+    shared = Shared(df.sparkSession, list(centres))
+
+    @F.arrow_udf("array<int>")
+    def place(col: pa.Array) -> pa.Array:
+        x = matrix(col)
+        return list_column(np.stack([_nearest(x, c) for c in shared.value], axis=1).astype("int32"))
+
+    return df.withColumn(out, place(F.col(vec).cast("array<double>")))
+
+
+def kmeans_runs(df: DataFrame, vec: str, k: int, seeds: Sequence[int], out: str = "cluster") -> DataFrame:
+    """The rows of `df` once per seed, with `run` (0..) and the cluster of the row in it; one plan for all runs."""
+    rows = cut_lineage(df)
+    centres = kmeans_grid(rows, vec, [k] * len(seeds), list(seeds))
+    placed = assign_grid(rows, vec, centres, "__all")
+    return placed.select(*df.columns, F.posexplode("__all").alias("run", out))
+
+
 def kmeans_sweep(df: DataFrame, key: str, vec: str, ks: Sequence[int] = tuple(range(2, 50)), seed: int = 0,
                  metric: str = "euclidean") -> DataFrame:
-    """(k, silhouette, inertia, calinski_harabasz) for every k on one written copy of the rows."""
+    """(k, silhouette, inertia, calinski_harabasz) for every k.
+
+    All k advance in the same Lloyd passes, and their scores share one pass over the distances. A k above the number of
+    distinct rows has as many clusters as these.
+    """
+    ks = list(ks)
     rows = cut_lineage(df.select(key, F.col(vec).cast("array<double>").alias(vec)))
-    scores = []
-    for k in ks:
-        fit = kmeans(rows, vec, k, seed)
-        placed = cut_lineage(fit.transform(rows, vec))
-        row = (silhouette(placed, key, vec, "cluster", metric).first()[0], inertia(placed, vec, "cluster").first()[0],
-               calinski_harabasz(placed, vec, "cluster").first()[0])
-        scores.append((int(k), *[float(x) if x is not None else None for x in row]))
+    centres = kmeans_grid(rows, vec, ks, [seed] * len(ks))
+    placed = cut_lineage(assign_grid(rows, vec, centres, "__all"))
+    mean = [r[0] for r in rows.select(F.posexplode(vec).alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("m"))
+            .orderBy("pos").select("m").collect()]
+
+    def sums(batches):
+        total = [np.zeros((len(c), len(mean) + 1)) for c in centres]
+        square = 0.0
+        for b in batches:
+            x, own = b[vec] - np.array(mean), b["__all"]
+            square += (x * x).sum()
+            for j, t in enumerate(total):
+                t[:, 0] += np.bincount(own[:, j], minlength=len(t))
+                np.add.at(t[:, 1:], own[:, j], x)
+        yield np.concatenate([[square], *(t.ravel() for t in total)])
+
+    got, lo, scores = total_array(placed, sums), 1, []
+    shapes = silhouettes(placed, key, vec, "__all", len(ks), metric)
+    for k, c, shape in zip(ks, centres, shapes):
+        t = got[lo:lo + len(c) * (len(mean) + 1)].reshape(len(c), -1)
+        lo += t.size
+        n, held = t[:, 0].sum(), int((t[:, 0] > 0).sum())
+        between = float(((t[:, 1:] ** 2).sum(1) / np.maximum(t[:, 0], 1)).sum())
+        within = max(float(got[0]) - between, 0.0)
+        ch = float(between * (n - held) / (within * (held - 1))) if within > 0 and held > 1 else None
+        scores.append((int(k), shape, within, ch))
     return df.sparkSession.createDataFrame(scores, "k int, silhouette double, inertia double, calinski_harabasz double")
 
 

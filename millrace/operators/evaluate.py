@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrays import hamming_distance, squared_distance
-from ..session import TASK_ROWS, as_list, cut_lineage
+from ..session import BROADCAST_ROWS, TASK_ROWS, as_list, cut_lineage
 from .joins import lookup_join
 from .order import prefix_sums
 from .stats import group_mode
@@ -193,17 +193,48 @@ def silhouette(df: DataFrame, key: str, vec: str, cluster: str, metric: str = "e
     elif metric == "euclidean":
         from .neighbours import cluster_distance_sums
 
-        sums = cluster_distance_sums(df, key, vec, cluster, max_rows=max_rows)
-        mean_to = sums.groupBy("id", "own").agg(F.collect_list(F.struct(
-            F.col("cluster").alias("c"), F.col("n"), (F.col("dist") / F.col("n")).alias("d"))).alias("__d")
-        ).withColumnRenamed("own", "__own")
+        return _from_sums(cluster_distance_sums(df, key, vec, cluster, max_rows=max_rows), []).select("silhouette")
     else:
         raise ValueError("metric is 'euclidean' or 'squared'")
+    return mean_to.agg(F.avg(_shape()).alias("silhouette"))
+
+
+def silhouettes(df: DataFrame, key: str, vec: str, clusters: str, n: int, metric: str = "euclidean",
+                max_rows: int = BROADCAST_ROWS) -> list[float | None]:
+    """The silhouette of each of `n` clusterings, whose cluster numbers (0..) stand in the array column `clusters`.
+
+    Euclidean distances are computed once for all clusterings: where the rows pass a check of their number and bytes,
+    tasks hold the table and return a sum per clustering. Otherwise they meet in blocks.
+    """
+    from .neighbours import cluster_distance_sums, silhouette_sums
+
+    if metric != "euclidean":
+        return [silhouette(df.withColumn("__own", F.get(clusters, F.lit(j))), key, vec, "__own", metric).first()[0]
+                for j in range(n)]
+    found = silhouette_sums(df, vec, clusters, n, max_rows)
+    if found is None:
+        found = []
+        sums = cluster_distance_sums(df, key, vec, clusters, max_rows=max_rows, labelings=n)
+        rows = {r["labeling"]: r["silhouette"] for r in _from_sums(sums, ["labeling"]).collect()}
+        found = [rows.get(j) for j in range(n)]
+    return found
+
+
+def _from_sums(sums: DataFrame, by: list) -> DataFrame:
+    """Mean silhouette from (by.., id, own, cluster, n, dist)."""
+    mean_to = sums.groupBy(*by, "id", "own").agg(F.collect_list(F.struct(
+        F.col("cluster").alias("c"), F.col("n"), (F.col("dist") / F.col("n")).alias("d"))).alias("__d")
+    ).withColumnRenamed("own", "__own")
+    return mean_to.groupBy(*by).agg(F.avg(_shape()).alias("silhouette"))
+
+
+def _shape() -> Column:
+    """(b - a) / max(a, b) from `__own` and `__d`, an array of (c, n, mean distance d)."""
     own = F.filter("__d", lambda s: s["c"] == F.col("__own"))[0]
     a = own["d"] * own["n"] / F.nullif(own["n"] - 1, F.lit(0))
     b = F.array_min(F.transform(F.filter("__d", lambda s: s["c"] != F.col("__own")), lambda s: s["d"]))
     score = F.when(own["n"] > 1, F.try_divide(b - a, F.greatest(a, b))).otherwise(0.0)
-    return mean_to.agg(F.avg(F.coalesce(score, F.lit(0.0))).alias("silhouette"))
+    return F.coalesce(score, F.lit(0.0))
 
 
 def _square(vec: Column) -> Column:

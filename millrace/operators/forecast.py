@@ -3,7 +3,7 @@
 Everything but the filter is solved from one object per series: the centred cross products of its
 sliding windows (`window_moments`). Lags, differences and regression residuals are linear maps of
 a window, so a whole order search is matrix algebra on sums that one scan produced. Values come
-from closed-form estimators (Engle 1982; Hannan & Rissanen 1982), not from iterated likelihood.
+from closed-form estimators (Engle 1982; Hannan & Rissanen 1982); GARCH is refined by likelihood.
 """
 
 from __future__ import annotations
@@ -34,6 +34,10 @@ KALMAN_Q, KALMAN_R, KALMAN_JUMP = 1e-5, 0.1, 30.0
 KALMAN_NEW, KALMAN_OLD = 0.382, 0.618
 
 
+# Upper bound of a GARCH model's alphas and betas in sum.
+PERSISTENCE = 0.9999
+
+
 def window_moments(df: DataFrame, value: str, lags: int, order_by, partition_by=None,
                    max_rows: int = TASK_ROWS) -> DataFrame:
     """(partition.., n, mean, m2) of the vectors (x[t-lags], .., x[t]) of every series."""
@@ -269,38 +273,109 @@ def _long_order(m: tuple, need: int) -> int:
     return len(m[1]) - 1 - need
 
 
+def _garch_variances(omega: float, alpha, beta, e2: np.ndarray) -> np.ndarray:
+    """Variances of a series and of the step after it; the mean square stands for what lies before it."""
+    level, p, q = float(e2.mean()), len(alpha), len(beta)
+    driven = omega + np.convolve(np.concatenate([np.full(p, level), e2]), np.concatenate([[0.0], alpha]))[p:p + len(e2) + 1]
+    past = [level] * q
+    for v in driven.tolist():
+        past.append(v + sum(b * past[-1 - j] for j, b in enumerate(beta)))
+    return np.array(past[q:])
+
+
+def _garch_loss(theta: np.ndarray, p: int, e2: np.ndarray) -> float:
+    """Minus the Gaussian log likelihood per row, up to constants."""
+    v = _garch_variances(*_garch_of(theta, p), e2)[:-1]
+    return float((np.log(v) + e2 / v).mean()) if (v > 0).all() and np.isfinite(v).all() else float("inf")
+
+
+def _garch_of(theta: np.ndarray, p: int) -> tuple:
+    """(omega, alpha, beta) of free numbers: omega positive, the others non-negative and below PERSISTENCE in sum."""
+    share = np.exp(np.clip(theta[1:], -40, 40))
+    share = PERSISTENCE * share / (1.0 + share.sum())
+    return float(np.exp(np.clip(theta[0], -700, 700))), share[:p], share[p:]
+
+
+def _simplex(loss: Callable, start: np.ndarray, tol: float = 1e-9, steps: int = 600) -> tuple[np.ndarray, bool]:
+    """Lowest point found by Nelder & Mead (1965), never above the start, and whether the simplex closed."""
+    points = [start, *(start + 0.5 * row for row in np.eye(len(start)))]
+    values = [loss(x) for x in points]
+    for _ in range(steps):
+        order = np.argsort(values, kind="stable")
+        points, values = [points[i] for i in order], [values[i] for i in order]
+        if values[-1] - values[0] <= tol * (1 + abs(values[0])):
+            return points[0], True
+        middle = np.mean(points[:-1], axis=0)
+        near = middle + (middle - points[-1])
+        got = loss(near)
+        if got < values[0]:
+            far = middle + 2 * (middle - points[-1])
+            more = loss(far)
+            points[-1], values[-1] = (far, more) if more < got else (near, got)
+        elif got < values[-2]:
+            points[-1], values[-1] = near, got
+        else:
+            inner = middle + 0.5 * ((near if got < values[-1] else points[-1]) - middle)
+            less = loss(inner)
+            if less < min(got, values[-1]):
+                points[-1], values[-1] = inner, less
+            else:
+                points = [points[0], *(points[0] + 0.5 * (x - points[0]) for x in points[1:])]
+                values = [values[0], *(loss(x) for x in points[1:])]
+    return points[int(np.argmin(values))], False
+
+
+def _garch_start(omega: float, alpha: np.ndarray, beta: np.ndarray, level: float) -> np.ndarray:
+    """Free numbers of the closed form's values, moved inside the bounds."""
+    share = np.maximum(np.concatenate([alpha, beta]), 1e-3)
+    share = np.where(np.isfinite(share), share, 1e-3) / PERSISTENCE
+    if share.sum() > 0.98:
+        share *= 0.98 / share.sum()
+    if not np.isfinite(omega) or omega <= 0:
+        omega = (1 - share.sum()) * level
+    return np.concatenate([[np.log(max(omega, 1e-300))], np.log(share / (1 - share.sum()))])
+
+
 def garch_fit(df: DataFrame, value: str, p: int, q: int, order_by, partition_by=None, long_lags: int = 20, h: int = 0,
-              max_rows: int = TASK_ROWS) -> DataFrame:
-    """(partition.., mu, omega, alpha, beta, variances): GARCH by the ARMA form of squared residuals.
+              max_rows: int = TASK_ROWS, refine_rows: int = 5000) -> DataFrame:
+    """(partition.., mu, omega, alpha, beta, variances, converged): GARCH by maximum likelihood from the ARMA form.
 
-    `p` lags of the squared residual, `q` lags of the variance; `variances` holds h steps ahead.
+    `p` lags of the squared residual, `q` lags of the variance; `variances` holds h steps ahead. The ARMA form of the
+    squared residuals gives the start, from one scan of every series; the Gaussian likelihood of its last `refine_rows`
+    values is then raised within the bounds: omega positive, alpha and beta non-negative and below 1 in sum.
+    `converged` is false where the search did not close, and for a constant series, whose omega is 0.
     """
     groups = as_list(partition_by)
     r = max(p, q)
     e2 = _squared_residuals(df, value, order_by, groups)
     sums = window_moments(e2, "__e2", long_lags + r, order_by, groups, max_rows)
-    edges = _joined(_edge_values(e2, "__e2", long_lags + r + 1, order_by, groups, last=True),
+    edges = _joined(_edge_values(e2, "__e2", max(refine_rows, long_lags + r + 1), order_by, groups, last=True),
                     e2.groupBy(*groups).agg(F.first("__mu").alias("mu")), groups)
 
     def fit(row):
-        m = _unpack(row)
-        ar, ma, const, _, a, c = _two_stage(m, r, q, long_lags)
-        beta = -ma
+        ar, ma, const, _, _, _ = _two_stage(_unpack(row), r, q, long_lags)
         alpha = ar.copy()
-        alpha[:q] -= beta
+        alpha[:q] += ma
         past = np.asarray(row["edge"], dtype=float)
-        shocks = [float(past[-1 - j] - c - a @ past[len(past) - 1 - j - long_lags:len(past) - 1 - j])
-                  for j in range(r)][::-1] if len(past) > long_lags + r - 1 else [0.0] * r
-        values, out = list(past), []
+        level = float(past.mean())
+        if not level > 0:
+            return [(float(row["mu"]), 0.0, [0.0] * p, [0.0] * q, [0.0] * h, False)]
+        scaled = past / level
+        theta, closed = _simplex(lambda x: _garch_loss(x, p, scaled),
+                                 _garch_start(const / level, alpha[:p], -ma, 1.0))
+        omega, alpha, beta = _garch_of(theta, p)
+        known = _garch_variances(omega, alpha, beta, scaled)
+        squares, v, out = scaled.tolist(), known[:-1].tolist(), []
         for _ in range(h):
-            v = const + sum(ar[i] * values[-1 - i] for i in range(r)) + sum(ma[j] * shocks[-1 - j] for j in range(q))
-            values.append(v)
-            shocks.append(0.0)
-            out.append(float(v))
-        return [(float(row["mu"]), float(const), alpha[:p].tolist(), beta.tolist(), out)]
-
-    return _solve(_joined(sums, edges, groups), groups,
-                  "mu double, omega double, alpha array<double>, beta array<double>, variances array<double>", fit)
+            ahead = omega + sum(a * squares[-1 - i] for i, a in enumerate(alpha) if i < len(squares)) + sum(
+                b * v[-1 - j] for j, b in enumerate(beta) if j < len(v))
+            squares.append(ahead)
+            v.append(ahead)
+            out.append(float(ahead * level))
+        return [(float(row["mu"]), omega * level, alpha.tolist(), beta.tolist(), out, closed)]
+
+    return _solve(_joined(sums, edges, groups), groups, "mu double, omega double, alpha array<double>, beta array<double>, "
+                  "variances array<double>, converged boolean", fit)
 
 
 def _arma_scores(m: tuple, max_p: int, max_q: int, long: int) -> list[tuple]:

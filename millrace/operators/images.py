@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,8 +63,11 @@ def inject_noise(df: DataFrame, key, arr: str, size: int, n: int = NOISE_POSITIO
     return done.withColumn(out or arr, noisy).drop("__draws", "__spots")
 
 
-def patch_features(df: DataFrame, key, gray_arr: str, width: int, radius: int = 1) -> DataFrame:
-    """(key.., pos, patch): the gray values around every pixel, row by row, zero beyond the border."""
+def patch_features(df: DataFrame, key, gray_arr: str, width: int, radius: int = 1, colours: str | None = None) -> DataFrame:
+    """(key.., pos, patch): the gray values around every pixel, row by row, zero beyond the border.
+
+    With `colours`, the column of planes, the pixel's r, g and b come along from the same row.
+    """
     size = width * width
     offsets = [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1)]
 
@@ -74,17 +79,20 @@ def patch_features(df: DataFrame, key, gray_arr: str, width: int, radius: int =
             cells.append(F.when(inside, F.try_element_at(arr, pos + dy * width + dx + 1)).otherwise(F.lit(0.0)))
         return F.array(*cells)
 
-    spots = df.select(*as_list(key), F.col(gray_arr).alias("__g"),
+    planes = [F.col(colours).alias("__c")] if colours else []
+    spots = df.select(*as_list(key), F.col(gray_arr).alias("__g"), *planes,
                       F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("pos"))
-    return spots.select(*as_list(key), "pos", patch(F.col("__g"), F.col("pos")).alias("patch"))
+    rgb = [F.get("__c", F.col("pos") + i * size).alias(n) for i, n in enumerate("rgb")] if colours else []
+    return spots.select(*as_list(key), "pos", patch(F.col("__g"), F.col("pos")).alias("patch"), *rgb)
 
 
 def colorize(df: DataFrame, key: str, arr: str, width: int, k: int = 4, radius: int = 1, seed: int = 1,
-             test: str | None = None):
+             test: str | None = None, max_iter: int = 200):
     """(key, pos, code, prediction): palette code of every pixel, predicted from its gray patch.
 
     Palette and classifier are fitted on the rows where `test` is 0 (all rows without it). The
-    classifier is a multinomial logistic regression over the patch and its position.
+    classifier is a multinomial logistic regression over the patch and its position. Patch and colour of a pixel come from
+    its image's row, so no join is needed. A fit that `max_iter` steps did not end is told by a warning.
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
@@ -94,15 +102,14 @@ def colorize(df: DataFrame, key: str, arr: str, width: int, k: int = 4, radius:
 
     size = width * width
     keys = [key] + ([test] if test else [])
-    px = pixels(df, keys, arr, size)
-    train_px = px.filter(F.col(test) == 0) if test else px
-    codes = palette(train_px, k, seed).codes(px).select(key, "pos", "code")
+    colours = palette(pixels(df.filter(F.col(test) == 0) if test else df, keys, arr, size), k, seed)
     grays = grayscale(df, arr, size, "__gray").withColumn("__gray", F.transform("__gray", lambda g: g / 255.0))
-    patches = patch_features(grays, keys, "__gray", width, radius)
+    patches = colours.codes(patch_features(grays, keys, "__gray", width, radius, arr)).drop(*"rgb")
     place = F.array((F.col("pos") % width) / float(width), F.floor(F.col("pos") / width) / float(width))
-    rows = cut_lineage(patches.join(codes, [key, "pos"]).withColumn(
-        "__features", array_to_vector(F.concat("patch", place))))
+    rows = cut_lineage(patches.withColumn("__features", array_to_vector(F.concat("patch", place))))
     fit = LogisticRegression(featuresCol="__features", labelCol="code", predictionCol="prediction",
-                             family="multinomial", maxIter=50).fit(rows.filter(F.col(test) == 0) if test else rows)
+                             family="multinomial", maxIter=max_iter).fit(rows.filter(F.col(test) == 0) if test else rows)
+    if fit.hasSummary and fit.summary.totalIterations >= max_iter:
+        warnings.warn(f"the classifier still changed after {max_iter} steps", stacklevel=2)
     out = fit.transform(rows)
     return out.select(*keys, "pos", "code", F.col("prediction").cast("int").alias("prediction"))

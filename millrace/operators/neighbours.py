@@ -2,9 +2,10 @@
 
 No pair table is ever built. A right side that passes a size check is broadcast as a matrix and
 the left side streams past it. Otherwise the right side is cut into Voronoi cells around sampled
-pivots, large cells into blocks; a left row visits only cells whose distance bound allows a
-closer neighbour (triangle and hyperplane bounds, Lu et al., VLDB 2012), and a task that holds
-one left block and one right block returns the best k per left row.
+pivots, each group of rows (the value of `by`, the barred fold) into cells of its own, large cells into blocks; a left
+row visits only cells of its groups whose distance bound allows a closer neighbour (triangle and hyperplane bounds, Lu et
+al., VLDB 2012), and a task that holds one left block and one right block returns the best k per left row. The plan is
+the same for any number of groups.
 """
 
 from __future__ import annotations
@@ -17,9 +18,13 @@ from pyspark.sql import types as T
 
 from ..session import BROADCAST_ROWS, Shared, as_list, cut_lineage, fits
 from .batches import map_batches, matrix
-from .joins import top_per_key
+from .gram import total_array
+from .joins import lookup_join, top_per_key
 
 _TILE = 4_000_000  # cells of one distance tile
+# Bytes of vectors that may be broadcast, and of sampled pivots; left rows that look for their cells in one task; left rows
+# that an approximate join tries on all right rows.
+BROADCAST_BYTES, PIVOT_BYTES, VISIT_ROWS, TRIED = 256_000_000, 64_000_000, 50_000, 256
 
 
 def _keep_copies(right: pd.DataFrame, x: np.ndarray, keep: int, extra: str | None) -> np.ndarray:
@@ -67,54 +72,50 @@ def _best_k(q: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int,
 
 
 def knn_join(left: DataFrame, right: DataFrame, k: int, vec: str, key: str, by: str | None = None,
-             exclude_same: str | None = None, carry=(), approx: bool = False, probes: int = 4,
-             max_rows: int = BROADCAST_ROWS, block_rows: int = 20_000, pivots: int = 256) -> DataFrame:
+             exclude_same: str | None = None, carry=(), approx: bool = False, probes: int | None = None,
+             recall: float = 0.95, max_rows: int = BROADCAST_ROWS, block_rows: int = 20_000, pivots: int | None = None,
+             keep_by: bool = False) -> DataFrame:
     """(key, neighbour, dist, rank, carry..): the k nearest right rows of every left row.
 
     Euclidean, exact, ties by key. `by` limits neighbours to rows with the same value of that
-    column; `exclude_same` bars rows that share that column's value (the key itself, or a fold).
-    `carry` names right columns to bring along. `approx` visits only the `probes` nearest cells.
+    column; `exclude_same` bars rows that share that column's value (the key itself, or a fold). A null `by` has no
+    neighbours; a null `exclude_same` bars nobody. `carry` names right columns to bring along; `keep_by` adds `by`, and
+    a key may then occur once per value of it.
+
+    `approx` visits the `probes` nearest cells only, which hold about sqrt(n) / 2 rows each. By default `probes` is found
+    from the data: TRIED left rows are compared with every right row, and as many cells are visited as hold `recall` of
+    their neighbours. Where vectors have structure these are few, and candidates grow as n ** 1.5 in all; where they have
+    none, they are most cells. A cell that holds more than its share is cut into blocks, not dropped.
     """
     carry = as_list(carry)
-    wanted = list(dict.fromkeys([c for c in (by, exclude_same) if c and c != key]))
-    lcols = left.select(key, vec, *wanted)
-    rcols = right.select(F.col(key).alias("__rid"), F.col(vec).alias("__rvec"),
+    barred = exclude_same if exclude_same not in (None, key) else None
+    wanted = list(dict.fromkeys([c for c in (by, barred) if c]))
+    lcols = left.select(key, F.col(vec).cast("array<double>").alias(vec), *wanted)
+    rcols = right.select(F.col(key).alias("__rid"), F.col(vec).cast("array<double>").alias("__rvec"),
                          *[F.col(c).alias(f"__r_{c}") for c in wanted],
                          *[F.col(c).alias(f"__c_{c}") for c in carry])
-    keytype = left.schema[key].dataType
-    fields = [T.StructField(key, keytype), T.StructField("neighbour", right.schema[key].dataType),
+    fields = [T.StructField(key, left.schema[key].dataType), T.StructField("neighbour", right.schema[key].dataType),
               T.StructField("dist", T.DoubleType()), T.StructField("rank", T.IntegerType())]
     fields += [T.StructField(c, right.schema[c].dataType) for c in carry]
+    if by:
+        lcols = lcols.filter(F.col(by).isNotNull())
+        fields += [T.StructField("__by", left.schema[by].dataType)]
     schema = T.StructType(fields)
-    if not approx and fits(right, max_rows):
+    if not approx and _small(right, rcols, max_rows):
+        # Every left row meets the whole right side in one task: its rank is final.
         out = _broadcast_knn(lcols, rcols, k, vec, key, by, exclude_same, carry, schema)
     else:
-        split = by or (exclude_same if exclude_same != key else None)
-        if split is None:
-            out = _cell_knn(lcols, rcols, k, vec, key, exclude_same == key, carry, schema, approx, probes,
-                            block_rows, pivots)
-        else:
-            from .stats import classes_of
-
-            # A null `by` has no neighbours; a null `exclude_same` bars nobody.
-            barred = exclude_same if exclude_same not in (None, key) else None
-            out = None
-            for value in classes_of(left, by) if by else [None]:
-                mine = lcols.filter(F.col(by) == F.lit(value)) if by else lcols
-                other = rcols.filter(F.col(f"__r_{by}") == F.lit(value)) if by else rcols
-                for bar in [*classes_of(left, barred), None] if barred else [None]:
-                    part, rest = mine, other
-                    if barred:
-                        part = mine.filter(F.col(barred).eqNullSafe(F.lit(bar)))
-                        if bar is not None:
-                            rest = other.filter(~F.col(f"__r_{barred}").eqNullSafe(F.lit(bar)))
-                    piece = _cell_knn(part, rest, k, vec, key, exclude_same == key, carry, schema, approx, probes,
-                                      block_rows, pivots)
-                    out = piece if out is None else out.unionByName(piece)
-            if out is None:
-                return left.sparkSession.createDataFrame([], schema)
-        return top_per_key(out.drop("rank"), key, ["dist", "neighbour"], k)
-    return out  # every left row met the whole right side in one task: its rank is final
+        found = _cell_knn(lcols, rcols, k, vec, key, by, barred, exclude_same == key, carry, schema, approx, probes,
+                          recall, block_rows, pivots)
+        out = top_per_key(found.drop("rank"), [key, "__by"] if by else key, ["dist", "neighbour"], k)
+    names = [key, "neighbour", "dist", "rank", *carry]
+    return out.select(*names, F.col("__by").alias(by)) if by and keep_by else out.select(*names)
+
+
+def _small(right: DataFrame, columns: DataFrame, max_rows: int) -> bool:
+    """Whether the right side may be broadcast: by its rows and by the bytes of its vectors."""
+    size = columns.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(F.size("__rvec"))).first()
+    return size[0] <= max_rows and 8 * (size[1] or 0) <= BROADCAST_BYTES
 
 
 def _broadcast_knn(left, right, k, vec, key, by, exclude_same, carry, schema) -> DataFrame:
@@ -132,7 +133,6 @@ def _broadcast_knn(left, right, k, vec, key, by, exclude_same, carry, schema) ->
                          part[extra].to_numpy() if extra else part["__rid"].to_numpy(),
                          part[[f"__c_{c}" for c in carry]])
     shared = Shared(spark, groups)
-    names = schema.fieldNames()
 
     def match(batches):
         for batch in batches:
@@ -144,86 +144,122 @@ def _broadcast_knn(left, right, k, vec, key, by, exclude_same, carry, schema) ->
                 banned = None if exclude_same is None else (batch[exclude_same].to_numpy()[rows], bans)
                 at, to, dist, rank = _best_k(q[rows], xs, ids, k, banned)
                 out = pd.DataFrame({key: ids_left[rows][at], "neighbour": ids[to], "dist": dist, "rank": rank})
-                for name, c in zip(names[4:], carry):
-                    out[name] = extras[f"__c_{c}"].to_numpy()[to]
+                for c in carry:
+                    out[c] = extras[f"__c_{c}"].to_numpy()[to]
+                if by:
+                    out["__by"] = value[0]
                 yield out
 
-    left = left.withColumn(vec, F.col(vec).cast("array<double>"))
     return map_batches(left, match, schema)
 
 
-def _cell_knn(left, right, k, vec, key, skip_self, carry, schema, approx, probes, block_rows, pivots) -> DataFrame:
+def _distances(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+    if x.shape[0] * p.shape[0] * x.shape[1] < _TILE:
+        return np.sqrt(((x[:, None, :] - p[None]) ** 2).sum(2))
+    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (p * p).sum(1)[None] - 2 * x @ p.T, 0))
+
+
+def _pivots(rows: DataFrame, n: int, d: int, approx: bool, pivots: int | None, block_rows: int) -> np.ndarray:
+    """Sampled rows: 256 at most for exact joins; for approximate ones 2 sqrt(n), bounded by PIVOT_BYTES."""
+    most = max(1, PIVOT_BYTES // (8 * max(d, 1)))
+    wanted = pivots or (int(2 * np.sqrt(n)) if approx else min(256, n // max(block_rows // 8, 1)))
+    chosen = rows.orderBy(F.xxhash64("__rid"), "__rid").limit(max(1, min(wanted, most, n))).select("__rvec").toPandas()
+    return matrix(chosen["__rvec"])
+
+
+def _probes(left, cells, centres: Shared, k, vec, key, by, barred, skip_self, recall) -> int:
+    """How many of its nearest cells a left row has to visit for `recall` of its neighbours, from TRIED left rows."""
+    name = [key, *(c for c in (by, barred) if c)]
+    tried = left.select(*dict.fromkeys([*name, vec])).orderBy(F.xxhash64(*name)).limit(TRIED).toPandas()
+    if tried.empty:
+        return 1
+    sent = Shared(left.sparkSession, (tried, matrix(tried[vec])))
+
+    def nearest(batches):
+        rows, q = sent.value
+        for b in batches:
+            d = _distances(q, matrix(b["__rvec"]))
+            for mine, its, same in ((by, f"__r_{by}", False), (barred, f"__r_{barred}", True),
+                                    (key if skip_self else None, "__rid", True)):
+                if mine:
+                    equal = rows[mine].to_numpy()[:, None] == b[its].to_numpy()[None]
+                    d[equal if same else ~equal] = np.inf
+            kk = min(k, d.shape[1])
+            at = np.argpartition(d, kk - 1, axis=1)[:, :kk]
+            row, col = np.repeat(np.arange(len(q)), kk), at.ravel()
+            ok = np.isfinite(d[row, col])
+            yield pd.DataFrame({"row": row[ok].astype("int32"), "dist": d[row, col][ok],
+                                "pivot": b["pivot"].to_numpy()[col[ok]], "used": b["__p"].to_numpy()[col[ok]]})
+
+    found = cells.mapInPandas(nearest, "row int, dist double, pivot int, used int")
+    found = top_per_key(found, "row", ["dist", "pivot"], k).toPandas()
+    if found.empty:
+        return 1
+    d = _distances(sent.value[1][found["row"]], centres.value)
+    own = d[np.arange(len(d)), found["pivot"]]
+    nearer = ((d < own[:, None]) & (np.arange(d.shape[1])[None] < found["used"].to_numpy()[:, None])).sum(1)
+    return int(np.sort(nearer)[int(np.ceil(recall * len(nearer))) - 1]) + 1
+
+
+def _cell_knn(left, right, k, vec, key, by, barred, skip_self, carry, schema, approx, probes, recall, block_rows,
+              pivots) -> DataFrame:
+    """Candidates (schema) of every left row: at least its k nearest where the join is exact."""
     spark = left.sparkSession
     need = k + 1 if skip_self else k
-    # Only the `need` smallest ids among equal vectors can rank, so a mass of copies collapses here.
-    slim = top_per_key(right, "__rvec", "__rid", need + 1).drop("rank")
-    n_pivots = max(1, min(pivots, slim.count() // max(block_rows // 8, 1)))
-    chosen = slim.orderBy(F.xxhash64("__rid")).limit(n_pivots).select("__rvec").toPandas()
-    if chosen.empty:
+    group = [F.col(f"__r_{c}") for c in (by, barred) if c]
+    # Only the `need` smallest ids among equal vectors of a group can rank, so a mass of copies collapses here.
+    copies = ["__rvec", *(f"__r_{c}" for c in (by, barred) if c)]
+    slim = cut_lineage(top_per_key(right if by is None else right.filter(F.col(f"__r_{by}").isNotNull()), copies, "__rid",
+                                   need + 1).drop("rank"))
+    n = slim.count()
+    if n == 0:
         return spark.createDataFrame([], schema)
-    centres = Shared(spark, matrix(chosen["__rvec"]))
-    cell_schema = T.StructType([*slim.schema.fields, T.StructField("cell", T.IntegerType()),
+    points = _pivots(slim, n, slim.select(F.size("__rvec")).first()[0], approx, pivots, block_rows)
+    centres = Shared(spark, points)
+    # A group uses as many of the pivots as its size calls for: a small one is a single cell.
+    share = F.greatest(F.least(F.ceil(F.col("__n") * len(points) / n).cast("int"), F.lit(len(points))), F.lit(1))
+    if by:
+        sizes = slim.groupBy(f"__r_{by}").agg(F.count(F.lit(1)).alias("__n"))
+        slim = lookup_join(slim, sizes.select(f"__r_{by}", share.alias("__p")), f"__r_{by}")
+    else:
+        slim = slim.withColumn("__p", F.lit(len(points)))
+    cell_schema = T.StructType([*slim.schema.fields, T.StructField("pivot", T.IntegerType()),
                                 T.StructField("off", T.DoubleType())])
 
     def to_cells(batches):
         p = centres.value
         for b in batches:
-            if len(b):
-                x = matrix(b["__rvec"])
-                d = np.sqrt(np.maximum(((x[:, None, :] - p[None]) ** 2).sum(2), 0)) if x.size * len(p) < _TILE else \
-                    np.sqrt(np.maximum((x * x).sum(1)[:, None] + (p * p).sum(1)[None] - 2 * x @ p.T, 0))
-                cell = d.argmin(1)
-                yield b.assign(cell=cell.astype("int32"), off=d[np.arange(len(x)), cell])
-
-    cells = cut_lineage(slim.mapInPandas(to_cells, cell_schema))
-    stats = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("off").alias("r")).toPandas().set_index("cell")
-    near = top_per_key(cells.select("cell", "off", "__rid"), "cell", ["off", "__rid"], need).select("cell", "off").toPandas()
-    radius = np.full(len(centres.value), -np.inf)
-    radius[stats.index] = stats["r"]
-    subs = np.zeros(len(radius), dtype=int)
-    subs[stats.index] = np.ceil(stats["n"] / block_rows).astype(int)
-    bounds = Shared(spark, (radius, subs, near["cell"].to_numpy(), near["off"].to_numpy()))
-    visit_schema = T.StructType([left.schema[key], left.schema[vec], T.StructField("cell", T.IntegerType()),
-                                 T.StructField("sub", T.IntegerType())])
-
-    def visits(batches):
-        p = centres.value
-        rad, nsub, near_cell, near_off = bounds.value
-        between = np.sqrt(np.maximum(((p[:, None, :] - p[None]) ** 2).sum(2), 0))
-        for b in batches:
-            for lo in range(0, len(b), 1024):
-                rows = b.iloc[lo:lo + 1024]
-                q = matrix(rows[vec])
-                d = np.sqrt(np.maximum((q * q).sum(1)[:, None] + (p * p).sum(1)[None] - 2 * q @ p.T, 0))
-                if approx:
-                    rank = np.where(nsub[None] > 0, d, np.inf).argsort(1).argsort(1)
-                    go = (rank < probes) & (nsub[None] > 0)
-                else:
-                    reach = np.sort(d[:, near_cell] + near_off[None], axis=1)
-                    theta = reach[:, need - 1] if reach.shape[1] >= need else np.full(len(q), np.inf)
-                    slack = 1e-9 * (1 + d.max(1))
-                    low = d - rad[None]
-                    own = d.argmin(1)
-                    gap = between[own]
-                    plane = np.divide(d ** 2 - d.min(1)[:, None] ** 2, 2 * gap, out=np.zeros_like(d), where=gap > 0)
-                    go = (np.maximum(low, plane) <= (theta + slack)[:, None]) & (nsub[None] > 0)
-                at, cell = np.nonzero(go)
-                times = nsub[cell]
-                at, cell = np.repeat(at, times), np.repeat(cell, times)
-                sub = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-                out = rows.iloc[at][[key, vec]]
-                yield out.assign(cell=cell.astype("int32"), sub=sub.astype("int32"))
-
-    went = left.select(key, vec).mapInPandas(visits, visit_schema)
-    load = went.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()
-    chunks = {r["cell"]: int(np.ceil(r["n"] / max(subs[r["cell"]], 1) / block_rows)) for r in load}
-    if not chunks:
-        return spark.createDataFrame([], schema)
-    table = F.broadcast(spark.createDataFrame(  # one row per pivot
-        [(c, max(n, 1), int(subs[c])) for c, n in chunks.items()], "cell int, chunks int, subs int"))
-    lhs = went.join(table, "cell").withColumn("chunk", F.pmod(F.xxhash64(key), F.col("chunks")).cast("int")).drop("chunks", "subs")
-    rhs = (cells.join(table, "cell").withColumn("sub", F.pmod(F.xxhash64("__rid"), F.col("subs")).cast("int"))
-           .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks", "subs", "off"))
+            x, used = matrix(b["__rvec"]), b["__p"].to_numpy()
+            pivot, off = np.zeros(len(b), "int32"), np.zeros(len(b))
+            for size in np.unique(used):
+                rows = np.flatnonzero(used == size)
+                for lo in range(0, len(rows), 1024):
+                    own = rows[lo:lo + 1024]
+                    d = _distances(x[own], p[:size])
+                    pivot[own] = d.argmin(1)
+                    off[own] = d[np.arange(len(own)), pivot[own]]
+            yield b.assign(pivot=pivot, off=off)
+
+    cells = cut_lineage(slim.mapInPandas(to_cells, cell_schema).withColumn(
+        "cell", F.to_json(F.struct(*[g.alias(f"g{i}") for i, g in enumerate(group)], "pivot"))))
+    keys = ["cell", "pivot", "__p", *(f"__r_{c}" for c in (by, barred) if c)]
+    near = top_per_key(cells.select("cell", "off", "__rid"), "cell", ["off", "__rid"], need).groupBy("cell").agg(
+        F.sort_array(F.collect_list("off")).alias("near"))
+    stats = cut_lineage(cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("off").alias("r")).join(near, "cell"))
+    if approx and probes is None:
+        probes = _probes(left, cells, centres, k, vec, key, by, barred, skip_self, recall)
+    went = cut_lineage(_visits(left, stats, centres, need, vec, key, by, barred, approx, probes, block_rows))
+    heavy = went.groupBy("cell", "sub").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("chunks")).filter("chunks > 1")
+    chunk = F.coalesce("chunks", F.lit(1))
+    # A left row is named by its key, and by its group where a key may occur once in each.
+    name = [key, by] if by else [key]
+    lhs = lookup_join(went, heavy, ["cell", "sub"], "left").withColumn(
+        "chunk", F.pmod(F.xxhash64(*name), chunk).cast("int")).drop("chunks").join(left.select(vec, *name), name)
+    subs = F.ceil(F.col("n") / block_rows).cast("int")
+    dealt = lookup_join(cells.drop("pivot", "off", "__p"), stats.select("cell", subs.alias("subs")), "cell").withColumn(
+        "sub", F.pmod(F.xxhash64("__rid"), F.col("subs")).cast("int")).drop("subs")
+    rhs = lookup_join(dealt, heavy, ["cell", "sub"], "left").withColumn(
+        "chunk", F.explode(F.sequence(F.lit(0), chunk - 1))).drop("chunks")
     names = schema.fieldNames()
 
     def best(lpart: pd.DataFrame, rpart: pd.DataFrame) -> pd.DataFrame:
@@ -233,54 +269,163 @@ def _cell_knn(left, right, k, vec, key, skip_self, carry, schema, approx, probes
         banned = (lpart[key].to_numpy(), ids) if skip_self else None
         at, to, dist, rank = _best_k(matrix(lpart[vec]), matrix(rpart["__rvec"]), ids, k, banned)
         out = pd.DataFrame({key: lpart[key].to_numpy()[at], "neighbour": ids[to], "dist": dist, "rank": rank})
-        for name, c in zip(names[4:], carry):
-            out[name] = rpart[f"__c_{c}"].to_numpy()[to]
+        for c in carry:
+            out[c] = rpart[f"__c_{c}"].to_numpy()[to]
+        if by:
+            out["__by"] = lpart[by].to_numpy()[at]
         return out
 
-    keys = ["cell", "sub", "chunk"]
-    return lhs.groupBy(*keys).cogroup(rhs.groupBy(*keys)).applyInPandas(best, schema)
+    block = ["cell", "sub", "chunk"]
+    return lhs.groupBy(*block).cogroup(rhs.groupBy(*block)).applyInPandas(best, schema)
+
+
+def _visits(left, stats, centres: Shared, need, vec, key, by, barred, approx, probes, block_rows) -> DataFrame:
+    """(key, by, cell, sub): the blocks of cells that a left row has to see. Rows of a group meet the list of its cells.
+
+    Left rows of a group are dealt in parts, each of which gets the list once.
+    """
+    name = [key, by] if by else [key]
+    if by:
+        sizes = left.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / VISIT_ROWS).cast("int").alias("__parts"))
+        rows = lookup_join(left, sizes, by)
+        listed = lookup_join(stats.withColumnRenamed(f"__r_{by}", by), sizes, by)
+        group = [F.col(by)]
+    else:
+        parts = max(1, -(-left.count() // VISIT_ROWS))
+        rows, listed, group = left.withColumn("__parts", F.lit(parts)), stats.withColumn("__parts", F.lit(parts)), []
+    rows = rows.withColumn("__part", F.pmod(F.xxhash64(key), F.col("__parts")).cast("int")).drop("__parts")
+    listed = listed.withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
+    schema = T.StructType([*(left.schema[c] for c in name), T.StructField("cell", T.StringType()),
+                           T.StructField("sub", T.IntegerType())])
+
+    def visits(lpart: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame(columns=schema.fieldNames())
+        if not len(lpart) or not len(cells):
+            return empty
+        cells = cells.sort_values("cell", ignore_index=True)
+        p = centres.value[:int(cells["__p"].iloc[0])]
+        pivot, radius = cells["pivot"].to_numpy(), cells["r"].to_numpy()
+        subs = np.ceil(cells["n"].to_numpy() / block_rows).astype(int)
+        near_of = np.repeat(np.arange(len(cells)), [len(x) for x in cells["near"]])
+        near_off = np.concatenate([np.asarray(x, float) for x in cells["near"]])
+        between = None if approx else _distances(p, p)
+        out = []
+        for lo in range(0, len(lpart), 1024):
+            part = lpart.iloc[lo:lo + 1024]
+            d = _distances(matrix(part[vec]), p)
+            to = d[:, pivot]
+            allowed = np.ones(to.shape, bool)
+            if barred:
+                mine, its = part[barred].to_numpy(), cells[f"__r_{barred}"].to_numpy()
+                allowed = (mine[:, None] != its[None]) | pd.isna(mine)[:, None] | pd.isna(its)[None]
+            if approx:
+                go = allowed & (np.where(allowed, to, np.inf).argsort(1, kind="stable").argsort(1) < probes)
+            else:
+                reach = np.sort(np.where(allowed[:, near_of], to[:, near_of] + near_off[None], np.inf), axis=1)
+                theta = reach[:, need - 1] if reach.shape[1] >= need else np.full(len(part), np.inf)
+                slack = 1e-9 * (1 + d.max(1))
+                gap = between[d.argmin(1)][:, pivot]
+                plane = np.divide(to ** 2 - d.min(1)[:, None] ** 2, 2 * gap, out=np.zeros_like(to), where=gap > 0)
+                go = allowed & (np.maximum(to - radius[None], plane) <= (theta + slack)[:, None])
+            at, cell = np.nonzero(go)
+            times = subs[cell]
+            sub = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+            at, cell = np.repeat(at, times), np.repeat(cell, times)
+            out.append(part.iloc[at][name].assign(cell=cells["cell"].to_numpy()[cell], sub=sub.astype("int32")))
+        return pd.concat(out, ignore_index=True)
+
+    keys = [*group, F.col("__part")]
+    return rows.groupBy(*keys).cogroup(listed.groupBy(*keys)).applyInPandas(visits, schema)
+
+
+def _shape_sums(x: np.ndarray, own: np.ndarray, tags: np.ndarray, table: np.ndarray, sizes: list[np.ndarray]) -> np.ndarray:
+    """Sums of silhouettes over the rows of x, one per clustering; `own`, `tags`: cluster numbers (rows x clusterings)."""
+    total, step = np.zeros(len(sizes)), max(1, _TILE // max(len(table), 1))
+    for lo in range(0, len(x), step):
+        q = x[lo:lo + step]
+        d = np.sqrt(np.maximum((q * q).sum(1)[:, None] + (table * table).sum(1)[None] - 2 * q @ table.T, 0.0))
+        for j, n in enumerate(sizes):
+            hot = np.zeros((len(table), len(n)))
+            hot[np.arange(len(table)), tags[:, j]] = 1.0
+            to = d @ hot
+            mine, at = own[lo:lo + step, j], np.arange(len(q))
+            a = to[at, mine] / np.maximum(n[mine] - 1, 1)
+            to = np.where(n > 0, to / np.maximum(n, 1), np.inf)
+            to[at, mine] = np.inf
+            b = to.min(1)
+            ok = (n[mine] > 1) & np.isfinite(b) & (np.maximum(a, b) > 0)
+            total[j] += ((b - a)[ok] / np.maximum(a, b)[ok]).sum()
+    return total
+
+
+def silhouette_sums(df: DataFrame, vec: str, clusters: str, n: int, max_rows: int) -> list[float | None] | None:
+    """Mean silhouettes of the `n` clusterings in the array column `clusters`; None when the table is too large to send."""
+    rows = df.select(F.col(vec).cast("array<double>").alias("__rvec"), F.col(clusters).alias("own"))
+    if not _small(rows, rows, max_rows):
+        return None
+    table = rows.toPandas()
+    if not len(table):
+        return [None] * n
+    x, tags = matrix(table["__rvec"]), matrix(table["own"]).astype(np.int64)
+    sizes = [np.bincount(tags[:, j]) for j in range(n)]
+    shared = Shared(df.sparkSession, (x, tags, sizes))
+
+    def sums(batches):
+        table, tags, sizes = shared.value
+        total = np.zeros(len(sizes))
+        for b in batches:
+            total += _shape_sums(b["__rvec"], b["own"].astype(np.int64), tags, table, sizes)
+        yield total
+
+    return (total_array(cut_lineage(rows), sums) / len(table)).tolist()
 
 
 def cluster_distance_sums(df: DataFrame, key: str, vec: str, cluster: str, max_rows: int = BROADCAST_ROWS,
-                          block_rows: int = 20_000) -> DataFrame:
+                          block_rows: int = 20_000, labelings: int | None = None) -> DataFrame:
     """(id, own, cluster, n, dist): sum of Euclidean distances from every row to every cluster.
 
-    The work is quadratic by definition; the output is rows x clusters. A table that passes the
-    size check is broadcast; a larger one meets itself block by block.
+    With `labelings` the column `cluster` is an array of that many labels, `labeling` is their place, and the distances
+    of a block are computed once for all of them. The work is quadratic by definition; the output is rows x clusters. A
+    table that passes the size check is broadcast; a larger one meets itself block by block.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("v"), F.col(cluster).alias("own"))
-    kind = df.schema[cluster].dataType
-    out_type = T.StructType([T.StructField("id", df.schema[key].dataType), T.StructField("own", kind),
-                             T.StructField("cluster", kind), T.StructField("n", T.LongType()),
+    tags = F.col(cluster) if labelings else F.array(cluster)
+    rows = df.select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("v"), tags.alias("own"))
+    kind = rows.schema["own"].dataType.elementType
+    out_type = T.StructType([T.StructField("id", df.schema[key].dataType), T.StructField("labeling", T.IntegerType()),
+                             T.StructField("own", kind), T.StructField("cluster", kind), T.StructField("n", T.LongType()),
                              T.StructField("dist", T.DoubleType())])
 
-    def sums(part, x: np.ndarray, tags: np.ndarray) -> pd.DataFrame:
-        labels, code = np.unique(tags, return_inverse=True)
-        hot = np.zeros((len(tags), len(labels)))
-        hot[np.arange(len(tags)), code] = 1.0
-        q = matrix(part["v"])
-        pieces = []
+    def columns(lists) -> list[np.ndarray]:
+        return [np.array([tags[j] for tags in lists]) for j in range(labelings or 1)]
+
+    def sums(ids, own, q: np.ndarray, x: np.ndarray, others) -> pd.DataFrame:
+        own, others, pieces = columns(own), columns(others), []
         step = max(1, _TILE // max(len(x), 1))
+        coded = [np.unique(tags, return_inverse=True) for tags in others]
         for lo in range(0, len(q), step):
             a = q[lo:lo + step]
-            d2 = (a * a).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * a @ x.T
-            pieces.append(np.sqrt(np.maximum(d2, 0.0)) @ hot)
-        total = np.concatenate(pieces)
-        m = len(labels)
-        return pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), m), "own": np.repeat(part["own"].to_numpy(), m),
-                             "cluster": np.tile(labels, len(q)),
-                             "n": np.tile(hot.sum(0).astype("int64"), len(q)), "dist": total.ravel()})
-
-    if fits(rows, min(max_rows, BROADCAST_ROWS)):
+            d = np.sqrt(np.maximum((a * a).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * a @ x.T, 0.0))
+            for j, (labels, code) in enumerate(coded):
+                hot = np.zeros((len(x), len(labels)))
+                hot[np.arange(len(x)), code] = 1.0
+                m = len(labels)
+                pieces.append(pd.DataFrame({
+                    "id": np.repeat(ids[lo:lo + step], m), "labeling": np.int32(j), "own": np.repeat(own[j][lo:lo + step], m),
+                    "cluster": np.tile(labels, len(a)), "n": np.tile(hot.sum(0).astype("int64"), len(a)),
+                    "dist": (d @ hot).ravel()}))
+        return pd.concat(pieces, ignore_index=True)
+
+    names = [c for c in out_type.fieldNames() if labelings or c != "labeling"]
+    if _small(rows, rows.withColumnRenamed("v", "__rvec"), min(max_rows, BROADCAST_ROWS)):
         table = rows.toPandas()
-        shared = Shared(spark, (matrix(table["v"]), table["own"].to_numpy()))
+        shared = Shared(spark, (matrix(table["v"]), table["own"].tolist()))
 
         def stream(batches):
             for b in batches:
-                yield sums(b, *shared.value)
+                yield sums(b["id"].to_numpy(), b.lists("own"), b["v"], *shared.value)
 
-        return map_batches(rows, stream, out_type)
+        return map_batches(rows, stream, out_type).select(*names)
     blocks = int(np.ceil(rows.count() / block_rows))
     placed = rows.withColumn("mine", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
@@ -290,11 +435,12 @@ def cluster_distance_sums(df: DataFrame, key: str, vec: str, cluster: str, max_r
     def grid(lpart, rpart):
         if not len(lpart) or not len(rpart):
             return pd.DataFrame(columns=out_type.fieldNames())
-        return sums(lpart, matrix(rpart["v"]), rpart["own"].to_numpy())
+        return sums(lpart["id"].to_numpy(), lpart["own"], matrix(lpart["v"]), matrix(rpart["v"]), rpart["own"])
 
     keys = ["mine", "other"]
     partial = lhs.groupBy(*keys).cogroup(rhs.groupBy(*keys)).applyInPandas(grid, out_type)
-    return partial.groupBy("id", "own", "cluster").agg(F.sum("n").alias("n"), F.sum("dist").alias("dist"))
+    return partial.groupBy("id", "labeling", "own", "cluster").agg(
+        F.sum("n").alias("n"), F.sum("dist").alias("dist")).select(*names)
 
 
 def knn_regress(train: DataFrame, test: DataFrame, ks, vec: str, y: str, key: str, **kw) -> DataFrame:

@@ -149,6 +149,24 @@ def _(t):
 _SPLIT = "CAST(substr(md5(CAST(vec_id AS VARCHAR) || ':' || '1'), 1, 8) < '4ccccccc' AS INT)"
 
 
+@query("knn_recall", "SELECT 5 AS k, CAST(5 * count(*) AS BIGINT) AS wanted, true AS recalled FROM embeddings")
+def _(t):
+    """Whether the approximate join finds nine of ten exact neighbours."""
+    rows = vectors(t)
+    exact = nb.knn_join(rows, rows, 5, "embedding", "vec_id", exclude_same="vec_id").select("vec_id", "neighbour")
+    near = nb.knn_join(rows, rows, 5, "embedding", "vec_id", exclude_same="vec_id", approx=True).select("vec_id", "neighbour")
+    counts = exact.join(near.withColumn("hit", F.lit(1)), ["vec_id", "neighbour"], "left").agg(
+        F.count(F.lit(1)).alias("wanted"), F.count("hit").alias("hits"))
+    return counts.select(F.lit(5).alias("k"), "wanted", (F.col("hits") >= 0.9 * F.col("wanted")).alias("recalled"))
+
+
+@query("row_correlation", """WITH x AS (SELECT vec_id, unnest(range(64)) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+   c AS (SELECT * FROM x WHERE vec_id IN (5, 50, 123))
+   SELECT x.vec_id AS id1, c.vec_id AS id2, round(corr(x.x, c.x), 6) AS r FROM x JOIN c ON x.pos = c.pos GROUP BY 1, 2""")
+def _(t):
+    return _round(st.row_correlation(vectors(t), "vec_id", "embedding", [5, 50, 123]), "r")
+
+
 @query("knn_regress", f"""WITH {VECS}, s AS MATERIALIZED (SELECT *, {_SPLIT} AS is_test FROM v), d AS (SELECT a.vec_id, b.label,
    row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DIST}, b.vec_id) AS rank FROM s a JOIN s b ON a.is_test = 1 AND b.is_test = 0)
    SELECT vec_id, CAST(k AS INT) AS k, round(avg(label), 6) AS prediction FROM d JOIN (SELECT unnest(range(5, 31)) AS k) g ON rank <= k GROUP BY 1, 2""")
@@ -236,16 +254,26 @@ def _(t):
     return cl.kmeans_sweep(vectors(t), "vec_id", "embedding", range(2, 50), seed=1)
 
 
-@query("kmeans_repeat")
+@query("silhouette_grid", f"""WITH {VECS}, l AS MATERIALIZED (SELECT vec_id, e, j AS labeling,
+      CASE j WHEN 0 THEN label WHEN 1 THEN label % 5 ELSE label % 2 END AS c FROM v, range(3) r(j)),
+   d AS (SELECT a.vec_id, a.labeling, a.c, b.c AS other, {_DIST} AS dist FROM l a JOIN l b ON a.labeling = b.labeling),
+   m AS (SELECT vec_id, labeling, c, other, sum(dist) AS s, count(*) AS n FROM d GROUP BY 1, 2, 3, 4),
+   ab AS (SELECT vec_id, labeling, max(s / (n - 1)) FILTER (c = other) AS a, min(s / n) FILTER (c <> other) AS b FROM m GROUP BY 1, 2)
+   SELECT CAST(labeling AS INT) AS labeling, round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM ab GROUP BY 1""")
 def _(t):
-    """Mean and deviation of the cluster Hamming distance over repeated seeded runs."""
-    rows = cut_lineage(vectors(t).withColumns({"mod5": F.col("label") % 5, "odd": F.col("label") % 2}))
+    """Three clusterings scored on one computation of the distances."""
+    rows = vectors(t).withColumn("tags", F.array("label", F.col("label") % 5, F.col("label") % 2))
+    found = ev.silhouettes(rows, "vec_id", "embedding", "tags", 3)
+    return t.spark.createDataFrame([(j, round(v, 6)) for j, v in enumerate(found)], "labeling int, silhouette double")
 
-    def run(seed):
-        placed = cl.kmeans(rows, "embedding", 4, seed=seed).transform(rows, "embedding")
-        return ev.majority_hamming(placed, "cluster", ["label", "mod5", "odd"])
 
-    return st.repeat_stats(rs.repeat(run, range(50)), "cluster", "distance")
+@query("kmeans_repeat")
+def _(t):
+    """Mean and deviation of the cluster Hamming distance over repeated seeded runs."""
+    rows = vectors(t).withColumns({"mod5": F.col("label") % 5, "odd": F.col("label") % 2})
+    placed = cl.kmeans_runs(rows, "embedding", 4, seeds=range(50))
+    far = ev.majority_hamming(placed.withColumn("place", F.col("run") * 4 + F.col("cluster")), "place", ["label", "mod5", "odd"])
+    return st.repeat_stats(far.withColumn("cluster", F.col("place") % 4), "cluster", "distance")
 
 
 # --- regression ------------------------------------------------------------------------------

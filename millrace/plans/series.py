@@ -102,7 +102,7 @@ def _(t):
 @query("garch_fit")
 def _(t):
     fit = fc.garch_fit(daily(t), "x", 2, 2, "day", BY, h=120)
-    return fit.select(BY, "mu", "omega", F.posexplode("variances").alias("step", "variance"))
+    return fit.select(BY, "mu", "omega", "converged", F.posexplode("variances").alias("step", "variance"))
 
 
 @query("arma_order")

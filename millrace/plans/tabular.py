@@ -583,13 +583,11 @@ def _(t):
     return rl.best_param(scores)
 
 
-@query("repeat_runs", """WITH h AS (SELECT r.i AS run, l_returnflag, l_quantity FROM lineitem, range(3) r(i)
+@query("repeat_runs", """WITH h AS (SELECT r.i AS run, l_returnflag, l_quantity FROM lineitem, range(50) r(i)
    WHERE substr(md5(CAST(l_orderkey AS VARCHAR) || ':' || CAST(r.i AS VARCHAR)), 1, 8) < '80000000'), m AS (
    SELECT run, l_returnflag, avg(l_quantity) AS q FROM h GROUP BY 1, 2)
    SELECT l_returnflag, round(avg(q), 6) AS mean, round(stddev_pop(q), 6) AS std FROM m GROUP BY 1""")
 def _(t):
-    def run(seed):
-        half = od.hash_split(t.lineitem, "l_orderkey", 0.5, seed).filter("is_test = 1")
-        return half.groupBy("l_returnflag").agg(F.avg("l_quantity").alias("q"))
-
-    return _round(st.repeat_stats(rs.repeat(run, range(3)), "l_returnflag", "q"), ["mean", "std"])
+    half = rs.repeat_splits(t.lineitem, "l_orderkey", 0.5, range(50)).filter("is_test = 1")
+    runs = half.groupBy("run", "l_returnflag").agg(F.avg("l_quantity").alias("q"))
+    return _round(st.repeat_stats(runs, "l_returnflag", "q"), ["mean", "std"])

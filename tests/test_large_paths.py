@@ -61,9 +61,14 @@ def test_windows(skewed):
 
 
 def test_folds_and_split(skewed):
-    assert rows(od.contiguous_folds(skewed, "id", 7).select("id", "fold")) == rows(
-        od.contiguous_folds(skewed, "id", 7, max_rows=20).select("id", "fold"))
-    head, tail = od.positional_split(skewed, "id", frac=0.7, max_rows=20)
+    folds = od.contiguous_folds(skewed, "id", 7)
+    n = skewed.count()
+    want = sorted(r[0] for r in skewed.select("id").collect())
+    got = dict(rows(folds.select("id", "fold")))
+    assert [got[i] for i in want] == [((at + 1) * 7 - 1) // n for at in range(n)]
+    head, tail = od.positional_split(skewed, "id", frac=0.7)
+    for frame in (folds, head, tail):
+        assert "SinglePartition" not in frame._jdf.queryExecution().executedPlan().toString()
     assert head.count() == 700 and head.agg(F.max("id")).first()[0] < tail.agg(F.min("id")).first()[0]
 
 

@@ -369,6 +369,22 @@ def test_garch(spark):
     r = fc.garch_fit(_series(spark, a=x), "x", 1, 1, "t", "s", h=400).first()
     assert abs(r["alpha"][0] - 0.15) < 0.08 and abs(r["beta"][0] - 0.75) < 0.15
     assert abs(r["variances"][-1] - np.var(x)) < 0.2 * np.var(x)  # forecasts settle at the mean level
+    assert r["converged"] and min(*r["alpha"], *r["beta"]) >= 0 and r["alpha"][0] + r["beta"][0] < 1
+    e2 = (np.array(x[-5000:]) - np.mean(x)) ** 2
+    free = lambda o, a, b: fc._garch_start(o, np.array([a]), np.array([b]), 1.0)
+    found = fc._garch_loss(free(r["omega"], r["alpha"][0], r["beta"][0]), 1, e2)
+    assert found <= fc._garch_loss(free(0.1, 0.15, 0.75), 1, e2) + 1e-6  # not below the truth's likelihood
+
+
+def test_garch_of_awkward_series(spark):
+    """Rising, flat and noisy series stay within the bounds or are flagged."""
+    rng = np.random.default_rng(2)
+    df = _series(spark, flat=np.full(200, 3.0), walk=np.cumsum(rng.normal(size=300)), noise=rng.normal(size=300),
+                 spike=np.r_[np.zeros(150), 50.0, np.zeros(149)])
+    for r in fc.garch_fit(df, "x", 2, 2, "t", "s", h=30).collect():
+        assert min([*r["alpha"], *r["beta"], r["omega"]]) >= 0 and sum([*r["alpha"], *r["beta"]]) < 1
+        assert len(r["variances"]) == 30 and all(np.isfinite(v) and v >= 0 for v in r["variances"])
+        assert r["s"] != "flat" or not r["converged"]
 
 
 def test_lag_forecast(spark):
@@ -407,6 +423,7 @@ def test_palette_and_colorize(pictures):
     dist = np.sqrt(((found.fit.centres[:, None] - colours[None]) ** 2).sum(2))
     assert dist.min(1).max() < 30
     out = im.colorize(df, "id", "data", 4, k=4)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
     assert out.count() == 480 and ev.accuracy(out, "code", "prediction").first()[0] > 0.6
 
 

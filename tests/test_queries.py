@@ -17,7 +17,7 @@ def con(sf_dir):
 def test_matches_sql(spark, con, sf_dir, name):
     rows, _, types = compare(spark, con, name, queries()[name], ORACLES[name], sf_dir)
     assert rows > 0
-    same = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR"}
+    same = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
     assert {c: b for c, (a, b) in types.items() if same.get(a, a) != b} == {}
 
 

@@ -26,7 +26,7 @@ WANTED = {
     "classifier_chain": (mg, "classifier_chain", {"c": 6.0, "gamma": 3.0, "n_features": 256}, None),
     "linear_svm_l1_smote": (mg, "linear_svm_l1", {"cs": C}, 10),
     "kmeans_sweep": (cl, "kmeans_sweep", {"ks": list(range(2, 50))}, None),
-    "kmeans_repeat": (rs, "repeat", {"seeds": list(range(50))}, None),
+    "kmeans_repeat": (cl, "kmeans_runs", {"seeds": list(range(50))}, None),
     "lag_forecast_boosted": (fc, "lag_forecast", {"lookback": 120, "kw": {"n_trees": 100, "depth": 3}}, None),
 }
 
