@@ -17,9 +17,14 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no language: those without a text or without a letter."""
-    found = langid.identify(docs, langid.learn(docs))
-    return found.filter(F.col("lang_pred") != langid.UNKNOWN).select("row.*")
+    """Drops documents in none of the learnt languages: without a letter, or with a code longer than its language's limit.
+
+    The limits come from the code lengths of all labelled documents.
+    """
+    model = langid.learn(docs)
+    found = langid.identify(docs, model)
+    known = (F.col("lang_pred") != langid.UNKNOWN) & langid.within(langid.limits(docs, model), F.col("row.text"))
+    return found.filter(known).select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,20 +32,21 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Documents that are alone in their group pass without a shuffle; only the others are joined to the ones that stay.
     """
-    keyed = docs.withColumn("__key", F.xxhash64("text"))
-    found = neardup.near_duplicates(keyed, keep=["doc_id", "__key"])
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text",
+                        F.xxhash64("text").alias("key"))
+    found = neardup.near_duplicates(keyed, keep=["doc_id", "key"])
     # A document without words is a group of its own.
-    group = F.coalesce("component", F.xxhash64("row.doc_id", "row.__key"))
-    named = cut_lineage(found.select("row.doc_id", "row.__key", group.alias("__group")))
-    groups = named.groupBy("__group").agg(F.count(F.lit(1)).alias("n"), F.min(
-        F.struct(F.col("doc_id").isNull(), "doc_id", "__key")).alias("k"))
-    staying = groups.select(F.col("k.doc_id").alias("__id"), F.col("k.__key").alias("__kept"))
-    several = cut_lineage(named.join(groups.filter("n > 1").select("__group"), "__group").select("__key").distinct())
-    alone = neardup.may_hold(keyed, several, "__key", inside=False)
-    rest = neardup.may_hold(keyed, several, "__key").join(
-        staying, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__kept")))
-    first = rest.dropDuplicates(["__id", "__kept"])
-    return alone.select(*docs.columns).unionByName(first.select(*docs.columns))
+    group = F.coalesce("component", F.xxhash64("row.doc_id", "row.key"))
+    named = cut_lineage(found.select("row.doc_id", "row.key", group.alias("group")))
+    groups = named.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min(
+        F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("k"))
+    staying = groups.select(F.col("k.doc_id").alias("kept_id"), F.col("k.key").alias("kept_key"))
+    several = cut_lineage(named.join(groups.filter("n > 1").select("group"), "group").select("key").distinct())
+    alone = neardup.may_hold(keyed, several, "key", inside=False)
+    rest = neardup.may_hold(keyed, several, "key").join(
+        staying, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")))
+    first = rest.dropDuplicates(["kept_id", "kept_key"])
+    return alone.select("row.*").unionByName(first.select("row.*"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
