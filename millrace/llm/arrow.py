@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -12,15 +13,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Rows of an Arrow batch on its way to Python: bounds a worker's memory at some thousand texts.
-BATCH_ROWS = 1024
+# Rows and bytes of an Arrow batch on its way to Python: they bound a worker's memory. One longer row is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1024, 32 << 20
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """`df`, with its session's Arrow batches at most BATCH_ROWS rows long."""
+    """`df`, with its session's Arrow batches at most BATCH_ROWS rows and about BATCH_BYTES long; lower settings stay.
+
+    The setting is read when a query runs, so it holds for the rest of the session. Zero and negative values mean no limit.
+    """
     conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        number, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)b?", conf.get(key).lower()).groups()
+        if not 0 < int(number) << (10 * " kmgtp".index(unit or " ")) <= most:
+            conf.set(key, str(most))
     return df
 
 

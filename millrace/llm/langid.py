@@ -17,6 +17,9 @@ from .arrow import bounded_batches, extend, flat_bytes, release
 from .sampling import distinct_texts
 
 UNKNOWN = "und"
+# Texts below this length are too short to be told from no language; distance of the limit from the median in quartile
+# distances, and at least its share of the median (lists and repeated words need 1.4 times it, random letters over twice).
+LEAST_BYTES, SPREAD, SHARE = 200, 12.0, 1.75
 BREAK = 10  # the byte that stands before a text
 CHUNK = 1 << 18  # bytes scored at a time
 GROUP = 4  # languages that share a tree: with more, a follower of one has an empty cell for most others
@@ -287,6 +290,29 @@ def identify(docs: DataFrame, model: Tables | None, keep: Sequence[str] | None =
     return extend(docs, keep, [F.col(text_col).alias("text")], FIELDS, make)
 
 
+def limits(docs: DataFrame, model: Tables | None, lang_col: str = "lang", text_col: str = "text") -> dict[str, float]:
+    """Bits per byte above which a text of LEAST_BYTES is in none of the learnt languages, per language.
+
+    Taken from all labelled texts of that length that are predicted to be in their own language: the median plus SPREAD
+    times the distance from it to the upper quartile (8 deviations of normal rates), and SHARE times the median at least;
+    junk among the texts hardly moves these. One pass; a row per language reaches the driver. A language without such texts has no limit.
+    """
+    own = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter(
+        F.col("lang").isNotNull() & (F.octet_length("text") >= LEAST_BYTES))
+    found = identify(own, model, ["lang"]).filter(F.col("row.lang") == F.col("lang_pred"))
+    rows = found.groupBy("lang_pred").agg(F.percentile_approx("bits_per_byte", [0.5, 0.75], 10_000).alias("q")).collect()
+    return {r["lang_pred"]: max(SHARE * r["q"][0], r["q"][0] + SPREAD * (r["q"][1] - r["q"][0])) for r in rows}
+
+
+def within(limits: dict[str, float], text: Column) -> Column:
+    """Whether an identified text is in its language: shorter than LEAST_BYTES, or coded in its language's limit."""
+    if not limits:
+        return F.lit(True)
+    table = F.create_map(*(F.lit(x) for pair in sorted(limits.items()) for x in pair))
+    limit = F.coalesce(F.try_element_at(table, F.col("lang_pred")), F.lit(float("inf")))
+    return (F.octet_length(text) < LEAST_BYTES) | (F.col("bits_per_byte") <= limit)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Documents no language is learnt from: crc32 of the id as text, modulo 4, is 2. A null id counts as ''."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 == 2

@@ -235,7 +235,7 @@ def _pairs(rows: DataFrame, shards: int, hot: Shared) -> DataFrame:
             shard = ((mixed >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             shard, word, own, ahead, times = (x[order] for x in (shard, word, own, ahead, times))
-            text = (packed[order] & ((1 << low) - 1)).astype(np.uint16)
+            text = (packed[order] & ((1 << low) - 1)).astype(np.uint32)
             for at in np.split(np.arange(len(shard)), np.flatnonzero(np.diff(shard)) + 1):
                 first = np.concatenate([[0], np.flatnonzero(np.diff(word[at])) + 1])
                 yield _record(int(shard[at[0]]), block, own[at[first]].tobytes(),
@@ -273,7 +273,7 @@ def _shard_scores(parts: DataFrame, known: Shared, tokens: int, distinct: int, p
         own, inverse = np.unique(own, return_inverse=True)
         place = np.repeat(inverse, np.concatenate(uses))
         before = np.concatenate([np.frombuffer(cells["before"][k], np.uint32) for k in found])
-        texts = [_expand(cells["texts"][k], np.uint16) for k in found]
+        texts = [_expand(cells["texts"][k], np.uint32) for k in found]
         times = np.concatenate([_expand(cells["times"][k], np.int32) for k in found])
         train = np.concatenate([_expand(cells["facts"][k], bool)[t] for k, t in zip(found, texts, strict=True)])
         key = (place.astype(np.uint64) << np.uint64(32)) | before
@@ -330,7 +330,7 @@ def _sums(parts: DataFrame, opening: float) -> DataFrame:
             words, before, texts, times = (group.column(c)[k].as_py() for c in ("words", "before", "texts", "times"))
             if words is None:
                 continue
-            at = np.frombuffer(words, np.uint16)
+            at = np.frombuffer(words, np.uint32)
             known[at] += np.frombuffer(before, np.int32)
             base[at] += np.frombuffer(texts, np.float64)
             score[at] += np.frombuffer(times, np.float64)

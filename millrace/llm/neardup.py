@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .arrow import bounded_batches, extend, release
+from .arrow import bounded_batches, extend, kept_row, release
 from .graph import components
 
 SHINGLE = 5
@@ -133,7 +133,8 @@ def may_hold(keyed: DataFrame, keys: DataFrame, key: str, inside: bool = True) -
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
     """(node, shingles as binary) of the texts whose `text_key` is wanted."""
-    keyed = docs.select(F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    text = F.col(f"`{text_col}`")
+    keyed = docs.select(F.xxhash64(text).alias("text_key"), text.alias("text"))
     wanted = cut_lineage(wanted)
     keyed = may_hold(keyed, wanted, "text_key")
     texts = bounded_batches(keyed.join(wanted, "text_key").dropDuplicates(["text_key"]).select("node", "text"))
@@ -167,40 +168,39 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """Members of half-key groups dealt to blocks: `side` 0 meets `side` 1 in each (half, xc, yc).
+    """Members of tables' groups dealt to blocks: `side` 0 meets `side` 1 in each (key, xc, yc).
 
     Side 0 holds the members outside the group's largest component, side 1 all. Groups are cut into chunks of about
     BLOCK, so no block is larger, and only members outside the largest component are compared with everyone.
     """
-    sized = members.groupBy("half").agg(
-        F.max(F.struct("size", "component"))["component"].alias("main"), F.min("component").alias("lo"),
-        F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi")
-    outside = (members.join(sized.select("half", "main"), "half").filter("component != main").groupBy("half")
+    sized = members.groupBy("key").agg(
+        F.max(F.struct("size", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("n"))
+    outside = (members.join(sized.select("key", "main"), "key").filter("component != main").groupBy("key")
                .agg(F.count(F.lit(1)).alias("n_outside")))
-    plan = sized.join(outside, "half").select(
-        "half", "main", F.ceil(F.col("n_outside") / BLOCK).cast("int").alias("px"),
+    plan = sized.join(outside, "key").select(
+        "key", "main", F.ceil(F.col("n_outside") / BLOCK).cast("int").alias("px"),
         F.ceil(F.col("n") / BLOCK).cast("int").alias("py"))
-    known = members.join(plan, "half")
+    known = members.join(plan, "key")
     known = known.withColumn("outer", F.col("component") != F.col("main"))
-    own = F.xxhash64("half", "node")
+    own = F.xxhash64("key", "node")
     x = known.filter("outer").withColumn("side", F.lit(0)).withColumn(
         "xc", F.pmod(own, F.col("px")).cast("int")).withColumn(
         "yc", F.explode(F.sequence(F.lit(0), F.col("py") - 1)))
     y = known.withColumn("side", F.lit(1)).withColumn("yc", F.pmod(own, F.col("py")).cast("int")).withColumn(
         "xc", F.explode(F.sequence(F.lit(0), F.col("px") - 1)))
-    columns = ["half", "xc", "yc", "side", "outer", "place", "node", "component", "n_shingles"]
+    columns = ["key", "xc", "yc", "side", "outer", "i", "j", "node", "component", "n_shingles"]
     return x.select(*columns).unionByName(y.select(*columns))
 
 
 def _candidates(block: pa.Table):
     """(x, indices of its partners) for every member of side 0 that has some, with the two sides' column lists.
 
-    Partners are of another component, within the size ratio, agree on AGREE minhashes and share no earlier half key,
-    so that a pair is compared in one group only.
+    Partners are of another component, within the size ratio, agree on AGREE minhashes and share no earlier half key of
+    either collection, so that a pair is compared in the first of its tables only.
     """
     side = block.column("side").to_numpy()
     node, component, n = (block.column(c).to_numpy() for c in ("node", "component", "n_shingles"))
-    place = int(block.column("place")[0].as_py())
+    i, j = (int(block.column(c)[0].as_py()) for c in ("i", "j"))
     marks = np.frombuffer(b"".join(block.column("signature").to_pylist()), np.uint16).reshape(len(side), HASHES)
     outer = block.column("outer").to_numpy()
     ys = np.flatnonzero(side == 1)
@@ -210,18 +210,46 @@ def _candidates(block: pa.Table):
         if not len(near):
             continue
         same = marks[near] == marks[x]
-        earlier = same[:, :place * WIDTH].reshape(len(near), place, WIDTH).all(2).any(1)
+        halves = same.reshape(len(near), 2, HALVES, WIDTH).all(3)
+        earlier = halves[:, 0, :i].any(1) | halves[:, 1, :j].any(1)
         near = near[(same.sum(1) >= AGREE) & ~earlier]
         if len(near):
             yield x, near
 
 
-def _remaining_links(members: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """All links between documents of different components that share a half key."""
+def _mixed(rows: DataFrame, key: str) -> DataFrame:
+    """The values of `key` that hold more than one component."""
+    return rows.groupBy(key).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select(key)
+
+
+def _tables(classes: DataFrame, component: DataFrame) -> DataFrame:
+    """(key, i, j, node, n_shingles, component, size): the tables' groups with more than one component.
+
+    Two classes of a table share a half key of each collection; so halves that hold one component only drop out before
+    the pairs of halves are formed, and a table's keys are formed from what is left.
+    """
+    sides = F.array(*(F.struct(F.lit(k).alias("c"), F.col(name).alias("halves")) for k, name in enumerate("ab")))
+    known = classes.join(component, "node", "left").select(
+        "node", "n_shingles", F.coalesce("component", "node").alias("component"),
+        F.coalesce("size", F.lit(1)).alias("size"), F.explode(sides).alias("s"))
+    halves = known.select("node", "n_shingles", "component", "size", F.col("s.c").alias("c"),
+                          F.posexplode("s.halves").alias("place", "value")).withColumn(
+        "half", F.xxhash64("c", "place", "value"))
+    left = halves.join(_mixed(halves, "half"), "half")
+    both = left.groupBy("node", "n_shingles", "component", "size").agg(*(
+        F.collect_list(F.when(F.col("c") == k, F.struct("place", "half"))).alias(name) for k, name in enumerate("ab")))
+    pairs = both.filter((F.size("a") > 0) & (F.size("b") > 0)).withColumn("a", F.explode("a")).withColumn("b", F.explode("b"))
+    rows = cut_lineage(pairs.select(F.xxhash64("a.half", "b.half").alias("key"), F.col("a.place").alias("i"),
+                                    F.col("b.place").alias("j"), "node", "n_shingles", "component", "size"))
+    return rows.join(_mixed(rows, "key"), "key")
+
+
+def _remaining_links(docs: DataFrame, members: DataFrame, classes: DataFrame, text_col: str) -> DataFrame:
+    """All links between documents of different components that share a table."""
     marks = classes.select("node", "signature")
     # Dealt once: a block's membership has to be the same in both passes.
     dealt = cut_lineage(_blocks(members))
-    keys = ["half", "xc", "yc"]
+    keys = ["key", "xc", "yc"]
 
     def partners(block: pa.Table) -> pa.Table:
         used = np.zeros(block.num_rows, bool)
@@ -243,65 +271,69 @@ def _remaining_links(members: DataFrame, classes: DataFrame, sets: DataFrame) ->
     useful = dealt.join(marks, "node").select(*dealt.columns, "signature").groupBy(*keys).applyInArrow(
         partners, dealt.schema)
     useful = cut_lineage(useful)
+    sets = _full_sets(docs, classes.join(useful.select("node").distinct(), "node").select("text_key", "node"), text_col)
     full = useful.join(marks, "node").join(sets, "node").select(*dealt.columns, "signature", "shingles")
     return full.groupBy(*keys).applyInArrow(links, "a long, b long")
 
 
+def _stars(classes: DataFrame) -> DataFrame:
+    """(a, b): in the tables of equal places, the class with the most company leads and is paired with the others."""
+    rows = cut_lineage(classes.select("node", "n_shingles", F.posexplode(F.arrays_zip("a", "b")).alias("place", "halves"))
+                       .select(F.xxhash64("place", "halves").alias("key"), "node", "n_shingles"))
+    company = rows.groupBy("key").agg(F.count(F.lit(1)).alias("company")).filter("company > 1")
+    shared = cut_lineage(rows.join(company, "key"))
+    weight = shared.groupBy("node").agg(F.sum(F.floor(16 * F.log2("company"))).alias("weight"))
+    shared = shared.join(weight, "node")
+    lead = F.max(F.struct("weight", "node", "n_shingles")).alias("lead")
+    leaders = shared.groupBy("key").agg(lead).select("key", F.col("lead.node").alias("a"), F.col("lead.n_shingles").alias("na"))
+    return (shared.select("key", F.col("node").alias("b"), F.col("n_shingles").alias("nb")).join(leaders, "key")
+            .filter((F.col("a") != F.col("b")) & (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")))
+            .select("a", "b").distinct())
+
+
 def near_duplicates(docs: DataFrame, keep: Sequence[str] | None = None, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """`row` (struct of the `keep` columns and the id), n_shingles, component, component_id, kept.
+    """`row` (struct of the `keep` columns), n_shingles, component, component_id, kept.
 
     Words are lower-cased (A-Z); a document is its set of distinct five-word shingles, or its whole sequence below five
     words. Equal sets form a class. Two collections of HALVES half keys (pairs of minhashes) give a class HALVES ** 2
-    table keys from only 4 * HALVES minhashes; classes without a shared first half are in no shared table and drop
-    out. In every table the class with the most company leads, the others are compared with it on full sets, and the
-    confirmed links are joined to components. What those stars leave open, classes of different components that share a half
-    key, is then compared in blocks, so no link between candidates rests on the choice of leaders. A link of similarity
-    0.75 is missed with a chance below 2 in 10^5, more similar ones with less. Two sets are taken for equal on a 64-bit hash.
+    table keys from only 4 * HALVES minhashes. First the HALVES tables of equal places: in each the class with the most
+    company leads, the others are compared with it on full sets, and the confirmed links are joined to components, which
+    unites large groups of copies at the cost of a star. Then all tables: half keys that hold one component only drop
+    out, what is left of the two collections forms the keys, and in every table the classes of different components are
+    compared in blocks, by signature and then on full sets. So no link between candidates rests on the choice of
+    leaders. A link of similarity 0.75 is missed with a chance below 2 in 10^5, more similar ones with less. Two sets are
+    taken for equal on a 64-bit hash.
 
     `component` names a row's group by a node; null without shingles. component_id is the smallest id reachable over links,
     `kept` marks the rows that carry it. Null, empty and wordless texts have no shingles, are linked with nothing and are kept.
     Null ids are above all others: such a row is kept only in a group without another id. Repeated rows of the kept id are
-    all marked. An empty table gives an empty result.
+    all marked. An empty table gives an empty result. Kept columns may have any names.
     """
     columns = list(docs.columns if keep is None else keep)
-    every = cut_lineage(sketch(docs.withColumn("__id", F.col(id_col)), [*columns, "__id"], text_col))
+    own = docs.select(kept_row(docs, columns), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    every = cut_lineage(sketch(own, ["row", "id"], "text").select(
+        "row.row", "row.id", "text_key", *(f.name for f in SKETCH)))
     classes = cut_lineage(every.filter("node is not null").groupBy("node").agg(
-        F.min("row.__id").alias("least_id"), F.min("text_key").alias("text_key"),
+        F.min("id").alias("least_id"), F.min("text_key").alias("text_key"),
         *(F.first(c).alias(c) for c in ("n_shingles", "a", "b", "signature"))))
-    halves = classes.select("node", "n_shingles", F.posexplode("a").alias("place", "value")).withColumn(
-        "half", F.xxhash64("place", "value"))
-    company = halves.groupBy("half").agg(F.count(F.lit(1)).alias("company")).filter("company > 1")
-    shared = cut_lineage(halves.join(company, "half").select("half", "place", "node", "n_shingles", "company"))
-    weight = shared.groupBy("node").agg(F.sum(F.floor(16 * F.log2("company"))).alias("weight"))
-    second = classes.join(weight, "node").select("node", "weight", F.posexplode("b").alias("other", "with"))
-    tables = shared.select("node", "half", "n_shingles").join(second, "node").select(
-        F.xxhash64("half", "other", "with").alias("key"), "node", "n_shingles", "weight")
-    leaders = tables.groupBy("key").agg(F.max(F.struct("weight", "node", "n_shingles")).alias("lead"),
-                                        F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "lead.*")
-    leaders = leaders.select("key", F.col("node").alias("a"), F.col("n_shingles").alias("na"))
-    pairs = (tables.select("key", F.col("node").alias("b"), F.col("n_shingles").alias("nb")).join(leaders, "key")
-             .filter((F.col("a") != F.col("b"))
-                     & (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))).select("a", "b").distinct())
-    wanted = classes.join(weight.select("node"), "node").select("text_key", "node")
-    sets = cut_lineage(_full_sets(docs, wanted, text_col))
+    pairs = cut_lineage(_stars(classes))
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = _full_sets(docs, classes.join(nodes, "node").select("text_key", "node"), text_col)
     first = cut_lineage(_confirmed(pairs, sets))
     named = components(first)
-    of = shared.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
     size = named.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    members = cut_lineage(of.join(size, "component", "left").withColumn("size", F.coalesce("size", F.lit(1))).select(
-        "half", "place", "node", "n_shingles", "component", "size"))
-    links = first.unionByName(_remaining_links(members, classes, sets))
+    members = cut_lineage(_tables(classes, named.join(size, "component")))
+    links = first.unionByName(_remaining_links(docs, members, classes, text_col))
     groups = cut_lineage(components(links).withColumnRenamed("component", "group"))
     lowest = classes.join(groups, "node").groupBy("group").agg(F.min("least_id").alias("component_id"))
-    reached = groups.join(lowest, "group").select("node", "group", F.col("component_id").alias("__linked"))
+    reached = groups.join(lowest, "group").select("node", "group", F.col("component_id").alias("linked"))
     own = classes.select("node", "least_id").join(reached, "node", "left").select(
-        "node", F.coalesce("group", "node").alias("component"),
-        F.coalesce("__linked", "least_id").alias("component_id"))
-    out = every.select("row", "n_shingles", "node").join(own, "node", "left")
-    least = F.coalesce("component_id", F.col("row.__id"))
+        "node", F.coalesce("group", "node").alias("component"), F.coalesce("linked", "least_id").alias("component_id"))
+    out = every.select("row", "id", "n_shingles", "node").join(own, "node", "left")
+    least = F.coalesce("component_id", "id")
     return out.select("row", "n_shingles", "component", least.alias("component_id"),
-                      F.coalesce(F.col("row.__id") == least, least.isNull()).alias("kept"))
+                      F.coalesce(F.col("id") == least, least.isNull()).alias("kept"))
 
 
 # The same in SQL, for DuckDB: exact links by shared shingles, components by reachability.

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 # Columns named like results and helpers of the operators.
 CLASHES = ["row", "size", "taken", "spans", "lang_pred", "score", "ids", "kept", "component_id", "fingerprint", "node",
-           "target", "text_key", "n_words", "base", "bucket", "key", "whole"]
+           "target", "n_words", "base", "bucket", "key", "whole", "__key", "__id", "id", "half", "component", "text_key", "n_tokens"]
 
 PROSE = ("The ferry left at dawn and crossed the grey water while gulls circled over the harbour. Nobody spoke. "
          "A boy counted the lamps along the quay until the last one went out, and then he counted them again.")

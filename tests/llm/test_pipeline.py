@@ -2,6 +2,8 @@
 
 import base64
 import hashlib
+import random
+from collections import Counter
 
 import corpus_pipeline
 import duckdb
@@ -9,9 +11,10 @@ import public_tokenizers
 import pytest
 import tiktoken
 from nasty import frame, rows
+from pyspark.sql import functions as F
 from test_span_and_group_operators import brute_components, plain_secrets
 
-from millrace.llm import mixing, secrets
+from millrace.llm import langid, mixing, secrets
 from millrace.llm.queries import QUERIES
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -22,7 +25,7 @@ def draw(doc_id):
     return int(digest[:15], 16) / float(16**15)
 
 
-def check(spark, docs, folder, tmp_path):
+def check(spark, docs, folder, tmp_path, may_go=0):
     stages = []
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         path = str(tmp_path / f"stage{k}")
@@ -34,8 +37,11 @@ def check(spark, docs, folder, tmp_path):
     tokens = docs.collect()
     assert all(s.columns == stages[0].columns for s in stages)
     key = lambda r: tuple((v is None, v) for v in r)
-    # Language: everything with a letter stays as it was.
-    assert sorted(named, key=key) == sorted((r for r in given if any(c.isalpha() for c in r[1] or "")), key=key)
+    # Language: letterless texts go, short ones with a letter stay, of the others only those in no language go.
+    lost = Counter(given) - Counter(named)
+    assert not Counter(named) - Counter(given) and all(any(c.isalpha() for c in r[1] or "") for r in named)
+    strange = [r for r in lost if any(c.isalpha() for c in r[1] or "")]
+    assert all(len(r[1].encode()) >= langid.LEAST_BYTES for r in strange) and len(strange) <= may_go
     # Near copies: one of each group, the smallest id; every kept row is an old row.
     found = brute_components([(r[0], r[1]) for r in named])
     groups = {(low if low is not None else r[1]) for r, (_, low) in zip(named, found, strict=True)}
@@ -73,7 +79,36 @@ def test_pipeline_on_a_small_corpus(spark, tmp_path):
 def test_pipeline_on_awkward_rows(spark, tmp_path):
     path = str(tmp_path / "documents.parquet")
     frame(spark, [r for r in rows() if r[0] is not None]).repartition(2).write.parquet(path)
-    check(spark, spark.read.parquet(path), str(tmp_path), tmp_path)
+    check(spark, spark.read.parquet(path), str(tmp_path), tmp_path, may_go=4)
+
+
+def test_language_stage_rejects_what_is_in_no_language(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rng = random.Random(3)
+    strange = ["".join(rng.choice("αβγδεζηθικλμνξοπρστυφχψω  ") for _ in range(600)),
+               base64.b64encode(rng.randbytes(900)).decode(),
+               "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(900))]
+    short = ["Ω", "Ωmega " * 5, "q"]
+    planted = spark.createDataFrame([(10**9 + k, t, None, "s1", len(t)) for k, t in enumerate(strange + short)], docs.schema)
+    stays = corpus_pipeline.identify_language(spark, docs.unionByName(planted), sf_dir)
+    ids = {r.doc_id for r in stays.select("doc_id").collect()}
+    assert {i - 10**9 for i in ids if i >= 10**9} == {3, 4, 5}
+    assert len({r.doc_id for r in docs.select("doc_id").collect()} - ids) <= 5  # of 1000
+
+
+def test_stages_keep_columns_named_like_helpers(spark, tmp_path):
+    names = ["__key", "__id", "key", "group", "kept_id", "kept_key", "id", "n", "bits_per_byte"]
+    data = frame(spark, [r for r in rows() if r[0] is not None])
+    for name in names:
+        data = data.withColumn(name, F.concat(F.lit(f"{name}-"), F.col("doc_id").cast("string")))
+    path = str(tmp_path / "documents.parquet")
+    data.write.parquet(path)
+    docs = spark.read.parquet(path)
+    for stage in (corpus_pipeline.identify_language, corpus_pipeline.drop_near_copies):
+        found = stage(spark, docs, str(tmp_path))
+        assert found.columns == docs.columns
+        for r in found.collect():
+            assert all(r[name] == f"{name}-{r.doc_id}" for name in names)
 
 
 def test_run_and_empty_table(spark, tmp_path):
@@ -83,6 +118,6 @@ def test_run_and_empty_table(spark, tmp_path):
 
 
 def test_every_operator_has_a_query():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
     with pytest.raises(KeyError):
-        QUERIES["op11"]
+        QUERIES["op14"]
