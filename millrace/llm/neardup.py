@@ -168,7 +168,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """Members of tables' groups dealt to blocks: `side` 0 meets `side` 1 in each (key, xc, yc).
+    """Members of half-key groups dealt to blocks: `side` 0 meets `side` 1 in each (key, xc, yc).
 
     Side 0 holds the members outside the group's largest component, side 1 all. Groups are cut into chunks of about
     BLOCK, so no block is larger, and only members outside the largest component are compared with everyone.
@@ -188,19 +188,20 @@ def _blocks(members: DataFrame) -> DataFrame:
         "yc", F.explode(F.sequence(F.lit(0), F.col("py") - 1)))
     y = known.withColumn("side", F.lit(1)).withColumn("yc", F.pmod(own, F.col("py")).cast("int")).withColumn(
         "xc", F.explode(F.sequence(F.lit(0), F.col("px") - 1)))
-    columns = ["key", "xc", "yc", "side", "outer", "i", "j", "node", "component", "n_shingles"]
+    columns = ["key", "xc", "yc", "side", "outer", "place", "node", "component", "n_shingles"]
     return x.select(*columns).unionByName(y.select(*columns))
 
 
 def _candidates(block: pa.Table):
     """(x, indices of its partners) for every member of side 0 that has some, with the two sides' column lists.
 
-    Partners are of another component, within the size ratio, agree on AGREE minhashes and share no earlier half key of
-    either collection, so that a pair is compared in the first of its tables only.
+    All members share a half key of the first collection; partners share one of the second as well, that is a table. They
+    are of another component, within the size ratio, agree on AGREE minhashes and share no earlier half key of the first
+    collection, so that a pair is compared in one group only.
     """
     side = block.column("side").to_numpy()
     node, component, n = (block.column(c).to_numpy() for c in ("node", "component", "n_shingles"))
-    i, j = (int(block.column(c)[0].as_py()) for c in ("i", "j"))
+    place = int(block.column("place")[0].as_py())
     marks = np.frombuffer(b"".join(block.column("signature").to_pylist()), np.uint16).reshape(len(side), HASHES)
     outer = block.column("outer").to_numpy()
     ys = np.flatnonzero(side == 1)
@@ -210,9 +211,11 @@ def _candidates(block: pa.Table):
         if not len(near):
             continue
         same = marks[near] == marks[x]
+        near, same = near[same.sum(1) >= AGREE], same[same.sum(1) >= AGREE]
+        if not len(near):
+            continue
         halves = same.reshape(len(near), 2, HALVES, WIDTH).all(3)
-        earlier = halves[:, 0, :i].any(1) | halves[:, 1, :j].any(1)
-        near = near[(same.sum(1) >= AGREE) & ~earlier]
+        near = near[halves[:, 1].any(1) & ~halves[:, 0, :place].any(1)]
         if len(near):
             yield x, near
 
@@ -223,25 +226,25 @@ def _mixed(rows: DataFrame, key: str) -> DataFrame:
 
 
 def _tables(classes: DataFrame, component: DataFrame) -> DataFrame:
-    """(key, i, j, node, n_shingles, component, size): the tables' groups with more than one component.
+    """(key, place, node, n_shingles, component, size): the classes that may share a table with one of another component.
 
-    Two classes of a table share a half key of each collection; so halves that hold one component only drop out before
-    the pairs of halves are formed, and a table's keys are formed from what is left.
+    Two classes of a table share a half key of each collection, so half keys that hold one component only drop out, and with
+    them the classes that have none left in either collection. The tables of a class are the pairs of its half keys; its rows are
+    grouped by the first of the pair alone (`key`), and `_candidates` asks for the second: the same pairs meet from a
+    row for each half key instead of one for each table.
     """
-    sides = F.array(*(F.struct(F.lit(k).alias("c"), F.col(name).alias("halves")) for k, name in enumerate("ab")))
-    known = classes.join(component, "node", "left").select(
+    known = cut_lineage(classes.join(component, "node", "left").select(
         "node", "n_shingles", F.coalesce("component", "node").alias("component"),
-        F.coalesce("size", F.lit(1)).alias("size"), F.explode(sides).alias("s"))
-    halves = known.select("node", "n_shingles", "component", "size", F.col("s.c").alias("c"),
-                          F.posexplode("s.halves").alias("place", "value")).withColumn(
-        "half", F.xxhash64("c", "place", "value"))
-    left = halves.join(_mixed(halves, "half"), "half")
-    both = left.groupBy("node", "n_shingles", "component", "size").agg(*(
-        F.collect_list(F.when(F.col("c") == k, F.struct("place", "half"))).alias(name) for k, name in enumerate("ab")))
-    pairs = both.filter((F.size("a") > 0) & (F.size("b") > 0)).withColumn("a", F.explode("a")).withColumn("b", F.explode("b"))
-    rows = cut_lineage(pairs.select(F.xxhash64("a.half", "b.half").alias("key"), F.col("a.place").alias("i"),
-                                    F.col("b.place").alias("j"), "node", "n_shingles", "component", "size"))
-    return rows.join(_mixed(rows, "key"), "key")
+        F.coalesce("size", F.lit(1)).alias("size"), "a", "b"))
+
+    def left(name: str) -> DataFrame:
+        halves = known.select("node", "component", F.posexplode(name).alias("place", "value")).select(
+            F.xxhash64("place", "value").alias("key"), "place", "node", "component").repartition("key")
+        return halves.join(_mixed(halves, "key"), "key").select("key", "place", "node")
+
+    second = left("b").select("node").distinct()
+    kept = known.drop("a", "b").join(second, "node", "left_semi")
+    return left("a").join(kept, "node")
 
 
 def _remaining_links(docs: DataFrame, members: DataFrame, classes: DataFrame, text_col: str) -> DataFrame:
@@ -300,7 +303,7 @@ def near_duplicates(docs: DataFrame, keep: Sequence[str] | None = None, id_col:
     table keys from only 4 * HALVES minhashes. First the HALVES tables of equal places: in each the class with the most
     company leads, the others are compared with it on full sets, and the confirmed links are joined to components, which
     unites large groups of copies at the cost of a star. Then all tables: half keys that hold one component only drop
-    out, what is left of the two collections forms the keys, and in every table the classes of different components are
+    out, and the classes of different components that share a half key of each collection, that is a table, are
     compared in blocks, by signature and then on full sets. So no link between candidates rests on the choice of
     leaders. A link of similarity 0.75 is missed with a chance below 2 in 10^5, more similar ones with less. Two sets are
     taken for equal on a 64-bit hash.
