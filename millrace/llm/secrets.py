@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -26,17 +27,22 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
                     re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-# Words that announce a secret; a feature only, the field learns their weight.
-HINTS = ("password", "passwd", "pwd", "secret", "token", "key", "auth", "credential", "bearer", "private")
+# Words that announce a secret, alone or as a part of a name. Features, and together with a value a weak label.
+HINTS = ("password", "passwd", "passphrase", "passcode", "pwd", "secret", "token", "api_?key", "key", "auth", "credential",
+         "bearer", "private")
+HINT = re.compile(rf"(?:^|[_.\-])({'|'.join(HINTS)})s?(?:$|[_.\-])")
+NEAR = 4  # tokens before a value in which a hint announces it
+# Values that are secrets by their form: long hex of either case, signed tokens, a short name and a long random part.
+FORM = re.compile(r"[0-9A-Fa-f]{32,}|eyJ[\w-]{8,}(?:\.[\w-]{4,}){1,2}|[A-Za-z]{2,6}[_-][A-Za-z0-9_-]{20,}")
 
 OUT, BEGIN, INSIDE = 0, 1, 2
 DIMENSIONS = 1 << 18
-TOKEN = re.compile(r"\S+")
+# A token is a mark that stands between names and values, or a run of anything else but white space.
+TOKEN = re.compile(r"""["'`,;:=(){}\[\]<>|]|[^\s"'`,;:=(){}\[\]<>|]+""")
 EDGE = "\"'`.,;:!?()[]{}<>#$%&*|"
 SHAPE = str.maketrans({**{c: "a" for c in "bcdefghijklmnopqrstuvwxyz"}, **{c: "A" for c in "BCDEFGHIJKLMNOPQRSTUVWXYZ"},
                        **{c: "0" for c in "123456789"}})
 RUNS = re.compile(r"(.)\1+")
-ANNOUNCED = re.compile("|".join(HINTS))
 HEX_DIGITS = frozenset("0123456789abcdefABCDEF")
 WORDS_KNOWN = 400_000  # words whose scores a task keeps
 
@@ -73,34 +79,38 @@ def _coarse(word: str, core: str, low: str, shape: str, names: frozenset[str]) -
     return f"{shape[:4]}~{min(len(core) // 8, 4)}"
 
 
-def word_features(word: str, known: frozenset[str]) -> tuple[list[int], int, int]:
-    """Feature slots of a token itself, and the one slot it gives its successor and its predecessor.
+def word_features(word: str, known: frozenset[str]) -> tuple[list[int], int, int, int]:
+    """Feature slots of a whole token itself, and the one slot it gives its successor, its predecessor, and itself behind
+    a hint.
 
     A short word is itself if it is `known`, and a rare word otherwise.
     """
-    head = word[:256]  # what a feature can see of a very long token
-    core = head.strip(EDGE)
+    core = word.strip(EDGE)
     low = core.lower()
-    shape = RUNS.sub(r"\1", core[:40].translate(SHAPE))
-    around = _coarse(head, core, low, shape, known)
+    shape = RUNS.sub(r"\1", core.translate(SHAPE))
+    around = _coarse(word, core, low, shape, known)
     n = max(1, len(core))
-    names = ["bias", "shape " + shape[:8], f"length {min(len(core), 48) // 4}",
+    names = ["bias", "shape " + shape if len(shape) <= 6 else f"turns {10 * len(shape) // n}", f"length {min(len(core), 48) // 4}",
              f"variety {10 * len(set(core)) // n} {min(n // 8, 4)}", "word " + around]
     digits = sum(c.isdigit() for c in core)
+    kind = "plain"
     if digits:
         names.append(f"digits {4 * digits // n} {min(n // 8, 4)}")
+        kind = "digits" if digits == n else f"some digits {min(n // 4, 4)}"
         if not core.islower() and not core.isupper() and not core.isdigit():
             names.append(f"mixed {min(n // 8, 4)}")
     if n >= 8 and HEX_DIGITS.issuperset(core):
         names.append(f"hex {min(n // 8, 4)}")
-    if not head[0].isalnum():
-        names.append("opens " + head[0])
-    if not head[-1].isalnum():
-        names.append("closes " + head[-1])
-    if "=" in core or ":" in core:
-        names.append("pair")
-    names += ["hint " + h for h in HINTS if h in low]
-    return [_slot(x) for x in names], _slot("after " + around), _slot("before " + around)
+    if FORM.fullmatch(core):
+        names.append("form")
+    if not word[0].isalnum():
+        names.append("opens " + word[0])
+    if not word[-1].isalnum():
+        names.append("closes " + word[-1])
+    hint = HINT.search(low)
+    if hint:
+        names.append("hint " + hint[1])
+    return [_slot(x) for x in names], _slot("after " + around), _slot("before " + around), _slot("hinted " + kind)
 
 
 def file_features(text: str) -> list[int]:
@@ -108,7 +118,7 @@ def file_features(text: str) -> list[int]:
     low = text.lower()
     names = [f"file size {min(len(text).bit_length(), 20)}", f"file code {('{' in text) + (';' in text)}",
              f"file pairs {min((text.count('=') + 1).bit_length(), 5)}"]
-    names += ["file hint " + h for h in HINTS if h in low]
+    names += ["file hint " + h for h in ("password", "secret", "token", "key") if h in low]
     return [_slot(x) for x in names]
 
 
@@ -121,23 +131,55 @@ class Field:
     known: frozenset[str]
 
 
-def _line_tags(line: str, at: int, spans: list) -> tuple[list[str], list[int], bool]:
+DOUBT = -1  # a token that may be a secret or not: no example
+
+
+def _entropy(core: str) -> float:
+    n = len(core)
+    return -sum(k / n * math.log2(k / n) for k in Counter(core).values())
+
+
+def weak_tag(core: str, hinted: bool) -> int:
+    """BEGIN for a token that weak rules take for a secret, DOUBT for one that they cannot decide, else OUT."""
+    n = len(core)
+    if n < 8 or "@" in core or "/" in core and "." in core:
+        return OUT
+    digits, letters = sum(c.isdigit() for c in core), sum(c.isalpha() for c in core)
+    mixed = digits and letters and len(set(core)) >= 6
+    if FORM.fullmatch(core) and mixed and _entropy(core) >= 2.5:
+        return BEGIN
+    if hinted and mixed and _entropy(core) >= 2.5:
+        return BEGIN
+    random = n >= 20 and mixed and _entropy(core) >= 3.5
+    return DOUBT if random or hinted and (digits or not core.isalpha()) else OUT
+
+
+def _line_tags(line: str, at: int, spans: list) -> tuple[list[str], list[int]]:
+    """Tokens of a line and their tags: the values of fixed-pattern spans, and what weak rules say of the others."""
     words, tags = [], []
+    values = [(m.start(2) + at, m.end(2) + at) for m in ASSIGN.finditer(line)]
+    spans = [(next((v for v in values if start <= v[0] and v[1] == end), (start, end)), (start, end)) for start, _, end in spans]
+    hint = -NEAR - 1
     for m in TOKEN.finditer(line):
-        lo, hi = at + m.start(), at + m.end()
-        tag = OUT
-        for start, _, end in spans:
-            if lo < end and hi > start:
-                tag = BEGIN if not (tags and lo > start and tags[-1] != OUT) else INSIDE
-                break
+        lo, hi, k = at + m.start(), at + m.end(), len(words)
+        tag = None
+        for value, whole in spans:
+            if lo < value[1] and hi > value[0]:
+                tag = INSIDE if tags and lo > value[0] and tags[-1] in (BEGIN, INSIDE) else BEGIN
+            elif lo < whole[1] and hi > whole[0]:
+                tag = OUT
+        core = m.group().strip(EDGE)
         words.append(m.group())
-        tags.append(tag)
-    return words, tags, any(tags)
+        tags.append(weak_tag(core, k - hint <= NEAR) if tag is None else tag)
+        if HINT.search(core.lower()):
+            hint = k
+    return words, tags
 
 
 def training_windows(docs: DataFrame, text_col: str = "text", reach: int = 10, per_text: int = 8,
                      plain: int = 2) -> DataFrame:
-    """Windows of tagged tokens: around fixed-pattern spans, and up to `plain` around other tokens with a digit.
+    """Windows of tagged tokens: around secrets by the fixed patterns and the weak rules, and up to `plain` around other
+    tokens with a digit. Windows with a doubtful token are left out.
 
     At most `per_text` windows come from a text; they are training examples, not results.
     """
@@ -152,14 +194,12 @@ def training_windows(docs: DataFrame, text_col: str = "text", reach: int = 10, p
                 for line in text.split("\n"):
                     near = [s for s in spans if s[0] < at + len(line) and s[2] > at]
                     if near or any(c.isdigit() for c in line) or not rest:
-                        words, tags, hit = _line_tags(line, at, near)
-                        if hit:
-                            k = next(i for i, t in enumerate(tags) if t)
-                        else:
-                            k = next((i for i, w in enumerate(words) if any(c.isdigit() for c in w)), 0)
-                        cut = slice(max(0, k - reach), k + reach)
-                        if words:
-                            (own if hit else rest).append((words[cut], tags[cut], facts))
+                        words, tags = _line_tags(line, at, near)
+                        hits = [i for i, t in enumerate(tags) if t == BEGIN]
+                        for k in hits or [next((i for i, w in enumerate(words) if any(c.isdigit() for c in w)), 0)]:
+                            cut = slice(max(0, k - reach), k + reach)
+                            if words and DOUBT not in tags[cut]:
+                                (own if hits else rest).append((words[cut], tags[cut], facts))
                     at += len(line) + 1
                 # The plainest line and, from the end, those with digits: hard negatives.
                 out += (own + rest[:1] + rest[1:][::-1][:plain - 1])[:per_text]
@@ -179,14 +219,17 @@ def fit(examples: list[tuple[list[str], list[int], list[int]]], rounds: int = 60
     n, length = len(examples), max(len(w) for w, _, _ in examples)
     gold = np.full((n, length), -1)
     slot, place = [], []
-    uses = Counter(w[:256].strip(EDGE).lower() for words, _, _ in examples for w in words)
+    uses = Counter(w.strip(EDGE).lower() for words, _, _ in examples for w in words)
     names = frozenset(w for w, k in uses.items() if k >= 3 and _name(w, w))
     known: dict[str, tuple] = {}
     for i, (words, tags, facts) in enumerate(examples):
         gold[i, :len(tags)] = tags
         feats = [known.get(w) or known.setdefault(w, word_features(w, names)) for w in words]
-        for t, (own, _, _) in enumerate(feats):
+        hints = [t for t, w in enumerate(words) if HINT.search(w.strip(EDGE).lower())]
+        for t, (own, _, _, hinted) in enumerate(feats):
             found = own + facts
+            if any(t - NEAR <= h < t for h in hints):
+                found = [*found, hinted]
             if t:
                 found = [*found, feats[t - 1][1]]
             if t + 1 < len(feats):
@@ -235,24 +278,25 @@ def fit(examples: list[tuple[list[str], list[int], list[int]]], rounds: int = 60
     return Field(weights, a.astype(np.float32), names)
 
 
-def learn(docs: DataFrame, text_col: str = "text", sample_docs: int = 20_000,
-          plain_windows: int = 3000) -> Field | None:
-    """Fit on all documents, or on `sample_docs` distinct texts where there are more, tagged by the fixed patterns.
+def learn(docs: DataFrame, text_col: str = "text", sample_docs: int = 20_000, plain_windows: int = 3000,
+          tagged_windows: int = 6000) -> Field | None:
+    """Fit on `sample_docs` distinct texts, or all where there are fewer, tagged by the fixed patterns and weak rules.
 
-    All their tagged windows are examples, and up to `plain_windows` of the others.
+    Up to `tagged_windows` tagged windows are examples, and up to `plain_windows` of the others, drawn by hash in the tasks'
+    output, so that the bound holds for the driver. Null and empty texts give nothing; None without a tagged window.
+    Copies count once. Columns other than `text_col` are not read, whatever their names.
     """
-    few = docs.count() <= sample_docs
-    taken = docs.select(F.col(text_col).alias("text")) if few else distinct_texts(docs, sample_docs, text_col)
-    rows = training_windows(taken, "text").toPandas()
-    examples = sorted((list(w), list(t), list(f)) for w, t, f in zip(rows["words"], rows["tags"], rows["facts"],
-                                                                    strict=True))
-    plain = [x for x in examples if not any(x[1])]
-    plain.sort(key=lambda x: zlib.crc32(" ".join(x[0]).encode()))
-    return fit([x for x in examples if any(x[1])] + plain[:plain_windows])
+    found = training_windows(distinct_texts(docs, sample_docs, text_col), "text")
+    found = found.withColumn("hit", F.exists("tags", lambda t: t > 0)).withColumn("draw", F.xxhash64("words"))
+    some = [found.filter("hit").orderBy("draw", "words").limit(tagged_windows),
+            found.filter("not hit").orderBy("draw", "words").limit(plain_windows)]
+    rows = some[0].unionByName(some[1]).toPandas()
+    return fit(sorted((list(w), list(t), list(f)) for w, t, f in zip(rows["words"], rows["tags"], rows["facts"], strict=True)))
 
 
 class WordScores(dict):
-    """Token to the row of `scores` that holds its own score and what it gives the next and the previous token.
+    """Token to the row of `scores` that holds its own score, what it gives the next and the previous token, and what it
+    has more behind a hint; `hints` tells which rows are hints.
 
     Rare plain words that look alike have the same features, so they share a row found by a cheap key.
     """
@@ -260,14 +304,15 @@ class WordScores(dict):
     def __init__(self, field: Field):
         self.field = field
         self.alike: dict[tuple, int] = {}
-        self.scores = np.zeros((1024, 3, 3), np.float32)
+        self.scores = np.zeros((1024, 4, 3), np.float32)
+        self.hints = np.zeros(1024, bool)
         self.rows = 0
 
     def __missing__(self, word: str) -> int:
         tail = word[-1] if word[-1] in ".," else ""
         core = word[:-1] if tail else word
         low = core.lower()
-        plain = (core.isalpha() and len(low) == len(core) and core[1:] == low[1:] and not ANNOUNCED.search(low)
+        plain = (core.isalpha() and len(low) == len(core) and core[1:] == low[1:] and not HINT.search(low)
                  and not (len(core) <= 12 and low in self.field.known) and len(core) <= 48)
         if plain:
             key = (core[0] == low[0], tail, core.isascii() and len(core) >= 8 and HEX_DIGITS.issuperset(core),
@@ -284,9 +329,11 @@ class WordScores(dict):
         at, w = self.rows, self.field.weights
         if at == len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-        own, after, before = word_features(word, self.field.known)
+            self.hints = np.concatenate([self.hints, np.zeros_like(self.hints)])
+        own, *others = word_features(word, self.field.known)
         self.scores[at, 0] = w[own].sum(0)
-        self.scores[at, 1], self.scores[at, 2] = w[after], w[before]
+        self.scores[at, 1:] = w[others]
+        self.hints[at] = HINT.search(word.strip(EDGE).lower()) is not None
         self.rows += 1
         return at
 
@@ -314,6 +361,11 @@ class Tagger:
         final[(start + size - 1)[size > 0]] = True
         emit[1:] += np.where(first[1:, None], 0, scores[word[:-1], 1])
         emit[:-1] += np.where(final[:-1, None], 0, scores[word[1:], 2])
+        place = np.arange(len(word))
+        hint = np.maximum.accumulate(np.where(number.hints[word], place, -1)) if len(word) else place
+        hint = np.concatenate([[-1], hint[:-1]])[:len(word)]  # the last hint before a token
+        announced = (hint >= np.repeat(start, size)) & (place - hint <= NEAR)
+        emit[announced] += scores[word[announced], 3]
         by_text = np.stack([self.field.weights[f].sum(0) for f in texts])
         emit += np.repeat(by_text[np.array(facts, np.int64)], size, axis=0)
         live = np.searchsorted(-size[order], -np.arange(size.max(initial=0)))  # lines longer than t
@@ -396,7 +448,7 @@ def scan(docs: DataFrame, field: Field | None, keep: Sequence[str] | None = None
                         home.append(k)
                         where.append(at)
                         at += len(line) + 1
-                tags = tagger.tags([x.split() for x in lines], home, [file_features(t or "") for t in texts])
+                tags = tagger.tags([TOKEN.findall(x) for x in lines], home, [file_features(t or "") for t in texts])
                 for line, k, at, own in zip(lines, home, where, tags, strict=True):
                     if own.any():
                         fixed = [s for s in spans[k] if s[1] < len(KINDS)]

@@ -46,6 +46,8 @@ def score(field, line, facts, tags):
     total = field.moves[3][tags[0]]
     for k, tag in enumerate(tags):
         own = feats[k][0] + facts + ([feats[k - 1][1]] if k else []) + ([feats[k + 1][2]] if k + 1 < len(line) else [])
+        if any(secrets.HINT.search(w.strip(secrets.EDGE).lower()) for w in line[max(0, k - secrets.NEAR):k]):
+            own = own + [feats[k][3]]
         total += field.weights[own, tag].sum() + (field.moves[tags[k - 1]][tag] if k else 0)
     return total
 
@@ -68,9 +70,10 @@ def test_words_that_share_scores_have_the_same_features():
     for word in ["harbour", "harbour,", "Harbour", "ferries", "monkeys", "FERRY", "the", "x" * 60, "éé", "ÉÉ", "ǅabc", "deadbeef",
                  "deadbeefs", "lamp.", "...", "a.", "keyword", "Straße", "İstanbul", "zwölf", "ferried"] * 2:
         row = known.scores[known[word]]
-        own, after, before = secrets.word_features(word, field.known)
+        own, *others = secrets.word_features(word, field.known)
         assert np.allclose(row[0], field.weights[own].sum(0), atol=1e-4)
-        assert np.allclose(row[1], field.weights[after]) and np.allclose(row[2], field.weights[before])
+        assert np.allclose(row[1:], field.weights[others])
+        assert known.hints[known[word]] == bool(secrets.HINT.search(word.strip(secrets.EDGE).lower()))
 
 
 def examples():
@@ -118,6 +121,68 @@ def test_field_adds_what_the_patterns_miss(spark):
     assert all(s.kind == "crf" for s in found) and any(text[s.start:s.end].endswith("3a" * 15) for s in found)
 
 
+def planted(rng):
+    """A line with a secret that no fixed pattern finds, and the secret."""
+    draw = lambda letters, n: "".join(rng.choice(list(letters), n))
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    every = upper + lower + digits
+    value = draw(lower, 5) + draw(digits, 2) + draw(every, 6) + draw(digits, 1)
+    kind = int(rng.integers(6))
+    if kind == 0:
+        return f"The password is {value} for now.", value
+    if kind == 1:
+        value = f"eyJ{draw(every, 20)}.{draw(every, 40)}.{draw(every, 30)}"
+        return f"Authorization: Bearer {value}", value
+    if kind == 2:
+        value = "ghp_" + draw(digits + every, 36)
+        return f"clone it with {value} as usual", value
+    if kind == 3:
+        value = draw(digits + "ABCDEF", 64)
+        return f"digest {value}", value
+    if kind == 4:
+        return f"pwd={value}", value
+    return '{"user": "anna", "credential" : "' + value + '", "port": 8080}', value
+
+
+def test_field_learns_from_weak_labels_what_the_patterns_miss(spark, sf_dir):
+    """Nine of ten held-out secrets of forms without a fixed pattern are found, 99 of 100 clean documents are left alone."""
+    rng = np.random.default_rng(12)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    rows_, want = [], {}
+    for k, text in docs:
+        if k % 3:  # two thirds get a secret; half of these train
+            line, value = planted(rng)
+            lines = text.split("\n")
+            lines.insert(int(rng.integers(len(lines) + 1)), line)
+            text = "\n".join(lines)
+            want[k] = value
+        rows_.append((k, text))
+    frame = spark.createDataFrame(rows_, "doc_id long, text string").repartition(4)
+    trains = F.col("doc_id") % 2 == 0
+    field = secrets.learn(frame.filter(trains))
+    got = secrets.scan(frame.filter(~trains), field, keep=["doc_id", "text"]).select("row.*", "spans").collect()
+    found = touched = clean = 0
+    for r in got:
+        own = {r.text[s.start:s.end] for s in r.spans if s.kind == "crf"}
+        if r.doc_id in want:
+            found += any(want[r.doc_id] in x for x in own)
+        elif not plain_secrets(r.text):
+            clean += 1
+            touched += bool(own)
+    held = sum(r.doc_id in want for r in got)
+    assert found >= 0.9 * held and touched <= 0.01 * clean and clean > 100, (found, held, touched, clean)
+
+
+def test_sample_counts_distinct_texts_only(spark):
+    """Copies and the size of the table around the bound do not move the weights."""
+    rows_ = [(k, f"line {k}\ntoken = '{k:08x}{k * 7919 % 99991:08x}' now\nroom {k}") for k in range(60)]
+    few = spark.createDataFrame(rows_, "doc_id long, text string")
+    copies = few.unionByName(few.filter("doc_id < 5").withColumn("doc_id", F.col("doc_id") + 1000))
+    fields = [secrets.learn(few, sample_docs=60), secrets.learn(copies, sample_docs=60), secrets.learn(copies, sample_docs=1000)]
+    for other in fields[1:]:
+        assert np.array_equal(fields[0].weights, other.weights) and np.array_equal(fields[0].moves, other.moves)
+
+
 def test_secret_query(spark, sf_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     for r in QUERIES["op1_secret_scan"](spark, sf_dir).collect():
