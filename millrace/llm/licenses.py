@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import fits
+
 # Published licence texts and notices.
 KNOWN = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
@@ -49,6 +51,57 @@ use this software in a product, an acknowledgment in the product documentation w
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 
 3. This notice may not be removed or altered from any source distribution.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING,
+BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT
+SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
+INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING
+NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH
+DAMAGE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING,
+BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT
+SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
+INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING
+NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH
+DAMAGE.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a
+compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest
+in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of
+our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and
+future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR
+ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION
+WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>""",
     "notice: Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "notice: MIT": "Released under the MIT License.",
     "notice: GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
@@ -56,11 +109,20 @@ use this software in a product, an acknowledgment in the product documentation w
     "notice: CC-BY-4.0": "Licensed under CC BY 4.0.",
     "notice: BSD-3-Clause": "Licensed under the BSD 3-Clause License.",
 }
-# Lines that name an owner, then spellings that mean the same, then all marks: pattern and replacement, in this order.
-# They work on lower-cased text and read alike in Java and RE2.
+# Words that follow "copyright" in a licence's own sentences; a line that begins with "copyright" and goes on otherwise names
+# an owner.
+SENTENCES = ("holder", "notice", "owner", "law", "licens", "interest", "statement", "disclaimer", "permission", "protect", "infring",
+             "treat", "and ", "or ", "in ", "is ", "of ", "to ")
+# One spelling, sentences on copyright held together, a title line at the start and lines that name an owner out, spellings
+# that mean the same, then all marks: pattern and replacement, in this order. They work on lower-cased text and read alike
+# in Java and RE2.
 STEPS = (
-    (r"(?:^|\n)[ \t/*#;-]*(?:copyright (?:\(c\)|©|[0-9])|\(c\) |© |all rights reserved)[^\n]*", "\n"),
     (r"licenc", "licens"),
+    *((f"copyright {word}", f"copyright-{word}") for word in SENTENCES),
+    (r"^[ \t\r\n/*#;-]*(?:the )?(?:mit|isc|zlib|bsd zero[ -]clause|zero[ -]clause bsd|0bsd|simplified bsd|new bsd|modified bsd|"
+     r"(?:bsd )?[23][ -]clause(?: bsd)?|unlicense)(?: license)?(?: \([^)\n]*\))?[ \t:.*#=-]*\r?\n[=-]*", "\n"),
+    (r"(?:^|\n)[ \t/*#;-]*(?:copyright[: ]|\(c\) |© |all rights reserved)[^\n]*", "\n"),
+    (r"(?:^|\n)[ \t/*#;-]*(?:copyright[: ]|\(c\) |© |all rights reserved)[^\n]*", "\n"),
     (r"sub-licens", "sublicens"),
     (r"non-infringement", "noninfringement"),
     (r"acknowledgement", "acknowledgment"),
@@ -71,7 +133,7 @@ STEPS = (
 
 
 def canonical(text: Column) -> Column:
-    """Lower case, without owner lines, with one spelling, words apart by one space."""
+    """Lower case, without a title at the start and owner lines, with one spelling, words apart by one space."""
     out = F.lower(text)
     for pattern, by in STEPS:
         out = F.regexp_replace(out, pattern, by)
@@ -89,13 +151,20 @@ def known_digests(spark: SparkSession, known: dict[str, str] | None = None) -> D
     return rows.select("license", digest(F.col("text")).alias("digest")).filter("digest is not null")
 
 
+def known_folder(spark: SparkSession, path: str) -> DataFrame:
+    """(license, digest) of the whole texts in a folder of licence files; a file's name without .txt is the licence's."""
+    files = spark.read.text(path, wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_name").alias("name"))
+    return files.select(F.regexp_replace("name", r"\.txt$", "").alias("license"), digest(F.col("text")).alias("digest")).filter(
+        "digest is not null")
+
+
 def scan(docs: DataFrame, known: DataFrame, keep: Sequence[str] | None = None, text_col: str = "text") -> DataFrame:
     """`row` (struct of the `keep` columns), whole (licences that are the entire text), lines (licences that are an entire
     line), both sorted arrays without repeats.
 
     The digest of the whole text and the distinct digests of its lines are hash-joined to `known`. Only matches are
-    grouped, by the text's own digest, so many copies of a licence are one group of one row. `known` is broadcast if Spark finds it
-    small, by its own size check. Null, empty and markless texts match nothing. Repeated rows get equal results. An empty table
+    grouped, by the text's own digest, so many copies of a licence are one group of one row. `known` is broadcast where a
+    count of its rows, each of a name and a digest, allows it; else lines meet it by digest. Null, empty and markless texts match nothing. Repeated rows get equal results. An empty table
     gives an empty result.
     """
     row = F.struct(*(F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)))
@@ -105,7 +174,8 @@ def scan(docs: DataFrame, known: DataFrame, keep: Sequence[str] | None = None, t
         F.lit(False).alias("whole"), digest(x).alias("digest")))
     units = keyed.select("key", F.explode(F.concat(whole, lines)).alias("u")).select("key", "u.*").filter(
         "digest is not null")
-    hits = units.join(known, "digest").groupBy(F.col("key").alias("__key")).agg(
+    table = known.select("license", "digest").distinct()
+    hits = units.join(F.broadcast(table) if fits(table) else table, "digest").groupBy(F.col("key").alias("__key")).agg(
         F.array_sort(F.collect_set(F.when(F.col("whole"), F.col("license")))).alias("whole"),
         F.array_sort(F.collect_set(F.when(~F.col("whole"), F.col("license")))).alias("lines"))
     none = F.array().cast("array<string>")

@@ -5,6 +5,7 @@ import collections
 import hashlib
 import math
 import os
+import textwrap
 import zlib
 
 import duckdb
@@ -238,6 +239,32 @@ def test_clean_prose_is_kept(spark, sf_dir):
 
 # --- licences ---------------------------------------------------------------------------------------------------
 
+def test_licence_files_in_their_usual_form(spark, tmp_path):
+    """Titles, owner lines in several forms, wrapping, case and spelling do not change a licence's digest."""
+    texts = licenses.KNOWN
+    wrapped = lambda name: "\n".join(textwrap.wrap(" ".join(texts[name].split()), 60))
+    docs = [("MIT", "MIT License\n\nCopyright (c) 2020 Jane Doe\n\n" + texts["MIT"]),
+            ("MIT", "The MIT License (MIT)\n=====\n\nCopyright Jane Doe 2020\nCopyright: others, 2021\n\n" + wrapped("MIT")),
+            ("MIT", "Copyright © Jane Doe and her friends\nAll rights reserved.\n" + texts["MIT"].lower()),
+            ("ISC", "ISC Licence\n\n(c) 1999 A. Person\n" + wrapped("ISC")),
+            ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2020, Jane\n\n" + wrapped("BSD-3-Clause")),
+            ("BSD-2-Clause", "// Copyright Jane\n" + texts["BSD-2-Clause"]), ("Unlicense", texts["Unlicense"]),
+            ("0BSD", "Zero-Clause BSD\n\n" + texts["0BSD"]), ("Zlib", "zlib License\n\n(C) 2001 X\n\n" + texts["Zlib"]),
+            ("", texts["MIT"].replace("free of charge", "for a fee")), ("", "MIT License\nand a story")]
+    frame = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(docs)], "doc_id long, text string")
+    got = {r.row.doc_id: r.whole for r in licenses.scan(frame, licenses.known_digests(spark)).collect()}
+    assert [",".join(got[k]) for k in range(len(docs))] == [name for name, _ in docs]
+    con = as_view(frame.selectExpr("doc_id", "text", "'' AS lang", "'' AS source", "0L AS n_chars"))
+    assert {r[0]: r[1] for r in con.execute(licenses.SCAN_SQL).fetchall()} == {k: name for k, (name, _) in enumerate(docs)}
+    (tmp_path / "My-1.0.txt").write_text("My License\n\nDo as you please & be kind.\n")
+    (tmp_path / "Empty.txt").write_text(" \n")
+    own = licenses.known_folder(spark, str(tmp_path))
+    assert [r.license for r in own.collect()] == ["My-1.0"]
+    found = licenses.scan(spark.createDataFrame([(1, "MY LICENCE\nCopyright Me 2020\ndo as you please and be kind")],
+                                                "doc_id long, text string"), own).first()
+    assert found.whole == ["My-1.0"]
+
+
 def test_licences(spark, nasty, empty):
     mit = licenses.KNOWN["MIT"]
     docs = spark.createDataFrame([
