@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..session import Shared
 from .arrow import bounded_batches, extend, flat_bytes, kept_row, release
-from .blocks import ASK, answer, parts_schema, record, shard_ranges, together
+from .blocks import ASK, answer, parts_schema, record, shard_ranges, shards_for, together
 from .bpe import gather, pack, unpack
 
 # Characters whose id pairs are counted together before they go to the shards. A longer text is a block of its own.
@@ -360,13 +360,13 @@ def align(docs: DataFrame, side_a, side_b, keep: Sequence[str] | None = None, te
     same B id has more.
 
     All lanes of a slice of texts advance together (`lockstep`). A block's pairs go, once each, to the shard of their B
-    id, where all pairs of a B id meet; totals return to the block. `shards` defaults to the session's shuffle partitions.
+    id, where all pairs of a B id meet; totals return to the block. `shards` grows with the bytes of text.
 
     Null and empty texts, and texts whose tokens on either side do not join to space + text, have empty lists. Repeated
     rows are aligned alike and all count. An empty table gives an empty result. Kept columns cannot clash with the results.
     """
     spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or shards_for(docs, text_col)
     rows = bounded_batches(docs).select(kept_row(docs, keep), F.col(text_col).alias("text"))
     sent = Shared(spark, (side_a, side_b, side_a.table(), side_b.table()))
     parts = answer(_encode_and_link(rows, sent, shards), _corpus_counts)

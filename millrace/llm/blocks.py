@@ -13,14 +13,23 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import release
 
 NAMES = ["shard", "block", "seq", "data", "rows"]
+# Bytes of text whose distinct values one shard takes.
+SHARD_BYTES = 64_000_000
 ASK = -1  # `seq` of a question; carried records count from 0
 
 
+def shards_for(docs: DataFrame, text_col: str, shard_bytes: int = SHARD_BYTES) -> int:
+    """The session's shuffle partitions, or as many shards as the text's bytes call for: one pass over the texts' lengths."""
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")).cast("long"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
+
+
 def parts_schema(row_type: T.DataType) -> T.StructType:
     kinds = [T.IntegerType(), T.LongType(), T.IntegerType(), T.ArrayType(T.BinaryType()), T.ArrayType(row_type)]
     return T.StructType([T.StructField(name, kind) for name, kind in zip(NAMES, kinds, strict=True)])

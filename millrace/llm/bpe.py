@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..session import Shared
 from .arrow import bounded_batches, extend, kept_row, release
+from .blocks import shards_for
 
 # Characters of text whose pre-tokens share one dictionary: a block. A longer text is a block of its own.
 BLOCK_CHARS = 16_000_000
@@ -242,14 +243,13 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, keep: Sequence[str] | None =
     Texts are cut into pre-tokens in blocks of about BLOCK_CHARS. A block's distinct words go, once each, to the shard of
     their hash; there equal words of all blocks meet and are encoded once. Their ids return to the block, which puts
     them at the words' positions. A frequent word is one entry per block, so no key is hot; both shuffles move
-    compressed word lists and position lists, not one row per pre-token. `shards` defaults to the
-    session's shuffle partitions.
+    compressed word lists and position lists, not one row per pre-token. `shards` grows with the bytes of text.
 
     Null and empty texts have no ids. Special tokens are ordinary text. Repeated rows are encoded alike. An empty table
     gives an empty result. Kept columns cannot clash with the results.
     """
     spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or shards_for(docs, text_col)
     rows = bounded_batches(docs).select(kept_row(docs, keep), F.col(text_col).alias("text"))
     return _reassemble(_encode_words(_pre_tokens(rows, vocabulary.pattern, shards), Shared(spark, vocabulary)))
 

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..operators.joins import lookup_join
 from ..session import cut_lineage
 from .arrow import bounded_batches, release
-from .blocks import ASK, answer, parts_schema, record, shard_ranges, together
+from .blocks import ASK, answer, parts_schema, record, shard_ranges, shards_for, together
 from .bpe import pack, unpack
 
 AT_LEAST = 100
@@ -248,10 +248,8 @@ def frequent_phrases(docs: DataFrame, at_least: int = AT_LEAST, longest: int = L
     Null texts are empty, a null language is `und`. Repeated rows all count. An empty table gives an empty result. Other
     columns are not read.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.coalesce(lang_col, F.lit(UNKNOWN)).alias("lang"), F.col(text_col).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    shards = shards_for(rows, "text", SHARD_BYTES)
     parts = answer(_summaries(bounded_batches(rows), longest, shards), lambda: _survivors(at_least))
     found = together(parts, PACKED, _counts_of_block(longest, shards))
     return found.groupBy("shard").applyInArrow(_total_counts(at_least), COUNTED)

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..session import Shared
 from .arrow import bounded_batches, kept_row, release
-from .blocks import ASK, answer, parts_schema, record, shard_ranges, together
+from .blocks import ASK, answer, parts_schema, record, shard_ranges, shards_for, together
 from .bpe import gather, pack, unpack
 
 # Characters of text whose pre-tokens share one dictionary. A longer text is a block of its own.
@@ -209,14 +209,14 @@ def count_tokens(docs: DataFrame, tokenizer: str, keep: Sequence[str] | None = N
     pre-tokens and their frequencies. A block's distinct pre-tokens go to the shard of their hash, where the model cuts
     each into pieces once and only their number goes back; frequencies times numbers are summed per text, and no id is
     ever kept. `words` says that the tokenizer's steps before its model act on each space-separated word alone
-    (tried on PROBES; ValueError): each distinct word of a block is then normalised and cut once. `shards` defaults to
-    the session's shuffle partitions.
+    (tried on PROBES; ValueError): each distinct word of a block is then normalised and cut once. `shards` grows
+    with the bytes of text.
 
     Null and empty texts have no tokens. Repeated rows are counted alike. An empty table gives an empty result. Kept
     columns cannot clash with the results. A text of any length is one block at most.
     """
     spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or shards_for(docs, text_col)
     rows = bounded_batches(docs).select(kept_row(docs, keep), F.col(text_col).alias("text"))
     content = Shared(spark, tokenizer)
     parts = answer(_frequencies(rows, content, words, shards), _count_pieces(content))
