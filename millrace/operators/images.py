@@ -48,10 +48,12 @@ def inject_noise(df: DataFrame, key, arr: str, size: int, n: int = NOISE_POSITIO
                  seed: int = 0, out: str | None = None) -> DataFrame:
     """Give `n` positions per image a random level in all three planes.
 
-    Position and level come from the hash of (key, draw, seed): the same noise on every run.
-    Draws may repeat a position, as independent draws do.
+    Position and level come from the md5 of (key, draw, what, seed), which other engines can repeat: the same noise on
+    every run. Draws may repeat a position, as independent draws do; the first then counts.
     """
-    draw = lambda i, what: F.pmod(F.xxhash64(*as_list(key), i, F.lit(what), F.lit(seed)), F.lit(2 ** 31))
+    name = [F.col(c).cast("string") for c in as_list(key)]
+    draw = lambda i, what: F.conv(F.substring(F.md5(F.concat_ws(
+        ":", *name, i.cast("string"), F.lit(what), F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
     draws = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(
         F.pmod(draw(i, "at"), F.lit(size)).cast("int").alias("at"),
         F.element_at(F.array(*[F.lit(x) for x in levels]), (F.pmod(draw(i, "lv"), F.lit(len(levels))) + 1).cast("int")).alias("level")))

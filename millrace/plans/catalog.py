@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import models, posts, series, streams, tabular  # noqa: F401
+from . import closed, models, posts, series, streams, tabular  # noqa: F401
 from .registry import ORACLES, QUERIES, Tables
 
 

@@ -98,7 +98,12 @@ def _(t):
     return blocks.select("vec_id", "block", F.posexplode("values").alias("pos", "x")).withColumn("x", F.round("x", 6))
 
 
-@query("inject_noise")
+@query("inject_noise", f"""WITH {IMAGES}, k AS (SELECT vec_id, r.i AS i,
+      ('0x' || substr(md5(vec_id || ':' || r.i || ':at:7'), 1, 8))::BIGINT % 64 AS pos,
+      ('0x' || substr(md5(vec_id || ':' || r.i || ':lv:7'), 1, 8))::BIGINT % 4 AS lv FROM im, range(10) r(i)),
+   d AS (SELECT vec_id, pos, [0, 255, 96, 144][arg_min(lv, i) + 1] AS level FROM k GROUP BY 1, 2)
+   SELECT vec_id, CAST(sum((r <> level)::INT + (g <> level)::INT + (b <> level)::INT) AS INT) AS changed
+   FROM px JOIN d USING (vec_id, pos) GROUP BY 1""")
 def _(t):
     noisy = im.inject_noise(images(t), "vec_id", "data", 64, seed=7, out="noisy")
     changed = F.size(F.filter(F.zip_with("data", "noisy", lambda a, b: a.cast("double") != b), lambda x: x))
