@@ -19,7 +19,9 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in none of the learnt languages: without a letter, or with a code longer than its language's limit.
 
-    The limits come from the code lengths of all labelled documents.
+    The limits come from the code lengths of all labelled documents; texts of less than 200 bytes need a letter only. Null
+    and empty texts go, repeated rows share one fate, very long texts are scored whole, an empty table stays empty. Any
+    column names are kept.
     """
     model = langid.learn(docs)
     found = langid.identify(docs, model)
@@ -30,7 +32,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one of the smallest id; repeated rows count as copies.
 
-    Documents that are alone in their group pass without a shuffle; only the others are joined to the ones that stay.
+    Documents that are alone in their group pass without a shuffle; only the others are joined to the ones that stay. Null,
+    empty and wordless texts are groups of their own. An empty table stays empty; any column names are kept.
     """
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text",
                         F.xxhash64("text").alias("key"))
@@ -50,19 +53,24 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every secret in a text is masked; all documents stay."""
+    """Every secret in a text is masked; all documents stay.
+
+    Null texts stay null, texts without a secret as they are; `n_chars` follows the text. Repeated rows are masked alike,
+    an empty table stays empty, long texts are scanned whole and any column names are kept.
+    """
     found = secrets.scan(docs, secrets.learn(docs), redact=True)
     fresh = {"text": F.col("redacted"), "n_chars": F.length("redacted").cast("long")}
     return found.select(*(fresh.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words."""
+    """Each document as often as the mix takes its words; null, empty and wordless texts go. An empty table stays empty."""
     return mixing.repeated(mixing.mix(docs)).select(*docs.columns)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text."""
+    """Token ids of every whole text beside doc_id, lang and source; null and empty texts have none. An empty table stays
+    empty."""
     vocabulary = bpe.Vocabulary.read(public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
     encoded = bpe.encode(docs, vocabulary, keep=["doc_id", "lang", "source"])
     return encoded.select("row.*", F.size("ids").cast("long").alias("n_tokens"), "ids")
