@@ -7,6 +7,7 @@ import json
 import os
 import re
 from collections.abc import Sequence
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from .bpe import gather, pack, unpack
 
 # Characters whose id pairs are counted together before they go to the shards. A longer text is a block of its own.
 BLOCK_CHARS = 8_000_000
+# Words whose tokens a task keeps from block to block.
+WORDS_KNOWN = 300_000
 # Characters that are encoded and advanced at a time.
 SLICE_CHARS = 500_000
 # A document's bytes are cut into lanes of this length, so that a long document takes no more steps than a short one.
@@ -157,7 +160,7 @@ def _lanes(n_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """The tokens of both sides of each distinct word of a block, one word after the other.
+    """The tokens of both sides of each distinct word that a task has seen, one word after the other.
 
     Texts are cut at single spaces between other characters. Neither side has a token across such a space (`ByteLevel`,
     `Pieces`), so a text's tokens are those of its words, each taken with a space before it.
@@ -166,8 +169,7 @@ class Words:
     def __init__(self, encode_a, encode_b):
         self.encode = encode_a, encode_b
         self.number: dict[str, int] = {}
-        self.flat = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
-        self.size = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        self.sides = [Grown(), Grown()]
 
     def add(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The word numbers of the texts and how many each has; new words are encoded."""
@@ -175,20 +177,41 @@ class Words:
         cut = [CUT.split(t) if t else [] for t in texts]
         n = np.array([len(x) for x in cut], np.int64)
         place = np.fromiter((number.setdefault(w, len(number)) for x in cut for w in x), np.int64, int(n.sum()))
-        fresh = list(number)[known:]
-        for k, encode in enumerate(self.encode):
-            ids = encode(fresh) if fresh else []
-            size = np.array([len(x) for x in ids], np.int64)
-            own = np.fromiter((i for x in ids for i in x), np.int64, int(size.sum()))
-            self.flat[k], self.size[k] = np.concatenate([self.flat[k], own]), np.concatenate([self.size[k], size])
+        fresh = list(islice(number, known, None))
+        for side, encode in zip(self.sides, self.encode, strict=True):
+            side.add(encode(fresh) if fresh else [])
         return place, n
 
 
-def spelled(place: np.ndarray, n_words: np.ndarray, flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class Grown:
+    """Lists of ids, one after the other: `flat`, and the `start` and `size` of each. Room is doubled when it runs out."""
+
+    def __init__(self):
+        self.flat, self.start, self.size = (np.zeros(1024, np.int64) for _ in range(3))
+        self.n, self.end = 0, 0
+
+    def add(self, lists: list[list[int]]) -> None:
+        size = np.fromiter(map(len, lists), np.int64, len(lists))
+        ids = np.fromiter(chain.from_iterable(lists), np.int64, int(size.sum()))
+        self.flat = self._put(self.flat, self.end, ids)
+        self.start = self._put(self.start, self.n, self.end + np.cumsum(size) - size)
+        self.size = self._put(self.size, self.n, size)
+        self.n, self.end = self.n + len(size), self.end + len(ids)
+
+    @staticmethod
+    def _put(room: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
+        if at + len(values) > len(room):
+            room = np.concatenate([room[:at], np.zeros(max(at, len(values)) + len(values), np.int64)])
+        room[at:at + len(values)] = values
+        return room
+
+
+def spelled(place: np.ndarray, n_words: np.ndarray, flat: np.ndarray, start: np.ndarray,
+            size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ids of texts given by word numbers, one after the other, and how many each text has."""
-    ends = np.concatenate([[0], np.cumsum(size[place])])
-    bounds = np.concatenate([[0], np.cumsum(n_words)])
-    return gather(flat, (np.cumsum(size) - size)[place], size[place]), np.diff(ends[bounds])
+    own = size[place]
+    ends = np.concatenate([[0], np.cumsum(own)])
+    return gather(flat, start[place], own), np.diff(ends[np.concatenate([[0], np.cumsum(n_words)])])
 
 
 def _same(ids, sizes, table, text_bytes, text_sizes) -> np.ndarray:
@@ -213,10 +236,10 @@ def aligned_slice(texts: list[str], words: Words, table_a, table_b) -> dict[str,
     place, n_words = words.add(texts)
     ok = n_bytes > 0
     for k, table in enumerate((table_a, table_b)):
-        ok &= _same(*spelled(place, n_words, words.flat[k], words.size[k]), table, spaced, n_bytes)
+        side = words.sides[k]
+        ok &= _same(*spelled(place, n_words, side.flat, side.start, side.size), table, spaced, n_bytes)
     place, n_words, n_bytes = place[np.repeat(ok, n_words)], n_words * ok, n_bytes * ok
-    a, n_a = spelled(place, n_words, words.flat[0], words.size[0])
-    b, n_b = spelled(place, n_words, words.flat[1], words.size[1])
+    (a, n_a), (b, n_b) = (spelled(place, n_words, x.flat, x.start, x.size) for x in words.sides)
     if (table_a[2][a] == 0).any() or (table_b[2][b] == 0).any():
         raise ValueError("a token without bytes has no place in a text")
     in_a, in_b = lockstep(np.cumsum(table_a[2][a]), np.cumsum(table_b[2][b]), *_lanes(n_bytes))
@@ -240,11 +263,12 @@ def _encode_and_link(rows: DataFrame, sent: Shared, shards: int) -> DataFrame:
 
         def whole_block():
             empty = held[0][-1].slice(0, 0)
-            order = np.argsort(-sum(np.bincount(x["place"], minlength=len(words.number)) for x, _ in held), kind="stable")
-            rank = np.empty(len(order), np.int64)
+            uses = sum(np.bincount(x["place"], minlength=len(words.number)) for x, _ in held)
+            order = np.flatnonzero(uses)
+            order = order[np.argsort(-uses[order], kind="stable")]
+            rank = np.zeros(len(uses), np.int64)
             rank[order] = np.arange(len(order))
-            lists = [x for k in (0, 1) for x in (words.size[k][order], gather(
-                words.flat[k], (np.cumsum(words.size[k]) - words.size[k])[order], words.size[k][order]))]
+            lists = [x for side in words.sides for x in (side.size[order], gather(side.flat, side.start[order], side.size[order]))]
             yield record(block % shards, block, 0, [pack(x) for x in lists], empty)
             for seq, (x, row) in enumerate(held, 1):
                 yield record(block % shards, block, seq, [pack(v) for v in (
@@ -271,7 +295,9 @@ def _encode_and_link(rows: DataFrame, sent: Shared, shards: int) -> DataFrame:
                 lo, chars = hi, chars + size
                 if chars >= BLOCK_CHARS:
                     yield from whole_block()
-                    block, chars, held, pairs, words = block + 1, 0, [], [], Words(*encoders)
+                    block, chars, held, pairs = block + 1, 0, [], []
+                    if len(words.number) > WORDS_KNOWN:
+                        words = Words(*encoders)
                     release()
                 elif len(pairs) >= 16:
                     pairs = [_summed(pairs)]
@@ -337,8 +363,8 @@ def _with_counts(answers: list[list[bytes]], carried: list[tuple]) -> list[pa.Re
     out, (size_a, flat_a, size_b, flat_b) = [], (unpack(x).astype(np.int64) for x in carried[0][0])
     for data, row in carried[1:]:
         place, n_words, n_links, group_a, group_b = (unpack(x).astype(np.int64) for x in data)
-        a, n_a = spelled(place, n_words, flat_a, size_a)
-        b, n_b = spelled(place, n_words, flat_b, size_b)
+        a, n_a = spelled(place, n_words, flat_a, np.cumsum(size_a) - size_a, size_a)
+        b, n_b = spelled(place, n_words, flat_b, np.cumsum(size_b) - size_b, size_b)
         cut_a, cut_b = np.cumsum(group_a), np.cumsum(group_b)
         at = np.searchsorted(pair, (a[cut_a - 1] << 32) | b[cut_b - 1])
         out.append(pa.RecordBatch.from_arrays(
