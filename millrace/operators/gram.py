@@ -20,6 +20,7 @@ from .batches import Batch, map_batches
 _FLUSH_CELLS = 16_000_000  # doubles kept per task before partial sums are passed on
 _FAN_IN = 64  # partial records of one key that a task merges
 BLOCK_CELLS = 125_000  # doubles of one record: a megabyte
+_DRIVER_CELLS = 1_000_000  # doubles that the driver receives to add them up itself
 
 
 def tree_merge(partials: DataFrame, by: list, merge: Callable[[pd.DataFrame], pd.DataFrame], tasks: int) -> DataFrame:
@@ -130,12 +131,13 @@ def merged(parts) -> tuple | None:
 
 
 def total_array(rows: DataFrame, fn: Callable[[Iterable[Batch]], Iterator[np.ndarray]],
-                tasks: int | None = None) -> np.ndarray:
+                tasks: int | None = None, width: int | None = None) -> np.ndarray:
     """Element-wise sum of the vectors that `fn` yields from the batches of each task; all have the same length.
 
     A vector travels in records of BLOCK_CELLS, which Spark sums in rounds of _FAN_IN; the driver receives the total,
-    record by record, and nothing per task. Hand in checkpointed rows; `tasks` is their number of partitions, for callers
-    of many passes.
+    record by record, and nothing per task. Only where at most _FAN_IN tasks have vectors of one record, and these together
+    _DRIVER_CELLS, the driver adds them up: a pass is one stage then. Hand in checkpointed rows; `tasks` is their number of partitions and `width`
+    the length of a vector, for callers of many passes.
     """
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("sums", T.ArrayType(T.DoubleType()))])
 
@@ -151,6 +153,15 @@ def total_array(rows: DataFrame, fn: Callable[[Iterable[Batch]], Iterator[np.nda
         return pd.DataFrame({"part": [part["part"].iloc[0]], "sums": [total]})
 
     tasks = rows.rdd.getNumPartitions() if tasks is None else tasks
+    if width and tasks <= _FAN_IN and width <= BLOCK_CELLS and tasks * width <= _DRIVER_CELLS:
+        def whole(batches: Iterable[Batch]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(width)
+            for vector in fn(batches):
+                total += vector
+            yield pd.DataFrame({"part": [0], "sums": [total]})
+
+        found = map_batches(rows, whole, schema).toArrow().column("sums")
+        return sum((v.values.to_numpy() for v in found), np.zeros(width))
     done = tree_merge(map_batches(rows, records, schema), ["part"], merge, tasks).toArrow()
     order = np.argsort(done.column("part").to_numpy())
     parts = done.column("sums")

@@ -4,11 +4,14 @@ The grower covers what the built-in trees lack: an L1 leaf penalty, random thres
 ensembles (penalty x fold, or all trees of a forest) growing in the same pass. One pass per level
 sums gradient histograms per (tree, node, feature, bin) in the tasks; Spark adds them up in blocks, and the driver sees
 only the sums and picks the splits. Of two siblings only the smaller is summed; the other is its parent less the
-smaller. Rows are binned once to a byte per feature and kept in chunks beside the margins of all ensembles.
+smaller. Rows are binned once to a byte per feature and kept in chunks beside the margins of all ensembles. Rows with the
+same bins and fold always share their margins: where the bins of all features have few combinations, such rows become
+one weighted row, and a pass costs the combinations there are, whatever the number of rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -128,20 +131,27 @@ class Ensemble(NamedTuple):
 REFRESH, CHUNK_ROWS = 2, 8192
 # Whether siblings come from their parents' sums where all features are tried at every node.
 SUBTRACT = True
-CHUNK = T.StructType([T.StructField(name, T.BinaryType()) for name in ("b", "y", "fold", "m")])
+# Combinations of bins up to which equal rows are summed up first, and such sums a task holds.
+COMBINATIONS, CELL_ROWS = 4_000_000, 10_000
+CHUNK = T.StructType([T.StructField(name, T.BinaryType()) for name in ("b", "y", "fold", "n", "rest", "m")])
 
 
 class _Chunk:
-    """Rows side by side: bins (rows x features), targets, folds, margins (ensembles x rows)."""
+    """Rows side by side: bins (rows x features), targets, folds, margins (ensembles x rows).
 
-    def __init__(self, b: bytes, y: bytes, fold: bytes, m: bytes):
+    Rows that stand for several have their number in `n`, and in `rest` the squares of their targets about the mean.
+    """
+
+    def __init__(self, b: bytes, y: bytes, fold: bytes, n: bytes, rest: bytes, m: bytes):
         self.y, self.fold = np.frombuffer(y), np.frombuffer(fold, np.int32)
         self.bins = np.frombuffer(b, np.int8).reshape(len(self.y), -1)
+        self.n, self.rest = (np.frombuffer(x) if len(x) else None for x in (n, rest))
         self.m = np.frombuffer(m).reshape(-1, len(self.y))
 
     @staticmethod
-    def record(bins, y, fold, m) -> pa.RecordBatch:
-        parts = [np.ascontiguousarray(x).tobytes() for x in (bins, y, fold, m)]
+    def record(bins, y, fold, n, rest, m) -> pa.RecordBatch:
+        none = np.zeros(0)
+        parts = [np.ascontiguousarray(none if x is None else x).tobytes() for x in (bins, y, fold, n, rest, m)]
         return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], names=CHUNK.names)
 
 
@@ -174,11 +184,49 @@ class _Grower:
                 bins, y, fold = _digitize(b["x"], edges), b["y"].to_numpy(float), b["fold"].to_numpy(np.int32)
                 for lo in range(0, len(b), CHUNK_ROWS):
                     own = slice(lo, lo + CHUNK_ROWS)
-                    yield _Chunk.record(bins[own], y[own], fold[own], np.zeros(0))
+                    yield _Chunk.record(bins[own], y[own], fold[own], None, None, None)
 
         rows = df.select(F.col(vec).cast("array<double>").alias("x"), F.col(y).cast("double").alias("y"),
                          (F.col(fold) if fold else F.lit(-2)).cast("int").alias("fold"))
-        self.rows = cut_lineage(map_batches(stored(rows, "x", "y", "fold"), binned, CHUNK))
+        self.summed = math.prod(len(e) + 1 for e in edges) <= COMBINATIONS
+        self.rows = self._cells(rows) if self.summed else cut_lineage(map_batches(stored(rows, "x", "y", "fold"), binned, CHUNK))
+        self.tasks = self.rows.rdd.getNumPartitions()
+
+    def _cells(self, rows: DataFrame) -> DataFrame:
+        """Chunks of one weighted row per combination of bins and fold, and per target where the loss is not squared.
+
+        A squared loss needs the mean of such rows' targets only, and for its value their squares about it.
+        """
+        edges, base, squared = self.edges, self.base, self.loss == "squared"
+        radix = np.cumprod([1, *(len(e) + 1 for e in edges)])[:-1].astype(np.int64)
+
+        def coded(batches):
+            for b in batches:
+                code = _digitize(b["x"], edges).astype(np.int64) @ radix
+                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(b["fold"].to_numpy(np.int32)),
+                                                  pa.array(b["y"].to_numpy(float))], names=["code", "fold", "y"])
+
+        def chunks(batches):
+            for b in batches:
+                code, n = b["code"].to_numpy(), b["n"].to_numpy(float)
+                bins = np.stack([code // r % (len(e) + 1) for r, e in zip(radix, edges)], axis=1).astype(np.int8)
+                y, rest = b["y"].to_numpy(float), None
+                if squared:
+                    rest = np.maximum(b["s"].to_numpy(float) - y * y / n, 0.0)
+                    y = base + y / n
+                yield _Chunk.record(bins, y, b["fold"].to_numpy(np.int32), n, rest, None)
+
+        codes = map_batches(rows, coded, T.StructType([T.StructField("code", T.LongType()), T.StructField("fold", T.IntegerType()),
+                                                       T.StructField("y", T.DoubleType())]))
+        off = F.col("y") - F.lit(float(base))
+        if squared:
+            cells = codes.groupBy("code", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum(off).alias("y"), F.sum(off * off).alias("s"))
+        else:
+            cells = codes.groupBy("code", "fold", "y").agg(F.count(F.lit(1)).alias("n"))
+        cells = cut_lineage(cells)
+        parts = max(1, min(-(-cells.count() // CELL_ROWS), max(cells.sparkSession.sparkContext.defaultParallelism,
+                                                               cells.rdd.getNumPartitions())))
+        return cut_lineage(map_batches(cells.repartition(parts, "code", "fold"), chunks, CHUNK))
 
     def _margins(self):
         """Function (chunk, ensemble) -> margin before the tree now growing."""
@@ -214,6 +262,8 @@ class _Grower:
                     if not len(use):
                         continue
                     g, h = _gradient(loss, chunk.y, margin(chunk, i) if boosted else chunk.y, n_out)
+                    if chunk.n is not None:
+                        g, h = g * chunk.n[:, None], h * chunk.n
                     at = slot[use]
                     if whole:
                         flat = (places[use] + (at * (m * n_bins))[:, None]).ravel()
@@ -223,11 +273,12 @@ class _Grower:
                     width = total[k].shape[1]
                     for c in range(n_out):
                         total[k][c] += np.bincount(flat, weights=np.repeat(g[use, c], m), minlength=width)
-                    weights = np.repeat(h[use], m) if loss == "logistic" else None  # else every row counts 1
+                    counted = loss != "logistic" and chunk.n is None  # every row counts 1
+                    weights = None if counted else np.repeat(h[use], m)
                     total[k][n_out] += np.bincount(flat, weights=weights, minlength=width)
             yield np.concatenate([t.ravel() for t in total])
 
-        got = total_array(self.rows, sums)
+        got = total_array(self.rows, sums, self.tasks, sum((n_out + 1) * len(o) * m * n_bins for o in slots))
         shared.unpersist()
         out, start = [], 0
         for o in slots:
@@ -238,7 +289,7 @@ class _Grower:
 
     def grow(self) -> None:
         """One more tree for every ensemble."""
-        if len(self.done[0]) - self.folded >= REFRESH:
+        if len(self.done[0]) - self.folded >= (2 * REFRESH if self.summed else REFRESH):
             self.refresh()
         size = 2 ** (self.depth + 1) - 1
         new = [Tree(np.full(size, -1), np.zeros(size, dtype=int), np.zeros((size, self.n_out))) for _ in self.specs]
@@ -335,12 +386,13 @@ class _Grower:
 
         def refreshed(batches):
             for chunk in _chunks(batches):
-                yield _Chunk.record(chunk.bins, chunk.y, chunk.fold, np.stack([margin(chunk, i) for i in range(n)]))
+                yield _Chunk.record(chunk.bins, chunk.y, chunk.fold, chunk.n, chunk.rest, np.stack([margin(chunk, i) for i in range(n)]))
 
         path, former = new_path(spark, "margins"), self.path
         plain = {"compression": "none", "parquet.enable.dictionary": "false"}
         map_batches(self.rows, refreshed, CHUNK).write.options(**plain).parquet(path)
         self.rows, self.path, self.folded = spark.read.schema(CHUNK).parquet(path), path, len(self.done[0])
+        self.tasks = self.rows.rdd.getNumPartitions()
         if former:
             drop_path(spark, former)
 
@@ -361,7 +413,10 @@ class _Grower:
                     if spec.fold >= 0 and mine.any():
                         f = margin(chunk, i)[mine]
                         t = chunk.y[mine]
-                        total[i] += ((((f - t) ** 2) if loss == "squared" else np.logaddexp(0, -(2 * t - 1) * f)).sum(), mine.sum())
+                        n = np.ones(len(t)) if chunk.n is None else chunk.n[mine]
+                        rest = 0.0 if chunk.rest is None else chunk.rest[mine].sum()
+                        each = (f - t) ** 2 if loss == "squared" else np.logaddexp(0, -(2 * t - 1) * f)
+                        total[i] += ((each * n).sum() + rest, n.sum())
             yield total.ravel()
 
         got = total_array(self.rows, sums).reshape(-1, 2)
