@@ -2,36 +2,78 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as ft
 from ..functions.arrays import let
-from ..session import BROADCAST_ROWS, TASK_ROWS, Shared, as_list, cut_lineage
+from ..session import BROADCAST_ROWS, TASK_ROWS, Shared, as_list, cut_lineage, fits
 from .joins import lookup_join
 from .order import with_position
 
 # Bytes of a vocabulary that tasks may hold as an automaton, and distinct pieces whose matches a task remembers.
 AUTOMATON_BYTES, PIECES_KNOWN = 8_000_000, 200_000
+# Words of a vocabulary that are broadcast to a join: about 100 bytes each.
+VOCABULARY_ROWS = 1_000_000
 
 
-def remove_stopwords(df: DataFrame, col: str, words, key=None, out: str | None = None) -> DataFrame:
+def remove_stopwords(df: DataFrame, col: str, words, key=None, out: str | None = None,
+                     max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Drop listed words, keeping order and repeats. `words` is a list, or a frame with `word`.
 
-    A list of any length becomes a projection that looks words up in a hash set. A frame becomes an anti join on
-    the exploded words, which needs `key`, the unique key of a text.
+    A list of any length becomes a projection that looks words up in a hash set. A frame needs `key`, the unique key of
+    a text: one of at most `max_rows` words is sent to the tasks, which look the words of their texts up, and no word is
+    shuffled. A longer one, or a key that several texts share, becomes an anti join on the exploded words.
     """
     out = out or col
     if not isinstance(words, DataFrame):
         return df.withColumn(out, ft.without_words(F.col(col), words))
     if key is None:
         raise ValueError("a frame of stop words needs the key of the text")
-    keys = as_list(key)
-    split = F.split(F.trim(F.regexp_replace(F.col(col), r"\s+", " ")), " ")
-    exploded = df.select(*keys, F.posexplode(split).alias("at", "word"))
-    kept = lookup_join(exploded, words.select("word").distinct(), "word", "left_anti").filter(F.col("word") != "")
+    keys, listed = as_list(key), words.select("word").distinct()
+    if not fits(listed, max_rows):
+        return _without_joined(df, col, listed, keys, out, max_rows)
+    several = cut_lineage(df.select(*keys).dropna().groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").drop("__n"))
+    if fits(several, 0):
+        return _without_sent(df, col, listed, keys, out)
+    if not fits(several, max_rows):
+        return _without_joined(df, col, listed, keys, out, max_rows)
+    alone, shared = (df.join(F.broadcast(several), keys, how) for how in ("left_anti", "left_semi"))
+    joined = _without_joined(shared, col, listed, keys, out, max_rows)
+    return _without_sent(alone, col, listed, keys, out).unionByName(joined)
+
+
+def _without_sent(df: DataFrame, col: str, words: DataFrame, keys: list, out: str) -> DataFrame:
+    """Texts of distinct keys without the words of a short list, which every task holds. A null key has no words."""
+    sent = Shared(df.sparkSession, [r["word"] for r in words.collect() if r["word"] is not None])
+
+    @F.arrow_udf("string")
+    def kept(pieces: pa.Array) -> pa.Array:
+        flat = pieces.flatten()
+        stay = pc.invert(pc.or_(pc.is_in(flat, value_set=pa.array(sent.value, flat.type)), pc.equal(flat, "")))
+        before = np.concatenate([[0], np.cumsum(stay.to_numpy(zero_copy_only=False))])
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(pieces), 0).to_numpy())])
+        lists = pa.ListArray.from_arrays(pa.array(before[ends].astype(np.int32)), flat.filter(stay))
+        return pc.binary_join(lists, " ")
+
+    text = F.col(col)
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    return df.withColumn(out, F.when(text.isNull(), F.lit(None)).when(known, kept(_pieces(text))).otherwise(F.lit("")))
+
+
+def _pieces(text):
+    return F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
+
+
+def _without_joined(df: DataFrame, col: str, words: DataFrame, keys: list, out: str, max_rows: int) -> DataFrame:
+    """Texts without the words of a long list, by an anti join on their exploded words."""
+    exploded = df.select(*keys, F.posexplode(_pieces(F.col(col))).alias("at", "word"))
+    kept = lookup_join(exploded, words, "word", "left_anti", max_rows).filter(F.col("word") != "")
     texts = kept.groupBy(*keys).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda s: s["word"]), " ")
         .alias("__kept"))
@@ -61,12 +103,13 @@ def word_freq(df: DataFrame, col: str, min_count: int = 1) -> DataFrame:
 
 
 def doc_freq(df: DataFrame, vocab: DataFrame, col: str, key=None, mode: str = "token",
-             max_rows: int = BROADCAST_ROWS) -> DataFrame:
+             max_rows: int | None = None) -> DataFrame:
     """(word, n_docs) for the words of `vocab`.
 
-    mode='token' counts texts that hold the word as a token. mode='substring' counts texts that
+    mode='token' counts texts that hold the word as a token; both sides have one row a word, so no word is hot.
+    mode='substring' counts texts that
     hold it anywhere: a word has no space, so it lies inside one space-separated piece of the
-    text. A vocabulary of at most `max_rows` words and AUTOMATON_BYTES is sent to the tasks as an
+    text. A vocabulary of at most AUTOMATON_BYTES (and of `max_rows` words, where given) is sent to the tasks as an
     automaton; they sum texts per word, so that a row per task and word is shuffled. For a larger
     one the distinct pieces are cut into substrings of the lengths the vocabulary has and
     matched with it by an equi join; the matches then join back to the texts. `key` is unique.
@@ -74,15 +117,16 @@ def doc_freq(df: DataFrame, vocab: DataFrame, col: str, key=None, mode: str = "t
     words = vocab.select("word").distinct()
     if mode == "token":
         seen = df.select(F.explode(F.array_distinct(ft.tokens(ft.strip_chars(F.col(col))))).alias("word"))
-        counts = seen.groupBy("word").agg(F.count(F.lit(1)).alias("n_docs"))
-        return lookup_join(counts, words, "word", max_rows=max_rows)
+        return seen.groupBy("word").agg(F.count(F.lit(1)).alias("n_docs")).join(words, "word")
     if mode != "substring":
         raise ValueError("mode is 'token' or 'substring'")
     if key is None:
         raise ValueError("substring mode needs the key of a text")
-    size = words.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(F.octet_length("word"))).first()
-    if size[0] <= max_rows and (size[1] or 0) <= AUTOMATON_BYTES:
+    words = cut_lineage(words)
+    size = words.agg(F.count(F.lit(1)), F.sum(F.octet_length("word"))).first()
+    if (max_rows is None or size[0] <= max_rows) and (size[1] or 0) <= AUTOMATON_BYTES:
         return _automaton_counts(df, col, words)
+    max_rows = BROADCAST_ROWS if max_rows is None else max_rows
     keys = as_list(key)
     # Only lengths that the vocabulary has are cut: a piece of n letters gives at most n substrings per length.
     lengths = sorted(r[0] for r in words.select(F.length("word")).distinct().collect() if r[0])
@@ -141,7 +185,7 @@ def idf(doc_counts: DataFrame, n_docs: int) -> DataFrame:
 
 
 def vocabulary(df: DataFrame, col: str, min_count: int, key=None, mode: str = "token",
-               max_rows: int = BROADCAST_ROWS) -> DataFrame:
+               max_rows: int | None = None) -> DataFrame:
     """(word, n, n_docs, idf) of the words that occur at least `min_count` times.
 
     Words with more documents than occurrences (possible in substring mode) are left out. The
@@ -153,22 +197,26 @@ def vocabulary(df: DataFrame, col: str, min_count: int, key=None, mode: str = "t
     return cut_lineage(idf(joined, df.count()))
 
 
-def tf(df: DataFrame, key, col: str, vocab: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(key.., word, n, total, tf) for the vocabulary words present in a text.
+def tf(df: DataFrame, key, col: str, vocab: DataFrame, max_rows: int = VOCABULARY_ROWS, carry=()) -> DataFrame:
+    """(key.., word, n, total, tf, carry..) for the vocabulary words present in a text.
 
     tf = (n + 1) / (2 total). A word that is absent has tf = 1 / (2 total) for every text, so
-    it is a per-text constant and not stored.
+    it is a per-text constant and not stored. `carry` names columns of the vocabulary to bring along. A vocabulary above
+    `max_rows` is met by a shuffle of the counts; these are stored, so that its look for hot words does not make them again.
     """
-    keys = as_list(key)
+    keys, words = as_list(key), vocab.select("word", *carry)
     counts = words_of(df, keys, col).groupBy(*keys, "word").agg(
         F.count(F.lit(1)).alias("n"), F.first("total").alias("total"))
-    kept = lookup_join(counts, vocab.select("word").distinct(), "word", "left_semi", max_rows=max_rows)
-    return kept.withColumn("tf", (F.col("n") + 1) / (2.0 * F.col("total")))
+    if not fits(words, max_rows):
+        counts = cut_lineage(counts)
+    words = words if carry else words.distinct()
+    kept = lookup_join(counts, words, "word", "inner" if carry else "left_semi", max_rows=max_rows)
+    return kept.select(*keys, "word", "n", "total", ((F.col("n") + 1) / (2.0 * F.col("total"))).alias("tf"), *carry)
 
 
-def tf_idf(tf_rows: DataFrame, vocab: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Adds idf and tf_idf = tf * idf to sparse tf rows."""
-    joined = lookup_join(tf_rows, vocab.select("word", "idf"), "word", max_rows=max_rows)
+def tf_idf(tf_rows: DataFrame, vocab: DataFrame, max_rows: int = VOCABULARY_ROWS) -> DataFrame:
+    """Adds idf and tf_idf = tf * idf to sparse tf rows; rows that carry their idf already are not joined again."""
+    joined = tf_rows if "idf" in tf_rows.columns else lookup_join(tf_rows, vocab.select("word", "idf"), "word", max_rows=max_rows)
     return joined.withColumn("tf_idf", F.col("tf") * F.col("idf"))
 
 

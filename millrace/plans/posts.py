@@ -162,7 +162,7 @@ def _(t):
 def _(t):
     rows = clean(t, passes=2)
     words = vocab(t, rows)
-    return _round(tx.tf_idf(tx.tf(rows, "doc_id", "clean", words), words), "tf_idf", 8).select("doc_id", "word", "tf_idf")
+    return _round(tx.tf_idf(tx.tf(rows, "doc_id", "clean", words, carry=["idf"]), words), "tf_idf", 8).select("doc_id", "word", "tf_idf")
 
 
 def _scores(t: Tables, rows: DataFrame, words: DataFrame) -> DataFrame:

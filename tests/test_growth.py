@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import gram
+from millrace.operators import text as tx
 from millrace.operators import trees as tr
 from millrace.session import cut_lineage
 
@@ -49,3 +50,53 @@ def test_few_vectors_are_summed_in_one_stage(spark, monkeypatch):
     fn = lambda batches: (np.array([b["v"].sum(), len(b)]) for b in batches)
     monkeypatch.setattr(gram, "tree_merge", lambda *a: pytest.fail("merged by a shuffle"))
     assert gram.total_array(rows, fn, width=2).tolist() == [4950, 100]
+
+
+# --- text -----------------------------------------------------------------------------------------------------------
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_stop_words_of_a_frame_shuffle_no_words(spark):
+    """The rows of the anti join, nulls and shared keys included; distinct keys need no exploded words."""
+    texts = [(1, " the cat \t sat the"), (2, None), (3, ""), (None, "the dog"), (4, "the the"), (5, "over\nthe  Moon")]
+    words = spark.createDataFrame([("the",), ("cat",), (None,)], "word string")
+    df = spark.createDataFrame(texts, "id long, t string")
+    got = tx.remove_stopwords(df, "t", words, key="id", out="k")
+    want = {(1, "sat"), (2, None), (3, ""), (None, ""), (4, ""), (5, "over Moon")}
+    assert {(r["id"], r["k"]) for r in got.collect()} == want and "Generate" not in _plan(got)
+    for more in ([(1, "the dog ran")], []):
+        both = spark.createDataFrame(texts + more, "id long, t string")
+        rows = [sorted(map(str, tx.remove_stopwords(both, "t", words, key="id", out="k", max_rows=n).collect())) for n in (10, 0)]
+        assert rows[0] == rows[1]
+
+
+def test_tf_of_a_large_vocabulary_is_counted_once(spark, monkeypatch):
+    """A vocabulary above the limit gives the same rows, and the counts are made once."""
+    df = cut_lineage(spark.createDataFrame([(i, f"a b{i % 3} c{i} a") for i in range(40)], "id long, t string"))
+    vocab = tx.vocabulary(df, "t", 2)
+    calls, cut = [], tx.cut_lineage
+    monkeypatch.setattr(tx, "cut_lineage", lambda d: calls.append(1) or cut(d))
+    rows = [sorted(map(str, tx.tf_idf(tx.tf(df, "id", "t", vocab, n, ["idf"]), vocab).collect())) for n in (1000, 1)]
+    assert rows[0] == rows[1] and len(calls) == 1
+    plain = tx.tf_idf(tx.tf(df, "id", "t", vocab), vocab)
+    assert sorted(map(str, plain.select("id", "word", "n", "total", "tf", "idf", "tf_idf").collect())) == rows[0]
+    assert _plan(tx.tf_idf(tx.tf(df, "id", "t", vocab, carry=["idf"]), vocab)).count("Join") == 1
+
+
+def test_token_document_counts_are_made_once(spark):
+    """Both sides have a row a word: one plain join, with no count of hot words before it."""
+    df = cut_lineage(spark.createDataFrame([(i, f"a b{i % 3}") for i in range(40)], "id long, t string"))
+    found = tx.doc_freq(df, tx.word_freq(df, "t", 2), "t", max_rows=1)
+    assert {r["word"]: r["n_docs"] for r in found.collect()} == {"a": 40, "b": 40}  # digits are stripped
+    assert "__salt" not in _plan(found)
+
+
+def test_substrings_of_a_large_vocabulary_by_automaton(spark, monkeypatch):
+    """More words than are broadcast to a join, in few bytes: the automaton counts them."""
+    monkeypatch.setattr(tx, "BROADCAST_ROWS", 2)
+    df = spark.createDataFrame([(1, "cats"), (2, "a cat"), (3, "sat")], "id long, t string")
+    words = spark.createDataFrame([("cat",), ("a",), ("at",), ("s",)], "word string")
+    monkeypatch.setattr(tx, "lookup_join", lambda *a, **k: pytest.fail("substrings were joined"))
+    assert dict(tx.doc_freq(df, words, "t", "id", "substring").collect()) == {"cat": 2, "a": 3, "at": 3, "s": 2}
