@@ -64,13 +64,36 @@ def _start(x: np.ndarray, k: int, seed: int) -> np.ndarray:
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """Index of the nearest centre of every row; ties to the lowest index."""
-    out, step = np.empty(len(x), np.int64), max(1, 2_000_000 // max(centres.size, 1))
+    """Index of the nearest centre of every row; ties to the lowest index.
+
+    Distances come from one matrix product; rows whose nearest centres are as good as equal in it are compared by differences.
+    """
+    out, step, few = np.empty(len(x), np.int64), max(1, 2_000_000 // max(len(centres), 1)), max(1, 2_000_000 // max(centres.size, 1))
+    square = (centres * centres).sum(1)
     for lo in range(0, len(x), step):
-        out[lo:lo + step] = ((x[lo:lo + step, None, :] - centres[None]) ** 2).sum(2).argmin(1)
+        part = x[lo:lo + step]
+        d = square[None] - 2.0 * part @ centres.T
+        best = d.argmin(1)
+        slack = 1e-11 * ((part * part).sum(1) + square.max())
+        close = np.flatnonzero(~((d <= (d.min(1) + slack)[:, None]).sum(1) == 1))
+        for at in range(0, len(close), few):
+            own = close[at:at + few]
+            best[own] = ((part[own][:, None, :] - centres[None]) ** 2).sum(2).argmin(1)
+        out[lo:lo + step] = best
     return out
 
 
+def _add_members(total: np.ndarray, near: np.ndarray, x: np.ndarray) -> None:
+    """Adds number and sum of the members of every cluster to `total` (clusters x (1 + width))."""
+    total[:, 0] += np.bincount(near, minlength=len(total))
+    if not np.isfinite(x).all():
+        np.add.at(total[:, 1:], near, x)
+        return
+    member = np.zeros((len(total), len(x)))
+    member[near, np.arange(len(x))] = 1.0
+    total[:, 1:] += member @ x
+
+
 def lloyd_grid(df: DataFrame, vec: str, starts: Sequence[np.ndarray], max_iter: int = 500, tol: float = 1e-4) -> list[np.ndarray]:
     """Centres after Lloyd steps from every start; all starts advance in the same passes.
 
@@ -79,6 +102,7 @@ def lloyd_grid(df: DataFrame, vec: str, starts: Sequence[np.ndarray], max_iter:
     """
     centres, todo = [c.copy() for c in starts], list(range(len(starts)))
     rows = df.select(F.col(vec).cast("array<double>").alias("x"))
+    tasks = rows.rdd.getNumPartitions()
     for _ in range(max_iter):
         if not todo:
             break
@@ -90,12 +114,11 @@ def lloyd_grid(df: DataFrame, vec: str, starts: Sequence[np.ndarray], max_iter:
             for b in batches:
                 x = b["x"]
                 for c, t in zip(own, total):
-                    near = _nearest(x, c)
-                    t[:, 0] += np.bincount(near, minlength=len(c))
-                    np.add.at(t[:, 1:], near, x)
+                    _add_members(t, _nearest(x, c), x)
             yield np.concatenate([t.ravel() for t in total])
 
-        got, lo, still = total_array(rows, sums), 0, []
+        width = sum(centres[i].size + len(centres[i]) for i in todo)
+        got, lo, still = total_array(rows, sums, tasks, width), 0, []
         shared.unpersist()
         for i in todo:
             size = centres[i].shape[0] * (centres[i].shape[1] + 1)
@@ -161,8 +184,7 @@ def kmeans_sweep(df: DataFrame, key: str, vec: str, ks: Sequence[int] = tuple(ra
             x, own = b[vec] - np.array(mean), b["__all"]
             square += (x * x).sum()
             for j, t in enumerate(total):
-                t[:, 0] += np.bincount(own[:, j], minlength=len(t))
-                np.add.at(t[:, 1:], own[:, j], x)
+                _add_members(t, own[:, j], x)
         yield np.concatenate([[square], *(t.ravel() for t in total)])
 
     got, lo, scores = total_array(placed, sums), 1, []

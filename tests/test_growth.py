@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.operators import cluster as cl
 from millrace.operators import gram
+from millrace.operators import neighbours as nb
 from millrace.operators import text as tx
 from millrace.operators import trees as tr
 from millrace.session import cut_lineage
@@ -100,3 +102,51 @@ def test_substrings_of_a_large_vocabulary_by_automaton(spark, monkeypatch):
     words = spark.createDataFrame([("cat",), ("a",), ("at",), ("s",)], "word string")
     monkeypatch.setattr(tx, "lookup_join", lambda *a, **k: pytest.fail("substrings were joined"))
     assert dict(tx.doc_freq(df, words, "t", "id", "substring").collect()) == {"cat": 2, "a": 3, "at": 3, "s": 2}
+
+
+# --- clusters and neighbours ----------------------------------------------------------------------------------------
+
+def test_nearest_centres_by_products():
+    """The nearest centre of the differences, ties to the lowest, in a hundredth of their cells."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    x, c = rng.normal(size=(3000, 64)), rng.normal(size=(49, 64))
+    x[:20], c[7], c[30] = c[5], c[5], c[12] + 1e-13
+    x[20:40] = c[12]
+    want = np.concatenate([((x[lo:lo + 100, None, :] - c[None]) ** 2).sum(2).argmin(1) for lo in range(0, 3000, 100)])
+    tracemalloc.start()
+    got = cl._nearest(x, c)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(got, want) and peak < 12_000_000  # before: differences of 16 MB at once
+    total = np.zeros((49, 65))
+    cl._add_members(total, got, x)
+    assert total[:, 0].sum() == 3000 and np.allclose(total[5, 1:], x[got == 5].sum(0))
+    x[3, 2] = np.nan
+    cl._add_members(other := np.zeros((49, 65)), got, x)
+    assert np.isnan(other).sum() == 1
+
+
+def test_lloyd_passes_are_one_stage(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    df = cut_lineage(spark.createDataFrame([([float(v) for v in r],) for r in rng.normal(size=(200, 3))], "x array<double>").repartition(4))
+    monkeypatch.setattr(gram, "tree_merge", lambda *a: pytest.fail("merged by a shuffle"))
+    assert [len(c) for c in cl.kmeans_grid(df, "x", [2, 5], [1, 1])] == [2, 5]
+
+
+@pytest.mark.parametrize("by, barred", [(None, None), ("g", None), (None, "f")])
+def test_visits_of_a_task_are_bounded(spark, monkeypatch, by, barred):
+    """Parts of left rows shrink as the cells they may visit grow; the neighbours stay."""
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(v) for v in rng.normal(size=4)], i % 3, i % 5) for i in range(300)]
+    df = cut_lineage(spark.createDataFrame(rows, "id long, v array<double>, g int, f int"))
+    same = barred or "id"
+    plain = nb.knn_join(df, df, 3, "v", "id", by=by, exclude_same=same).select("id", "neighbour", "rank")
+    monkeypatch.setattr(nb, "VISITS", 500)
+    monkeypatch.setattr(nb, "BOUND_CELLS", 200)
+    seen, visits = [], nb._visits
+    monkeypatch.setattr(nb, "_visits", lambda *a: (seen.append(visits(*a)) or seen[-1]))
+    cut = nb.knn_join(df, df, 3, "v", "id", by=by, exclude_same=same, max_rows=0, block_rows=40).select("id", "neighbour", "rank")
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, plain.collect()))
+    assert "__part" in _plan(seen[0]) and "50000" not in _plan(seen[0])
