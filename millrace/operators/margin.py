@@ -280,7 +280,7 @@ def _sums(spark, rows: DataFrame, todo: list, w: np.ndarray, p: np.ndarray, loss
                 total[own, 1:] += coefficient.T @ x
         yield total.ravel()
 
-    sums = total_array(rows, vectors, tasks).reshape(len(todo), -1)
+    sums = total_array(rows, vectors, tasks, w.size + len(w)).reshape(len(todo), -1)
     shared.unpersist()
     return sums[:, 0], sums[:, 1:]
 
