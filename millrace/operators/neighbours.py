@@ -22,9 +22,11 @@ from .gram import total_array
 from .joins import lookup_join, top_per_key
 
 _TILE = 4_000_000  # cells of one distance tile
-# Bytes of vectors that may be broadcast, and of sampled pivots; left rows that look for their cells in one task; left rows
+# Bytes of vectors that may be broadcast, and of sampled pivots; visits that the left rows of one task may list; left rows
 # that an approximate join tries on all right rows.
-BROADCAST_BYTES, PIVOT_BYTES, VISIT_ROWS, TRIED = 256_000_000, 64_000_000, 50_000, 256
+BROADCAST_BYTES, PIVOT_BYTES, VISITS, TRIED = 256_000_000, 64_000_000, 2_000_000, 256
+# Bounds of distances that a task compares at once.
+BOUND_CELLS = 2_000_000
 
 
 def _keep_copies(right: pd.DataFrame, x: np.ndarray, keep: int, extra: str | None) -> np.ndarray:
@@ -282,16 +284,19 @@ def _cell_knn(left, right, k, vec, key, by, barred, skip_self, carry, schema, ap
 def _visits(left, stats, centres: Shared, need, vec, key, by, barred, approx, probes, block_rows) -> DataFrame:
     """(key, by, cell, sub): the blocks of cells that a left row has to see. Rows of a group meet the list of its cells.
 
-    Left rows of a group are dealt in parts, each of which gets the list once.
+    Left rows of a group are dealt in parts, each of which gets the list once and has VISITS rows to give at most.
     """
     name = [key, by] if by else [key]
+    blocks = F.sum(F.ceil(F.col("n") / block_rows))
     if by:
-        sizes = left.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / VISIT_ROWS).cast("int").alias("__parts"))
+        met = stats.groupBy(F.col(f"__r_{by}").alias(by)).agg(blocks.alias("__blocks"))
+        sizes = left.groupBy(by).agg(F.count(F.lit(1)).alias("__rows")).join(met, by).select(
+            by, F.ceil(F.col("__rows") * F.col("__blocks") / VISITS).cast("int").alias("__parts"))
         rows = lookup_join(left, sizes, by)
         listed = lookup_join(stats.withColumnRenamed(f"__r_{by}", by), sizes, by)
         group = [F.col(by)]
     else:
-        parts = max(1, -(-left.count() // VISIT_ROWS))
+        parts = max(1, -(-left.count() * int(stats.agg(blocks).first()[0] or 0) // VISITS))
         rows, listed, group = left.withColumn("__parts", F.lit(parts)), stats.withColumn("__parts", F.lit(parts)), []
     rows = rows.withColumn("__part", F.pmod(F.xxhash64(key), F.col("__parts")).cast("int")).drop("__parts")
     listed = listed.withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
@@ -310,8 +315,9 @@ def _visits(left, stats, centres: Shared, need, vec, key, by, barred, approx, pr
         near_off = np.concatenate([np.asarray(x, float) for x in cells["near"]])
         between = None if approx else _distances(p, p)
         out = []
-        for lo in range(0, len(lpart), 1024):
-            part = lpart.iloc[lo:lo + 1024]
+        step = max(1, min(1024, BOUND_CELLS // max(len(near_of), 1)))
+        for lo in range(0, len(lpart), step):
+            part = lpart.iloc[lo:lo + step]
             d = _distances(matrix(part[vec]), p)
             to = d[:, pivot]
             allowed = np.ones(to.shape, bool)
@@ -321,8 +327,8 @@ def _visits(left, stats, centres: Shared, need, vec, key, by, barred, approx, pr
             if approx:
                 go = allowed & (np.where(allowed, to, np.inf).argsort(1, kind="stable").argsort(1) < probes)
             else:
-                reach = np.sort(np.where(allowed[:, near_of], to[:, near_of] + near_off[None], np.inf), axis=1)
-                theta = reach[:, need - 1] if reach.shape[1] >= need else np.full(len(part), np.inf)
+                reach = np.where(allowed[:, near_of], to[:, near_of] + near_off[None], np.inf)
+                theta = np.partition(reach, need - 1, axis=1)[:, need - 1] if reach.shape[1] >= need else np.full(len(part), np.inf)
                 slack = 1e-9 * (1 + d.max(1))
                 gap = between[d.argmin(1)][:, pivot]
                 plane = np.divide(to ** 2 - d.min(1)[:, None] ** 2, 2 * gap, out=np.zeros_like(to), where=gap > 0)
