@@ -180,8 +180,11 @@ def complement(df: DataFrame, fold: str, held: int) -> DataFrame:
 def hash_split(df: DataFrame, key: str, test_share: float, seed: int | Column, name: str = "is_test") -> DataFrame:
     """Seeded split by the hash of a key: the same rows whatever the partitioning."""
     digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), (F.lit(seed) if isinstance(seed, int) else seed).cast("string")))
-    draw = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
-    return df.withColumn(name, (draw < int(test_share * 16 ** 8)).cast("int"))
+    bound = int(test_share * 16 ** 8)
+    if not 0 < bound < 16 ** 8:
+        return df.withColumn(name, F.lit(int(bound > 0)))
+    # eight lower-case hex digits are ordered as their number
+    return df.withColumn(name, (F.substring(digest, 1, 8) < F.lit(f"{bound:08x}")).cast("int"))
 
 
 def extend_history(train: DataFrame, test: DataFrame, lookback: int, order_by, partition_by=None) -> DataFrame:
