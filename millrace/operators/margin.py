@@ -67,8 +67,8 @@ def _design(x: np.ndarray, features: Features | None) -> np.ndarray:
 
 # The sample that shapes the search directions: rows as a multiple of the number of features, and doubles at most.
 SHAPE_ROWS, SHAPE_CELLS = 4, 2_000_000
-# Doubles of the state of problems that advance together.
-STATE_CELLS = 4_000_000
+# Doubles of the state of problems that advance together, and scores (rows x problems) that a task holds at once.
+STATE_CELLS, SCORE_CELLS = 4_000_000, 500_000
 # Conjugate-gradient steps of one Newton step, and step halvings.
 CG_STEPS, HALVINGS = 60, 40
 
@@ -262,22 +262,25 @@ def _sums(spark, rows: DataFrame, todo: list, w: np.ndarray, p: np.ndarray, loss
         folds = np.array([q.fold for q in todo])
         point = np.isnan(p[:, 0])
         for b in batches:
-            raw, labels, fold_of = b["x"], b["y"].to_numpy(), b["fold"].to_numpy()
+            every = b["x"], b["y"].to_numpy(), b["fold"].to_numpy()
             for k, own in by_map.items():
-                x = _design(raw, maps[k])
-                if todo[own[0]].target is None:
-                    t = labels.astype(float)[:, None]
-                else:
-                    t = np.where(labels[:, None] == np.array([todo[i].target for i in own])[None], 1.0, -1.0)
-                use = fold_of[:, None] != folds[own][None]
-                value, slope, bend = _pointwise(loss, x @ w[own].T, t, eps)
-                at = point[own]
-                turn = np.zeros_like(slope)
-                if not at.all():
-                    turn[:, ~at] = x @ p[np.array(own)[~at]].T
-                coefficient = np.where(at[None], slope, bend * turn) * use
-                total[own, 0] += (value * use).sum(0)
-                total[own, 1:] += coefficient.T @ x
+                step = max(1, SCORE_CELLS // len(own))
+                for lo in range(0, len(b), step):
+                    raw, labels, fold_of = (column[lo:lo + step] for column in every)
+                    x = _design(raw, maps[k])
+                    if todo[own[0]].target is None:
+                        t = labels.astype(float)[:, None]
+                    else:
+                        t = np.where(labels[:, None] == np.array([todo[i].target for i in own])[None], 1.0, -1.0)
+                    use = fold_of[:, None] != folds[own][None]
+                    value, slope, bend = _pointwise(loss, x @ w[own].T, t, eps)
+                    at = point[own]
+                    turn = np.zeros_like(slope)
+                    if not at.all():
+                        turn[:, ~at] = x @ p[np.array(own)[~at]].T
+                    coefficient = np.where(at[None], slope, bend * turn) * use
+                    total[own, 0] += (value * use).sum(0)
+                    total[own, 1:] += coefficient.T @ x
         yield total.ravel()
 
     sums = total_array(rows, vectors, tasks, w.size + len(w)).reshape(len(todo), -1)

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from millrace.operators import cluster as cl
 from millrace.operators import gram
+from millrace.operators import margin as mg
 from millrace.operators import neighbours as nb
+from millrace.operators import order as od
 from millrace.operators import text as tx
 from millrace.operators import trees as tr
 from millrace.session import cut_lineage
@@ -150,3 +152,26 @@ def test_visits_of_a_task_are_bounded(spark, monkeypatch, by, barred):
     cut = nb.knn_join(df, df, 3, "v", "id", by=by, exclude_same=same, max_rows=0, block_rows=40).select("id", "neighbour", "rank")
     assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, plain.collect()))
     assert "__part" in _plan(seen[0]) and "50000" not in _plan(seen[0])
+
+
+def test_margin_passes_hold_few_scores(spark, monkeypatch):
+    """Batches are cut so that rows times problems stay bounded; the fits are the same."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 4))
+    rows = [([float(v) for v in r], int(r[0] > 0) + int(r[1] > 0.5), i % 3) for i, r in enumerate(x)]
+    df = cut_lineage(spark.createDataFrame(rows, "x array<double>, y int, fold int").repartition(2))
+    problems = [mg.Problem(c, f, k) for c in (0.5, 2.0) for f in (-1, 1) for k in range(3)]
+    want = mg.fit_grid(df, "x", "y", problems, "squared_hinge", "l2", "fold")
+    monkeypatch.setattr(mg, "SCORE_CELLS", 100)
+    got = mg.fit_grid(df, "x", "y", problems, "squared_hinge", "l2", "fold")
+    assert all(np.allclose(got[p], want[p], atol=1e-6) for p in problems)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.3, 0.5, 0.999, 1.0])
+def test_splits_compare_hex_digits(spark, share):
+    """The rows of the number that the digits spell, without spelling it out."""
+    df = spark.range(2000)
+    digits = F.substring(F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit("7"))), 1, 8)
+    split = od.hash_split(df, "id", share, 7)
+    assert "conv(" not in _plan(split)
+    assert split.filter((F.conv(digits, 16, 10).cast("long") < int(share * 16 ** 8)).cast("int") != F.col("is_test")).isEmpty()
