@@ -114,7 +114,7 @@ def row_correlation(df: DataFrame, key: str, vec: str, ids: list) -> DataFrame:
         raise ValueError("ids must name distinct rows")
     picked = chosen.collect()
     dots = F.array(*[
-        F.struct(F.lit(p[key]).alias("id2"), F.aggregate(
+        F.struct(F.lit(p[key]).cast(df.schema[key].dataType).alias("id2"), F.aggregate(
             F.zip_with("__u", F.array(*[F.lit(float(x)) for x in p["__u"]]), lambda a, b: a * b),
             F.lit(0.0), lambda s, x: s + x).alias("r"))
         for p in picked if p["__u"] is not None])
