@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,15 +20,27 @@ CLASSES = {
     "symbol": r"[^#*$%&|<>]+",
     "wide": r"[\x00-\x7F]+",
 }
+# All but the upper-case letters, digits, marks and symbols. Spelt letter by letter: the regex engine looks single
+# characters up in a bit set, and ranges one after another.
+PLAIN = "[^" + string.ascii_uppercase + string.digits + r".,;:!?'\"()\-#*$%&|<>]+"
+RARE = ("upper", "digit", "mark", "symbol")
 RUN = 8  # words in a repeated window
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 # Languages whose references may be broadcast: each is one row of two short histograms.
 BROADCAST_LANGUAGES = 10_000
+SLOTS = 256  # of the table that finds a word among the common ones
 
 
-def char_classes(text: Column) -> list[Column]:
-    """Code points per class, in the order of CLASSES."""
-    return [F.length(F.regexp_replace(text, pattern, "")) for pattern in CLASSES.values()]
+def rare_chars(text: Column) -> Column:
+    return F.regexp_replace(text, PLAIN, "")
+
+
+def char_classes(text: Column, rare: Column) -> list[Column]:
+    """Code points per class, in the order of CLASSES.
+
+    `rare` is a column with the `rare_chars` of `text`: a small part of it, in which the rare classes are counted.
+    """
+    return [F.length(F.regexp_replace(rare if name in RARE else text, pattern, "")) for name, pattern in CLASSES.items()]
 
 
 def repeated_words(words: Column) -> Column:
@@ -46,7 +59,7 @@ def repeated_words(words: Column) -> Column:
         return F.array_sort(F.transform(twice, lambda x: x["i"]))
 
     def count(windows: Column) -> Column:
-        ranked = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        ranked = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(
             let(let(ranked, places), covered))
 
@@ -88,13 +101,13 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     Class histograms are averaged over documents, so one long document does not set the reference.
     """
     named = docs.select(F.col(lang_col).alias("lang"), text_or_empty(text_col).alias("text"))
-    counted = named.filter(F.length("text") >= min_chars).select(
+    counted = named.filter(F.length("text") >= min_chars).withColumn("rare", rare_chars(F.col("text"))).select(
         "lang", F.length("text").alias("chars"),
-        *(c.alias(n) for n, c in zip(CLASSES, char_classes(F.col("text")), strict=True)))
+        *(c.alias(n) for n, c in zip(CLASSES, char_classes(F.col("text"), F.col("rare")), strict=True)))
     classes = (counted.select("lang", class_histogram([F.col(n) for n in CLASSES], F.col("chars")).alias("h"))
                .groupBy("lang").agg(F.array(*(F.avg(F.col("h")[i]) for i in range(len(CLASSES) + 1))).alias("classes")))
-    counts = (named.select("lang", F.explode(F.split("text", GAP)).alias("word")).filter("word != ''")
-              .select("lang", F.lower("word").alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")))
+    counts = (named.select("lang", F.explode(F.split(F.lower("text"), GAP)).alias("word"))
+              .filter("word != ''").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     listed = (counts.withColumn("place", place).filter(F.col("place") <= top).groupBy("lang")
@@ -108,6 +121,35 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
         "w.lang", "classes", "common", "shares")
 
 
+def slot(word: Column) -> Column:
+    return F.xxhash64(word).bitwiseAND(SLOTS - 1).cast("int")
+
+
+def common_slots(common: Column) -> Column:
+    """Per slot the place (from 1) of the last common word whose hash falls there, 0 without one."""
+    def place(slots: Column, k: Column) -> Column:
+        return F.array_position(slots, k).cast("int")
+
+    slots = F.reverse(F.transform(common, slot))
+    size = F.size(common)
+    return let(slots, lambda s: F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda k: F.when(
+        place(s, k) > 0, size + 1 - place(s, k)).otherwise(0)))
+
+
+def common_places(words: Column, common: Column, slots: Column) -> Column:
+    """The words that are common, each as the letter of its place among the common words: one string to count in.
+
+    Only a word that shares its slot with another common word is sought in the whole list.
+    """
+    def letter(word: Column, k: Column) -> Column:
+        sought = F.array_position(common, word)
+        return F.when(k > 0, F.chr(F.lit(64) + F.when(F.get(common, k - 1) == word, k.cast("long"))
+                                   .otherwise(F.when(sought > 0, sought))))
+
+    return let(F.transform(words, lambda w: F.lower(w)), lambda low: F.array_join(
+        F.zip_with(low, F.transform(low, lambda w: F.get(slots, slot(w))), letter), ""))
+
+
 def judge(docs: DataFrame, refs: DataFrame, keep: Sequence[str] | None = None, text_col: str = "text",
           lang_col: str = "lang", min_chars: int = 400, min_words: int = 100, max_class_divergence: float = 0.10,
           max_word_divergence: float = 0.25) -> DataFrame:
@@ -122,21 +164,18 @@ def judge(docs: DataFrame, refs: DataFrame, keep: Sequence[str] | None = None, t
     row = F.struct(*(F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)))
     rows = docs.select(row.alias("row"), F.col(lang_col).alias("__lang"), text_or_empty(text_col).alias("text"))
     small = refs.count() <= BROADCAST_LANGUAGES
-    refs = refs.withColumnRenamed("lang", "__ref")
+    refs = refs.withColumnRenamed("lang", "__ref").withColumn("slots", common_slots(F.col("common")))
     known = rows.join(F.broadcast(refs) if small else refs, F.col("__lang").eqNullSafe(F.col("__ref")), "left")
 
     def of_words(words: Column) -> Column:
-        # Each word as the letter of its place among the common words: one short string to count in.
-        known = F.transform(words, lambda w: F.chr(F.lit(64) + F.array_position(F.col("common"), F.lower(w))))
         return F.struct(F.size(words).cast("long").alias("n_words"), repeated_words(words).alias("n_repeat_words"),
-                        F.array_join(known, "").alias("places"))
+                        common_places(words, F.col("common"), F.col("slots")).alias("places"))
 
     text = F.col("text")
-    counted = known.select(
+    counted = known.withColumn("rare", rare_chars(text)).select(
         "row", "classes", "common", "shares", F.length("text").alias("chars"), let(words_of(text), of_words).alias("w"),
         duplicate_lines(text).alias("n_dup_lines"),
-        *(c.alias(n) for n, c in zip(CLASSES, char_classes(text), strict=True)))
-    # A word beyond the common ones is "@", the sign before "A".
+        *(c.alias(n) for n, c in zip(CLASSES, char_classes(text, F.col("rare")), strict=True)))
     hits = F.transform(F.sequence(F.lit(1), F.size("common")), lambda k: F.length("places") - F.length(
         F.replace(F.col("places"), F.chr(F.lit(64) + k.cast("long")), F.lit(""))))
     shared = counted.select(

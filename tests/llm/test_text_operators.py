@@ -5,6 +5,7 @@ import collections
 import hashlib
 import math
 import os
+import string
 import textwrap
 import zlib
 
@@ -213,6 +214,27 @@ def test_quality_counts(spark, nasty, empty, sf_dir):
     assert quality.quality(empty).count() == 0
 
 
+def test_common_words_that_share_a_slot(spark):
+    # More common words than slots: many share one, and those that lost it are sought in the whole list.
+    common = [f"w{k}" for k in range(300)]
+    words = ["W7", "w299", "other", "w0", "w0", "W150", "w300"]
+    df = spark.createDataFrame([(words, common), (words, []), ([], common)], "words array<string>, common array<string>")
+    slots = quality.common_slots(F.col("common"))
+    rows = df.withColumn("slots", slots).select(
+        "slots", quality.common_places(F.col("words"), F.col("common"), F.col("slots")).alias("p")).collect()
+    places = [common.index(w.lower()) + 1 for w in words if w.lower() in common]
+    assert len(rows[0].slots) == quality.SLOTS and max(rows[0].slots) == 300 and set(rows[1].slots) == {0}
+    assert [r.p for r in rows] == ["".join(chr((64 + k) % 256) for k in places), "", ""]
+
+
+def test_char_classes(spark, nasty):
+    df = nasty.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("rare", quality.rare_chars(F.col("text")))
+    rows = df.select("text", *quality.char_classes(F.col("text"), F.col("rare"))).collect()
+    kinds = ["\x20\t\n\x0b\x0c\r", string.ascii_uppercase, string.digits, ".,;:!?'\"()-", "#*$%&|<>"]
+    for r in rows:
+        assert list(r)[1:] == [sum(c in kind for c in r.text) for kind in kinds] + [sum(c > "\x7f" for c in r.text)]
+
+
 def test_divergence_and_verdict(spark):
     prose = [(k, PROSE * 6, "en") for k in range(5)]
     junk = [(10, "### $$$ &&& %%% " * 60, "en"), (11, "gulls " * 400, "en"), (12, PROSE * 6, None)]
