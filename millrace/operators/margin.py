@@ -2,7 +2,8 @@
 
 All (feature map, penalty, fold, class) problems of a grid advance together by Newton's method with conjugate gradients.
 Every problem asks for one vector a pass: its gradient at a trial point, or the product of its Hessian with a
-direction. Tasks return these vectors, d numbers a problem, and never a d x d matrix.
+direction. Tasks return these vectors, d numbers a problem. Only a problem with the L1 penalty whose conjugate gradients
+run out of steps or lead nowhere lower asks for its d x d Hessian as well, as far as MATRIX_CELLS go.
 """
 
 from __future__ import annotations
@@ -69,8 +70,10 @@ def _design(x: np.ndarray, features: Features | None) -> np.ndarray:
 SHAPE_ROWS, SHAPE_CELLS = 4, 2_000_000
 # Doubles of the state of problems that advance together, and scores (rows x problems) that a task holds at once.
 STATE_CELLS, SCORE_CELLS = 4_000_000, 500_000
-# Conjugate-gradient steps of one Newton step, and step halvings.
-CG_STEPS, HALVINGS = 60, 40
+# Conjugate-gradient steps of one Newton step, step halvings, and halvings that show a problem to be hard.
+CG_STEPS, HALVINGS, HARD_HALVINGS = 60, 40, 3
+# Doubles of the Hessians that a task returns in one pass.
+MATRIX_CELLS = 2_000_000
 
 
 class _Shape:
@@ -91,12 +94,54 @@ def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", a, b)
 
 
+def _least(a: np.ndarray, b: np.ndarray, weigh: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The v of least v a v / 2 + b v + weigh |v|, searched over signs from those of the given v (Lee et al., 2007).
+
+    Coordinates of fixed signs are solved at once; where signs turn on the way, the lowest of the turning points is taken.
+    Then the zero coordinate of the steepest slope joins. Every round lowers the value.
+    """
+    def value(x):
+        return 0.5 * ((x @ a) * x).sum(-1) + x @ b + np.abs(x) @ weigh
+
+    best, bound, joined = value(v), weigh + 1e-10 * (weigh + np.abs(b)), False
+    active, side = (v != 0) | (weigh == 0), np.sign(v) * (weigh > 0)
+    for _ in range(20 * len(v)):
+        own, goal = np.flatnonzero(active), np.zeros(len(v))
+        goal[own] = np.linalg.solve(a[np.ix_(own, own)], -(b + side * weigh)[own])
+        turns = own[goal[own] * side[own] < 0]
+        if len(turns):
+            at = v[turns] / (v[turns] - goal[turns])
+            shares = np.unique(at)
+            points = v + shares[:, None] * (goal - v)
+            points[np.searchsorted(shares, at), turns] = 0.0
+            points = np.vstack([points, goal])
+            goal = points[value(points).argmin()]
+        now = value(goal)
+        fell = now < best
+        if fell:
+            v, best = goal, now
+            active, side = (v != 0) | (weigh == 0), np.sign(v) * (weigh > 0)
+            if len(turns):
+                continue
+        elif joined:
+            break
+        slope = a @ v + b
+        over = np.where(active, 0.0, np.abs(slope) - bound)
+        i = int(over.argmax())
+        if over[i] <= 0:
+            break
+        active[i], side[i], joined = True, -np.sign(slope[i]), True
+    return v
+
+
 class _Newton:
     """State of problems that advance together: one row each.
 
     A problem is in mode "point" (it asks for loss and gradient at `trial`) or "product" (for the Hessian at `w` times
     `p`). With the L1 penalty the steps stay in the orthant of the pseudo-gradient (Byrd et al. 2012): coordinates that
-    are zero and stay zero are left out, and those that would change sign are set to zero.
+    are zero and stay zero are left out, and those that would change sign are set to zero. A problem with this penalty
+    that spent CG_STEPS without reaching its goal, or halved a step HARD_HALVINGS times, is `hard`: its points come with the
+    Hessian, and its step goes to the minimum of the penalised quadratic form (Lee et al. 2012).
     """
 
     def __init__(self, problems: list, d: int, penalty: str, free: np.ndarray, curve: float, shapes: dict, tol: float):
@@ -116,17 +161,22 @@ class _Newton:
         self.active = np.ones((n, d), bool)
         self.point = np.ones(n, bool)
         self.open, self.converged = np.ones(n, bool), np.zeros(n, bool)
+        self.hard, self.exact, self.promise = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n)
 
     def asked(self) -> tuple[np.ndarray, np.ndarray]:
         """Points and directions of all problems; a direction of nan asks for loss and gradient."""
         return (np.where(self.point[:, None], self.trial, self.w)[self.open],
                 np.where(self.point[:, None], np.nan, self.p)[self.open])
 
-    def told(self, loss: np.ndarray, vector: np.ndarray) -> None:
+    def square(self) -> np.ndarray:
+        """Which of the open problems want the Hessian at their point."""
+        return (self.hard & self.point)[self.open]
+
+    def told(self, loss: np.ndarray, vector: np.ndarray, matrices: np.ndarray) -> None:
         """Takes the sums of the open problems, in order."""
         at = np.flatnonzero(self.open)
         point = self.point[at]
-        self._points(at[point], loss[point], vector[point])
+        self._points(at[point], loss[point], vector[point], dict(zip(at[self.square()], matrices)))
         self._products(at[~point], vector[~point])
 
     def _condition(self, i: np.ndarray, r: np.ndarray) -> np.ndarray:
@@ -139,7 +189,7 @@ class _Newton:
                 out[own] = self.shapes[key].solve(r[own], self.k[i[own]])
         return np.where(self.active[i], out, 0.0)
 
-    def _points(self, i: np.ndarray, loss: np.ndarray, vector: np.ndarray) -> None:
+    def _points(self, i: np.ndarray, loss: np.ndarray, vector: np.ndarray, matrices: dict) -> None:
         if not len(i):
             return
         w = self.trial[i]
@@ -149,12 +199,13 @@ class _Newton:
         known = np.isfinite(self.value[i])
         slack = 1e-12 * np.abs(np.where(known, self.value[i], 0.0))
         # The pseudo-gradient was kept in g: enough descent is a share of what it promises.
-        good = ~known | (value <= self.value[i] + 1e-4 * _dots(self.g[i], moved) + slack)
+        fall = np.where(self.exact[i], self.alpha[i] * self.promise[i], _dots(self.g[i], moved))
+        good = ~known | (value <= self.value[i] + 1e-4 * fall + slack)
         self._halve(i[~good])
         i, w, value, vector = i[good], w[good], value[good], vector[good]
         if not len(i):
             return
-        stuck = np.isfinite(self.value[i]) & (self.value[i] - value <= 1e-14 * np.abs(value))
+        stuck = np.isfinite(self.value[i]) & (self.value[i] - value <= 1e-14 * np.abs(value)) & (self.alpha[i] > 0)
         g = self.c[i][:, None] * vector
         if self.l1:
             side = np.where(w != 0, np.sign(w), np.where(g < -1, 1.0, np.where(g > 1, -1.0, 0.0))) * self.weigh
@@ -167,12 +218,28 @@ class _Newton:
         self.first[i] = np.where(np.isnan(self.first[i]), norm, self.first[i])
         ended = (norm <= self.tol * np.maximum(self.first[i], 1e-300)) | (norm == 0) | stuck
         self.converged[i[ended]], self.open[i[ended]] = True, False
+        direct = ~ended & self.hard[i]
+        for j, slope in zip(i[direct], vector[direct]):
+            self._solve(j, self.c[j] * slope, self.c[j] * matrices[j])
+        ended |= direct
         i, g, norm = i[~ended], g[~ended], norm[~ended]
         self.step[i], self.r[i] = 0.0, -np.where(self.active[i], g, 0.0)
         self.z[i] = self._condition(i, self.r[i])
         self.p[i], self.rz[i] = self.z[i], _dots(self.r[i], self.z[i])
         self.goal[i] = norm * np.minimum(0.1, norm / self.first[i])
-        self.inner[i], self.halved[i], self.point[i] = 0, 0, False
+        self.inner[i], self.halved[i], self.point[i], self.exact[i] = 0, 0, False, False
+
+    def _solve(self, i: int, slope: np.ndarray, a: np.ndarray) -> None:
+        """Aims problem `i` at the least value of its penalised quadratic form at w."""
+        w, at = self.w[i], np.arange(len(a))
+        a[at, at] += 1e-12 * (a[at, at] + max(a[at, at].max(), 1.0))
+        v = _least(a, slope - a @ w, self.weigh, w)
+        self.step[i], self.promise[i] = v - w, slope @ (v - w) + (np.abs(v) - np.abs(w)) @ self.weigh
+        self.alpha[i], self.halved[i], self.exact[i] = 1.0, 0, True
+        if self.promise[i] < 0:
+            self._aim(np.array([i]))
+        else:
+            self.converged[i], self.open[i] = True, False
 
     def _products(self, i: np.ndarray, vector: np.ndarray) -> None:
         if not len(i):
@@ -184,7 +251,9 @@ class _Newton:
         self.step[i] += alpha[:, None] * p
         self.r[i] -= alpha[:, None] * product
         self.inner[i] += 1
-        ready = (np.sqrt(_dots(self.r[i], self.r[i])) <= self.goal[i]) | (self.inner[i] >= CG_STEPS)
+        near = np.sqrt(_dots(self.r[i], self.r[i])) <= self.goal[i]
+        ready = near | (self.inner[i] >= CG_STEPS)
+        self._harden(i[ready & ~near])
         more = i[~ready]
         self.z[more] = self._condition(more, self.r[more])
         rz = _dots(self.r[more], self.z[more])
@@ -197,12 +266,21 @@ class _Newton:
         trial = self.w[i] + self.alpha[i][:, None] * self.step[i]
         if self.l1:
             side = np.where(self.w[i] != 0, np.sign(self.w[i]), -np.sign(self.g[i]))
-            trial = np.where((np.sign(trial) != side) & (self.weigh > 0), 0.0, trial)
+            trial = np.where((np.sign(trial) != side) & (self.weigh > 0) & ~self.exact[i][:, None], 0.0, trial)
         self.trial[i], self.point[i] = trial, True
 
+    def _harden(self, i: np.ndarray) -> np.ndarray:
+        """Marks problems as hard while there is room for their Hessians; returns those it marked."""
+        room = MATRIX_CELLS // self.w.shape[1] ** 2 - int((self.hard & self.open).sum()) if self.l1 else 0
+        i = i[~self.hard[i]][:max(room, 0)]
+        self.hard[i] = True
+        return i
+
     def _halve(self, i: np.ndarray) -> None:
         self.alpha[i] *= 0.5
         self.halved[i] += 1
+        # Such a problem is asked for its Hessian where it stands.
+        self.alpha[self._harden(i[self.halved[i] >= HARD_HALVINGS])] = 0.0
         ended = i[self.halved[i] > HALVINGS]  # no point beside this one is lower in the numbers' precision
         self.converged[ended], self.open[ended] = True, False
         self._aim(i[self.halved[i] <= HALVINGS])
@@ -239,8 +317,8 @@ def fit_grid(df: DataFrame, vec: str, y: str, problems: Sequence[Problem], loss:
         for _ in range(max_passes):
             if not state.open.any():
                 break
-            state.told(*_sums(spark, rows, [state.problems[i] for i in np.flatnonzero(state.open)], *state.asked(), loss,
-                              eps, maps, tasks))
+            state.told(*_sums(spark, rows, [state.problems[i] for i in np.flatnonzero(state.open)], *state.asked(),
+                              state.square(), loss, eps, maps, tasks))
         late += int((~state.converged).sum())
         done.update(zip(state.problems, state.w, strict=True))
     if late:
@@ -248,17 +326,18 @@ def fit_grid(df: DataFrame, vec: str, y: str, problems: Sequence[Problem], loss:
     return done
 
 
-def _sums(spark, rows: DataFrame, todo: list, w: np.ndarray, p: np.ndarray, loss: str, eps: float, maps,
+def _sums(spark, rows: DataFrame, todo: list, w: np.ndarray, p: np.ndarray, square: np.ndarray, loss: str, eps: float, maps,
           tasks: int):
-    """Loss and gradient, or Hessian product, of every problem in one pass."""
+    """Loss and gradient, or Hessian product, of every problem in one pass; also the Hessians of those marked in `square`."""
     by_map: dict[int, list[int]] = {}
     for i, q in enumerate(todo):
         by_map.setdefault(q.map, []).append(i)
-    shared = Shared(spark, (todo, by_map, w, p, [maps[k] if k in by_map else None for k in range(len(maps))]))
+    place = np.cumsum(square) - 1
+    shared = Shared(spark, (todo, by_map, w, p, square, place, [maps[k] if k in by_map else None for k in range(len(maps))]))
 
     def vectors(batches):
-        todo, by_map, w, p, maps = shared.value
-        total = np.zeros((len(todo), 1 + w.shape[1]))
+        todo, by_map, w, p, square, place, maps = shared.value
+        total, matrices = np.zeros((len(todo), 1 + w.shape[1])), np.zeros((int(square.sum()), w.shape[1], w.shape[1]))
         folds = np.array([q.fold for q in todo])
         point = np.isnan(p[:, 0])
         for b in batches:
@@ -281,11 +360,17 @@ def _sums(spark, rows: DataFrame, todo: list, w: np.ndarray, p: np.ndarray, loss
                     coefficient = np.where(at[None], slope, bend * turn) * use
                     total[own, 0] += (value * use).sum(0)
                     total[own, 1:] += coefficient.T @ x
-        yield total.ravel()
-
-    sums = total_array(rows, vectors, tasks, w.size + len(w)).reshape(len(todo), -1)
+                    for j in np.flatnonzero(square[own]):
+                        weight = bend[:, j] * use[:, j]
+                        seen = np.flatnonzero(weight)
+                        matrices[place[own[j]]] += (x[seen] * weight[seen, None]).T @ x[seen]
+        yield np.concatenate([total.ravel(), matrices.ravel()])
+
+    size, d = w.size + len(w), w.shape[1]
+    got = total_array(rows, vectors, tasks, size + int(square.sum()) * d * d)
     shared.unpersist()
-    return sums[:, 0], sums[:, 1:]
+    sums = got[:size].reshape(len(todo), -1)
+    return sums[:, 0], sums[:, 1:], got[size:].reshape(-1, d, d)
 
 
 class MarginFit(NamedTuple):

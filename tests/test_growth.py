@@ -175,3 +175,33 @@ def test_splits_compare_hex_digits(spark, share):
     split = od.hash_split(df, "id", share, 7)
     assert "conv(" not in _plan(split)
     assert split.filter((F.conv(digits, 16, 10).cast("long") < int(share * 16 ** 8)).cast("int") != F.col("is_test")).isEmpty()
+
+
+# --- margin fits ----------------------------------------------------------------------------------------------------
+
+def test_l1_fits_of_like_columns_end(spark, monkeypatch):
+    """Forty columns that are nearly multiples of one: before, 1000 passes did not end; now a few Hessians do."""
+    rng = np.random.default_rng(0)
+    x = 1 / rng.integers(1, 400, (600, 1)) * (1 + rng.poisson(0.05, (600, 40))) * (4.76 + 0.001 * rng.integers(0, 3, 40))
+    y = (rng.random(600) < 0.55).astype(int)
+    df = cut_lineage(spark.createDataFrame([([float(v) for v in a], int(b)) for a, b in zip(x, y)], "x array<double>, y int"))
+    passes, sums = [], mg._sums
+    monkeypatch.setattr(mg, "_sums", lambda *a: passes.append(1) or sums(*a))
+    w = mg.linear_svm_l1(df, "x", "y", 1.0).fit.weights[0]
+    assert len(passes) < 60
+    full, t = np.hstack([x, np.ones((600, 1))]), np.where(y == 1, 1.0, -1.0)
+    slope = (-2 * t * np.maximum(1 - t * (full @ w), 0)) @ full
+    assert np.allclose(slope[w != 0], -np.sign(w[w != 0]), atol=1e-6) and np.abs(slope).max() < 1 + 1e-6
+
+
+def test_least_value_over_signs():
+    """The minimum of a penalised quadratic form: its slopes against a form with a free, a singular and a null direction."""
+    rng = np.random.default_rng(3)
+    for rank in (12, 4):
+        half, b = rng.normal(size=(rank, 12)), rng.normal(size=12) * 3
+        half[:, 1] = half[:, 0]
+        a, weigh = half.T @ half + 1e-9 * np.eye(12), np.append(np.ones(11), 0.0)
+        for start in (np.zeros(12), rng.normal(size=12)):
+            v = mg._least(a, b, weigh, start)
+            slope, held = a @ v + b, v != 0
+            assert np.allclose(slope[held], (-np.sign(v) * weigh)[held], atol=1e-4) and (np.abs(slope) <= weigh + 1e-4).all()
