@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -45,6 +46,12 @@ class Batch:
         """An array column as Python lists, for values that make no matrix of numbers."""
         return self._rows.column(self._rows.schema.get_field_index(name)).to_pylist()
 
+    def columns(self) -> list[pa.Array]:
+        return self._rows.columns
+
+    def names(self) -> list[str]:
+        return self._rows.schema.names
+
     def groups(self, keys: list) -> list[tuple]:
         """(key tuple, row numbers) per distinct key; one group without keys."""
         if not keys:
@@ -56,6 +63,19 @@ class Batch:
         return [(tuple(frame.iloc[part[0]]), part) for part in np.split(order, cuts)]
 
 
+# Bytes of an Arrow batch where rows hold whole blocks of vectors.
+BATCH_BYTES = 32 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """`df`, with its session's Arrow batches at most about BATCH_BYTES long; lower settings stay. Read when a query runs."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)b?", conf.get(key).lower()).groups()
+    if not 0 < int(number) << (10 * " kmgtp".index(unit or " ")) <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterable[Batch]], Iterator], schema: T.StructType) -> DataFrame:
     """mapInArrow over non-empty `Batch` objects; fn yields Arrow batches or small pandas frames."""
     arrow = to_arrow_schema(schema)

@@ -5,19 +5,23 @@ the left side streams past it. Otherwise the right side is cut into Voronoi cell
 pivots, each group of rows (the value of `by`, the barred fold) into cells of its own, large cells into blocks; a left
 row visits only cells of its groups whose distance bound allows a closer neighbour (triangle and hyperplane bounds, Lu et
 al., VLDB 2012), and a task that holds one left block and one right block returns the best k per left row. The plan is
-the same for any number of groups.
+the same for any number of groups. Where the visits are many times the rows, as they are for vectors without structure, no
+visit is written: rows of neighbouring cells are packed to records, and every task streams the right records past its left ones.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import BROADCAST_ROWS, Shared, as_list, cut_lineage, fits
-from .batches import map_batches, matrix
+from .batches import map_batches, matrix, small_batches
 from .gram import total_array
 from .joins import lookup_join, top_per_key
 
@@ -27,6 +31,9 @@ _TILE = 4_000_000  # cells of one distance tile
 BROADCAST_BYTES, PIVOT_BYTES, VISITS, TRIED = 256_000_000, 64_000_000, 2_000_000, 256
 # Bounds of distances that a task compares at once.
 BOUND_CELLS = 2_000_000
+# Visits that are written at most: a number, or a multiple of the rows of both sides if that is more. Beyond, records are
+# streamed; bytes of the vectors in one of these, and cells that the driver lists for their bounds.
+VISIT_ROWS, VISIT_SHARE, RECORD_BYTES, CELLS_LISTED = 500_000, 8, 4_000_000, 20_000
 
 
 def _keep_copies(right: pd.DataFrame, x: np.ndarray, keep: int, extra: str | None) -> np.ndarray:
@@ -169,6 +176,15 @@ def _pivots(rows: DataFrame, n: int, d: int, approx: bool, pivots: int | None, b
     return matrix(chosen["__rvec"])
 
 
+def _chain(p: np.ndarray) -> np.ndarray:
+    """An order of the pivots in which neighbours in it are near: each is followed by the nearest that is left."""
+    order, open_ = [0], np.ones(len(p), bool)
+    for _ in range(len(p) - 1):
+        open_[order[-1]] = False
+        order.append(int(np.where(open_, ((p - p[order[-1]]) ** 2).sum(1), np.inf).argmin()))
+    return np.array(order)
+
+
 def _probes(left, cells, centres: Shared, k, vec, key, by, barred, skip_self, recall) -> int:
     """How many of its nearest cells a left row has to visit for `recall` of its neighbours, from TRIED left rows."""
     name = [key, *(c for c in (by, barred) if c)]
@@ -217,6 +233,8 @@ def _cell_knn(left, right, k, vec, key, by, barred, skip_self, carry, schema, ap
     if n == 0:
         return spark.createDataFrame([], schema)
     points = _pivots(slim, n, slim.select(F.size("__rvec")).first()[0], approx, pivots, block_rows)
+    if by is None:
+        points = points[_chain(points)]
     centres = Shared(spark, points)
     # A group uses as many of the pivots as its size calls for: a small one is a single cell.
     share = F.greatest(F.least(F.ceil(F.col("__n") * len(points) / n).cast("int"), F.lit(len(points))), F.lit(1))
@@ -250,6 +268,13 @@ def _cell_knn(left, right, k, vec, key, by, barred, skip_self, carry, schema, ap
     stats = cut_lineage(cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("off").alias("r")).join(near, "cell"))
     if approx and probes is None:
         probes = _probes(left, cells, centres, k, vec, key, by, barred, skip_self, recall)
+    if by is None:
+        listed = stats.toPandas() if fits(stats, CELLS_LISTED) else None
+        limits = None if listed is None else _Limits(listed, points, need, barred, probes if approx else None)
+        n_left = left.count()
+        if _many_visits(left, limits, n_left, n, vec, barred, block_rows, approx):
+            return _streamed(left.filter(F.col(key).isNotNull()), cells, centres, limits, k, vec, key, barred, skip_self, carry,
+                             schema, approx, block_rows, n_left, n, points.shape)
     went = cut_lineage(_visits(left, stats, centres, need, vec, key, by, barred, approx, probes, block_rows))
     heavy = went.groupBy("cell", "sub").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("chunks")).filter("chunks > 1")
     chunk = F.coalesce("chunks", F.lit(1))
@@ -344,6 +369,283 @@ def _visits(left, stats, centres: Shared, need, vec, key, by, barred, approx, pr
     return rows.groupBy(*keys).cogroup(listed.groupBy(*keys)).applyInPandas(visits, schema)
 
 
+class _Limits:
+    """How far from a left row its neighbours can be: by the listed cells of the right side.
+
+    Without `probes` that is the distance of the `need`-th of the near rows of its nearest cells, which none of its
+    neighbours exceeds; with `probes` the distance of the last pivot that it visits.
+    """
+
+    NEAREST = 32
+
+    def __init__(self, cells: pd.DataFrame, points: np.ndarray, need: int, barred: str | None, probes: int | None):
+        self.points, self.need, self.probes = points, need, probes
+        self.pivot, self.radius, self.n = cells["pivot"].to_numpy(), cells["r"].to_numpy(), cells["n"].to_numpy()
+        self.bans = cells[f"__r_{barred}"].to_numpy() if barred else None
+        self.near = np.full((len(cells), need), np.inf)
+        for row, offs in zip(self.near, cells["near"]):
+            row[:len(offs)] = offs
+
+    def of(self, q: np.ndarray, mine: np.ndarray | None):
+        """Pieces of (limits, cells in reach: rows x cells) for the rows of q; `mine`: their values of the barred column."""
+        step = max(1, min(1024, BOUND_CELLS // max(len(self.pivot), self.NEAREST * self.need)))
+        for lo in range(0, len(q), step):
+            part = q[lo:lo + step]
+            to = _distances(part, self.points)[:, self.pivot]
+            if mine is not None:
+                own = mine[lo:lo + step]
+                to[(own[:, None] == self.bans[None]) & ~pd.isna(own)[:, None] & ~pd.isna(self.bans)[None]] = np.inf
+            if self.probes:
+                limit = (np.partition(to, self.probes - 1, axis=1)[:, self.probes - 1] if to.shape[1] > self.probes
+                         else np.full(len(part), np.inf))
+                yield limit, np.isfinite(to) & (to <= _loose(limit)[:, None])
+                continue
+            few = min(self.NEAREST, to.shape[1])
+            at = np.argpartition(to, few - 1, axis=1)[:, :few]
+            reach = (np.take_along_axis(to, at, 1)[:, :, None] + self.near[at]).reshape(len(part), -1)
+            limit = (np.partition(reach, self.need - 1, axis=1)[:, self.need - 1] if reach.shape[1] >= self.need
+                     else np.full(len(part), np.inf))
+            yield limit, np.isfinite(to) & (to - self.radius[None] <= _loose(limit)[:, None])
+
+
+def _loose(limit: np.ndarray) -> np.ndarray:
+    """A limit with room for the rounding of distances."""
+    return limit + 1e-9 * (1 + limit)
+
+
+def _many_visits(left, limits: _Limits | None, n_left: int, n_right: int, vec, barred, block_rows, approx: bool) -> bool:
+    """Whether the visits of the left rows are too many to be written, judged from TRIED rows."""
+    if limits is None:
+        return not approx  # more cells than are listed: an exact join goes past all of them
+    most, subs = max(VISIT_ROWS, VISIT_SHARE * (n_left + n_right)), np.ceil(limits.n / block_rows)
+    if n_left * subs.sum() <= most:
+        return False
+    tried = left.orderBy(F.xxhash64(vec)).limit(TRIED).toPandas()
+    mine = tried[barred].to_numpy() if barred else None
+    seen = sum(float((go @ subs).sum()) for _, go in limits.of(matrix(tried[vec]), mine))
+    return n_left * seen / max(len(tried), 1) > most
+
+
+class _Nearest:
+    """The k nearest rows seen so far of the left rows of one record."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, bans: np.ndarray | None, limit: np.ndarray, points: np.ndarray,
+                 between: np.ndarray | None, k: int, skip_self: bool, block_rows: int):
+        self.ids, self.q, self.bans, self.limit, self.k, self.block_rows = ids, q, bans, limit, k, block_rows
+        self.skip_self, self.between = skip_self, between
+        self.norm, self.wide = (q * q).sum(1), np.hstack([q, np.ones((len(q), 1))])
+        self.to = _distances(q, points)
+        self.own, self.least = self.to.argmin(1), self.to.min(1)
+        # Distance of the k-th row so far.
+        self.kth, self.found, self.fresh = np.full(len(q), np.inf), [], 0
+
+    def see(self, ids: np.ndarray, x: np.ndarray, pivot: np.ndarray, off: np.ndarray, bans: np.ndarray | None, carry: list) -> None:
+        """Takes the rows of a right record, which stand in the order of their cells."""
+        cut = np.diff(pivot) != 0
+        if bans is not None:
+            cut |= np.diff(pd.factorize(bans)[0]) != 0
+        ends = np.flatnonzero(np.append(cut, True)) + 1
+        same = self._same(ids) if self.skip_self else None
+        for a, b in zip(np.append(0, ends[:-1]), ends):
+            rows = np.flatnonzero(self._go(pivot[a], off[a:b].max(), None if bans is None else bans[a]))
+            for lo in range(a, b, self.block_rows) if len(rows) else ():
+                self._add(rows, x, ids, carry, lo, min(lo + self.block_rows, b), same)
+
+    def _same(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, column) of equal ids, by column."""
+        mine = pd.DataFrame({"id": self.ids, "row": np.arange(len(self.ids))})
+        its = pd.DataFrame({"id": ids, "col": np.arange(len(ids))}).dropna()
+        both = mine.merge(its, on="id").sort_values("col")
+        return both["row"].to_numpy(), both["col"].to_numpy()
+
+    def _go(self, pivot: int, radius: float, ban) -> np.ndarray:
+        """Which left rows have to see a cell."""
+        to = self.to[:, pivot]
+        if self.between is None:
+            go = to <= _loose(self.limit)
+        else:
+            gap = self.between[self.own, pivot]
+            plane = np.divide(to ** 2 - self.least ** 2, 2 * gap, out=np.zeros_like(to), where=gap > 0)
+            go = np.maximum(to - radius, plane) <= _loose(np.minimum(self.limit, self.kth))
+        if self.bans is not None and not pd.isna(ban):
+            go &= (self.bans != ban) | pd.isna(self.bans)
+        return go
+
+    def _add(self, rows: np.ndarray, x: np.ndarray, ids, carry, lo: int, hi: int, same) -> None:
+        k, part = self.k, x[lo:hi]
+        norm = (part * part).sum(1)
+        turned = np.hstack([-2.0 * part, norm[:, None]]).T
+        step, width = max(1, _TILE // (hi - lo)), hi - lo
+        for at in range(0, len(rows), step):
+            own = rows[at:at + step]
+            d2 = self.wide[own] @ turned  # short of the left row's square
+            if same is not None:
+                a, b = np.searchsorted(same[1], [lo, hi])
+                place = np.searchsorted(own, same[0][a:b])
+                held = place < len(own)
+                held[held] = own[place[held]] == same[0][a:b][held]
+                d2[place[held], same[1][a:b][held] - lo] = np.inf
+            slack = 1e-10 * (self.norm[own] + norm.max()) + 1e-300
+            most = self.kth[own] ** 2 - self.norm[own] + slack
+            new = np.flatnonzero(np.isinf(most))
+            if len(new) and width > k:
+                most[new] = np.partition(d2[new], k - 1, axis=1)[:, k - 1] + slack[new]
+            row, col = np.divmod(np.flatnonzero((d2 <= most[:, None]).ravel()), width)
+            real = np.isfinite(d2[row, col])
+            row, col = own[row[real]], col[real] + lo
+            dist = np.empty(len(row))
+            for i in range(0, len(row), 50_000):
+                dist[i:i + 50_000] = np.sqrt(((self.q[row[i:i + 50_000]] - x[col[i:i + 50_000]]) ** 2).sum(1))
+            self.found.append([row, dist, ids[col], *(c[col] for c in carry)])
+            self.fresh += len(row)
+            if self.fresh > k * len(self.q) // 2:
+                self._keep()
+
+    def _keep(self) -> None:
+        """Drops all but the k nearest of every left row, ties by id."""
+        if not self.found:
+            return
+        columns = [np.concatenate(c) for c in zip(*self.found)]
+        order = np.lexsort((columns[2], columns[1], columns[0]))
+        row = columns[0][order]
+        order = order[np.arange(len(row)) - np.searchsorted(row, row, side="left") < self.k]
+        self.found, self.fresh = [[c[order] for c in columns]], 0
+        row, dist = self.found[0][:2]
+        n = np.bincount(row, minlength=len(self.q))
+        full = np.flatnonzero(n >= self.k)
+        self.kth[full] = dist[np.cumsum(n)[full] - 1]
+
+    def rows(self) -> list[np.ndarray] | None:
+        """(left row, distance, id, carried..) of the nearest."""
+        self._keep()
+        return self.found[0] if self.found else None
+
+
+def _pack(rows: DataFrame, key: str, barred: str | None, n: int, size: int, columns: dict, schema: T.StructType, add=None) -> DataFrame:
+    """Records of `size` rows of neighbouring cells at most: `columns` as lists, the vectors `__x` and offsets `off` as bytes.
+
+    `rows` has `pivot`, `off` and `__x`; `add` gives further fields of a record from its rows.
+    """
+    arrow = to_arrow_schema(schema)
+    by = ["pivot", *([barred] if barred else [])]
+    parts = rows.repartitionByRange(max(1, -(-n // size)), "pivot", F.xxhash64(key)).sortWithinPartitions(*by)
+
+    def run(batches):
+        held, made = [], 0
+
+        def record(table: pa.Table) -> pa.RecordBatch:
+            nonlocal made
+            made += 1
+            x = matrix(table.column("__x"))
+            row = {"record": f"{TaskContext.get().partitionId()}-{made}", "x": x.tobytes(), "width": x.shape[1]}
+            for name, source in columns.items():
+                row[name] = pa.concat_arrays(table.column(source).chunks)
+            row |= add(x, table) if add else {"off": table.column("off").to_numpy().astype(float).tobytes(),
+                                              "has": np.unique(table.column("pivot").to_numpy())}
+            arrays = []
+            for f in arrow:
+                value = row[f.name]
+                if pa.types.is_list(f.type):
+                    ends = pa.array([0, len(value)], pa.int32())
+                    arrays.append(pa.ListArray.from_arrays(ends, pa.array(value).cast(f.type.value_type), type=f.type))
+                else:
+                    arrays.append(pa.array([value], f.type))
+            return pa.RecordBatch.from_arrays(arrays, schema=arrow)
+
+        for batch in batches:
+            while batch.num_rows:
+                room = size - sum(b.num_rows for b in held)
+                held.append(batch.slice(0, room))
+                batch = batch.slice(room)
+                if sum(b.num_rows for b in held) == size:
+                    yield record(pa.Table.from_batches(held))
+                    held = []
+        if held:
+            yield record(pa.Table.from_batches(held))
+
+    return small_batches(parts).mapInArrow(run, schema)
+
+
+def _streamed(left, cells, centres: Shared, limits: _Limits | None, k, vec, key, barred, skip_self, carry, schema, approx,
+              block_rows, n_left: int, n_right: int, shape: tuple) -> DataFrame:
+    """(schema): the k nearest of every left row, from the right rows of all cells that it has to see.
+
+    Both sides are packed to records of RECORD_BYTES of vectors. A task holds one left part and streams all right records past
+    it, so what is written is each side once, and memory holds a record of either side and the rows found.
+    """
+    spark, (pivots, width) = left.sparkSession, shape
+    most = max(1, RECORD_BYTES // (8 * max(width, 1)))
+    cores = spark.sparkContext.defaultParallelism
+    size = max(1, min(most, _TILE // pivots, max(256, -(-n_left // (4 * cores)))))
+    sent = Shared(spark, limits)
+
+    left = left.select(F.col(key).alias("__key"), F.col(vec).alias("__x"), *([F.col(barred).alias("__ban")] if barred else []))
+
+    def places(batches):
+        for b in batches:
+            x = b["__x"]
+            near = np.concatenate([_distances(x[lo:lo + 1024], centres.value).argmin(1) for lo in range(0, len(x), 1024)])
+            yield pa.RecordBatch.from_arrays([*b.columns(), pa.array(near.astype("int32"))], names=[*b.names(), "pivot"])
+
+    placed = map_batches(left, places, T.StructType([*left.schema.fields, T.StructField("pivot", T.IntegerType())]))
+    head = [T.StructField("record", T.StringType()), T.StructField("x", T.BinaryType()), T.StructField("width", T.IntegerType())]
+
+    def listed(name: str, kind) -> T.StructField:
+        return T.StructField(name, T.ArrayType(kind))
+
+    def reach(x: np.ndarray, table: pa.Table) -> dict:
+        """Limits of the rows of a left record, and the pivots that any of them has to see."""
+        if sent.value is None:
+            return {"limit": np.full(len(x), np.inf).tobytes(), "goes": np.arange(pivots)}
+        mine = table.column("__ban").to_pandas().to_numpy() if barred else None
+        found = list(sent.value.of(x, mine))
+        goes = np.unique(sent.value.pivot[np.any([go.any(0) for _, go in found], axis=0)])
+        return {"limit": np.concatenate([limit for limit, _ in found]).tobytes(), "goes": goes}
+
+    lhs = {"key": "__key", **({"bans": "__ban"} if barred else {})}
+    lschema = T.StructType([*head, *(listed(a, left.schema[b].dataType) for a, b in lhs.items()),
+                            T.StructField("limit", T.BinaryType()), listed("goes", T.IntegerType())])
+    lrecords = _pack(placed, "__key", "__ban" if barred else None, n_left, size, lhs, lschema, reach)
+    rhs = {"ids": "__rid", "pivots": "pivot", **({"r_bans": f"__r_{barred}"} if barred else {}),
+           **{f"c{i}": f"__c_{c}" for i, c in enumerate(carry)}}
+    rschema = T.StructType([*head, *(listed(a, cells.schema[b].dataType) for a, b in rhs.items()),
+                            T.StructField("off", T.BinaryType()), listed("has", T.IntegerType())])
+    rrecords = cut_lineage(_pack(cells.withColumnRenamed("__rvec", "__x"), "__rid", f"__r_{barred}" if barred else None,
+                                 n_right, most, rhs, rschema))
+    rrecords = rrecords.withColumnsRenamed({"record": "r_record", "x": "r_x"}).drop("width")
+    # The right records are one partition that every task reads as a stream; the left parts are the tasks.
+    pairs = rrecords.coalesce(1).hint("shuffle_replicate_nl").join(lrecords, F.arrays_overlap("goes", "has"))
+    arrow, names = to_arrow_schema(schema), schema.fieldNames()
+
+    def match(batches):
+        blocks: dict[str, _Nearest] = {}
+        between = None if approx else _distances(centres.value, centres.value)
+        for batch in batches:
+            col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+
+            def values(name: str, i: int) -> np.ndarray:
+                return col[name][i].values.to_pandas().to_numpy()
+
+            def numbers(name: str, i: int) -> np.ndarray:
+                return np.frombuffer(col[name][i].as_buffer())
+
+            for i in range(batch.num_rows):
+                record, d = col["record"][i].as_py(), col["width"][i].as_py()
+                if record not in blocks:
+                    blocks[record] = _Nearest(
+                        values("key", i), numbers("x", i).reshape(-1, d).copy(), values("bans", i) if barred else None,
+                        numbers("limit", i).copy(), centres.value, between, k, skip_self, block_rows)
+                blocks[record].see(values("ids", i), numbers("r_x", i).reshape(-1, d), values("pivots", i), numbers("off", i),
+                                   values("r_bans", i) if barred else None, [values(f"c{j}", i) for j in range(len(carry))])
+        for block in blocks.values():
+            found = block.rows()
+            if found is not None:
+                out = pd.DataFrame(dict(zip([key, "dist", "neighbour", *carry], [block.ids[found[0]], *found[1:]])))
+                yield pa.RecordBatch.from_pandas(out.assign(rank=np.int32(0))[names], arrow, preserve_index=False)
+
+    return small_batches(pairs).mapInArrow(match, schema)
+
+
 def _shape_sums(x: np.ndarray, own: np.ndarray, tags: np.ndarray, table: np.ndarray, sizes: list[np.ndarray]) -> np.ndarray:
     """Sums of silhouettes over the rows of x, one per clustering; `own`, `tags`: cluster numbers (rows x clusterings)."""
     total, step = np.zeros(len(sizes)), max(1, _TILE // max(len(table), 1))

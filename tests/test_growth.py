@@ -154,6 +154,53 @@ def test_visits_of_a_task_are_bounded(spark, monkeypatch, by, barred):
     assert "__part" in _plan(seen[0]) and "50000" not in _plan(seen[0])
 
 
+def test_neighbours_without_structure_write_no_visits(spark, monkeypatch):
+    """Every row has to see most cells of 12,000 normal vectors: before, that was a shuffled row of each with each cell."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(12_000, 16)).astype("float32")
+    x[50:60] = x[40:50]
+    df = cut_lineage(spark.createDataFrame([(i, v.tolist(), i % 4) for i, v in enumerate(x)], "id long, v array<float>, f int").repartition(4))
+    monkeypatch.setattr(nb, "_visits", lambda *a: pytest.fail("visits were written"))
+    some = np.append(rng.choice(12_000, 60, False), [41, 51])
+    d = np.sqrt(((x[some][:, None].astype(float) - x[None]) ** 2).sum(2))
+    for barred, off in (("id", np.arange(12_000) == some[:, None]), ("f", np.arange(12_000) % 4 == some[:, None] % 4)):
+        out = nb.knn_join(df, df, 5, "v", "id", exclude_same=barred, carry=["f"], max_rows=0, block_rows=400)
+        rows = out.filter(F.col("id").isin([int(i) for i in some])).collect()
+        assert out.count() == 60_000
+        far = np.where(off, np.inf, d)
+        got = {(r.id, r["rank"]): (r.neighbour, r.dist) for r in rows}
+        for i, row in zip(some, far):
+            want = np.lexsort((np.arange(12_000), row))[:5]
+            assert [got[i, r][0] for r in range(1, 6)] == want.tolist()
+            assert np.allclose([got[i, r][1] for r in range(1, 6)], row[want])
+        assert all(r.f == r.neighbour % 4 for r in rows)
+
+
+@pytest.mark.parametrize("barred, approx", [("id", False), ("f", False), ("name", False), ("id", True)])
+def test_streamed_neighbours_are_those_of_visits(spark, monkeypatch, barred, approx):
+    """Small records, groups of near vectors, copies, nulls among the barred values and repeated keys of both sides."""
+    rng = np.random.default_rng(2)
+    base = np.round(rng.normal(size=(6, 4)) * 4, 1)
+    rows = [(i if i % 50 else 7, (base[i % 6] + np.round(rng.normal(size=4), 9 if approx else 1)).tolist(), None if i % 9 == 0 else i % 4,
+             None if i % 7 == 0 else "abc"[i % 3]) for i in range(500)]
+    left = cut_lineage(spark.createDataFrame([r for r in rows if r[0] != 7], "id long, v array<double>, f int, name string").repartition(3))
+    right = cut_lineage(spark.createDataFrame(rows, "id long, v array<double>, f int, name string").repartition(4))
+
+    def found():
+        out = nb.knn_join(left, right, 4, "v", "id", exclude_same=barred, carry=["name"], approx=approx, max_rows=0, block_rows=20,
+                          probes=3 if approx else None)
+        return sorted((r.id, r["rank"], r.neighbour, round(r.dist, 9), str(r.name)) for r in out.collect())
+
+    want = found()
+    for name, value in (("VISIT_ROWS", 0), ("VISIT_SHARE", 0), ("RECORD_BYTES", 8 * 4 * 60)):
+        monkeypatch.setattr(nb, name, value)
+    monkeypatch.setattr(nb, "_visits", lambda *a: pytest.fail("visits were written"))
+    got = found()
+    assert [r[:4] for r in got] == [r[:4] for r in want] and len(got) == 4 * 489
+    monkeypatch.setattr(nb, "CELLS_LISTED", 1)
+    assert approx or [r[:4] for r in found()] == [r[:4] for r in want]
+
+
 def test_margin_passes_hold_few_scores(spark, monkeypatch):
     """Batches are cut so that rows times problems stay bounded; the fits are the same."""
     rng = np.random.default_rng(9)
