@@ -188,7 +188,9 @@ def _chain(p: np.ndarray) -> np.ndarray:
 def _probes(left, cells, centres: Shared, k, vec, key, by, barred, skip_self, recall) -> int:
     """How many of its nearest cells a left row has to visit for `recall` of its neighbours, from TRIED left rows."""
     name = [key, *(c for c in (by, barred) if c)]
-    tried = left.select(*dict.fromkeys([*name, vec])).orderBy(F.xxhash64(*name)).limit(TRIED).toPandas()
+    # Pivots are the first rows in the order of the plain hash: those lie nearer to their neighbours' cells than others do.
+    order = F.xxhash64(F.lit("tried"), *name)
+    tried = left.select(*dict.fromkeys([*name, vec])).orderBy(order).limit(TRIED).toPandas()
     if tried.empty:
         return 1
     sent = Shared(left.sparkSession, (tried, matrix(tried[vec])))

@@ -176,6 +176,15 @@ def test_neighbours_without_structure_write_no_visits(spark, monkeypatch):
         assert all(r.f == r.neighbour % 4 for r in rows)
 
 
+def test_approximate_neighbours_without_structure_reach_their_recall(spark, monkeypatch):
+    """The rows that tell how many cells to visit are not the pivots, which lie nearer to their neighbours' cells."""
+    monkeypatch.setattr(nb, "TRIED", 100)
+    x = np.random.default_rng(5).normal(size=(4000, 64))
+    df = cut_lineage(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(4))
+    exact, near = (nb.knn_join(df, df, 5, "v", "id", exclude_same="id", approx=a).select("id", "neighbour") for a in (False, True))
+    assert exact.intersect(near).count() >= 0.9 * 20_000
+
+
 @pytest.mark.parametrize("barred, approx", [("id", False), ("f", False), ("name", False), ("id", True)])
 def test_streamed_neighbours_are_those_of_visits(spark, monkeypatch, barred, approx):
     """Small records, groups of near vectors, copies, nulls among the barred values and repeated keys of both sides."""
