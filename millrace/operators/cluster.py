@@ -64,22 +64,35 @@ def _start(x: np.ndarray, k: int, seed: int) -> np.ndarray:
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """Index of the nearest centre of every row; ties to the lowest index.
+    """Index of the nearest centre of every row; ties to the lowest index."""
+    return _nearest_grid(x, [centres])[:, 0]
 
-    Distances come from one matrix product; rows whose nearest centres are as good as equal in it are compared by differences.
+
+def _nearest_grid(x: np.ndarray, grid: Sequence[np.ndarray]) -> np.ndarray:
+    """Index of the nearest centre of every row in each set of centres (rows x sets); ties to the lowest index.
+
+    Distances to the centres of all sets come from one matrix product; rows whose nearest centres are as good as equal in it
+    are compared by differences.
     """
-    out, step, few = np.empty(len(x), np.int64), max(1, 2_000_000 // max(len(centres), 1)), max(1, 2_000_000 // max(centres.size, 1))
-    square = (centres * centres).sum(1)
+    ends = np.cumsum([0, *(len(c) for c in grid)])
+    every = np.concatenate(grid)
+    out, step = np.empty((len(x), len(grid)), np.int64), max(1, 2_000_000 // max(len(every), 1))
+    square = (every * every).sum(1)
+    turned = np.vstack([-2.0 * every.T, square])
     for lo in range(0, len(x), step):
         part = x[lo:lo + step]
-        d = square[None] - 2.0 * part @ centres.T
-        best = d.argmin(1)
-        slack = 1e-11 * ((part * part).sum(1) + square.max())
-        close = np.flatnonzero(~((d <= (d.min(1) + slack)[:, None]).sum(1) == 1))
-        for at in range(0, len(close), few):
-            own = close[at:at + few]
-            best[own] = ((part[own][:, None, :] - centres[None]) ** 2).sum(2).argmin(1)
-        out[lo:lo + step] = best
+        d, norm, at = np.hstack([part, np.ones((len(part), 1))]) @ turned, (part * part).sum(1), np.arange(len(part))
+        for j, centres in enumerate(grid):
+            own, few = d[:, ends[j]:ends[j + 1]], max(1, 2_000_000 // max(centres.size, 1))
+            best = own.argmin(1)
+            first = own[at, best]
+            own[at, best] = np.inf
+            slack = 1e-11 * (norm + square[ends[j]:ends[j + 1]].max())
+            close = np.flatnonzero(~(own.min(1) > first + slack))
+            for i in range(0, len(close), few):
+                rows = close[i:i + few]
+                best[rows] = ((part[rows][:, None, :] - centres[None]) ** 2).sum(2).argmin(1)
+            out[lo:lo + step, j] = best
     return out
 
 
@@ -94,6 +107,21 @@ def _add_members(total: np.ndarray, near: np.ndarray, x: np.ndarray) -> None:
     total[:, 1:] += member @ x
 
 
+def _add_grid(total: np.ndarray, near: np.ndarray, x: np.ndarray, ends: np.ndarray) -> None:
+    """`_add_members` for several clusterings (columns of `near`), whose clusters start at `ends` in `total`."""
+    if not np.isfinite(x).all():
+        for j, (a, b) in enumerate(zip(ends, ends[1:])):
+            _add_members(total[a:b], near[:, j], x)
+        return
+    place, step = near + ends[:-1], max(1, 2_000_000 // max(len(total), 1))
+    total[:, 0] += np.bincount(place.ravel(), minlength=len(total))
+    for lo in range(0, len(x), step):
+        own = place[lo:lo + step]
+        member = np.zeros((len(own), len(total)))
+        member[np.arange(len(own))[:, None], own] = 1.0
+        total[:, 1:] += member.T @ x[lo:lo + step]
+
+
 def lloyd_grid(df: DataFrame, vec: str, starts: Sequence[np.ndarray], max_iter: int = 500, tol: float = 1e-4) -> list[np.ndarray]:
     """Centres after Lloyd steps from every start; all starts advance in the same passes.
 
@@ -110,12 +138,11 @@ def lloyd_grid(df: DataFrame, vec: str, starts: Sequence[np.ndarray], max_iter:
 
         def sums(batches):
             own = shared.value
-            total = [np.zeros((len(c), c.shape[1] + 1)) for c in own]
+            ends = np.cumsum([0, *(len(c) for c in own)])
+            total = np.zeros((ends[-1], own[0].shape[1] + 1))
             for b in batches:
-                x = b["x"]
-                for c, t in zip(own, total):
-                    _add_members(t, _nearest(x, c), x)
-            yield np.concatenate([t.ravel() for t in total])
+                _add_grid(total, _nearest_grid(b["x"], own), b["x"], ends)
+            yield total.ravel()
 
         width = sum(centres[i].size + len(centres[i]) for i in todo)
         got, lo, still = total_array(rows, sums, tasks, width), 0, []
@@ -150,7 +177,7 @@ def assign_grid(df: DataFrame, vec: str, centres: Sequence[np.ndarray], out: str
     @F.arrow_udf("array<int>")
     def place(col: pa.Array) -> pa.Array:
         x = matrix(col)
-        return list_column(np.stack([_nearest(x, c) for c in shared.value], axis=1).astype("int32"))
+        return list_column(_nearest_grid(x, shared.value).astype("int32"))
 
     return df.withColumn(out, place(F.col(vec).cast("array<double>")))
 

@@ -649,16 +649,24 @@ def _streamed(left, cells, centres: Shared, limits: _Limits | None, k, vec, key,
 
 
 def _shape_sums(x: np.ndarray, own: np.ndarray, tags: np.ndarray, table: np.ndarray, sizes: list[np.ndarray]) -> np.ndarray:
-    """Sums of silhouettes over the rows of x, one per clustering; `own`, `tags`: cluster numbers (rows x clusterings)."""
-    total, step = np.zeros(len(sizes)), max(1, _TILE // max(len(table), 1))
+    """Sums of silhouettes over the rows of x, one per clustering; `own`, `tags`: cluster numbers (rows x clusterings).
+
+    The distances to a piece of the table are summed per cluster, of all clusterings, by one matrix product.
+    """
+    ends = np.cumsum([0, *(len(n) for n in sizes)])
+    step = max(1, min(2048, _TILE // max(int(ends[-1]), 1)))
+    total, square = np.zeros(len(sizes)), (table * table).sum(1)
     for lo in range(0, len(x), step):
         q = x[lo:lo + step]
-        d = np.sqrt(np.maximum((q * q).sum(1)[:, None] + (table * table).sum(1)[None] - 2 * q @ table.T, 0.0))
+        sums, norm, at = np.zeros((len(q), ends[-1])), (q * q).sum(1), np.arange(len(q))
+        for first in range(0, len(table), step):
+            part, place = table[first:first + step], tags[first:first + step] + ends[:-1]
+            d = np.sqrt(np.maximum(norm[:, None] + square[first:first + step][None] - 2 * q @ part.T, 0.0))
+            hot = np.zeros((len(part), ends[-1]))
+            hot[np.arange(len(part))[:, None], place] = 1.0
+            sums += d @ hot
         for j, n in enumerate(sizes):
-            hot = np.zeros((len(table), len(n)))
-            hot[np.arange(len(table)), tags[:, j]] = 1.0
-            to = d @ hot
-            mine, at = own[lo:lo + step, j], np.arange(len(q))
+            to, mine = sums[:, ends[j]:ends[j + 1]], own[lo:lo + step, j]
             a = to[at, mine] / np.maximum(n[mine] - 1, 1)
             to = np.where(n > 0, to / np.maximum(n, 1), np.inf)
             to[at, mine] = np.inf

@@ -130,6 +130,40 @@ def test_nearest_centres_by_products():
     assert np.isnan(other).sum() == 1
 
 
+def test_silhouette_sums_mark_members_once_per_block(monkeypatch):
+    """Marks of the clusters' members are made for blocks of 2,048 rows: before, again for every few rows of a long table."""
+    rng = np.random.default_rng(7)
+    x, ks = rng.normal(size=(6000, 3)), (2, 5, 9)
+    tags = np.stack([rng.integers(0, k, 6000) for k in ks], axis=1)
+    sizes, cells, zeros = [np.bincount(tags[:, j]) for j in range(3)], [], np.zeros
+    monkeypatch.setattr(np, "zeros", lambda shape, *a: cells.append(np.prod(shape)) or zeros(shape, *a))
+    got = nb._shape_sums(x, tags, tags, x, sizes)
+    monkeypatch.setattr(np, "zeros", zeros)
+    assert sum(cells) < 500_000  # before: 960,000 at ten steps
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for j, k in enumerate(ks):
+        to, at = np.stack([d[:, tags[:, j] == c].sum(1) for c in range(k)], axis=1), np.arange(6000)
+        a, to = to[at, tags[:, j]] / (sizes[j][tags[:, j]] - 1), to / sizes[j]
+        to[at, tags[:, j]] = np.inf
+        assert got[j] == pytest.approx(((to.min(1) - a) / np.maximum(a, to.min(1))).sum())
+
+
+def test_nearest_centres_of_a_grid_are_those_of_each():
+    rng = np.random.default_rng(3)
+    x, grid = rng.normal(size=(500, 4)), [rng.normal(size=(k, 4)) for k in (1, 3, 8)]
+    grid[2][5] = grid[2][1]
+    x[:9], x[9, 0] = grid[2][1], np.nan
+    near, ends = cl._nearest_grid(x, grid), np.array([0, 1, 4, 12])
+    for j, c in enumerate(grid):
+        assert np.array_equal(near[:, j], ((x[:, None] - c[None]) ** 2).sum(2).argmin(1))
+    for rows in (x[10:], x):
+        near, total, each = cl._nearest_grid(rows, grid), np.zeros((12, 5)), np.zeros((12, 5))
+        cl._add_grid(total, near, rows, ends)
+        for j in range(3):
+            cl._add_members(each[ends[j]:ends[j + 1]], near[:, j], rows)
+        assert np.allclose(total, each, equal_nan=True)
+
+
 def test_lloyd_passes_are_one_stage(spark, monkeypatch):
     rng = np.random.default_rng(1)
     df = cut_lineage(spark.createDataFrame([([float(v) for v in r],) for r in rng.normal(size=(200, 3))], "x array<double>").repartition(4))
